@@ -5,7 +5,7 @@ one *seed*, the leftmost smallest hash among its word grams (a minimizer), so tw
 equal windows hold equal seeds.  Seeds are dealt by hash into reference blocks;
 every document is factored against every block that indexes one of its seeds:
 
-1. ``_pack``     documents -> chunks (compressed text, one row for ~4 MB);
+1. ``packed``    documents -> chunks (compressed text, one row for ~4 MB);
 2. seeds         chunk -> one blob of distinct seeds for each block; a block
                  answers with a bitmap: which seeds occur elsewhere too;
 3. windows       only windows around such seeds are hashed and dealt to blocks
@@ -31,21 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import tables, text
+from . import packed, tables, text
 
 WINDOW, GRAM = 20, 8
-PACK_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary()), ("rest", pa.binary())])
-_BLOB = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
-_REPLY = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
 _OUT = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -56,59 +50,18 @@ _OUT = pa.schema(
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("src_doc", pa.int64()), ("src_start", pa.int64())]))),
     ]
 )
-_DDL = {
-    "chunk": "chunk long, ids binary, sizes binary, body binary, rest binary",
-    "blob": "block long, chunk long, blob binary",
-    "reply": "chunk long, block long, blob binary",
-    "out": "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, "
-    "spans array<struct<start:long,n_words:long,src_doc:long,src_start:long>>",
-}
-
-
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a) * a.itemsize for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(1).compress(head + b"".join(a.tobytes() for a in arrays))
-
-
-def _stretch(blob: bytes, *types) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    at, out = 8 * len(types), []
-    for n, t in zip(np.frombuffer(raw, np.int64, len(types)), types, strict=True):
-        out.append(np.frombuffer(raw, t, int(n) // np.dtype(t).itemsize, at))
-        at += int(n)
-    return out
-
-
-def _ipc(batch: pa.RecordBatch) -> bytes | None:
-    if not batch.num_columns:
-        return None
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-        to.write_batch(batch)
-    return out.getvalue().to_pybytes()
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, seq = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        ids = np.array(batch.column(0).fill_null(-(1 << 63)))
-        for c in text.chunks(batch.column(1), PACK_BYTES):
-            rest = batch.select(batch.schema.names[2:]).slice(c.first, c.rows)
-            row = [(part << 32) + seq, ids[c.first : c.first + c.rows].tobytes(), np.diff(c.offsets).tobytes(), zstandard.ZstdCompressor(3).compress(c.data.tobytes()), _ipc(rest)]
-            seq += 1
-            yield pa.RecordBatch.from_pylist([dict(zip(_CHUNK.names, row, strict=True))], _CHUNK)
+_OUT_DDL = (
+    "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, "
+    "spans array<struct<start:long,n_words:long,src_doc:long,src_start:long>>"
+)
 
 
 class _Parsed:
     """Words, seeds and windows of one chunk; the same in every pass."""
 
-    def __init__(self, ids: bytes, sizes: bytes, body: bytes, window: int, gram: int):
-        self.ids = np.frombuffer(ids, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
-        self.chunk = text.Chunk(0, data, offsets)
+    def __init__(self, row: dict, window: int, gram: int):
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.chunk = packed.text_of(row)
         self.words = text.words(self.chunk)
         h, first, span = self.words.hashes, self.words.first, window - gram + 1
         ok = text.within(first, window)
@@ -162,43 +115,20 @@ class _Parsed:
         return out
 
 
-def _block_of(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-
-
-def _split(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(block, indices) in order of index; block need not be sorted."""
-    order = np.argsort(block, kind="stable")
-    edges = np.flatnonzero(np.diff(block[order])) + 1
-    for part in np.split(order, edges):
-        if len(part):
-            yield int(block[part[0]]), part
-
-
-def _frame(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield {n: b.column(n)[i].as_py() for n in b.schema.names}
-
-
 def _send_seeds(blocks: int, window: int, gram: int):
     def go(batches):
-        for r in _rows(batches):
-            h, many = _Parsed(r["ids"], r["sizes"], r["body"], window, gram).seeds()
-            out = [(k, r["chunk"], _squeeze(h[i], np.packbits(many[i]))) for k, i in _split(_block_of(h, blocks))]
+        for r in packed.rows(batches):
+            h, many = _Parsed(r, window, gram).seeds()
+            out = [(k, r["chunk"], packed.squeeze(h[i], np.packbits(many[i]))) for k, i in packed.split(packed.block_of(h, blocks))]
             if out:
-                yield _frame(_BLOB, out)
+                yield packed.frame(packed.BLOB, out)
 
     return go
 
 
 def _answer_seeds(group: pa.Table) -> pa.Table:
     """Per blob a bitmap of the seeds that occur more than once in the corpus."""
-    got = [_stretch(x.as_py(), np.uint64, np.uint8) for x in group.column("blob")]
+    got = [packed.stretch(x.as_py(), np.uint64, np.uint8) for x in group.column("blob")]
     every = np.concatenate([h for h, _ in got])
     times = np.concatenate([np.unpackbits(m, count=len(h)) for h, m in got]).astype(np.int64) + 1
     keys, back = np.unique(every, return_inverse=True)
@@ -207,7 +137,7 @@ def _answer_seeds(group: pa.Table) -> pa.Table:
     for (h, _), chunk, block in zip(got, group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True):
         rows.append((chunk, block, np.packbits(hit[at : at + len(h)]).tobytes()))
         at += len(h)
-    return pa.Table.from_batches([_frame(_REPLY, rows)])
+    return pa.Table.from_batches([packed.frame(packed.REPLY, rows)])
 
 
 def _repeated(p: _Parsed, replies: pa.Table, blocks: int) -> np.ndarray:
@@ -215,7 +145,7 @@ def _repeated(p: _Parsed, replies: pa.Table, blocks: int) -> np.ndarray:
     h, _ = p.seeds()
     mark = np.zeros(len(h), bool)
     bits = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
-    for k, i in _split(_block_of(h, blocks)):
+    for k, i in packed.split(packed.block_of(h, blocks)):
         mark[i] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=len(i)).astype(bool)
     return h[mark]
 
@@ -225,26 +155,22 @@ def _sent(p: _Parsed, at: np.ndarray, h: np.ndarray, lead: np.ndarray, blocks: i
     own = np.flatnonzero(lead == np.arange(len(at)))
     doc, start = p.place(at[own])
     own = own[np.lexsort((start, doc))]
-    for k, i in _split(_block_of(h[own], blocks)):
+    for k, i in packed.split(packed.block_of(h[own], blocks)):
         yield k, own[i]
 
 
-def _delta(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=a.dtype.type(0))
-
-
 def _send_windows(blocks: int, window: int, gram: int):
     def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows or not replies.num_rows:
-            return _BLOB.empty_table()
+            return packed.BLOB.empty_table()
         r = chunk.to_pylist()[0]
-        p = _Parsed(r["ids"], r["sizes"], r["body"], window, gram)
+        p = _Parsed(r, window, gram)
         at, h = p.windows(_repeated(p, replies, blocks), window)
         out = []
         for k, i in _sent(p, at, h, p.earliest(at, h), blocks):
             doc, start = p.place(at[i])
-            out.append((k, r["chunk"], _squeeze(h[i], _delta(doc), _delta(start.astype(np.int32)))))
-        return pa.Table.from_batches([_frame(_BLOB, out)]) if out else _BLOB.empty_table()
+            out.append((k, r["chunk"], packed.squeeze(h[i], packed.delta(doc), packed.delta(start.astype(np.int32)))))
+        return pa.Table.from_batches([packed.frame(packed.BLOB, out)]) if out else packed.BLOB.empty_table()
 
     return go
 
@@ -253,7 +179,7 @@ def _answer_windows(group: pa.Table) -> pa.Table:
     """Per blob: which windows start earlier elsewhere, and there earliest."""
     got = []
     for x in group.column("blob"):
-        h, d, s = _stretch(x.as_py(), np.uint64, np.int64, np.int32)
+        h, d, s = packed.stretch(x.as_py(), np.uint64, np.int64, np.int32)
         got.append((h, np.cumsum(d), np.cumsum(s, dtype=np.int64)))
     h, doc, start = (np.concatenate([g[i] for g in got]) for i in range(3))
     order = np.lexsort((start, doc, h))
@@ -267,9 +193,9 @@ def _answer_windows(group: pa.Table) -> pa.Table:
         m = hit[at : at + len(g[0])]
         src = lead[at : at + len(g[0])][m]
         if m.any():
-            rows.append((chunk, block, _squeeze(np.packbits(m), _delta(doc[src]), _delta(start[src]))))
+            rows.append((chunk, block, packed.squeeze(np.packbits(m), packed.delta(doc[src]), packed.delta(start[src]))))
         at += len(g[0])
-    return pa.Table.from_batches([_frame(_REPLY, rows)]) if rows else _REPLY.empty_table()
+    return pa.Table.from_batches([packed.frame(packed.REPLY, rows)]) if rows else packed.REPLY.empty_table()
 
 
 def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema):
@@ -277,7 +203,7 @@ def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema):
         if not chunk.num_rows:
             return empty.empty_table()
         r = chunk.to_pylist()[0]
-        p = _Parsed(r["ids"], r["sizes"], r["body"], window, gram)
+        p = _Parsed(r, window, gram)
         kinds = replies.column("kind").to_pylist()
         seeds = replies.filter(pa.array([k == 0 for k in kinds], pa.bool_()))
         found = dict(zip(*(replies.filter(pa.array([k == 1 for k in kinds], pa.bool_())).column(c).to_pylist() for c in ("block", "blob")), strict=True))
@@ -287,7 +213,7 @@ def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema):
         src_doc, src_start = doc[lead], start[lead]  # the chunk's earliest ...
         for k, i in _sent(p, at, h, lead, blocks):
             if k in found:  # ... or an earlier one of another chunk
-                m, d, s = _stretch(found[k], np.uint8, np.int64, np.int64)
+                m, d, s = packed.stretch(found[k], np.uint8, np.int64, np.int64)
                 j = i[np.unpackbits(m, count=len(i)).astype(bool)]
                 src_doc[j], src_start[j] = np.cumsum(d), np.cumsum(s)
         src_doc, src_start = src_doc[lead], src_start[lead]
@@ -322,7 +248,7 @@ def _parse(p: _Parsed, r: dict, at, src_doc, src_start, start, window: int, text
     byte = np.concatenate([[0], ends])[edge]
     joined = [body[byte[i] : max(byte[i], byte[i + 1] - 1)].tobytes() for i in range(rows)]
     removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
-    null = p.ids == -(1 << 63)
+    null = p.ids == packed.NULL_ID
     out = pa.table(
         [
             pa.array(p.ids, mask=null),
@@ -334,8 +260,7 @@ def _parse(p: _Parsed, r: dict, at, src_doc, src_start, start, window: int, text
         ],
         schema=_OUT,
     )
-    if r["rest"]:
-        rest = pa.ipc.open_stream(r["rest"]).read_all()
+    if (rest := packed.rest_of(r)) is not None:
         for name in rest.schema.names:
             out = out.append_column(name, rest.column(name))
     return out
@@ -360,15 +285,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c] for c in carry])
     rest = docs.drop("doc_id", "text").schema
-    out = T.StructType([*T._parse_datatype_string(_DDL["out"]).fields, *rest.fields])
+    out = T.StructType([*T._parse_datatype_string(_OUT_DDL).fields, *rest.fields])
     empty = to_arrow_schema(out)
-    packed = tables.written(docs.mapInArrow(_pack, _DDL["chunk"]), "substring-chunks")
-    volume = packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(6, -(-3 * volume // BLOCK_BYTES))  # text is about three times its compressed form
-    seeds = packed.mapInArrow(_send_seeds(blocks, window, gram), _DDL["blob"])
-    repeated = seeds.groupBy("block").applyInArrow(_answer_seeds, _DDL["reply"])
+    chunks, blocks = packed.chunked(docs, "substring-chunks")
+    seeds = chunks.mapInArrow(_send_seeds(blocks, window, gram), packed.BLOB_DDL)
+    repeated = seeds.groupBy("block").applyInArrow(_answer_seeds, packed.REPLY_DDL)
     repeated = tables.written(repeated, "substring-seeds")
-    windows = packed.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows(blocks, window, gram), _DDL["blob"])
-    earlier = windows.groupBy("block").applyInArrow(_answer_windows, _DDL["reply"])
+    windows = chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows(blocks, window, gram), packed.BLOB_DDL)
+    earlier = windows.groupBy("block").applyInArrow(_answer_windows, packed.REPLY_DDL)
     replies = repeated.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
-    return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_factor(blocks, window, gram, texts, empty), out)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_factor(blocks, window, gram, texts, empty), out)
