@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hmm, langid, minhash_dedup, sentencepiece_codec, substring_dedup
+from . import ann, decontamination, hmm, html_extract, langid, minhash_dedup, sentencepiece_codec, substring_dedup, tool_calls, url_rules
 from .tables import table
 
 
@@ -29,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,43 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled url is one whose page_id is a labelled doc_id; toxic or poor ones are bad."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    rules = url_rules.mine(pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", "bad"))
+    return url_rules.judge(pages, rules)
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
+REPLY = {
+    "type": "object",
+    "required": ["role", "text", "turn"],
+    "additionalProperties": False,
+    "properties": {"role": {"enum": ["user", "system"]}, "text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+}
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn that isn't an assistant's is a call of the tool ``reply``; the assistant's next turn is its result.
+
+    A call is identified by its turn and comes after the conversation's turn 0.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), "role", "text")
+    ident = F.concat(F.lit("turn_"), F.col("position").cast("string"))
+    arguments = F.to_json(F.struct("role", "text", F.col("position").alias("turn")), {"ignoreNullFields": "false"})
+    after = F.when(F.col("position") > 0, F.array(F.lit("turn_0"))).otherwise(F.array().cast("array<string>"))
+    asks = F.coalesce(F.col("role") != "assistant", F.lit(True))
+    calls = turns.where(asks).select("conv_id", ident.alias("call_id"), "position", F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after"))
+    before = F.concat(F.lit("turn_"), (F.col("position") - 1).cast("string"))
+    results = turns.where(~asks).select("conv_id", before.alias("call_id"), "position", F.col("text").alias("content"))
+    return tool_calls.link(calls, results, {"reply": REPLY})
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(_remainder(4) == 2, F.lit(False))
