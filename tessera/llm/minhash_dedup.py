@@ -12,15 +12,18 @@ doubles for a text with an empty one.  So a text costs about t darts and one cel
 or a few per element.
 
 Joining.  1. Texts with equal shingles (128-bit digest) collapse into one *kind*;
-the kind's smallest row stands for it.  2. Each band of signature rows deals the
-kinds into buckets.  A bucket is not expanded into pairs: every member is paired
-with the bucket's leader only.  3. Pairs are verified exactly on the texts, and
-verified links give components.  4. A bucket whose members are still in different
-components may hide a link between two members that their leader isn't similar
-to: there every member is paired with every other of another component, once
-for each pair of kinds, split over tasks by member; verified links join the
-components.  A group of thousands of near copies is one component after step 3
-and makes no pairs in step 4.
+the row of smallest doc_id stands for it.  2. Each band of signature rows deals
+the kinds into buckets.  A bucket is not expanded into pairs: every member is
+paired with the bucket's most *central* one only, that whose buckets are fullest
+(in a group of near copies that is the text they were copied from, which is closer
+to each copy than the copies are to each other).  Pairs are verified exactly on
+the texts, and verified links give components.  3. Where a bucket's members are
+in different components yet, they are paired with the most central one outside
+the leader's component, and components are formed again.  4. A bucket that is
+still mixed may hide a link between two members that no leader is similar to:
+there members of different components are paired if their sizes allow the
+similarity.  A group of thousands of near copies is one component by then and
+makes no pairs.
 
 With 32 bands of 4 rows a pair of similarity 0.8 is missed with probability
 (1 - 0.8**4) ** 32 = 5e-8.
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -255,6 +258,41 @@ def components(links: DataFrame, name: str) -> DataFrame:
         before = state
 
 
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _similar_size(a: str, b: str, threshold: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-12)
+
+
+def _to_leader(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Every member with its bucket's most central one."""
+    lead = shared.groupBy("bucket").agg(F.max_by("b", F.struct("central", "b")).alias("a"))
+    return shared.join(lead, "bucket").where("a <> b").select(*_pair("a", "b")).distinct()
+
+
+def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets whose members are in different components yet."""
+    placed = shared.join(roots, shared["b"] == roots["node"], "left").select("bucket", "b", "n_shingles", "central", F.coalesce("root", "b").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", F.struct("central", "b")).alias("top")).where("r0 <> r1")
+    return placed.join(mixed.select("bucket", "top"), "bucket")
+
+
+def _to_second(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every member with the most central one outside the first leader's component."""
+    open_ = _placed(shared, roots)
+    lead = open_.where("root <> top").groupBy("bucket").agg(F.max_by(F.struct("b", "root"), F.struct("central", "b")).alias("l"))
+    return open_.join(lead, "bucket").where("root <> l.root").select("b", F.col("l.b").alias("a")).select(*_pair("a", "b")).distinct()
+
+
+def _across(shared: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """What may hide yet: members of different components, if their sizes allow the similarity."""
+    open_ = _placed(shared, roots)
+    left, right = (open_.select("bucket", F.col("b").alias(x), F.col("root").alias("r" + x), F.col("n_shingles").alias("n" + x)) for x in ("a", "b"))
+    return left.join(right, "bucket").where((F.col("ra") < F.col("rb")) & _similar_size("na", "nb", threshold)).select(*_pair("a", "b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, bag: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: doc_id, carry, class_id, class_size, n_shingles, keep.
 
@@ -273,28 +311,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = tables.written(rows.mapInArrow(_sign(shingle, bands, band_rows, bag, to_arrow_schema(schema)), schema), "minhash")
     # Kinds: rows of equal shingles, named by the row that stands for them.
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "uid"))
-    kinds = signed.groupBy("lo", "hi").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
-    kinds = tables.written(kinds.select("lo", "hi", F.col("first.uid").alias("kind"), F.col("first.doc_id").alias("least"), "n", "bands"), "minhash-kinds")
-    banded = kinds.select("kind", F.explode("bands").alias("bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min("kind").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = tables.written(banded.join(leaders.select("bucket", "a"), "bucket").select("bucket", "a", F.col("kind").alias("b")), "minhash-buckets")
-    pairs = tables.written(shared.where("a <> b").select("a", "b").distinct(), "minhash-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    kinds = signed.groupBy("lo", "hi").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.max("n_shingles").alias("n_shingles"))
+    kinds = tables.written(kinds.select("lo", "hi", F.col("first.uid").alias("kind"), F.col("first.doc_id").alias("least"), "n", "bands", "n_shingles"), "minhash-kinds")
+    banded = kinds.select("kind", "n_shingles", F.explode("bands").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = tables.written(banded.join(sizes, "bucket").select("bucket", F.col("kind").alias("b"), "n_shingles", "size"), "minhash-buckets")
+    central = shared.groupBy("b").agg(F.sum("size").alias("central"))
+    shared = tables.written(shared.drop("size").join(central, "b"), "minhash-buckets")
+    wanted = shared.select(F.col("b").alias("uid")).distinct()
     texts = tables.written(signed.select("uid", F.col("__text").alias("text")).join(wanted, "uid", "left_semi").withColumnRenamed("uid", "kind"), "minhash-texts")
-    links = tables.written(_links(pairs, texts, shingle, threshold, bag), "minhash-links")
-    roots = components(links, "minhash-components")
-    # Buckets whose members are in different components yet: pairs across components.
-    placed = shared.join(roots, shared["b"] == roots["node"], "left").select("bucket", "b", F.coalesce("root", "b").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    open_ = placed.join(mixed.select("bucket"), "bucket", "left_semi")
-    left, right = (open_.select("bucket", F.col("b").alias(x), F.col("root").alias("r" + x)) for x in ("a", "b"))
-    across = left.join(right, "bucket").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = tables.written(across.join(tried, ["a", "b"], "left_anti"), "minhash-across")
-    if not across.isEmpty():
-        more = tables.written(_links(across, texts, shingle, threshold, bag), "minhash-links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more), "minhash-components")
+    roots = tried = links = None
+    for find in (_to_leader, _to_second, lambda x, r: _across(x, r, 0.0 if bag else threshold)):
+        pairs = find(shared, roots)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = tables.written(pairs, "minhash-pairs")
+        if roots is not None and pairs.isEmpty():
+            continue
+        more = tables.written(_links(pairs, texts, shingle, threshold, bag), "minhash-links")
+        links = more if links is None else links.unionByName(more)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        roots = components(links, "minhash-components")
     named = kinds.join(roots, kinds["kind"] == roots["node"], "left").select("lo", "hi", "kind", "least", "n", F.coalesce("root", "kind").alias("cls"))
     best = F.min(F.struct("least", "kind"))
     classes = named.groupBy("cls").agg(best.alias("best"), F.sum("n").alias("class_size"))
