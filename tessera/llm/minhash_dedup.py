@@ -18,12 +18,11 @@ paired with the bucket's most *central* one only, that whose buckets are fullest
 (in a group of near copies that is the text they were copied from, which is closer
 to each copy than the copies are to each other).  Pairs are verified exactly on
 the texts, and verified links give components.  3. Where a bucket's members are
-in different components yet, they are paired with the most central one outside
-the leader's component, and components are formed again.  4. A bucket that is
-still mixed may hide a link between two members that no leader is similar to:
-there members of different components are paired if their sizes allow the
-similarity.  A group of thousands of near copies is one component by then and
-makes no pairs.
+in different components yet, it may hide a link between two members that the
+leader isn't similar to: members of different components are paired if the
+shingles that they share with any such member allow the similarity (see
+``_across``). A group of thousands of near copies is one component by then, or
+else its members differ too much in shingles of their own, and makes no pairs.
 
 With 32 bands of 4 rows a pair of similarity 0.8 is missed with probability
 (1 - 0.8**4) ** 32 = 5e-8.
@@ -262,10 +261,6 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _similar_size(a: str, b: str, threshold: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-12)
-
-
 def _to_leader(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Every member with its bucket's most central one."""
     lead = shared.groupBy("bucket").agg(F.max_by("b", F.struct("central", "b")).alias("a"))
@@ -279,18 +274,37 @@ def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed.select("bucket", "top"), "bucket")
 
 
-def _to_second(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every member with the most central one outside the first leader's component."""
-    open_ = _placed(shared, roots)
-    lead = open_.where("root <> top").groupBy("bucket").agg(F.max_by(F.struct("b", "root"), F.struct("central", "b")).alias("l"))
-    return open_.join(lead, "bucket").where("root <> l.root").select("b", F.col("l.b").alias("a")).select(*_pair("a", "b")).distinct()
+def _hashes(size: int):
+    schema = pa.schema([("kind", pa.int64()), ("h", pa.int64())])
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(0).to_numpy()
+            for c in text.chunks(batch.column(1)):
+                row, h, _, _ = shingles(c, size)
+                yield pa.RecordBatch.from_arrays([pa.array(kind[c.first + row]), pa.array(h.view(np.int64))], schema=schema)
 
-def _across(shared: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """What may hide yet: members of different components, if their sizes allow the similarity."""
-    open_ = _placed(shared, roots)
-    left, right = (open_.select("bucket", F.col("b").alias(x), F.col("root").alias("r" + x), F.col("n_shingles").alias("n" + x)) for x in ("a", "b"))
-    return left.join(right, "bucket").where((F.col("ra") < F.col("rb")) & _similar_size("na", "nb", threshold)).select(*_pair("a", "b")).distinct()
+    return go
+
+
+def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, size: int, threshold: float, bag: bool) -> DataFrame:
+    """What may hide yet: members of different components whose sizes allow the similarity.
+
+    A shingle that no other open member holds is in no overlap. With s of n shingles
+    left, overlap <= min(sa, sb), and similarity t needs overlap >= t / (1 + t) (na + nb);
+    so one side at least must have s / n >= 2 t / (1 + t): only such sides look for partners.
+    """
+    open_ = tables.written(_placed(shared, roots), "minhash-open")
+    lone = texts.join(open_.select(F.col("b").alias("kind")).distinct(), "kind", "left_semi").mapInArrow(_hashes(size), "kind long, h long")
+    lone = lone.groupBy("h").agg(F.count("*").alias("n"), F.any_value("kind").alias("kind")).where("n = 1").groupBy("kind").agg(F.count("*").alias("lone"))
+    t, slack = (0.0, 0) if bag else (threshold, 1e-9)
+    left_over = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
+    open_ = open_.join(lone, open_["b"] == lone["kind"], "left").select("bucket", "b", "root", F.col("n_shingles").alias("n"), (F.col("n_shingles") if bag else left_over).alias("s"))
+    open_ = tables.written(open_.where(F.col("s") >= F.col("n") * (t - slack)), "minhash-open")
+    a, b = (open_.select("bucket", *[F.col(c).alias(c + x) for c in ("b", "root", "n", "s")]) for x in ("1", "2"))
+    a = a.where(F.col("s1") >= F.col("n1") * (2 * t / (1 + t) - slack))
+    enough = F.least("s1", "s2") * (1 + t) >= (F.col("n1") + F.col("n2")) * (t - slack)
+    return a.join(b, "bucket").where((F.col("root1") != F.col("root2")) & enough).select(*_pair("b1", "b2")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, bag: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -321,7 +335,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = shared.select(F.col("b").alias("uid")).distinct()
     texts = tables.written(signed.select("uid", F.col("__text").alias("text")).join(wanted, "uid", "left_semi").withColumnRenamed("uid", "kind"), "minhash-texts")
     roots = tried = links = None
-    for find in (_to_leader, _to_second, lambda x, r: _across(x, r, 0.0 if bag else threshold)):
+    for find in (_to_leader, lambda x, r: _across(x, r, texts, shingle, threshold, bag)):
         pairs = find(shared, roots)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
