@@ -283,8 +283,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     if clash := set(carry) & set(_OUT.names):
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c] for c in carry])
-    rest = docs.drop("doc_id", "text").schema
+    docs = df.select(df[id_col].cast("long").alias("__id"), df[text_col].cast("string").alias("__text"), *[df[c] for c in carry])
+    rest = docs.drop("__id", "__text").schema
     out = T.StructType([*T._parse_datatype_string(_OUT_DDL).fields, *rest.fields])
     empty = to_arrow_schema(out)
     chunks, blocks = packed.chunked(docs, "substring-chunks")
