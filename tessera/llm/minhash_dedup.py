@@ -287,7 +287,7 @@ def _hashes(size: int):
     return go
 
 
-def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, size: int, threshold: float, bag: bool) -> DataFrame:
+def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, bands: DataFrame, size: int, threshold: float, bag: bool) -> DataFrame:
     """What may hide yet: members of different components whose sizes allow the similarity.
 
     A shingle that no other open member holds is in no overlap. With s of n shingles
@@ -300,11 +300,13 @@ def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, size: int, th
     t, slack = (0.0, 0) if bag else (threshold, 1e-9)
     left_over = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
     open_ = open_.join(lone, open_["b"] == lone["kind"], "left").select("bucket", "b", "root", F.col("n_shingles").alias("n"), (F.col("n_shingles") if bag else left_over).alias("s"))
-    open_ = tables.written(open_.where(F.col("s") >= F.col("n") * (t - slack)), "minhash-open")
-    a, b = (open_.select("bucket", *[F.col(c).alias(c + x) for c in ("b", "root", "n", "s")]) for x in ("1", "2"))
+    open_ = open_.where(F.col("s") >= F.col("n") * (t - slack)).join(bands.select(F.col("kind").alias("b"), "bands"), "b")
+    open_ = tables.written(open_, "minhash-open")
+    a, b = (open_.select("bucket", *[F.col(c).alias(c + x) for c in ("b", "root", "n", "s", "bands")]) for x in ("1", "2"))
     a = a.where(F.col("s1") >= F.col("n1") * (2 * t / (1 + t) - slack))
     enough = F.least("s1", "s2") * (1 + t) >= (F.col("n1") + F.col("n2")) * (t - slack)
-    return a.join(b, "bucket").where((F.col("root1") != F.col("root2")) & enough).select(*_pair("b1", "b2")).distinct()
+    once = F.col("bucket") == F.array_min(F.array_intersect("bands1", "bands2"))  # a pair meets in one of its buckets
+    return a.join(b, "bucket").where((F.col("root1") != F.col("root2")) & enough & once).select(*_pair("b1", "b2")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, bag: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -327,7 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "uid"))
     kinds = signed.groupBy("lo", "hi").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.max("n_shingles").alias("n_shingles"))
     kinds = tables.written(kinds.select("lo", "hi", F.col("first.uid").alias("kind"), F.col("first.doc_id").alias("least"), "n", "bands", "n_shingles"), "minhash-kinds")
-    banded = kinds.select("kind", "n_shingles", F.explode("bands").alias("bucket"))
+    banded = kinds.select("kind", "n_shingles", F.explode("bands").alias("bucket")).repartition("bucket")  # dealt once, for the counts and the join
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = tables.written(banded.join(sizes, "bucket").select("bucket", F.col("kind").alias("b"), "n_shingles", "size"), "minhash-buckets")
     central = shared.groupBy("b").agg(F.sum("size").alias("central"))
@@ -335,7 +337,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = shared.select(F.col("b").alias("uid")).distinct()
     texts = tables.written(signed.select("uid", F.col("__text").alias("text")).join(wanted, "uid", "left_semi").withColumnRenamed("uid", "kind"), "minhash-texts")
     roots = tried = links = None
-    for find in (_to_leader, lambda x, r: _across(x, r, texts, shingle, threshold, bag)):
+    for find in (_to_leader, lambda x, r: _across(x, r, texts, kinds, shingle, threshold, bag)):
         pairs = find(shared, roots)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
