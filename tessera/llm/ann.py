@@ -48,12 +48,12 @@ class Quantiser:
             rest = rest - c[(rest @ c.T - 0.5 * (c * c).sum(1)).argmax(1)]
             found.append(c)
         self.books = np.stack(found)
-        flat = self.books.reshape(-1, x.shape[1])
-        self.cross = (flat @ flat.T).reshape(books, words, books, words)
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes by beam search; |x - sum|^2 grows by |c|^2 - 2 x.c + 2 sum.c with a codeword c."""
-        m, k, _ = self.books.shape
+        m, k, d = self.books.shape
+        flat = self.books.reshape(-1, d)
+        cross = (flat @ flat.T).reshape(m, k, m, k)  # large beside the books: made where it is used, never sent
         out = np.empty((len(x), m), np.uint8)
         for lo in range(0, len(x), 1024):
             v = x[lo : lo + 1024].astype(np.float32)
@@ -61,11 +61,11 @@ class Quantiser:
             dots = np.einsum("nd,mkd->mnk", v, self.books, optimize=True)
             cost, codes = np.zeros((n, 1), np.float32), np.zeros((n, 1, 0), np.int64)
             for i in range(m):
-                own = np.diagonal(self.cross[i, :, i, :])
+                own = np.diagonal(cross[i, :, i, :])
                 step = own[None] - 2 * dots[i]
                 more = cost[:, :, None] + step[:, None, :]
                 for j in range(i):
-                    more += 2 * self.cross[j][codes[:, :, j], i]
+                    more += 2 * cross[j][codes[:, :, j], i]
                 flat = more.reshape(n, -1)
                 b = min(beam, flat.shape[1])
                 best = np.argpartition(flat, b - 1, axis=1)[:, :b]
