@@ -16,16 +16,19 @@ the row of smallest doc_id stands for it.  2. Each band of signature rows deals
 the kinds into buckets.  A bucket is not expanded into pairs: every member is
 paired with the bucket's most *central* one only, that whose buckets are fullest
 (in a group of near copies that is the text they were copied from, which is closer
-to each copy than the copies are to each other).  Pairs are verified exactly on
-the texts, and verified links give components.  3. Where a bucket's members are
-in different components yet, it may hide a link between two members that the
-leader isn't similar to: members of different components are paired if the
-shingles that they share with any such member allow the similarity (see
-``_across``). A group of thousands of near copies is one component by then, or
-else its members differ too much in shingles of their own, and makes no pairs.
-
-With 32 bands of 4 rows a pair of similarity 0.8 is missed with probability
-(1 - 0.8**4) ** 32 = 5e-8.
+to each copy than the copies are to each other).  A member tries the most central
+of its leaders first; its other leaders only where the links found so far leave
+the two in different components.  Pairs are verified exactly on the texts, and
+verified links give components.  3. Where a bucket's members are in different
+components yet, it may hide a link between two members that the leader isn't
+similar to: members of different components are paired if the shingles that they
+share with any such member allow the similarity (see ``_across``). A group of
+thousands of near copies is one component by then, or else its members differ
+too much in shingles of their own, and makes no pairs.
+
+With 40 bands of 6 rows a pair of similarity 0.8 is missed with probability
+(1 - 0.8**6) ** 40 = 5e-6, and one of similarity 0.3, which texts with a passage
+in common often have, is looked at with probability 0.03.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import tables, text
 
-SHINGLE, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 32, 4
+SHINGLE, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 40, 6
 _EDGES = np.array([0, 1 / 64, 1 / 16, 1 / 4, 1.0])
 _SIGNED = "uid long, lo long, hi long, n_shingles long, bands array<long>"
 _LEAST = -(1 << 63)
@@ -261,10 +264,22 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _to_leader(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Every member with its bucket's most central one."""
-    lead = shared.groupBy("bucket").agg(F.max_by("b", F.struct("central", "b")).alias("a"))
-    return shared.join(lead, "bucket").where("a <> b").select(*_pair("a", "b")).distinct()
+def _led(shared: DataFrame) -> DataFrame:
+    """(b, a, central): every member with the most central one of each of its buckets."""
+    lead = shared.groupBy("bucket").agg(F.max(F.struct("central", "b")).alias("lead"))
+    return shared.join(lead, "bucket").select("b", F.col("lead.b").alias("a"), F.col("lead.central").alias("central")).where("a <> b").distinct()
+
+
+def _to_first_leader(led: DataFrame) -> DataFrame:
+    """Every member with the most central of its leaders."""
+    return led.groupBy("b").agg(F.max_by("a", F.struct("central", "a")).alias("a")).select(*_pair("a", "b")).distinct()
+
+
+def _to_leaders(led: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every member with each of its leaders that is in another component."""
+    for side in ("a", "b"):
+        led = led.join(roots.select(F.col("node").alias(side), F.col("root").alias("r" + side)), side, "left")
+    return led.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*_pair("a", "b")).distinct()
 
 
 def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -337,8 +352,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = shared.select(F.col("b").alias("uid")).distinct()
     texts = tables.written(signed.select("uid", F.col("__text").alias("text")).join(wanted, "uid", "left_semi").withColumnRenamed("uid", "kind"), "minhash-texts")
     roots = tried = links = None
-    for find in (_to_leader, lambda x, r: _across(x, r, texts, kinds, shingle, threshold, bag)):
-        pairs = find(shared, roots)
+    led = tables.written(_led(shared), "minhash-led")
+    finds = (lambda _: _to_first_leader(led), lambda r: _to_leaders(led, r), lambda r: _across(shared, r, texts, kinds, shingle, threshold, bag))
+    for find in finds:
+        pairs = find(roots)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = tables.written(pairs, "minhash-pairs")
