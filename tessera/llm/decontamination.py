@@ -175,7 +175,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
         index = spark.sparkContext.broadcast(build_index(ids, texts, window))
         last = k == len(blocks) - 1
         schema = T.StructType([*kept, *_fields(_RESULT)] if last else [docs.schema.fields[0], *kept, *_fields(_STATE)])
-        docs = docs.mapInArrow(_scan(index, to_arrow_schema(schema), len(kept), last), schema)
+        docs = docs.mapInArrow(text.tidy(_scan(index, to_arrow_schema(schema), len(kept), last)), schema)
         if not last:  # so that one block's index is held at a time
             docs = tables.written(docs, "decontamination")
             index.destroy()

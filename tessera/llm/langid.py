@@ -28,6 +28,7 @@ WIDTHS, FILTERS, WINDOW, WINDOWS_A_ROW, PER_LANG, MAX_ROWS = (2, 3, 4), 16, 256,
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 UNKNOWN = "und"
 _STEP = 1024
+CHUNK_BYTES = 1 << 19
 
 
 class Net:
@@ -157,7 +158,7 @@ def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     # Each language's rows by a hash threshold: about want of them, all if there are fewer.
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, want / n))])
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    got = rows.where(chance <= F.element_at(share, F.col("lang"))).select("text", "lang").mapInArrow(_sampled, "lang string, x binary").toPandas()
+    got = rows.where(chance <= F.element_at(share, F.col("lang"))).select("text", "lang").mapInArrow(text.tidy(_sampled), "lang string, x binary").toPandas()
     x = np.zeros((len(got), WINDOW), np.uint8)
     for i, raw in enumerate(got["x"]):
         x[i, : len(raw)] = text.LOWER[np.frombuffer(raw, np.uint8)]
@@ -176,7 +177,7 @@ def identify(df: DataFrame, net: Net, text_col: str = "text", carry: tuple[str,
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
     docs = df.select(df[text_col].cast("string").alias("__text"), *[df[c] for c in carry])
     schema = T.StructType([*docs.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_identify(df.sparkSession.sparkContext.broadcast(net), to_arrow_schema(schema)), schema)
+    return docs.mapInArrow(text.tidy(_identify(df.sparkSession.sparkContext.broadcast(net), to_arrow_schema(schema))), schema)
 
 
 def _identify(shared, schema: pa.Schema):
@@ -185,7 +186,7 @@ def _identify(shared, schema: pa.Schema):
         net.prepare()
         names = np.array([*net.langs, UNKNOWN], object)
         for batch in batches:
-            for c in text.chunks(batch.column(0)):
+            for c in text.chunks(batch.column(0), CHUNK_BYTES):
                 x, row, length = windows(c)
                 total = np.zeros((c.rows, max(1, len(net.langs))))
                 if len(row) and net.langs:

@@ -110,7 +110,7 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, k:
         # Cells (done, theta] of every replica: the five fixed ones under rank 1, then unit ones.
         lo_cell, hi_cell = _cell(done), _cell(theta, up=True)
         count = np.maximum(0, hi_cell - lo_cell)[rrow]
-        step = 1 << 21
+        step = 1 << 18
         edges = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, step)) if len(count) else []
         for a, b in zip(edges, [*edges[1:], len(count)], strict=True):
             if a < b:
@@ -234,7 +234,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, threshold: float, bag:
     """The pairs (a, b) of kinds that are similar enough. Texts join one side after the other; Spark splits a hot side."""
     one = pairs.join(texts.select(F.col("kind").alias("b"), F.col("text").alias("tb")), "b")
     both = one.join(texts.select(F.col("kind").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(size, threshold, bag), "a long, b long")
+    return both.mapInArrow(text.tidy(_verify(size, threshold, bag)), "a long, b long")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -310,7 +310,7 @@ def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, bands: DataFr
     so one side at least must have s / n >= 2 t / (1 + t): only such sides look for partners.
     """
     open_ = tables.written(_placed(shared, roots), "minhash-open")
-    lone = texts.join(open_.select(F.col("b").alias("kind")).distinct(), "kind", "left_semi").mapInArrow(_hashes(size), "kind long, h long")
+    lone = texts.join(open_.select(F.col("b").alias("kind")).distinct(), "kind", "left_semi").mapInArrow(text.tidy(_hashes(size)), "kind long, h long")
     lone = lone.groupBy("h").agg(F.count("*").alias("n"), F.any_value("kind").alias("kind")).where("n = 1").groupBy("kind").agg(F.count("*").alias("lone"))
     t, slack = (0.0, 0) if bag else (threshold, 1e-9)
     left_over = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
@@ -339,7 +339,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
     rows = df.select(df[text_col].cast("string").alias("__text"), df[id_col].cast("long").alias("doc_id"), *[df[c] for c in carry])
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(_SIGNED).fields])
-    signed = tables.written(rows.mapInArrow(_sign(shingle, bands, band_rows, bag, to_arrow_schema(schema)), schema), "minhash")
+    signed = tables.written(rows.mapInArrow(text.tidy(_sign(shingle, bands, band_rows, bag, to_arrow_schema(schema))), schema), "minhash")
     # Kinds: rows of equal shingles, named by the row that stands for them.
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "uid"))
     kinds = signed.groupBy("lo", "hi").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.max("n_shingles").alias("n_shingles"))

@@ -98,7 +98,7 @@ REPLY_DDL = "chunk long, block long, blob binary"
 
 def chunked(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Chunks of (id, text, carried columns), and the number of hash blocks for them."""
-    chunks = tables.written(docs.mapInArrow(pack, CHUNK_DDL), name)
+    chunks = tables.written(docs.mapInArrow(text.tidy(pack), CHUNK_DDL), name)
     volume = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     return chunks, max(6, -(-3 * volume // BLOCK_BYTES))  # text is about three times its compressed form
 

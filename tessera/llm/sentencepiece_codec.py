@@ -34,9 +34,9 @@ from . import text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A Python worker forgets its words and pairs beyond so many; results don't depend on it.
-MEMO_WORDS = 1_500_000
-MEMO_PAIRS = 4_000_000
-CHUNK_BYTES = 4 << 20
+MEMO_WORDS = 400_000
+MEMO_PAIRS = 400_000
+CHUNK_BYTES = 1 << 20
 _NORMAL, _UNUSED, _BYTE = 1, 5, 6
 
 
@@ -368,7 +368,7 @@ def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, carry: tup
     docs = df.select(df[text_col].cast("string").alias("__text"), *[df[c] for c in carry])
     more = T._parse_datatype_string("ids array<int>, n_tokens long, round_trip boolean").fields
     schema = T.StructType([*docs.schema.fields[1:], *more])
-    return docs.mapInArrow(_encode(model, to_arrow_schema(schema), True), schema)
+    return docs.mapInArrow(text.tidy(_encode(model, to_arrow_schema(schema), True)), schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

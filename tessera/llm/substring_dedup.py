@@ -288,7 +288,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = T.StructType([*T._parse_datatype_string(_OUT_DDL).fields, *rest.fields])
     empty = to_arrow_schema(out)
     chunks, blocks = packed.chunked(docs, "substring-chunks")
-    seeds = chunks.mapInArrow(_send_seeds(blocks, window, gram), packed.BLOB_DDL)
+    seeds = chunks.mapInArrow(text.tidy(_send_seeds(blocks, window, gram)), packed.BLOB_DDL)
     repeated = seeds.groupBy("block").applyInArrow(_answer_seeds, packed.REPLY_DDL)
     repeated = tables.written(repeated, "substring-seeds")
     windows = chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows(blocks, window, gram), packed.BLOB_DDL)
