@@ -143,13 +143,13 @@ _add("g4_component_sizes", lambda v: G.component_sizes(_hub(v)), _more(_HADJ, "S
 _add("g5_single_source", lambda v: I.single_source(v.claims, "Proposes"), "SELECT object FROM claims WHERE predicate = 'Proposes' GROUP BY 1 HAVING count(*) = 1")
 _add("g6_uncontested", lambda v: I.uncontested(v.claims), "SELECT object FROM claims WHERE predicate = 'Proposes' EXCEPT SELECT object FROM claims WHERE predicate = 'Disputes'")
 _add("g7_thin_provenance", lambda v: I.thin_provenance(v.claims, v.provenance), "SELECT predicate, count(*) FILTER (length(quote) > 0) AS n_quoted, count(*) AS n_claims FROM claims c LEFT JOIN provenance p ON p.var_name = c.prov_ref GROUP BY 1")
-_add("g8_bridges", lambda v: G.articulation(_hub(v), count_singletons=False), None)
+_add("g8_bridges", lambda v: G.articulation(v.claims, count_singletons=False), None)
 _add("g9_concentration", lambda v: I.degree_outliers(v.claims), f"SELECT entity, degree FROM (SELECT entity, count(*) AS degree FROM ({_ENDS}) GROUP BY 1) WHERE degree >= (SELECT greatest(5, avg(d) + 2 * stddev_pop(d)) FROM (SELECT count(*) AS d FROM ({_ENDS}) GROUP BY entity))")
 _add("g10_thin_contested", lambda v: I.contested(v.claims, "TheoryOf", 2).where("n_subjects = 2").select("object"), "SELECT object FROM claims WHERE predicate = 'TheoryOf' GROUP BY 1 HAVING count(DISTINCT subject) = 2")
 _add("g11_support", lambda v: G.support_edges(v.claims), "SELECT object, CASE WHEN predicate IN ('Proposes', 'TheoryOf') THEN 'supports' WHEN predicate = 'Disputes' THEN 'challenges' ELSE 'related' END AS kind, count(*) AS n FROM claims WHERE object IS NOT NULL GROUP BY 1, 2")
-_add("g14_label_propagation", lambda v: G.label_propagation(_hub(v)), None)
-_add("g16_articulation", lambda v: G.articulation(_hub(v)), None)
-_add("g18_walk", lambda v: G.walk(_hub(v), "S1"), None)
+_add("g14_label_propagation", lambda v: G.label_propagation(v.claims), None)
+_add("g16_articulation", lambda v: G.articulation(v.claims), None)
+_add("g18_walk", lambda v: G.walk(v.claims, "S1"), None)
 _add("g20_two_hops", lambda v: G.within_two_hops(_hub(v)), _more(_HADJ, "SELECT DISTINCT u, v FROM (SELECT u, v FROM h UNION ALL SELECT a.u, b.v FROM h a JOIN h b ON a.v = b.u) WHERE u <> v"))
 _add("g26_merge", lambda v: G.merge_entity(_hub(v), "S1", "S2"), "SELECT predicate, CASE WHEN subject = 'S1' THEN 'S2' ELSE subject END AS subject, CASE WHEN object = 'S1' THEN 'S2' ELSE object END AS object FROM claims WHERE predicate = 'TheoryOf' UNION ALL SELECT 'AbsorbedAlternate', 'S2', NULL")
 _add("g28_union_stores", lambda v: G.union_stores({"left": _hub(v), "right": v.claims.where("predicate = 'Disputes'")}), "SELECT 'left.' || subject AS subject, predicate, 'left.' || object AS object FROM claims WHERE predicate = 'TheoryOf' UNION ALL SELECT 'right.' || subject, predicate, 'right.' || object FROM claims WHERE predicate = 'Disputes'")
@@ -191,6 +191,13 @@ _add("w3_clustering", lambda v: L.clustering_illusion(v.entities, G.components(_
 _add("w7_overconfidence", lambda v: L.overconfidence(v.claims, v.claims.where("predicate = 'Disputes'")), f"SELECT 'DunningKrugerEffect' AS bias, round(x, 6) AS value, x > 0.9 AS triggered FROM (SELECT count(*) FILTER (entity NOT IN (SELECT object FROM claims WHERE predicate = 'Disputes')) / count(*) AS x FROM (SELECT entity, count(*) AS refs FROM ({_ENDS}) GROUP BY 1) WHERE refs <= 2)")
 _add("w8_base_rate", lambda v: L.base_rate(v.claims), _RATIO.format("BaseRateNeglect", "< 3.0", "-sum(n / t * log2(n / t))", "(SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM claims GROUP BY predicate))"))
 
+# The oracles of g3, g4, g20, w3 and h14 hold those to one predicate or prefix; these take every claim, and are tested by brute force.
+_add("g3_components_whole", lambda v: G.components(v.claims), None)
+_add("g4_component_sizes_whole", lambda v: G.component_sizes(v.claims), None)
+_add("g20_two_hops_whole", lambda v: G.within_two_hops(v.claims), None)
+_add("w3_clustering_whole", lambda v: L.clustering_illusion(v.entities, G.components(v.claims)), None)
+_add("h14_claims_by_predicate_whole", lambda v: v.claims.groupBy("subject", "predicate").agg(F.array_join(F.array_sort(F.collect_list("var_name")), ",").alias("names")), None)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
