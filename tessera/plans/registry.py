@@ -18,6 +18,7 @@ from ..sources.views import oracle_ctes, table, view
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
+_PLANS: dict[str, Callable[[_Views], DataFrame]] = {}
 
 _LOWER_TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) >= 2)"
 _ENDS = "SELECT subject AS entity, var_name AS claim, CASE WHEN object IS NULL THEN 'unary' ELSE 'subject' END AS role FROM claims UNION ALL SELECT object, var_name, 'object' FROM claims WHERE object IS NOT NULL"
@@ -29,18 +30,20 @@ _TERMS = ["the", "of", "la", "de", "the"]
 class _Views:
     """Relations of one input, made when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self.whole)
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
 
 def _add(name: str, plan: Callable[[_Views], DataFrame], sql: str | None) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: plan(_Views(spark, sf_dir))
+    """A query without an oracle reads the whole relations."""
+    _PLANS[name] = plan
+    _QUERIES[name] = lambda spark, sf_dir: plan(_Views(spark, sf_dir, sql is None))
     if sql is not None:
         _ORACLES[name] = sql if sql.lstrip().upper().startswith("WITH") else f"{oracle_ctes()} {sql}"
 
@@ -198,6 +201,19 @@ _add("g20_two_hops_whole", lambda v: G.within_two_hops(v.claims), None)
 _add("w3_clustering_whole", lambda v: L.clustering_illusion(v.entities, G.components(v.claims)), None)
 _add("h14_claims_by_predicate_whole", lambda v: v.claims.groupBy("subject", "predicate").agg(F.array_join(F.array_sort(F.collect_list("var_name")), ",").alias("names")), None)
 
+# The queries whose oracles hold entities and claims to the limited relations, over the whole ones.
+_LIMITED = """
+a1_entities a2_claims a4_predicates a5_schema a8_type_scan a9_value_prefix a10_def_set a14_roles a19_pivot_entities a22_edges a41_metadata a45_unary_subjects
+q1_match q2_search q4_claims_involving q6_claims_of_entity q7_theories q11_provenance q13_disputes q16_canonical_role q17_neighborhood q19_nearest_tokens q21_connected q28_name_class q31_valid_groups
+h1_stats h2_by_role h15_by_predicate h3_contested h4_file_balance h5_provenance_split h6_brief_quality
+i2_orphans i3_value_conflict i4_contested_concept i15_missing_brief i16_duplicate_names i18_dangling i20_slots
+d1_signatures d2_edge_idf d5_candidates d11_pair_key r20_seeded_sample
+g1_adjacency g2_edges g5_single_source g6_uncontested g7_thin_provenance g9_concentration g10_thin_contested g11_support g26_merge g28_union_stores
+hop3_disputers hop5_proposers b4_paths b2_export b3_dot s4_brief_tokens s7_camel s21_slug w7_overconfidence w8_base_rate
+"""
+for _name in _LIMITED.split():
+    _add(f"{_name}_whole", _PLANS[_name], None)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
