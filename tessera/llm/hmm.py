@@ -13,8 +13,9 @@ Training.  All training documents are counted.  Word counts meet in hash blocks
 (see ``packed``).  Baum-Welch then runs over all training documents: each task
 runs scaled forward and backward recursions and adds its expected counts up, the
 tasks' counts are summed by symbol range in two levels, and the driver normalises
-the bounded tables.  The first iterations run on a bounded sample (``warm`` chunks)
-to break symmetry; ``rounds`` full iterations follow.
+the bounded tables.  Seeded noise in the first tables breaks symmetry.  Every
+iteration takes all training documents; there are ``rounds`` of them at most, fewer
+if the likelihood settles.
 
 Scoring.  The scaled forward recursion over the whole text, whatever its length,
 plus the tail words' parts, is log10 of the text's exact probability.
@@ -31,7 +32,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import packed, tables, text
 
-STATES, HEAD, ROUNDS, WARM_ROUNDS, WARM_CHUNKS = 8, 60_000, 2, 12, 3
+STATES, HEAD, ROUNDS = 8, 60_000, 14
+#: A gain of likelihood of less than this part of it ends training.
+SETTLED = 1e-5
 CLASSES = 64
 END = np.uint64(0x5EED0E4D5EED0E4D)
 _RANGE = 4096
@@ -402,20 +405,14 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     if total:
         model = spark.sparkContext.broadcast(m)
         learned = tables.written(chunks.mapInArrow(_symbolise(model), "chunk long, sizes binary, sym binary"), "lm-symbols")
-        _warm(learned, m)
+        before = -np.inf
         for _ in range(rounds):
-            _iterate(spark, learned, m)
+            like = _iterate(spark, learned, m)
+            if like - before < SETTLED * abs(like):
+                break
+            before = like
     model = spark.sparkContext.broadcast(m)
     rest = docs.drop("__text", "__learn").schema.fields
     schema = T.StructType([*rest, *T._parse_datatype_string(_OUT).fields])
     replies = counts.where("chunk >= 0")
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(model, to_arrow_schema(schema), blocks, total, types, tail_n, tail_v), schema)
-
-
-def _warm(learned: DataFrame, m: Model) -> None:
-    """First iterations on at most WARM_CHUNKS chunks of PACK_BYTES each (or one long text)."""
-    got = [_learned(r.asDict()) for r in learned.orderBy(F.xxhash64("chunk")).limit(WARM_CHUNKS).collect()]
-    for _ in range(WARM_ROUNDS):
-        parts = [expected(s, first, m) for s, first in got if len(s)]
-        if parts:
-            m.update(*(sum(p[i] for p in parts) for i in range(3)))

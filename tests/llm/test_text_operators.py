@@ -122,6 +122,16 @@ def test_lm_scores(spark):
     assert all(r["n_known"] == 0 for r in nothing) and len(nothing) == len(rows) + 1
 
 
+def test_lm_learns_from_all_documents_in_every_round(spark, monkeypatch):
+    likes, real = [], hmm._iterate
+    monkeypatch.setattr(hmm, "_iterate", lambda *a: likes.append(real(*a)) or likes[-1])
+    df = frame(spark, corpus(4))
+    score = lambda n: {r["doc_id"]: r["score"] for r in hmm.score_texts(df.repartition(n, "doc_id"), F.lit(True)).collect()}
+    one, many = score(1), score(8)
+    assert len(likes) > 4 and all(b > a - 1 for a, b in zip(likes[: len(likes) // 2], likes[1 : len(likes) // 2], strict=False))
+    assert all(math.isclose(many[i], one[i], rel_tol=2e-3) for i in one)
+
+
 def test_forward_recursion_is_a_distribution_and_long_rows_agree(monkeypatch):
     m = hmm.Model(np.arange(3, dtype=np.uint64), np.array([3.0, 2, 1] + [0.1] * hmm.CLASSES + [1.0]), 3)
     r = np.random.default_rng(0)
