@@ -8,9 +8,9 @@ approximation is stored with its codes.
 
 Search.  A query's inner products with all codewords make a lookup table; a row's
 score is the sum of its codes' entries (with the stored norm for Euclidean
-distance).  Each part of the index ranks its rows by that score, reranks its best
-``rerank`` exactly on the original vectors, and sends its k nearest; a query's
-parts are merged by a window of k rows.
+distance).  Each part of the index ranks its distinct vectors by that score, reranks
+the best ``rerank`` exactly, takes the rows of these by ascending vec_id, and sends
+its k nearest; a query's parts are merged by a window of k rows.
 
 Queries are taken in blocks of at most ``block`` rows, which bounds what is
 broadcast; every block meets every row of the index.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, text
 
 BOOKS, WORDS, BEAM, RERANK, FIT_ROWS, BLOCK, PART = 16, 256, 4, 128, 8192, 4096, 32_768
 _INDEX = "vec_id long, vector array<double>, codes binary, norm double"
@@ -113,6 +113,26 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _alike(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in groups of equal vectors: each group's first row (ascending), rows by group, where a group starts."""
+    key = np.ascontiguousarray(x + 0.0)  # -0.0 is 0.0
+    _, first, back = np.unique(key.view(np.dtype((np.void, key.itemsize * key.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    group = place[back]
+    return first[order], np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group))])
+
+
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest; the first of those equal to the last."""
+    if len(score) <= n:
+        return np.arange(len(score))
+    cut = np.partition(score, len(score) - n)[len(score) - n]
+    above = np.flatnonzero(score > cut)
+    return np.concatenate([above, np.flatnonzero(score == cut)[: n - len(above)]])
+
+
 def _search(shared, k: int, rerank: int, metric: str):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -125,8 +145,9 @@ def _search(shared, k: int, rerank: int, metric: str):
             own, first = np.unique(own, return_index=True)  # an id that repeats counts once
             part = part.take(pa.array(first))
             x = _matrix(part.column("vector").combine_chunks())
-            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(own), m)
-            norm = part.column("norm").to_numpy()
+            rep, members, at = _alike(x)
+            codes = np.frombuffer(b"".join(part.column("codes").take(pa.array(rep)).to_pylist()), np.uint8).reshape(len(rep), m)
+            norm = part.column("norm").to_numpy()[rep]
             columns = [np.ascontiguousarray(codes[:, i]) for i in range(m)]
             for i, qid in enumerate(ids):
                 near = lut[i, 0][columns[0]]
@@ -134,14 +155,13 @@ def _search(shared, k: int, rerank: int, metric: str):
                     near += lut[i, j][columns[j]]
                 if metric == "l2":
                     near = 2 * near - norm
-                self_at = np.searchsorted(own, qid)
-                if self_at < len(own) and own[self_at] == qid:
-                    near[self_at] = -np.inf
-                top = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
-                top = top[own[top] != qid]
-                exact = x[top] @ queries[i] if metric == "ip" else -((x[top] - queries[i]) ** 2).sum(1)
-                keep = np.lexsort((own[top], -exact))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), qid)), pa.array(own[top][keep]), pa.array(exact[keep])], schema=schema)
+                top = _best(near, rerank + 1)  # one more, as the query's own may be among them
+                exact = (x[rep[top]] * queries[i]).sum(1) if metric == "ip" else -((x[rep[top]] - queries[i]) ** 2).sum(1)
+                size = np.minimum(at[top + 1] - at[top], k + 1)
+                rows, exact = members[text.ragged(at[top], size)], np.repeat(exact, size)
+                rows, exact = rows[own[rows] != qid], exact[own[rows] != qid]
+                keep = np.lexsort((own[rows], -exact))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), qid)), pa.array(own[rows][keep]), pa.array(exact[keep])], schema=schema)
 
     def joined(batches):
         held, n = [], 0

@@ -28,6 +28,22 @@ def test_nearest_recall_and_bad_vectors(spark):
     assert ann.nearest(df.limit(0), F.expr("vec_id % 20 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_nearest_of_many_equal_vectors(spark, metric):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1500, 8)).round(3)
+    x[r.permutation(1500)[:700]] = 3 * x[0]  # one vector in almost half of the rows
+    ids = r.permutation(1500)
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
+    out = ann.nearest(df, F.expr("vec_id % 30 = 0"), k=20, metric=metric).toPandas()
+    for q in range(0, 1500, 30):
+        s = x @ x[q] if metric == "ip" else -((x - x[q]) ** 2).sum(1)
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(1500), -s.round(9)))[:20]
+        own = out[out.query_id == q].sort_values("rank")
+        assert len(set(own.vec_id) & set(best)) >= 18, q
+
+
 def test_additive_codes_get_nearer_with_books_and_beam():
     x = np.random.default_rng(2).normal(size=(500, 12))
     err = lambda b, beam: (lambda q: ((x - q.decode(q.encode(x, beam))) ** 2).sum())(ann.Quantiser(x, books=b, words=32))
