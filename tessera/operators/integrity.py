@@ -104,11 +104,18 @@ def uncontested(claims: DataFrame) -> DataFrame:
 
 
 def thin_provenance(claims: DataFrame, prov: DataFrame) -> DataFrame:
-    """Files none of whose claims cite a quote."""
+    """Claims of each predicate, and how many of them cite a quote; for files see thin_files."""
     c = claims.join(prov.select(F.col("var_name").alias("prov_ref"), (F.length("quote") > 0).alias("q")), "prov_ref", "left")
     return c.groupBy("predicate").agg(F.count_if(F.coalesce("q", F.lit(False))).alias("n_quoted"), F.count("*").alias("n_claims"))
 
 
+def thin_files(claims: DataFrame, prov: DataFrame) -> DataFrame:
+    """Files none of whose claims cite a quote, with their number of claims."""
+    quoted = prov.where(F.length("quote") > 0).select(F.col("var_name").alias("prov_ref"), F.lit(1).alias("q")).distinct()
+    g = claims.join(quoted, "prov_ref", "left").groupBy("file").agg(F.count("*").alias("n_claims"), F.count("q").alias("n_quoted"))
+    return g.where("n_quoted = 0").select("file", "n_claims")
+
+
 def degree_outliers(claims: DataFrame, floor: float = 5.0) -> DataFrame:
     """Entities with a claim degree of max(floor, mean + 2 sigma) and more."""
     d = involvement(claims).groupBy("entity").agg(F.count("*").alias("degree"))

@@ -200,6 +200,7 @@ _add("g4_component_sizes_whole", lambda v: G.component_sizes(v.claims), None)
 _add("g20_two_hops_whole", lambda v: G.within_two_hops(v.claims), None)
 _add("w3_clustering_whole", lambda v: L.clustering_illusion(v.entities, G.components(v.claims)), None)
 _add("h14_claims_by_predicate_whole", lambda v: v.claims.groupBy("subject", "predicate").agg(F.array_join(F.array_sort(F.collect_list("var_name")), ",").alias("names")), None)
+_add("g7_thin_files", lambda v: I.thin_files(v.claims, v.provenance), None)
 
 # The queries whose oracles hold entities and claims to the limited relations, over the whole ones.
 _LIMITED = """

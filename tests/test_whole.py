@@ -5,10 +5,11 @@ from datetime import datetime
 
 import pytest
 
+from tessera.operators import integrity as I
 from tessera.plans import registry
 from tessera.sources.views import view
 
-from .test_operators import reach
+from .test_operators import CLAIM, reach
 
 PRIORITY = ("1-URGENT", "5-LOW")
 
@@ -96,3 +97,10 @@ def test_claims_cite_documents_over_150(spark, tmp_path):
     spark.range(300).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src1' AS source").write.parquet(f"{tmp_path}/documents.parquet")
     used = view(spark, str(tmp_path), "claims", True).where("predicate = 'InvestigatedBy'").groupBy("prov_ref").count().collect()
     assert len(used) == 300 and {r["count"] for r in used} == {3}
+
+
+def test_thin_files(spark, small):
+    c = [("c0", "P", "a", "b", "D0", "quoted"), ("c1", "P", "a", "b", "D1", "quoted"), ("c2", "P", "a", "b", "D1", "empty"), ("c3", "P", "a", "b", "D9", "empty"), ("c4", "P", "a", "b", None, "none"), ("c5", "P", "a", "b", "D2", "null")]
+    p = spark.createDataFrame([("D0", "o", "said"), ("D0", "o", "again"), ("D1", "o", ""), ("D2", "o", None)], "var_name string, origin string, quote string")
+    assert {(r["file"], r["n_claims"]) for r in I.thin_files(spark.createDataFrame(c, CLAIM), p).collect()} == {("empty", 2), ("none", 1), ("null", 1)}
+    assert run(spark, small, "g7_thin_files") == []
