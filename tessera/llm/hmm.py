@@ -1,13 +1,15 @@
 """Language-model scoring by a hidden Markov model.
 
-The model.  Hidden states follow a Markov chain; a state emits a *symbol*: one of
-the ``head`` most frequent training tokens, the end of the text, or one of 64
-tail classes (by the word's form).  A tail symbol then emits its word by the
-smoothed unigram of its class, (c + 0.5) / (N_class + 0.5 (V_class + 1)), whose
-last part is kept for words never seen.  So every word has its own exact
-probability, however large the vocabulary; only the emission table of the head
-has a bounded size (``head`` x ``states``), which is what makes it safe to
-broadcast.
+The model.  Hidden states follow a Markov chain; a state emits a word, the end of
+the text, or a word never seen.  Every training word has its own emissions, which
+live in hash blocks (see ``packed``): in each iteration a block sends a chunk the
+rows of the chunk's own words and gets their expected counts back, so no table of
+all words is ever in one place.
+
+With ``head`` given, the emission table is bounded instead: only the ``head`` most
+frequent words have emissions of their own, others share 64 tail classes (by the
+word's form), and a tail class emits its word by the smoothed unigram of its class,
+(c + 0.5) / (N_class + 0.5 (V_class + 1)).
 
 Training.  All training documents are counted.  Word counts meet in hash blocks
 (see ``packed``).  Baum-Welch then runs over all training documents: each task
@@ -18,7 +20,7 @@ iteration takes all training documents; there are ``rounds`` of them at most, fe
 if the likelihood settles.
 
 Scoring.  The scaled forward recursion over the whole text, whatever its length,
-plus the tail words' parts, is log10 of the text's exact probability.
+plus the tail words' parts if any, is log10 of the text's exact probability.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import packed, tables, text
 
-STATES, HEAD, ROUNDS = 8, 60_000, 14
+STATES, HEAD, ROUNDS = 8, None, 14
 #: A gain of likelihood of less than this part of it ends training.
 SETTLED = 1e-5
 CLASSES = 64
@@ -332,6 +334,152 @@ def _iterate(spark, learned: DataFrame, m: Model) -> float:
     return like
 
 
+# ---- all words' own emissions, in hash blocks ----------------------------
+
+
+class _Own:
+    """A chunk's share of the model: the emission rows of its own words."""
+
+    def __init__(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray):
+        self.emit, self.move, self.start = emit, move, start
+        self.size, self.states = emit.shape
+
+
+def _local(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words by block, each block's number and count of them, and h as places among them."""
+    keys, back = np.unique(h, return_inverse=True)
+    parts = list(packed.split(packed.block_of(keys, blocks)))
+    order = np.concatenate([i for _, i in parts])
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return keys[order], np.array([k for k, _ in parts]), np.array([len(i) for _, i in parts]), place[back]
+
+
+_SYMBOLS = pa.schema([("chunk", pa.int64()), ("sizes", pa.binary()), ("sym", pa.binary())])
+
+
+def _symbolise_all(blocks: int):
+    def go(batches):
+        for r in packed.rows(batches):
+            h, _, first = tokens(packed.text_of(r))
+            learn = packed.rest_of(r).column("__learn").to_numpy(zero_copy_only=False).astype(bool)
+            size = np.diff(first)
+            h = h[np.repeat(learn, size)]
+            if len(h):
+                keys, block, count, sym = _local(h, blocks)
+                yield packed.frame(_SYMBOLS, [(r["chunk"], size[learn].astype(np.int64).tobytes(), packed.squeeze(sym, keys, block, count))])
+
+    return go
+
+
+def _sent(chunk: int, keys: np.ndarray, block: np.ndarray, count: np.ndarray, gamma: np.ndarray, stats: np.ndarray) -> list[tuple]:
+    at = np.concatenate([[0], np.cumsum(count)])
+    rows = [(int(k), chunk, packed.squeeze(keys[lo:hi], gamma[lo:hi].astype(np.float32).ravel())) for k, lo, hi in zip(block, at, at[1:], strict=False)]
+    return [*rows, (-1, chunk, packed.squeeze(stats))]
+
+
+def _begin(states: int):
+    """First counts: each word's own, dealt to the states by seeded noise of its hash."""
+
+    def go(batches):
+        for r in packed.rows(batches):
+            sym, keys, block, count = packed.stretch(r["sym"], np.uint32, np.uint64, np.int64, np.int64)
+            noise = 0.5 + text.mix((keys[:, None] + np.arange(99, 99 + states, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).ravel()).astype(float).reshape(-1, states) / 2**64
+            gamma = np.bincount(sym, minlength=len(keys))[:, None] * noise / noise.sum(1, keepdims=True)
+            yield packed.frame(packed.BLOB, _sent(r["chunk"], keys, block, count, gamma, np.concatenate([np.zeros(states * states + states), gamma.sum(0), [0.0]])))
+
+    return go
+
+
+def _answer_rows(states: int, mass: float, last: bool):
+    """A block's expected counts summed up, smoothed towards the unigram, to the chunks that hold the words; at last to those that asked."""
+
+    def go(group: pa.Table) -> pa.Table:
+        got = [packed.stretch(x.as_py(), np.uint64, np.float32) for x in group.column("blob")]
+        keys, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        total, at = np.zeros((len(keys), states)), np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
+        for i, (_, gamma) in enumerate(got):
+            if len(gamma):
+                total[back[at[i] : at[i + 1]]] += gamma.reshape(-1, states)  # a chunk's words are distinct
+        total += 20.0 * states * (np.rint(total.sum(1, keepdims=True)) + 0.5) / mass
+        total, rows = total.astype(np.float32), []
+        for i, (chunk, block) in enumerate(zip(group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True)):
+            if (chunk < 0) == last:
+                rows.append((-2 - chunk if last else chunk, block, packed.squeeze(total[back[at[i] : at[i + 1]]].ravel())))
+        return pa.Table.from_batches([packed.frame(packed.REPLY, rows)])
+
+    return go
+
+
+def _rows_of(replies: pa.Table, states: int) -> np.ndarray:
+    found = sorted(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
+    return np.concatenate([packed.stretch(x, np.float32)[0] for _, x in found]).reshape(-1, states).astype(float)
+
+
+def _expect(shared):
+    def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return packed.BLOB.empty_table()
+        move, start, under = shared.value
+        r = chunk.to_pylist()[0]
+        sym, keys, block, count = packed.stretch(r["sym"], np.uint32, np.uint64, np.int64, np.int64)
+        first = np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.int64))])
+        gamma, xi, begun, like = expected(sym, first, _Own(_rows_of(replies, len(start)) / under, move, start))
+        return pa.Table.from_batches([packed.frame(packed.BLOB, _sent(r["chunk"], keys, block, count, gamma, np.concatenate([xi.ravel(), begun, gamma.sum(0), [like]])))])
+
+    return go
+
+
+def _ask(blocks: int):
+    def go(batches):
+        for r in packed.rows(batches):
+            h, _, _ = tokens(packed.text_of(r))
+            if len(h):
+                keys, block, count, _ = _local(h, blocks)
+                yield packed.frame(packed.BLOB, _sent(-2 - r["chunk"], keys, block, count, np.zeros((len(keys), 0)), np.zeros(0))[:-1])
+
+    return go
+
+
+def _free(*frames: DataFrame) -> None:
+    """Files of a round that is over go at once, and its shuffles at the next collection."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            tables._remove(df.sparkSession, path)
+        df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _learn_all(chunks: DataFrame, blocks: int, states: int, rounds: int, mass: float) -> tuple[DataFrame, tuple]:
+    """Baum-Welch over all words: replies (chunk, block, rows of the chunk's words), and moves, first states and the rows' divisors."""
+    spark = chunks.sparkSession
+    learned = tables.written(chunks.mapInArrow(_symbolise_all(blocks), "chunk long, sizes binary, sym binary"), "lm-symbols")
+    sent = tables.written(learned.mapInArrow(_begin(states), packed.BLOB_DDL), "lm-expected")
+    move, start = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states)
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    under, before = _stats(sent, states)[-1 - states : -1] + 20.0 * states, -np.inf
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((move, start, under))
+        replies = sent.where("block >= 0").groupBy("block").applyInArrow(_answer_rows(states, mass, False), packed.REPLY_DDL)
+        fresh = tables.written(learned.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_expect(shared), packed.BLOB_DDL), "lm-expected")
+        x = _stats(fresh, states)
+        xi, begun, like = x[: states * states].reshape(states, states), x[states * states : states * states + states], float(x[-1])
+        move, start, under = (xi + 1) / (xi.sum(1, keepdims=True) + states), (begun + 1) / (begun.sum() + states), x[-1 - states : -1] + 20.0 * states
+        shared.destroy()
+        del replies
+        _free(sent)
+        sent = fresh
+        if like - before < SETTLED * abs(like):
+            break
+        before = like
+    asked = chunks.mapInArrow(_ask(blocks), packed.BLOB_DDL)
+    return sent.where("block >= 0").unionByName(asked).groupBy("block").applyInArrow(_answer_rows(states, mass, True), packed.REPLY_DDL), (move, start, under)
+
+
+def _stats(sent: DataFrame, states: int) -> np.ndarray:
+    """Sums over the chunks, of some numbers each: moves, first states, counts by state, likelihood."""
+    return sum((packed.stretch(r["blob"], np.float64)[0] for r in sent.where("block = -1").select("blob").toLocalIterator()), np.zeros(states * states + 2 * states + 1))
+
+
 # ---- scoring -------------------------------------------------------------
 
 
@@ -355,15 +503,43 @@ def _score(model, schema: pa.Schema, blocks: int, total: int, types: int, tail_n
         cls = form[tail]
         part = np.log10(c[tail] + 0.5) - np.log10(tail_n[cls] + 0.5 * (tail_v[cls] + 1))
         score = likelihood(sym, first, m) + np.bincount(row[tail], part, rows)
-        rest = packed.rest_of(r).drop_columns(["__learn"])
-        ids = np.frombuffer(r["ids"], np.int64)
-        out = [pa.array(ids, mask=ids == packed.NULL_ID), *rest.columns, pa.array(np.diff(first)), pa.array(np.bincount(row, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, total)), pa.array(base), pa.array(score)]
-        return pa.table([a.cast(f.type) for a, f in zip(out, schema, strict=True)], schema=schema)
+        return _scored(r, schema, first, c, row, total, base, score)
 
     return go
 
 
-def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), states: int = STATES, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, states: int):
+    """As _score, with the emission rows of all the chunk's words (of block b under -1 - b, beside their counts)."""
+    mass = total + 0.5 * (types + 1)
+
+    def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return schema.empty_table()
+        r = chunk.to_pylist()[0]
+        move, start, under = shared.value
+        h, _, first = tokens(packed.text_of(r))
+        _, _, _, sym = _local(h, blocks)
+        found = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
+        own = sorted(k for k in found if k >= 0)
+        c = np.concatenate([packed.stretch(found[k], np.int64)[0] for k in own])[sym]
+        emit = np.concatenate([packed.stretch(found[-1 - k], np.float32)[0] for k in own]).reshape(-1, states).astype(float)
+        rows = len(first) - 1
+        row = np.repeat(np.arange(rows), np.diff(first))
+        base = np.bincount(row, np.log10(c + 0.5) - np.log10(mass), rows)
+        return _scored(r, schema, first, c, row, total, base, likelihood(sym, first, _Own(emit / under, move, start)))
+
+    return go
+
+
+def _scored(r: dict, schema: pa.Schema, first: np.ndarray, c: np.ndarray, row: np.ndarray, total: int, base: np.ndarray, score: np.ndarray) -> pa.Table:
+    rows = len(first) - 1
+    rest = packed.rest_of(r).drop_columns(["__learn"])
+    ids = np.frombuffer(r["ids"], np.int64)
+    out = [pa.array(ids, mask=ids == packed.NULL_ID), *rest.columns, pa.array(np.diff(first)), pa.array(np.bincount(row, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, total)), pa.array(base), pa.array(score)]
+    return pa.table([a.cast(f.type) for a, f in zip(out, schema, strict=True)], schema=schema)
+
+
+def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), states: int = STATES, head: int | None = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """Train on the rows where ``learn`` holds, score all rows.
 
     Columns: doc_id, those of carry, n_tokens, n_known, train_tokens, base_score
@@ -375,18 +551,25 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     """
     if clash := set(carry) & {id_col, "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "__learn"}:
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
-    if head + CLASSES + 1 > 1 << 16:
+    if head is not None and head + CLASSES + 1 > 1 << 16:
         raise ValueError("head is too large for two bytes a symbol")
     spark = df.sparkSession
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("__text"), F.coalesce(learn, F.lit(False)).cast("int").alias("__learn"), *[df[c] for c in carry])
     chunks, blocks = packed.chunked(docs, "lm-chunks")
-    counts = tables.written(chunks.mapInArrow(_send_counts(blocks), packed.BLOB_DDL).groupBy("block").applyInArrow(_answer_counts(head), packed.REPLY_DDL), "lm-counts")
+    counts = tables.written(chunks.mapInArrow(_send_counts(blocks), packed.BLOB_DDL).groupBy("block").applyInArrow(_answer_counts(head or 0), packed.REPLY_DDL), "lm-counts")
     sums = counts.where("chunk = -1").mapInArrow(_sum_rows, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
     v = np.zeros(2 * CLASSES + 1, np.int64)
     for r in sums:
         v[r["k"]] = r["v"]
     tail_n, tail_v, ends = v[:CLASSES].copy(), v[CLASSES : 2 * CLASSES].copy(), int(v[-1])
     total, types = int(tail_n.sum()) + ends, int(tail_v.sum()) + (ends > 0)
+    rest = docs.drop("__text", "__learn").schema.fields
+    schema = T.StructType([*rest, *T._parse_datatype_string(_OUT).fields])
+    replies = counts.where("chunk >= 0")
+    if head is None:
+        rows, model = _learn_all(chunks, blocks, states, rounds if total else 0, total + 0.5 * (types + 1))
+        replies = replies.unionByName(rows.select("chunk", (-1 - F.col("block")).alias("block"), "blob"))
+        return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score_all(spark.sparkContext.broadcast(model), to_arrow_schema(schema), blocks, total, types, states), schema)
     top = counts.where("chunk = -2").mapInArrow(_top_rows, "h long, n long, form int")
     # The least count that leaves at most head words: those below it are tail, ties and all.
     least, held = 1, 0
@@ -412,7 +595,4 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
                 break
             before = like
     model = spark.sparkContext.broadcast(m)
-    rest = docs.drop("__text", "__learn").schema.fields
-    schema = T.StructType([*rest, *T._parse_datatype_string(_OUT).fields])
-    replies = counts.where("chunk >= 0")
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(model, to_arrow_schema(schema), blocks, total, types, tail_n, tail_v), schema)

@@ -123,8 +123,8 @@ def test_lm_scores(spark):
 
 
 def test_lm_learns_from_all_documents_in_every_round(spark, monkeypatch):
-    likes, real = [], hmm._iterate
-    monkeypatch.setattr(hmm, "_iterate", lambda *a: likes.append(real(*a)) or likes[-1])
+    likes, real = [], hmm._stats
+    monkeypatch.setattr(hmm, "_stats", lambda *a: likes.append(x[-1]) or x if (x := real(*a))[-1] else x)
     df = frame(spark, corpus(4))
     score = lambda n: {r["doc_id"]: r["score"] for r in hmm.score_texts(df.repartition(n, "doc_id"), F.lit(True)).collect()}
     one, many = score(1), score(8)
@@ -132,6 +132,24 @@ def test_lm_learns_from_all_documents_in_every_round(spark, monkeypatch):
     assert all(math.isclose(many[i], one[i], rel_tol=2e-3) for i in one)
 
 
+def test_lm_rare_words_have_their_own_emissions(spark):
+    """Of 72,000 words that occur once, half stand among words of one kind and half among those of another."""
+    r = random.Random(5)
+    word = lambda kind, i: f"x{2 * i + kind:06d}0"
+    common = [[f"{k}{j}" for j in range(12)] for k in ("alpha", "beta")]
+    rows = []
+    for i in range(600):
+        k = i % 2
+        w = [word(k, i // 2 * 120 + j) for j in range(120)] + [r.choice(common[k]) for _ in range(120)]
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+    held = [(1000 + 2 * n + k, " ".join(x for j in range(30) for x in (common[0][j % 12], word(k, n * 300 + j)))) for n in range(20) for k in (0, 1)]
+    out = {x["doc_id"]: x for x in hmm.score_texts(frame(spark, rows + held), F.col("doc_id") < 1000).collect()}
+    assert all(out[i]["n_known"] == out[i]["n_tokens"] for i in range(1000, 1040))
+    assert sum(out[1000 + 2 * n]["score"] - out[1001 + 2 * n]["score"] for n in range(20)) / 20 > 5
+    assert math.isclose(out[1000]["base_score"], out[1001]["base_score"], rel_tol=1e-9)
+
+
 def test_forward_recursion_is_a_distribution_and_long_rows_agree(monkeypatch):
     m = hmm.Model(np.arange(3, dtype=np.uint64), np.array([3.0, 2, 1] + [0.1] * hmm.CLASSES + [1.0]), 3)
     r = np.random.default_rng(0)
