@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.001, 0.6, 10
+MIN_CONFIDENCE, MIN_COUNT = 0.6, 10
 #: (verdict, host, path)
 RULES = (
     ("allow", "com", "/"),
@@ -49,15 +49,19 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(suffixes, words, keys), lambda t: t != "h:"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """(rule_id, items, confidence, key) from rows (url, bad)."""
+def mine(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+    """(items, confidence, key) from rows (url, bad).
+
+    A rule's tokens are in min_count urls at least, at any number of urls; min_support
+    asks for a share of them too.
+    """
     items = F.array_sort(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))))
     baskets = labelled.where("url is not null and bad is not null").select(items.alias("items")).where(F.size("items") > 0)
     n = baskets.count()
     none = labelled.sparkSession.createDataFrame([], "items array<string>, confidence double, key string")
     if not n:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_count - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("items"), "confidence")
     rules = rules.withColumn("rule", F.xxhash64("items"))
     # A rule goes if its tokens less one make a rule that is as sure (so the shortest of such a chain stay).

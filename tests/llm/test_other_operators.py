@@ -84,6 +84,14 @@ def test_mined_rules_match_all_their_tokens(spark):
     assert all((x["verdict"] == "block") == x["bad"] for x in out)
 
 
+def test_rules_do_not_vanish_in_a_larger_table(spark):
+    """A bad host of 12 urls is found among 400 labelled urls and among 20,000."""
+    for n in (400, 20_000):
+        rows = [(f"http://bad.org/{i}", True) for i in range(12)] + [(f"http://host{i % 40}.org/{i}", False) for i in range(n - 12)]
+        rules = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+        assert [tuple(x["items"]) for x in rules.collect()] == [("h:bad.org",)]
+
+
 def test_extraction(spark):
     words = [f"word{i}" for i in range(3000)]
     pool = spark.createDataFrame([(i, "<html><body><nav><a href='/'>Home</a></nav><article><p>" + " ".join(words[i * 20 : i * 20 + 60]) + ".</p></article><footer>Foot</footer></body></html>") for i in range(40)], "page_id long, html string")
