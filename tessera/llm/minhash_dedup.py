@@ -21,10 +21,11 @@ of its leaders first; its other leaders only where the links found so far leave
 the two in different components.  Pairs are verified exactly on the texts, and
 verified links give components.  3. Where a bucket's members are in different
 components yet, it may hide a link between two members that the leader isn't
-similar to: members of different components are paired if the shingles that they
-share with any such member allow the similarity (see ``_across``). A group of
-thousands of near copies is one component by then, or else its members differ
-too much in shingles of their own, and makes no pairs.
+similar to.  These are found by their *differences* from the leader: see
+``_Differences``.
+
+A text goes through the shuffle only if it has a bucket mate; which rows those are
+is told by a bitmap (an eighth of a byte a row), broadcast while it is small.
 
 With 40 bands of 6 rows a pair of similarity 0.8 is missed with probability
 (1 - 0.8**6) ** 40 = 5e-6, and one of similarity 0.3, which texts with a passage
@@ -45,6 +46,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import tables, text
 
 SHINGLE, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 40, 6
+#: Members that are compared with one copy of their leader's text.
+CROWD = 128
+#: A bitmap of rows is broadcast up to this size; beyond it rows are found by a join.
+BITMAP_BYTES = 64 << 20
 _EDGES = np.array([0, 1 / 64, 1 / 16, 1 / 4, 1.0])
 _SIGNED = "uid long, lo long, hi long, n_shingles long, bands array<long>"
 _LEAST = -(1 << 63)
@@ -93,6 +98,19 @@ def shingles(c: text.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return row[at], h[at], np.diff(np.append(at, len(h))), np.searchsorted(row[at], np.arange(c.rows + 1))
 
 
+def elements(c: text.Chunk, size: int, bag: bool) -> list[np.ndarray]:
+    """Each row's shingles, sorted; in a bag the j-th occurrence of one is an element of its own."""
+    row, h, n, first = shingles(c, size)
+    if bag and len(n) and n.max() > 1:
+        j = text.ragged(np.zeros(len(n), np.int64), n)
+        row, h = np.repeat(row, n), np.repeat(h, n)
+        h = np.where(j > 0, text.mix(h + j.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), h)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        first = np.searchsorted(row, np.arange(c.rows + 1))
+    return [h[lo:hi] for lo, hi in zip(first, first[1:], strict=False)]
+
+
 def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, k: int) -> np.ndarray:
     """DartMinHash: rows x k minima; all-ones where a row has no element."""
     best = np.full(rows * k, ~np.uint64(0))
@@ -170,7 +188,7 @@ def _sign(size: int, bands: int, band_rows: int, bag: bool, schema: pa.Schema):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        k, uid = bands * band_rows, TaskContext.get().partitionId() << 40
+        k, uid = bands * band_rows, (TaskContext.get().partitionId() << 40) + 1
         mult = [np.uint64(int(x)) for x in text._odd(400, band_rows)]
         for batch in batches:
             for c in text.chunks(batch.column(0)):
@@ -199,42 +217,125 @@ def _sign(size: int, bands: int, band_rows: int, bag: bool, schema: pa.Schema):
     return go
 
 
-def similarity(a: list[str], b: list[str], size: int, bag: bool) -> np.ndarray:
-    """Exact (weighted) Jaccard similarity of the texts a[i] and b[i]."""
-    out = np.zeros(len(a))
-    parts = []
-    for texts in (a, b):
-        chunk = next(text.chunks(pa.array(texts, pa.string()), 1 << 62), None)
-        parts.append(shingles(chunk, size))
-    for i in range(len(a)):
-        (ha, na), (hb, nb) = ((p[1][p[3][i] : p[3][i + 1]], p[2][p[3][i] : p[3][i + 1]]) for p in parts)
-        if not len(ha) or not len(hb):
-            continue
-        _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-        both = np.minimum(na[ia], nb[ib]).sum() if bag else len(ia)
-        every = (na.sum() + nb.sum() if bag else len(ha) + len(hb)) - both
-        out[i] = both / every
-    return out
+def _held(ref: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the sorted h are in the sorted ref."""
+    if not len(ref):
+        return np.zeros(len(h), bool)
+    return ref[np.minimum(np.searchsorted(ref, h), len(ref) - 1)] == h
 
 
-def _verify(size: int, threshold: float, bag: bool):
+def _crowds(size: int, bag: bool, compare):
+    """compare(row, leader's elements, member's elements) over rows sorted by (a, salt, role): a leader, then its members."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, of = None, None
         for batch in batches:
-            step = 256
-            for lo in range(0, batch.num_rows, step):
-                p = batch.slice(lo, step)
-                s = similarity(p.column(2).to_pylist(), p.column(3).to_pylist(), size, bag)
-                ok = pa.array(s >= threshold - 1e-12)
-                yield pa.RecordBatch.from_arrays([p.column(0).filter(ok), p.column(1).filter(ok)], ["a", "b"])
+            keys = batch.select(["a", "salt", "role", "b", "root"]).to_pylist()
+            for c in text.chunks(batch.column(batch.schema.get_field_index("text"))):
+                out = []
+                for i, e in enumerate(elements(c, size, bag), c.first):
+                    r = keys[i]
+                    if r["role"] == 0:
+                        leader, of = e, (r["a"], r["salt"])
+                    elif of == (r["a"], r["salt"]):
+                        out.append((r, leader, e))
+                if out:
+                    yield from compare(out)
 
     return go
 
 
+def _verify(threshold: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(got: list) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for r, ref, e in got:
+            both = int(_held(ref, e).sum())
+            if both and both / (len(ref) + len(e) - both) >= threshold - 1e-12:
+                rows.append((r["a"], r["b"]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], schema=schema)
+
+    return compare
+
+
+class _Differences:
+    """Tokens by which two members of different components can meet, given their leader L.
+
+    x differs from L by what it lacks, M, and by what it has besides, D.  The overlap
+    of x and y is |L| - |Mx| - |My| + |Mx and My| + |Dx and Dy|, so with
+    k = t / (1 + t) similarity t needs |Mx and My| + |Dx and Dy| >= f(x) + f(y), where
+    f(x) = k |x| + |Mx| - |L| / 2.  With e = (1 / 2 - k) |L|: f is at least -e, and more
+    than e for a member that isn't similar to L.  Two sets of differences that share
+    r elements share one among the first |M| + |D| - r + 1 of each, in any order that
+    both keep: here D before M (what copies have besides is seldom shared), then by hash.
+
+    Members similar to L (A) are in one component, so a partner is outside (B), and A
+    needs r > f(x) + e; B needs r > f(x) - e for partners in A, which it has only if its
+    similarity to L is 2 t - 1 at least (1 - similarity is a metric); among B the member
+    of the smaller f takes r >= 2 f(x), the other r > f(x) + e.
+
+    A row without token holds f, root and eight longs of parity bits: a difference
+    flips the bit of its hash, so the bits of x and y differ in |Mx| + |Dx| + |My| + |Dy|
+    - 2 r places at most, which bounds r from above.
+    """
+
+    SCHEMA = pa.schema([("a", pa.int64()), ("x", pa.int64()), ("token", pa.int64()), ("way", pa.int8()), ("left", pa.bool_()), ("rest", pa.int32()), ("f", pa.float64()), ("root", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    DDL = "a long, x long, token long, way byte, left boolean, rest int, f double, root long, bits array<long>"
+    BITS = 512
+
+    def __init__(self, threshold: float):
+        self.t, self.k = threshold, threshold / (1 + threshold)
+
+    def __call__(self, got: list) -> Iterator[pa.RecordBatch]:
+        parts, about = [], []
+        for r, ref, e in got:
+            own = _held(ref, e)
+            besides, lacks = e[~own], ref[~_held(e, ref)]
+            n, both = len(besides) + len(lacks), int(own.sum())
+            like = both / max(1, len(ref) + len(e) - both)
+            f, edge = self.k * len(e) + len(lacks) - len(ref) / 2, (0.5 - self.k) * len(ref)
+            token = np.concatenate([besides, lacks])
+            # (way, left side, least overlap of differences)
+            if like >= self.t - 1e-12:
+                roles = [(1, True, f + edge)]
+            else:
+                roles = [(1, False, f - edge)] * (like >= 2 * self.t - 1 - 1e-9) + [(2, True, 2 * f), (2, False, f + edge)]
+            some = False
+            for way, left, need in roles:
+                m = n - max(1, int(np.ceil(need - 1e-9))) + 1
+                if m > 0:
+                    some = True
+                    parts.append((r["a"], r["b"], token[:m].view(np.int64), way, left, n - np.arange(m, dtype=np.int32)))
+            if some:
+                odd = np.bincount((token % np.uint64(self.BITS)).astype(np.int64), minlength=self.BITS) & 1
+                about.append((r["a"], r["b"], n, f, r["root"], np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+        if parts:
+            size = [len(p[2]) for p in parts]
+            spread = lambda i, kind: pa.array(np.repeat(np.array([p[i] for p in parts], kind), size))
+            n = sum(size)
+            columns = [spread(0, np.int64), spread(1, np.int64), pa.array(np.concatenate([p[2] for p in parts])), spread(3, np.int8), spread(4, bool), pa.array(np.concatenate([p[5] for p in parts])), *(pa.nulls(n, t.type) for t in list(self.SCHEMA)[6:])]
+            yield pa.RecordBatch.from_arrays(columns, schema=self.SCHEMA)
+            m = len(about)
+            columns = [pa.array([x[0] for x in about]), pa.array([x[1] for x in about]), *(pa.nulls(m, t.type) for t in list(self.SCHEMA)[2:5]), pa.array([x[2] for x in about], pa.int32()), *(pa.array([x[i] for x in about], t.type) for i, t in zip((3, 4, 5), list(self.SCHEMA)[6:], strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, schema=self.SCHEMA)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows for ``_crowds``: each leader a before its members b, CROWD of them at a time, so a hot leader makes no hot task."""
+    size = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    crowds = F.floor((F.col("n") - 1) / CROWD).cast("int") + 1
+    members = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), crowds).cast("int").alias("salt"), F.lit(1).alias("role"), "b", "root")
+    leaders = size.select("a", F.explode(F.sequence(F.lit(0), crowds - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), F.lit(None).cast("long").alias("root"))
+    rows = members.unionByName(leaders).join(texts.withColumnRenamed("kind", "b"), "b")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, size: int, threshold: float, bag: bool) -> DataFrame:
-    """The pairs (a, b) of kinds that are similar enough. Texts join one side after the other; Spark splits a hot side."""
-    one = pairs.join(texts.select(F.col("kind").alias("b"), F.col("text").alias("tb")), "b")
-    both = one.join(texts.select(F.col("kind").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(text.tidy(_verify(size, threshold, bag)), "a long, b long")
+    """The pairs (a, b) of kinds that are similar enough."""
+    rows = _compared(pairs.select("a", "b", F.lit(None).cast("long").alias("root")), texts)
+    return rows.mapInArrow(text.tidy(_crowds(size, bag, _verify(threshold))), "a long, b long")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -260,104 +361,83 @@ def components(links: DataFrame, name: str) -> DataFrame:
         before = state
 
 
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _rooted(df: DataFrame, roots: DataFrame, side: str) -> DataFrame:
+    """With the column r<side>: the root of the kind in column side."""
+    own = roots.select(F.col("node").alias(side), F.col("root").alias("__root"))
+    return df.join(own, side, "left").withColumn("r" + side, F.coalesce("__root", side)).drop("__root")
 
 
 def _led(shared: DataFrame) -> DataFrame:
-    """(b, a, central): every member with the most central one of each of its buckets."""
+    """(bucket, b, a, central): every member with the most central one of its bucket."""
     lead = shared.groupBy("bucket").agg(F.max(F.struct("central", "b")).alias("lead"))
-    return shared.join(lead, "bucket").select("b", F.col("lead.b").alias("a"), F.col("lead.central").alias("central")).where("a <> b").distinct()
+    return shared.join(lead, "bucket").select("bucket", "b", F.col("lead.b").alias("a"), F.col("lead.central").alias("central"))
 
 
 def _to_first_leader(led: DataFrame) -> DataFrame:
     """Every member with the most central of its leaders."""
-    return led.groupBy("b").agg(F.max_by("a", F.struct("central", "a")).alias("a")).select(*_pair("a", "b")).distinct()
+    return led.where("a <> b").groupBy("b").agg(F.max_by("a", F.struct("central", "a")).alias("a")).select("a", "b")
 
 
 def _to_leaders(led: DataFrame, roots: DataFrame) -> DataFrame:
     """Every member with each of its leaders that is in another component."""
-    for side in ("a", "b"):
-        led = led.join(roots.select(F.col("node").alias(side), F.col("root").alias("r" + side)), side, "left")
-    return led.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*_pair("a", "b")).distinct()
-
-
-def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets whose members are in different components yet."""
-    placed = shared.join(roots, shared["b"] == roots["node"], "left").select("bucket", "b", "n_shingles", "central", F.coalesce("root", "b").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", F.struct("central", "b")).alias("top")).where("r0 <> r1")
-    return placed.join(mixed.select("bucket", "top"), "bucket")
-
-
-def _hashes(size: int):
-    schema = pa.schema([("kind", pa.int64()), ("h", pa.int64())])
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind = batch.column(0).to_numpy()
-            for c in text.chunks(batch.column(1)):
-                row, h, _, _ = shingles(c, size)
-                yield pa.RecordBatch.from_arrays([pa.array(kind[c.first + row]), pa.array(h.view(np.int64))], schema=schema)
-
-    return go
-
-
-def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, bands: DataFrame, size: int, threshold: float, bag: bool) -> DataFrame:
-    """What may hide yet: members of different components whose sizes allow the similarity.
-
-    A shingle that no other open member holds is in no overlap. With s of n shingles
-    left, overlap <= min(sa, sb), and similarity t needs overlap >= t / (1 + t) (na + nb);
-    so one side at least must have s / n >= 2 t / (1 + t): only such sides look for partners.
-    """
-    open_ = tables.written(_placed(shared, roots), "minhash-open")
-    lone = texts.join(open_.select(F.col("b").alias("kind")).distinct(), "kind", "left_semi").mapInArrow(text.tidy(_hashes(size)), "kind long, h long")
-    lone = lone.groupBy("h").agg(F.count("*").alias("n"), F.any_value("kind").alias("kind")).where("n = 1").groupBy("kind").agg(F.count("*").alias("lone"))
-    t, slack = (0.0, 0) if bag else (threshold, 1e-9)
-    left_over = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
-    open_ = open_.join(lone, open_["b"] == lone["kind"], "left").select("bucket", "b", "root", F.col("n_shingles").alias("n"), (F.col("n_shingles") if bag else left_over).alias("s"))
-    open_ = open_.where(F.col("s") >= F.col("n") * (t - slack)).join(bands.select(F.col("kind").alias("b"), "bands"), "b")
-    open_ = tables.written(open_, "minhash-open")
-    a, b = (open_.select("bucket", *[F.col(c).alias(c + x) for c in ("b", "root", "n", "s", "bands")]) for x in ("1", "2"))
-    a = a.where(F.col("s1") >= F.col("n1") * (2 * t / (1 + t) - slack))
-    enough = F.least("s1", "s2") * (1 + t) >= (F.col("n1") + F.col("n2")) * (t - slack)
-    once = F.col("bucket") == F.array_min(F.array_intersect("bands1", "bands2"))  # a pair meets in one of its buckets
-    return a.join(b, "bucket").where((F.col("root1") != F.col("root2")) & enough & once).select(*_pair("b1", "b2")).distinct()
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, bag: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each input row: doc_id, carry, class_id, class_size, n_shingles, keep.
-
-    Words: runs of ASCII letters and digits and of anything beyond ASCII, A-Z
-    lower-cased.  Two texts are linked if the Jaccard similarity of their sets of
-    ``shingle``-word shingles (bags, if ``bag``) reaches ``threshold``; classes
-    are the components of all links.  class_id is the smallest doc_id of the
-    class (a null id counts as the smallest); keep holds for one row of each class,
-    the first by doc_id.  A null text and one without words are classes of their
-    own, so class_id is their own doc_id.  Rows that repeat are copies.
-    """
-    if clash := set(carry) & {id_col, "doc_id", "class_id", "class_size", "n_shingles", "keep"}:
-        raise ValueError(f"carry holds names of the result: {sorted(clash)}")
-    rows = df.select(df[text_col].cast("string").alias("__text"), df[id_col].cast("long").alias("doc_id"), *[df[c] for c in carry])
+    pairs = led.where("a <> b").select("a", "b").distinct()
+    return _rooted(_rooted(pairs, roots, "a"), roots, "b").where("ra <> rb").select("a", "b")
+
+
+def _across(led: DataFrame, roots: DataFrame, texts: DataFrame, size: int, threshold: float, bag: bool) -> DataFrame:
+    """Pairs of members of different components that may be similar though neither, or one alone, is similar to their leader."""
+    placed = _rooted(_rooted(led.select("bucket", "a", "b"), roots, "b"), roots, "a")
+    mixed = placed.groupBy("bucket").agg(F.min("rb").alias("r0"), F.max("rb").alias("r1")).where("r0 <> r1").select("bucket")
+    pairs = placed.join(mixed, "bucket").where("a <> b").select("a", "b", F.col("rb").alias("root")).distinct()
+    found = tables.written(_compared(pairs, texts).mapInArrow(text.tidy(_crowds(size, bag, _Differences(threshold))), _Differences.DDL), "minhash-differences")
+    tokens = found.where("token is not null").select("a", "x", "token", "way", "left", "rest").repartition("a", "token", "way")  # dealt once, for the counts and the join
+    shared = tokens.groupBy("a", "token", "way").agg(F.count_if("left").alias("n"), F.count("*").alias("m")).where("n > 0 and m > n").drop("n", "m")
+    tokens = tokens.join(shared, ["a", "token", "way"])
+    about = found.where("token is null").select("a", "x", F.col("rest").alias("size"), "f", "root", "bits")
+    tokens = tables.written(tokens.join(about, ["a", "x"]), "minhash-differences")
+    p, q = (tokens.where("left" if x == "p" else "not left").select("a", "token", "way", *[F.col(c).alias(c + x) for c in ("x", "root", "f", "rest", "size", "bits")]) for x in "pq")
+    apart = sum((F.bit_count(F.col("bitsp")[i].bitwiseXOR(F.col("bitsq")[i])) for i in range(_Differences.BITS // 64)), F.lit(0))
+    enough = F.col("fp") + F.col("fq") <= F.least("restp", "restq", (F.col("sizep") + F.col("sizeq") - apart) / 2) + 1e-9
+    once = (F.col("way") == 1) | (F.struct("fp", "xp") < F.struct("fq", "xq"))
+    met = p.join(q, ["a", "token", "way"]).where((F.col("rootp") != F.col("rootq")) & once & enough)
+    return met.select(F.least("xp", "xq").alias("a"), F.greatest("xp", "xq").alias("b")).distinct()
+
+
+def _among(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose uid is in ids (uid)."""
+    bits = ids.select(F.bitmap_bucket_number("uid").alias("__k"), F.bitmap_bit_position("uid").alias("p")).groupBy("__k").agg(F.bitmap_construct_agg("p").alias("__bits"))
+    bits = tables.written(bits, name)
+    if bits.count() * 4096 > BITMAP_BYTES:
+        return df.join(ids, "uid", "left_semi")
+    spot = F.bitmap_bit_position("uid").cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = df.withColumn("__k", F.bitmap_bucket_number("uid")).join(F.broadcast(bits), "__k")
+    return own.where(F.getbit(byte, F.pmod(spot, F.lit(8))) == 1).drop("__k", "__bits")
+
+
+def _classes(rows: DataFrame, shingle: int, threshold: float, bands: int, band_rows: int, bag: bool) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and by (lo, hi) their kind with class_id, class_size, keeper and n_links."""
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(_SIGNED).fields])
     signed = tables.written(rows.mapInArrow(text.tidy(_sign(shingle, bands, band_rows, bag, to_arrow_schema(schema))), schema), "minhash")
     # Kinds: rows of equal shingles, named by the row that stands for them.
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "uid"))
-    kinds = signed.groupBy("lo", "hi").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.max("n_shingles").alias("n_shingles"))
-    kinds = tables.written(kinds.select("lo", "hi", F.col("first.uid").alias("kind"), F.col("first.doc_id").alias("least"), "n", "bands", "n_shingles"), "minhash-kinds")
-    banded = kinds.select("kind", "n_shingles", F.explode("bands").alias("bucket")).repartition("bucket")  # dealt once, for the counts and the join
+    kinds = signed.groupBy("lo", "hi").agg(first.alias("first"), F.count("*").alias("n"))
+    kinds = tables.written(kinds.select("lo", "hi", F.col("first.uid").alias("kind"), F.col("first.doc_id").alias("least"), "n"), "minhash-kinds")
+    own = _among(signed.where("n_shingles > 0").select("uid", "bands"), kinds.select(F.col("kind").alias("uid")), "minhash-rows")
+    banded = own.select(F.col("uid").alias("b"), F.explode("bands").alias("bucket")).repartition("bucket")  # dealt once, for the counts and the join
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = tables.written(banded.join(sizes, "bucket").select("bucket", F.col("kind").alias("b"), "n_shingles", "size"), "minhash-buckets")
-    central = shared.groupBy("b").agg(F.sum("size").alias("central"))
-    shared = tables.written(shared.drop("size").join(central, "b"), "minhash-buckets")
-    wanted = shared.select(F.col("b").alias("uid")).distinct()
-    texts = tables.written(signed.select("uid", F.col("__text").alias("text")).join(wanted, "uid", "left_semi").withColumnRenamed("uid", "kind"), "minhash-texts")
+    mates = tables.written(banded.join(sizes, "bucket").select("bucket", "b", "size"), "minhash-buckets")
+    central = mates.groupBy("b").agg(F.sum("size").alias("central"))
+    led = tables.written(_led(mates.drop("size").join(central, "b")), "minhash-led")
+    texts = _among(signed.select("uid", F.col("__text").alias("text")), mates.select(F.col("b").alias("uid")).distinct(), "minhash-rows")
+    texts = tables.written(texts.withColumnRenamed("uid", "kind"), "minhash-texts")
+    tables.remove(mates)
     roots = tried = links = None
-    led = tables.written(_led(shared), "minhash-led")
-    finds = (lambda _: _to_first_leader(led), lambda r: _to_leaders(led, r), lambda r: _across(shared, r, texts, kinds, shingle, threshold, bag))
+    finds = (lambda _: _to_first_leader(led), lambda r: _to_leaders(led, r), lambda r: _across(led, r, texts, shingle, threshold, bag))
     for find in finds:
         pairs = find(roots)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = tables.written(pairs, "minhash-pairs")
         if roots is not None and pairs.isEmpty():
             continue
@@ -365,10 +445,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = more if links is None else links.unionByName(more)
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = components(links, "minhash-components")
-    named = kinds.join(roots, kinds["kind"] == roots["node"], "left").select("lo", "hi", "kind", "least", "n", F.coalesce("root", "kind").alias("cls"))
-    best = F.min(F.struct("least", "kind"))
-    classes = named.groupBy("cls").agg(best.alias("best"), F.sum("n").alias("class_size"))
-    named = named.join(classes, "cls").select("lo", "hi", "class_size", F.col("best.least").alias("class_id"), F.col("best.kind").alias("keeper"))
-    out = signed.drop("bands", *([] if text_col in carry else ["__text"])).join(named, ["lo", "hi"])
+    tables.remove(led, texts, tried)
+    n_links = links.select(F.explode(F.array("a", "b")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_links"))
+    named = _rooted(kinds, roots, "kind").withColumnRenamed("rkind", "cls").join(n_links, "kind", "left")
+    classes = named.groupBy("cls").agg(F.min(F.struct("least", "kind")).alias("best"), F.sum("n").alias("class_size"))
+    named = named.join(classes, "cls").select("lo", "hi", "class_size", F.col("best.least").alias("class_id"), F.col("best.kind").alias("keeper"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed, named
+
+
+def _prepared(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    return df.select(df[text_col].cast("string").alias("__text"), df[id_col].cast("long").alias("doc_id"), *[df[c] for c in carry])
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, bag: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: doc_id, carry, class_id, class_size, n_shingles, n_links, keep.
+
+    Words: runs of ASCII letters and digits and of anything beyond ASCII, A-Z
+    lower-cased.  Two texts are linked if the Jaccard similarity of their sets of
+    ``shingle``-word shingles (bags, if ``bag``) reaches ``threshold``; classes
+    are the components of all links.  class_id is the smallest doc_id of the
+    class (a null id counts as the smallest); n_links is the number of other texts that
+    this one was found linked to on the way (the class holds for all of them, pairs
+    aren't expanded); keep holds for one row of each class,
+    the first by doc_id.  A null text and one without words are classes of their
+    own, so class_id is their own doc_id.  Rows that repeat are copies.  A text of
+    any length is read whole; columns not named in ``carry`` don't pass through.
+    """
+    if clash := set(carry) & {id_col, "doc_id", "class_id", "class_size", "n_shingles", "n_links", "keep"}:
+        raise ValueError(f"carry holds names of the result: {sorted(clash)}")
+    signed, named = _classes(_prepared(df, id_col, text_col, carry), shingle, threshold, bands, band_rows, bag)
+    out = signed.drop("bands", "__text").join(named, ["lo", "hi"])
     null = F.col("class_id") == _LEAST
-    return out.select("doc_id", *carry, F.when(~null, F.col("class_id")).alias("class_id"), "class_size", "n_shingles", (F.col("uid") == F.col("keeper")).alias("keep"))
+    return out.select("doc_id", *carry, F.when(~null, F.col("class_id")).alias("class_id"), "class_size", "n_shingles", "n_links", (F.col("uid") == F.col("keeper")).alias("keep"))
+
+
+def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, bag: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and carry of the rows that ``near_duplicates`` would keep; they aren't shuffled."""
+    signed, named = _classes(_prepared(df, id_col, text_col, carry), shingle, threshold, bands, band_rows, bag)
+    kept = _among(signed.select("uid", "doc_id", "__text", *carry), named.select(F.col("keeper").alias("uid")).distinct(), "minhash-rows")
+    return kept.select("doc_id", F.col("__text").alias(text_col), *carry)

@@ -34,7 +34,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), bag=True)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

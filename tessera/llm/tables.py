@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
         got = sc._jsc.sc().getCheckpointDir()
         if got.isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
             got = sc._jsc.sc().getCheckpointDir()
         place = got.get()
@@ -38,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(*frames: DataFrame | None) -> None:
+    """Delete the tables that frames of ``written`` are read from; whoever calls it has read them for the last time."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
