@@ -28,9 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id."""
-    rest = docs.withColumnRenamed("doc_id", "id")
-    found = minhash_dedup.near_duplicates(rest, id_col="id", carry=COLUMNS[1:])
-    return found.where("keep").select(*COLUMNS)
+    return minhash_dedup.distinct_texts(docs, bag=True, carry=COLUMNS[2:]).select(*COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
