@@ -1,10 +1,12 @@
 """Language-model scoring by a hidden Markov model.
 
 The model.  Hidden states follow a Markov chain; a state emits a word, the end of
-the text, or a word never seen.  Every training word has its own emissions, which
-live in hash blocks (see ``packed``): in each iteration a block sends a chunk the
-rows of the chunk's own words and gets their expected counts back, so no table of
-all words is ever in one place.
+the text, or a word never seen.  Every training word has its own emissions.  Those
+of words that several chunks hold live in hash blocks (see ``packed``): in each
+iteration a block sends a chunk the rows of the chunk's own words and gets their
+expected counts back, so no table of all words is ever in one place.  Rows and counts
+travel as a word's split over the states, in half precision; the sums and the
+likelihood are in double precision.
 
 With ``head`` given, the emission table is bounded instead: only the ``head`` most
 frequent words have emissions of their own, others share 64 tail classes (by the
@@ -235,9 +237,12 @@ def _answer_counts(head: int):
         keys, at, back = np.unique(every, return_index=True, return_inverse=True)
         n = np.bincount(back, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
         form = np.concatenate([g[2] for g in got])[at]
+        shared = np.bincount(back, minlength=len(keys)) > 1
+        number = np.where(shared, np.cumsum(shared) - 1, -1).astype(np.int32)
         rows, lo = [], 0
         for g, chunk, block in zip(got, group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True):
-            rows.append((chunk, block, packed.squeeze(n[back[lo : lo + len(g[0])]])))
+            i = back[lo : lo + len(g[0])]
+            rows.append((chunk, block, packed.squeeze(n[i], number[i])))
             lo += len(g[0])
         # To the driver by way of a sum: per class tokens and types; and the block's most frequent.
         seen = (n > 0) & (keys != END)
@@ -345,8 +350,8 @@ class _Own:
         self.size, self.states = emit.shape
 
 
-def _local(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words by block, each block's number and count of them, and h as places among them."""
+def _by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words by block, then hash; each block's number and count of them; and h as places among them."""
     keys, back = np.unique(h, return_inverse=True)
     parts = list(packed.split(packed.block_of(keys, blocks)))
     order = np.concatenate([i for _, i in parts])
@@ -355,129 +360,165 @@ def _local(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return keys[order], np.array([k for k, _ in parts]), np.array([len(i) for _, i in parts]), place[back]
 
 
-_SYMBOLS = pa.schema([("chunk", pa.int64()), ("sizes", pa.binary()), ("sym", pa.binary())])
+def _known(block: np.ndarray, found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk's words by block: training count in all chunks, and number among the block's shared words (-1: no other chunk has it)."""
+    got = [packed.stretch(found[int(k)], np.int64, np.int32) for k in block]
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-def _symbolise_all(blocks: int):
-    def go(batches):
-        for r in packed.rows(batches):
-            h, _, first = tokens(packed.text_of(r))
-            learn = packed.rest_of(r).column("__learn").to_numpy(zero_copy_only=False).astype(bool)
-            size = np.diff(first)
-            h = h[np.repeat(learn, size)]
-            if len(h):
-                keys, block, count, sym = _local(h, blocks)
-                yield packed.frame(_SYMBOLS, [(r["chunk"], size[learn].astype(np.int64).tobytes(), packed.squeeze(sym, keys, block, count))])
+_STATIC = pa.schema([("chunk", pa.int64()), ("sizes", pa.binary()), ("blob", pa.binary()), ("keys", pa.binary())])
+_STATIC_DDL = "chunk long, sizes binary, blob binary, keys binary"
+#: Kinds of blobs of a chunk, beside those for blocks 0, 1, ...
+_STATS, _LOCAL, _FIRST = -1, -2, -3
+_APART = -20
 
-    return go
 
+def _noise(keys: np.ndarray, states: int) -> np.ndarray:
+    """A word's first split over the states, from its hash."""
+    x = 0.5 + text.mix((keys[:, None] + np.arange(99, 99 + states, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).ravel()).astype(float).reshape(-1, states) / 2**64
+    return (x / x.sum(1, keepdims=True)).astype(np.float16)
 
-def _sent(chunk: int, keys: np.ndarray, block: np.ndarray, count: np.ndarray, gamma: np.ndarray, stats: np.ndarray) -> list[tuple]:
-    at = np.concatenate([[0], np.cumsum(count)])
-    rows = [(int(k), chunk, packed.squeeze(keys[lo:hi], gamma[lo:hi].astype(np.float32).ravel())) for k, lo, hi in zip(block, at, at[1:], strict=False)]
-    return [*rows, (-1, chunk, packed.squeeze(stats))]
+
+def _prepare(blocks: int):
+    """A chunk's training rows as symbols, with what is known of its words."""
+
+    def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return _STATIC.empty_table()
+        r = chunk.to_pylist()[0]
+        h, _, first = tokens(packed.text_of(r))
+        if not len(h):
+            return _STATIC.empty_table()
+        learn = packed.rest_of(r).column("__learn").to_numpy(zero_copy_only=False).astype(bool)
+        size = np.diff(first)
+        keys, block, count, sym = _by_block(h, blocks)
+        total, number = _known(block, dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True)))
+        sym = sym[np.repeat(learn, size)]
+        own = np.bincount(sym, minlength=len(keys)).astype(np.int32)
+        return pa.Table.from_batches([packed.frame(_STATIC, [(r["chunk"], size[learn].astype(np.int64).tobytes(), packed.squeeze(sym, total, own, number, block, count), keys.tobytes())])])
+
+    return go
 
 
 def _begin(states: int):
-    """First counts: each word's own, dealt to the states by seeded noise of its hash."""
+    """First splits of a chunk's words, and their counts by state."""
 
     def go(batches):
         for r in packed.rows(batches):
-            sym, keys, block, count = packed.stretch(r["sym"], np.uint32, np.uint64, np.int64, np.int64)
-            noise = 0.5 + text.mix((keys[:, None] + np.arange(99, 99 + states, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).ravel()).astype(float).reshape(-1, states) / 2**64
-            gamma = np.bincount(sym, minlength=len(keys))[:, None] * noise / noise.sum(1, keepdims=True)
-            yield packed.frame(packed.BLOB, _sent(r["chunk"], keys, block, count, gamma, np.concatenate([np.zeros(states * states + states), gamma.sum(0), [0.0]])))
+            split, own = _noise(np.frombuffer(r["keys"], np.uint64), states), _words(r["blob"])[2]
+            stats = np.concatenate([np.zeros(states * states + states), (own[:, None] * split.astype(float)).sum(0), [0.0]])
+            yield packed.frame(packed.BLOB, [(_FIRST, r["chunk"], packed.squeeze(split.ravel())), (_STATS, r["chunk"], packed.squeeze(stats))])
 
     return go
 
 
-def _answer_rows(states: int, mass: float, last: bool):
-    """A block's expected counts summed up, smoothed towards the unigram, to the chunks that hold the words; at last to those that asked."""
+def _words(blob: bytes) -> list[np.ndarray]:
+    return packed.stretch(blob, np.uint32, np.int64, np.int32, np.int32, np.int64, np.int64)
 
-    def go(group: pa.Table) -> pa.Table:
-        got = [packed.stretch(x.as_py(), np.uint64, np.float32) for x in group.column("blob")]
-        keys, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        total, at = np.zeros((len(keys), states)), np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
-        for i, (_, gamma) in enumerate(got):
-            if len(gamma):
-                total[back[at[i] : at[i + 1]]] += gamma.reshape(-1, states)  # a chunk's words are distinct
-        total += 20.0 * states * (np.rint(total.sum(1, keepdims=True)) + 0.5) / mass
-        total, rows = total.astype(np.float32), []
-        for i, (chunk, block) in enumerate(zip(group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True)):
-            if (chunk < 0) == last:
-                rows.append((-2 - chunk if last else chunk, block, packed.squeeze(total[back[at[i] : at[i + 1]]].ravel())))
-        return pa.Table.from_batches([packed.frame(packed.REPLY, rows)])
 
-    return go
+def _mine(replies: pa.Table, number: np.ndarray, count: np.ndarray, block: np.ndarray, states: int) -> np.ndarray:
+    """Each word's split over the states: those of shared words by block, and the chunk's own."""
+    found = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
+    take = lambda k: packed.stretch(found[k], np.float16)[0].reshape(-1, states)
+    if _FIRST in found:
+        return take(_FIRST)
+    out = np.zeros((len(number), states), np.float16)
+    out[number < 0] = take(_LOCAL) if _LOCAL in found else 0
+    shared = [take(int(k)) for k in block if int(k) in found]
+    if shared:
+        out[number >= 0] = np.concatenate(shared)
+    return out
 
 
-def _rows_of(replies: pa.Table, states: int) -> np.ndarray:
-    found = sorted(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
-    return np.concatenate([packed.stretch(x, np.float32)[0] for _, x in found]).reshape(-1, states).astype(float)
+def _emissions(split: np.ndarray, total: np.ndarray, under: np.ndarray, states: int, mass: float) -> np.ndarray:
+    """Expected counts, smoothed towards the unigram, over their sum."""
+    return (split.astype(float) * total[:, None] + (20.0 * states * (total + 0.5) / mass)[:, None]) / under
 
 
-def _expect(shared):
+def _expect(shared, mass: float):
     def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return packed.BLOB.empty_table()
         move, start, under = shared.value
-        r = chunk.to_pylist()[0]
-        sym, keys, block, count = packed.stretch(r["sym"], np.uint32, np.uint64, np.int64, np.int64)
+        r, k = chunk.to_pylist()[0], len(start)
+        sym, total, own, number, block, count = _words(r["blob"])
         first = np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.int64))])
-        gamma, xi, begun, like = expected(sym, first, _Own(_rows_of(replies, len(start)) / under, move, start))
-        return pa.Table.from_batches([packed.frame(packed.BLOB, _sent(r["chunk"], keys, block, count, gamma, np.concatenate([xi.ravel(), begun, gamma.sum(0), [like]])))])
+        gamma, xi, begun, like = expected(sym, first, _Own(_emissions(_mine(replies, number, count, block, k), total, under, k, mass), move, start))
+        stats = np.concatenate([xi.ravel(), begun, gamma.sum(0), [like]])
+        split = (gamma / np.maximum(own, 1)[:, None]).astype(np.float16)
+        out, at = [(_STATS, r["chunk"], packed.squeeze(stats)), (_LOCAL, r["chunk"], packed.squeeze(split[number < 0].ravel()))], 0
+        for b, n in zip(block, count, strict=True):
+            i = at + np.flatnonzero(number[at : at + n] >= 0)
+            at += n
+            if len(i):
+                out.append((int(b), r["chunk"], packed.squeeze(packed.delta(number[i]), own[i], split[i].ravel())))
+        return pa.Table.from_batches([packed.frame(packed.BLOB, out)])
 
     return go
 
 
-def _ask(blocks: int):
-    def go(batches):
-        for r in packed.rows(batches):
-            h, _, _ = tokens(packed.text_of(r))
-            if len(h):
-                keys, block, count, _ = _local(h, blocks)
-                yield packed.frame(packed.BLOB, _sent(-2 - r["chunk"], keys, block, count, np.zeros((len(keys), 0)), np.zeros(0))[:-1])
+def _answer_rows(states: int):
+    """A block's expected counts summed up, each word's as its split over the states, to the chunks that hold the word."""
+
+    def go(group: pa.Table) -> pa.Table:
+        got, size = [], 0
+        for x in group.column("blob"):
+            number, own, split = packed.stretch(x.as_py(), np.int32, np.int32, np.float16)
+            got.append((np.cumsum(number), own, split))
+            size = max(size, int(got[-1][0][-1]) + 1)
+        total = np.zeros((size, states))
+        for number, own, split in got:
+            total[number] += own[:, None] * split.reshape(-1, states).astype(float)  # a chunk's words are distinct
+        split = (total / np.maximum(total.sum(1, keepdims=True), 1e-300)).astype(np.float16)
+        rows = [(chunk, block, packed.squeeze(split[number].ravel())) for (number, _, _), chunk, block in zip(got, group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True)]
+        return pa.Table.from_batches([packed.frame(packed.REPLY, rows)])
 
     return go
 
 
 def _free(*frames: DataFrame) -> None:
     """Files of a round that is over go at once, and its shuffles at the next collection."""
-    for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            tables._remove(df.sparkSession, path)
-        df.sparkSession.sparkContext._jvm.System.gc()
+    tables.remove(*frames)
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def _learn_all(chunks: DataFrame, blocks: int, states: int, rounds: int, mass: float) -> tuple[DataFrame, tuple]:
-    """Baum-Welch over all words: replies (chunk, block, rows of the chunk's words), and moves, first states and the rows' divisors."""
+def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, rounds: int, mass: float) -> tuple[DataFrame, tuple]:
+    """Baum-Welch over all words: replies (chunk, block, splits of the chunk's words), and moves, first states and the rows' divisors.
+
+    Only words that several chunks hold go through the blocks; a chunk keeps the rest.
+    Symbols are dealt by chunk once, so that in a round no more than splits moves.
+    """
     spark = chunks.sparkSession
-    learned = tables.written(chunks.mapInArrow(_symbolise_all(blocks), "chunk long, sizes binary, sym binary"), "lm-symbols")
-    sent = tables.written(learned.mapInArrow(_begin(states), packed.BLOB_DDL), "lm-expected")
+    learned = tables.dealt(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prepare(blocks), _STATIC_DDL), "chunk", "lm-symbols")
+    sent = tables.written(learned.select("chunk", "blob", "keys").mapInArrow(_begin(states), packed.BLOB_DDL), "lm-expected")
+    learned = learned.drop("keys")
     move, start = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states)
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     under, before = _stats(sent, states)[-1 - states : -1] + 20.0 * states, -np.inf
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((move, start, under))
-        replies = sent.where("block >= 0").groupBy("block").applyInArrow(_answer_rows(states, mass, False), packed.REPLY_DDL)
-        fresh = tables.written(learned.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_expect(shared), packed.BLOB_DDL), "lm-expected")
+        fresh = tables.written(learned.groupBy("chunk").cogroup(_replies(sent, states).groupBy("chunk")).applyInArrow(_expect(shared, mass), packed.BLOB_DDL), "lm-expected")
         x = _stats(fresh, states)
         xi, begun, like = x[: states * states].reshape(states, states), x[states * states : states * states + states], float(x[-1])
         move, start, under = (xi + 1) / (xi.sum(1, keepdims=True) + states), (begun + 1) / (begun.sum() + states), x[-1 - states : -1] + 20.0 * states
         shared.destroy()
-        del replies
         _free(sent)
         sent = fresh
         if like - before < SETTLED * abs(like):
             break
         before = like
-    asked = chunks.mapInArrow(_ask(blocks), packed.BLOB_DDL)
-    return sent.where("block >= 0").unionByName(asked).groupBy("block").applyInArrow(_answer_rows(states, mass, True), packed.REPLY_DDL), (move, start, under)
+    tables.remove(learned)
+    return _replies(sent, states), (move, start, under)
+
+
+def _replies(sent: DataFrame, states: int) -> DataFrame:
+    own = sent.where(F.col("block").isin(_LOCAL, _FIRST)).select("chunk", "block", "blob")
+    return sent.where("block >= 0").groupBy("block").applyInArrow(_answer_rows(states), packed.REPLY_DDL).unionByName(own)
 
 
 def _stats(sent: DataFrame, states: int) -> np.ndarray:
     """Sums over the chunks, of some numbers each: moves, first states, counts by state, likelihood."""
-    return sum((packed.stretch(r["blob"], np.float64)[0] for r in sent.where("block = -1").select("blob").toLocalIterator()), np.zeros(states * states + 2 * states + 1))
+    return sum((packed.stretch(r["blob"], np.float64)[0] for r in sent.where(F.col("block") == _STATS).select("blob").toLocalIterator()), np.zeros(states * states + 2 * states + 1))
 
 
 # ---- scoring -------------------------------------------------------------
@@ -493,7 +534,7 @@ def _score(model, schema: pa.Schema, blocks: int, total: int, types: int, tail_n
         n = np.zeros(len(keys), np.int64)
         found = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
         for k, i in packed.split(packed.block_of(keys, blocks)):
-            n[i] = packed.stretch(found[k], np.int64)[0]
+            n[i] = packed.stretch(found[k], np.int64, np.int32)[0]
         c = n[back]
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         rows = len(first) - 1
@@ -509,7 +550,7 @@ def _score(model, schema: pa.Schema, blocks: int, total: int, types: int, tail_n
 
 
 def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, states: int):
-    """As _score, with the emission rows of all the chunk's words (of block b under -1 - b, beside their counts)."""
+    """As _score, with the emission rows of all the chunk's words (splits of block b under _APART - b, beside the counts)."""
     mass = total + 0.5 * (types + 1)
 
     def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
@@ -518,15 +559,16 @@ def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, s
         r = chunk.to_pylist()[0]
         move, start, under = shared.value
         h, _, first = tokens(packed.text_of(r))
-        _, _, _, sym = _local(h, blocks)
-        found = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
-        own = sorted(k for k in found if k >= 0)
-        c = np.concatenate([packed.stretch(found[k], np.int64)[0] for k in own])[sym]
-        emit = np.concatenate([packed.stretch(found[-1 - k], np.float32)[0] for k in own]).reshape(-1, states).astype(float)
+        _, block, count, sym = _by_block(h, blocks)
+        kinds = replies.column("block").to_pylist()
+        known, number = _known(block, dict(zip(kinds, replies.column("blob").to_pylist(), strict=True)))
+        split = _mine(replies.filter(pa.array([k <= _APART - _FIRST for k in kinds])).set_column(1, "block", pa.array([_APART - k for k in kinds if k <= _APART - _FIRST], pa.int64())), number, count, block, states)
+        c = known[sym]
         rows = len(first) - 1
         row = np.repeat(np.arange(rows), np.diff(first))
         base = np.bincount(row, np.log10(c + 0.5) - np.log10(mass), rows)
-        return _scored(r, schema, first, c, row, total, base, likelihood(sym, first, _Own(emit / under, move, start)))
+        emit = _emissions(split, known, under, states, mass)
+        return _scored(r, schema, first, c, row, total, base, likelihood(sym, first, _Own(emit, move, start)))
 
     return go
 
@@ -567,8 +609,8 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     schema = T.StructType([*rest, *T._parse_datatype_string(_OUT).fields])
     replies = counts.where("chunk >= 0")
     if head is None:
-        rows, model = _learn_all(chunks, blocks, states, rounds if total else 0, total + 0.5 * (types + 1))
-        replies = replies.unionByName(rows.select("chunk", (-1 - F.col("block")).alias("block"), "blob"))
+        rows, model = _learn_all(chunks, replies, blocks, states, rounds if total else 0, total + 0.5 * (types + 1))
+        replies = replies.unionByName(rows.select("chunk", (_APART - F.col("block")).alias("block"), "blob"))
         return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score_all(spark.sparkContext.broadcast(model), to_arrow_schema(schema), blocks, total, types, states), schema)
     top = counts.where("chunk = -2").mapInArrow(_top_rows, "h long, n long, form int")
     # The least count that leaves at most head words: those below it are tail, ties and all.

@@ -150,6 +150,76 @@ def test_lm_rare_words_have_their_own_emissions(spark):
     assert math.isclose(out[1000]["base_score"], out[1001]["base_score"], rel_tol=1e-9)
 
 
+def brute_hmm(train, every, states, rounds):
+    """Baum-Welch in plain loops, from the same first split; log10 of each text's probability."""
+    words = list(dict.fromkeys(w for t in train for w in t))
+    at = {w: i for i, w in enumerate(words)}
+    n = Counter(w for t in train for w in t)
+    mass = sum(n.values()) + 0.5 * (len(words) + 1)
+    smooth = {w: 20.0 * states * (n[w] + 0.5) / mass for w in {*words, *(w for t in every for w in t)}}
+    gamma = np.array([n[w] * hmm._noise(np.array([word_hash(w)]), states)[0].astype(float) for w in words])
+    move, start = np.full((states, states), 0.1 / (states - 1)), np.full(states, 1 / states)
+    np.fill_diagonal(move, 0.9)
+    rows = lambda t, g, u: np.array([((g[at[w]] if w in at else 0) + smooth[w]) / u for w in t])
+    for _ in range(rounds):
+        under, fresh, xi, begun = gamma.sum(0) + 20.0 * states, np.zeros_like(gamma), np.zeros((states, states)), np.zeros(states)
+        for t in train:
+            e, alpha, scale = rows(t, gamma, under), [], []
+            for i in range(len(t)):
+                a = (start if i == 0 else alpha[-1] @ move) * e[i]
+                scale.append(a.sum())
+                alpha.append(a / a.sum())
+            beta = np.ones(states)
+            for i in range(len(t) - 1, -1, -1):
+                g = alpha[i] * beta
+                fresh[at[t[i]]] += g / g.sum()
+                if i:
+                    v = e[i] * beta / scale[i]
+                    xi += np.outer(alpha[i - 1], v) * move
+                    beta = move @ v
+                else:
+                    begun += g / g.sum()
+        gamma, move, start = fresh, (xi + 1) / (xi.sum(1, keepdims=True) + states), (begun + 1) / (begun.sum() + states)
+    under, out = gamma.sum(0) + 20.0 * states, []
+    for t in every:
+        a, total = None, 0.0
+        for i, e in enumerate(rows(t, gamma, under)):
+            a = (start if i == 0 else a @ move) * e
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        out.append(total)
+    return out
+
+
+def word_hash(w):
+    if w is None:
+        return hmm.END
+    import pyarrow as pa
+
+    return hmm.text.words(next(hmm.text.chunks(pa.array([w]))), hmm.text.SPACED, hmm.text.LOWER).hashes[0]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_lm_scores_equal_plain_baum_welch(spark, parts):
+    """Of words that one chunk alone holds (one part), and of those that several do."""
+    rows = corpus(14, 40)[:42]
+    df = frame(spark, [*rows, (200, None), (201, rows[3][1]), (201, rows[3][1])]).repartition(parts, "doc_id")
+    learn = F.col("doc_id") % 3 != 1
+    tok = lambda t: [*brute.spaced((t or "").translate(brute.LOWER)), None]
+    texts = {**dict(rows), 200: None, 201: rows[3][1]}
+    train = [tok(t) for i, t in texts.items() if i % 3 != 1] + [tok(rows[3][1])] * (201 % 3 != 1)
+    want = dict(zip(texts, brute_hmm(train, [tok(t) for t in texts.values()], 3, 4), strict=True))
+    out = hmm.score_texts(df, learn, states=3, rounds=4).collect()
+    assert len(out) == 45 and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=4e-3) for r in out)
+
+
+def test_lm_of_nothing_and_clashing_names(spark):
+    empty = spark.createDataFrame([], DOC)
+    assert hmm.score_texts(empty, F.lit(True)).count() == 0
+    with pytest.raises(ValueError):
+        hmm.score_texts(empty, F.lit(True), carry=("score",))
+
+
 def test_forward_recursion_is_a_distribution_and_long_rows_agree(monkeypatch):
     m = hmm.Model(np.arange(3, dtype=np.uint64), np.array([3.0, 2, 1] + [0.1] * hmm.CLASSES + [1.0]), 3)
     r = np.random.default_rng(0)
