@@ -19,8 +19,11 @@ every document is factored against every block that indexes one of its seeds:
                  boundary are looked up like all others, so a repeat that changes
                  its source midway loses no word.
 
+The words of the factors are what is removed.  Windows are equal if two independent
+64-bit hashes of their words are.
+
 Blobs are sorted numpy arrays: what is shuffled is about 8 bytes a seed and about
-10 a repeated window, and a passage shared by all documents is sent once for each
+18 a repeated window, and a passage shared by all documents is sent once for each
 chunk, so no block grows with the number of its copies.
 """
 
@@ -83,36 +86,40 @@ class _Parsed:
         h, n = np.unique(self.seed_hash[keep], return_counts=True)
         return h, n > 1
 
-    def windows(self, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows around repeated seeds (sorted)."""
+    def windows(self, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts (sorted) and both hashes of the windows around repeated seeds."""
         if not len(repeated) or not len(self.at):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         spot = np.minimum(np.searchsorted(repeated, self.seed_hash), len(repeated) - 1)
         at = self.at[repeated[spot] == self.seed_hash]
-        h = np.empty(len(at), np.uint64)
+        h, g = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
         for lo in range(0, len(at), 1 << 18):
             s = at[lo : lo + (1 << 18)]
-            x = self.words.hashes[s]
+            x = y = self.words.hashes[s]
             for i in range(1, window):
-                x = x * text._U64(text._G2) + self.words.hashes[s + i]
-            h[lo : lo + len(s)] = text.mix(x)
-        return at, h
+                w = self.words.hashes[s + i]
+                x, y = x * text._U64(text._G2) + w, y * text._U64(text._G1) + text.mix(w)
+            h[lo : lo + len(s)], g[lo : lo + len(s)] = text.mix(x), text.mix(y)
+        return at, h, g
 
     def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """doc_id and start within the document."""
         row = np.searchsorted(self.words.first, at, "right") - 1
         return self.ids[row], at - self.words.first[row]
 
-    def earliest(self, at: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """For each window, the index of the chunk's earliest one with that hash."""
-        doc, start = self.place(at)
-        order = np.lexsort((start, doc, h))
-        new = np.ones(len(order), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        out = np.empty(len(order), np.int64)
-        out[order] = lead
-        return out
+    def earliest(self, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """For each window, the index of the chunk's earliest one that is equal."""
+        return _leads(h, g, *self.place(at))
+
+
+def _leads(h: np.ndarray, g: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each entry, the first by (doc, start) of those with its two hashes."""
+    order = np.lexsort((start, doc, g, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return out
 
 
 def _send_seeds(blocks: int, window: int, gram: int):
@@ -165,11 +172,11 @@ def _send_windows(blocks: int, window: int, gram: int):
             return packed.BLOB.empty_table()
         r = chunk.to_pylist()[0]
         p = _Parsed(r, window, gram)
-        at, h = p.windows(_repeated(p, replies, blocks), window)
+        at, h, g = p.windows(_repeated(p, replies, blocks), window)
         out = []
-        for k, i in _sent(p, at, h, p.earliest(at, h), blocks):
+        for k, i in _sent(p, at, h, p.earliest(at, h, g), blocks):
             doc, start = p.place(at[i])
-            out.append((k, r["chunk"], packed.squeeze(h[i], packed.delta(doc), packed.delta(start.astype(np.int32)))))
+            out.append((k, r["chunk"], packed.squeeze(h[i], g[i], packed.delta(doc), packed.delta(start.astype(np.int32)))))
         return pa.Table.from_batches([packed.frame(packed.BLOB, out)]) if out else packed.BLOB.empty_table()
 
     return go
@@ -179,22 +186,18 @@ def _answer_windows(group: pa.Table) -> pa.Table:
     """Per blob: which windows start earlier elsewhere, and there earliest."""
     got = []
     for x in group.column("blob"):
-        h, d, s = packed.stretch(x.as_py(), np.uint64, np.int64, np.int32)
-        got.append((h, np.cumsum(d), np.cumsum(s, dtype=np.int64)))
-    h, doc, start = (np.concatenate([g[i] for g in got]) for i in range(3))
-    order = np.lexsort((start, doc, h))
-    new = np.ones(len(order), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    lead = np.empty(len(order), np.int64)
-    lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        h, g, d, s = packed.stretch(x.as_py(), np.uint64, np.uint64, np.int64, np.int32)
+        got.append((h, g, np.cumsum(d), np.cumsum(s, dtype=np.int64)))
+    h, g, doc, start = (np.concatenate([x[i] for x in got]) for i in range(4))
+    lead = _leads(h, g, doc, start)
     hit = (doc[lead] != doc) | (start[lead] != start)
     at, rows = 0, []
-    for g, chunk, block in zip(got, group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True):
-        m = hit[at : at + len(g[0])]
-        src = lead[at : at + len(g[0])][m]
+    for own, chunk, block in zip(got, group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True):
+        m = hit[at : at + len(own[0])]
+        src = lead[at : at + len(own[0])][m]
         if m.any():
             rows.append((chunk, block, packed.squeeze(np.packbits(m), packed.delta(doc[src]), packed.delta(start[src]))))
-        at += len(g[0])
+        at += len(own[0])
     return pa.Table.from_batches([packed.frame(packed.REPLY, rows)]) if rows else packed.REPLY.empty_table()
 
 
@@ -207,8 +210,8 @@ def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema):
         kinds = replies.column("kind").to_pylist()
         seeds = replies.filter(pa.array([k == 0 for k in kinds], pa.bool_()))
         found = dict(zip(*(replies.filter(pa.array([k == 1 for k in kinds], pa.bool_())).column(c).to_pylist() for c in ("block", "blob")), strict=True))
-        at, h = p.windows(_repeated(p, seeds, blocks), window) if seeds.num_rows else p.windows(np.zeros(0, np.uint64), window)
-        lead = p.earliest(at, h)
+        at, h, g = p.windows(_repeated(p, seeds, blocks), window) if seeds.num_rows else p.windows(np.zeros(0, np.uint64), window)
+        lead = p.earliest(at, h, g)
         doc, start = p.place(at)
         src_doc, src_start = doc[lead], start[lead]  # the chunk's earliest ...
         for k, i in _sent(p, at, h, lead, blocks):
@@ -226,16 +229,18 @@ def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema):
 def _parse(p: _Parsed, r: dict, at, src_doc, src_start, start, window: int, texts: bool) -> pa.Table:
     w, rows = p.words, p.chunk.rows
     n = len(w.starts)
-    cover = np.zeros(n + 1, np.int32)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, np.minimum(at + window, n), -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    # Greedy factors: consecutive windows on one diagonal of one source.
+    # Greedy factors: from a window on, as long as the next one too is found on the diagonal of its source.
+    # Where one ends, the windows across its end were looked up as well, and begin factors of their own.
     row = np.searchsorted(w.first, at, "right") - 1
     same = np.zeros(len(at), bool)
     same[1:] = (np.diff(at) == 1) & (np.diff(row) == 0) & (np.diff(src_doc) == 0) & (np.diff(src_start) == 1)
     lo = np.flatnonzero(~same)
     length = np.diff(np.append(lo, len(at))) + window - 1
+    # A word of any factor goes.
+    cover = np.zeros(n + 1, np.int32)
+    np.add.at(cover, at[lo], 1)
+    np.add.at(cover, at[lo] + length, -1)
+    gone = np.cumsum(cover[:-1]) > 0
     factor = pa.StructArray.from_arrays([pa.array(x) for x in (start[lo], length, src_doc[lo], src_start[lo])], ["start", "n_words", "src_doc", "src_start"])
     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[lo], np.arange(rows + 1)).astype(np.int32)), factor)
     # Kept words, each row's joined by one space.
