@@ -42,10 +42,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A labelled url is one whose page_id is a labelled doc_id; toxic or poor ones are bad."""
+    """A labelled url is one whose page_id is a labelled doc_id; toxic or poor ones are bad. A rule is judged against their share."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    rules = url_rules.mine(pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", "bad"))
+    rules = url_rules.mine(pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", "bad"), min_confidence=None)
     return url_rules.judge(pages, rules)
 
 

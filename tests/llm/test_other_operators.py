@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 
@@ -92,6 +93,63 @@ def test_rules_do_not_vanish_in_a_larger_table(spark):
         assert [tuple(x["items"]) for x in rules.collect()] == [("h:bad.org",)]
 
 
+def brute_rules(rows, sure, least):
+    """Every combination of tokens, by counting; those with a part that is as sure go (shortest first)."""
+    baskets = [({"h:" + h, *("p:" + w for w in words)}, bad) for h, words, bad in rows]
+    every = sorted({t for b, _ in baskets for t in b})
+    rules = {}
+    for k in range(1, 5):
+        for combo in itertools.combinations(every, k):
+            met = [bad for b, bad in baskets if set(combo) <= b]
+            if sum(met) >= least and sum(met) / len(met) >= sure:
+                rules[combo] = sum(met) / len(met)
+    return {c: v for c, v in rules.items() if not any(rules.get(c[:i] + c[i + 1 :], 0) >= v for i in range(len(c)))}
+
+
+def test_mined_rules_equal_brute_force(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(300):
+        h, words = r.choice(["a.org", "b.org", "c.org"]), sorted({r.choice(["x", "y", "z", "w"]) for _ in range(r.randint(1, 4))})
+        rows.append((h, words, r.random() < (0.9 if {"x", "y"} <= set(words) else 0.5 if h == "b.org" else 0.15)))
+    df = spark.createDataFrame([(f"http://{h}/{'/'.join(words)}/{i}", bad) for i, (h, words, bad) in enumerate(rows)], "url string, bad boolean")
+    got = {tuple(x["items"]): x["confidence"] for x in url_rules.mine(df, min_confidence=0.55).collect()}
+    want = brute_rules(rows, 0.55, 10)
+    assert set(got) == set(want) and got and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    # Matching, against every rule in turn.
+    rules = url_rules.mine(df, min_confidence=0.55)
+    out = url_rules.judge(df.withColumn("page_id", F.monotonically_increasing_id()), rules, explicit=(), carry=("url",)).collect()
+    for x in out:
+        has = {"h:" + x["host"], *("p:" + w for w in x["path"].split("/") if w.isalpha())}
+        fit = [c for k, c in want.items() if set(k) <= has]
+        assert (x["verdict"] == "block") == bool(fit) and (not fit or abs(x["confidence"] - max(fit)) < 1e-12)
+
+
+def test_rules_against_the_base_rate(spark):
+    """Urls of one kind are bad three times as often as others, though seldom; long urls that repeat make no blow-up."""
+    r = random.Random(7)
+    rows = [(f"http://h{i % 7}.org/{'risky' if i % 5 == 0 else 'plain'}/{i}", r.random() < (0.36 if i % 5 == 0 else 0.12)) for i in range(3000)]
+    rows += [("http://long.org/" + "/".join(f"w{chr(97 + j)}" for j in range(26)) + f"?{i}", i % 2 == 0) for i in range(24)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    assert url_rules.mine(df).count() == 0
+    train, held = df.where("xxhash64(url) % 4 <> 0"), df.where("xxhash64(url) % 4 = 0")
+    rules = url_rules.mine(train, min_confidence=None)
+    assert ("p:risky",) in [tuple(x["items"]) for x in rules.collect()]
+    out = url_rules.judge(held, rules, carry=("bad",)).where("rule is null").collect()
+    hit = [x["bad"] for x in out if x["verdict"] == "block"]
+    assert len(hit) > 50 and sum(hit) / len(hit) > 1.5 * sum(x["bad"] for x in out) / len(out)
+
+
+def test_url_filter_of_nothing_repeated_rows_and_clash(spark):
+    rules = spark.createDataFrame([(["h:a.org"], 1.0, "h:a.org")], "items array<string>, confidence double, key string")
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_rules.judge(none, rules).count() == 0
+    df = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/"), (None, None), (2, None), (3, "")], "page_id long, url string")
+    assert sorted((x["page_id"] or 0, x["verdict"]) for x in url_rules.judge(df, rules).collect()) == [(0, "allow"), (1, "block"), (1, "block"), (2, "allow"), (3, "allow")]
+    with pytest.raises(ValueError):
+        url_rules.judge(df.withColumn("host", F.lit(1)), rules, carry=("host",))
+
+
 def test_extraction(spark):
     words = [f"word{i}" for i in range(3000)]
     pool = spark.createDataFrame([(i, "<html><body><nav><a href='/'>Home</a></nav><article><p>" + " ".join(words[i * 20 : i * 20 + 60]) + ".</p></article><footer>Foot</footer></body></html>") for i in range(40)], "page_id long, html string")
