@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of full-dimensional codewords, one from each of
-``books`` codebooks fitted to residuals.  Encoding is a beam search: at every
+``books`` codebooks fitted to residuals, then together by least squares.  Encoding is a beam search: at every
 book the ``beam`` best partial sums are extended by all codewords; with tables of
 inner products this needs no residual vector.  The squared norm of each
 approximation is stored with its codes.
@@ -9,11 +9,13 @@ approximation is stored with its codes.
 Search.  A query's inner products with all codewords make a lookup table; a row's
 score is the sum of its codes' entries (with the stored norm for Euclidean
 distance).  Each part of the index ranks its distinct vectors by that score, reranks
-the best ``rerank`` exactly, takes the rows of these by ascending vec_id, and sends
-its k nearest; a query's parts are merged by a window of k rows.
+the best exactly (``rerank``, or one in RERANK_SHARE of a large part, so that recall
+doesn't hang on how rows are dealt to parts), takes the rows of these by ascending
+vec_id, and sends its k nearest; a query's parts are merged by a window of k rows.
 
-Queries are taken in blocks of at most ``block`` rows, which bounds what is
-broadcast; every block meets every row of the index.
+Queries are taken in blocks of at most ``block`` rows, one after the other: a block is
+broadcast, meets every row of the index, and its nearest are written before the next
+block is read, so neither the driver nor the plan grows with the number of blocks.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 
 from . import tables, text
 
-BOOKS, WORDS, BEAM, RERANK, FIT_ROWS, BLOCK, PART = 16, 256, 4, 128, 8192, 4096, 32_768
+BOOKS, WORDS, BEAM, RERANK, RERANK_SHARE, FIT_ROWS, BLOCK, PART = 16, 256, 4, 128, 64, 16_384, 4096, 32_768
 _INDEX = "vec_id long, vector array<double>, codes binary, norm double"
+_FOUND = "query_id long, vec_id long, score double"
 
 
 class Quantiser:
@@ -48,6 +51,21 @@ class Quantiser:
             rest = rest - c[(rest @ c.T - 0.5 * (c * c).sum(1)).argmax(1)]
             found.append(c)
         self.books = np.stack(found)
+        self._refine(x.astype(np.float32))
+
+    def _refine(self, x: np.ndarray, pull: float = 1.0) -> None:
+        """All codewords at once: least squares for the sample's codes, drawn a little to where they are."""
+        m, k, d = self.books.shape
+        c = self.encode(x, 1).astype(np.int64)
+        both, total = np.zeros((m * k, m * k), np.float32), np.zeros((m * k, d), np.float32)
+        for i in range(m):
+            np.add.at(total, i * k + c[:, i], x)
+            for j in range(i, m):
+                n = np.bincount(c[:, i] * k + c[:, j], minlength=k * k).reshape(k, k)
+                both[i * k : (i + 1) * k, j * k : (j + 1) * k] = n
+                both[j * k : (j + 1) * k, i * k : (i + 1) * k] = n.T
+        both[np.arange(m * k), np.arange(m * k)] += pull
+        self.books = np.linalg.solve(both, total + pull * self.books.reshape(m * k, d)).reshape(m, k, d).astype(np.float32)
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes by beam search; |x - sum|^2 grows by |c|^2 - 2 x.c + 2 sum.c with a codeword c."""
@@ -155,7 +173,7 @@ def _search(shared, k: int, rerank: int, metric: str):
                     near += lut[i, j][columns[j]]
                 if metric == "l2":
                     near = 2 * near - norm
-                top = _best(near, rerank + 1)  # one more, as the query's own may be among them
+                top = _best(near, max(rerank, len(rep) // RERANK_SHARE) + 1)  # one more, as the query's own may be among them
                 exact = (x[rep[top]] * queries[i]).sum(1) if metric == "ip" else -((x[rep[top]] - queries[i]) ** 2).sum(1)
                 size = np.minimum(at[top + 1] - at[top], k + 1)
                 rows, exact = members[text.ragged(at[top], size)], np.repeat(exact, size)
@@ -184,7 +202,8 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     negative).  Scores are exact; ties go to the smaller vec_id.  Rows of null id
     or of a vector that is null, empty, zero, or holds a null or non-finite
     component take no part, nor do those whose length isn't the most frequent
-    (the smaller of equals).  Rows that repeat an id count once.
+    (the smaller of equals).  Rows that repeat an id count once, with their best
+    score.  Columns other than the two don't matter, whatever their names.
     """
     spark = df.sparkSession
     rows = valid(df, id_col, vector_col)
@@ -198,17 +217,18 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     index = tables.written(rows.mapInArrow(_index(spark.sparkContext.broadcast(q)), _INDEX), "ann-index")
     asked = index.where(query)
     blocks = max(1, -(-asked.count() // block))
-    found = None
+    found = []
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", F.lit(b"q")), F.lit(blocks)) == b)
         got = own.groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy("vec_id").collect()
         if not got:
             continue
         shared = spark.sparkContext.broadcast((q, np.array([r[0] for r in got]), np.array([r[1] for r in got])))
-        one = index.mapInArrow(_search(shared, k, rerank, metric), "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+        found.append(tables.path_of(tables.written(index.mapInArrow(text.tidy(_search(shared, k, rerank, metric)), _FOUND), "ann-found")))
+        shared.destroy()
+    if not found:
         return out
+    found = spark.read.schema(_FOUND).parquet(*found)
     # An id that repeats in several parts comes once, with its largest score.
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

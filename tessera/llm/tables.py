@@ -50,6 +50,11 @@ def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(own)
 
 
+def path_of(df: DataFrame) -> str:
+    """The folder of a table of ``written``."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def remove(*frames: DataFrame | None) -> None:
     """Delete the tables that frames of ``written`` are read from; whoever calls it has read them for the last time."""
     for df in frames:

@@ -3,6 +3,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,20 @@ def test_nearest_of_many_equal_vectors(spark, metric):
         assert len(set(own.vec_id) & set(best)) >= 18, q
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_recall_where_reranking_reads_a_sixtieth(spark, parts):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(50_000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64)})).repartition(parts)
+    out = ann.nearest(df, F.expr("vec_id % 500 = 0"), block=60).toPandas()
+    hit = 0
+    for q, own in out.groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(set(own.vec_id) & set(np.argpartition(-s, 20)[:20]))
+    assert len(out) == 2000 and hit / 2000 >= 0.95
+
+
 def test_additive_codes_get_nearer_with_books_and_beam():
     x = np.random.default_rng(2).normal(size=(500, 12))
     err = lambda b, beam: (lambda q: ((x - q.decode(q.encode(x, beam))) ** 2).sum())(ann.Quantiser(x, books=b, words=32))
