@@ -17,12 +17,14 @@ sampled pages' own words.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,24 +32,81 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import text
 
-SAMPLE, MADE, EPOCHS, RATE, HIDDEN = 300, 900, 5, 0.01, 16
+SAMPLE, LONGEST, MADE, EPOCHS, RATE, HIDDEN = 300, 200_000, 900, 5, 0.01, 16
+#: Pages are labelled together up to so many characters of html.
+TOGETHER = 4 << 20
 PATH_ROWS, WORD_ROWS, PATH_SIZE, WORD_SIZE, MEASURES = 2048, 1024, 16, 4, 6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg", "iframe")}
+_ENDED = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes if it is the innermost block.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path of 'tag' and 'tag.word' parts, text, characters within links) of each leaf block with text."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Node:
+    """An open tag. What its path says is summed up from the parent's, so a deep page costs no more than a flat one of its length."""
+
+    __slots__ = ("inline", "last", "links", "mask", "run", "tag", "told")
+
+    def __init__(self, tag: str, parts: tuple[str, ...], above: "Node | None", at: int):
+        self.tag, self.inline = tag, tag in _INLINE
+        self.mask, self.told, self.last = (above.mask, above.told, above.last) if above else (0, frozenset(), ())
+        for p in parts:
+            self.mask |= 1 << _slot(p)  # slots of all parts in the path
+        self.last = (*self.last, *parts)[-2:]  # the innermost parts
+        if not _TELLING.isdisjoint(parts):
+            self.told |= _TELLING.intersection(parts)  # those that lessons are taken from
+        self.run = above.run if above and above.inline and self.inline else at  # where the run of inline tags begins
+        self.links = 3 if tag == "a" else max(0, above.links - 1) if above else 0  # within a link, up to two tags below it
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of every tag; comments and declarations have no name. Each character is read a few times at most."""
+    at, last, quotes = 0, page.rfind(">"), True
+    while 0 <= (start := page.find("<", at)):
+        if page.startswith("<!--", start) or page.startswith("<![CDATA[", start):
+            close = "-->" if page[start + 2] == "-" else "]]>"
+            end = page.find(close, start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        if page[start + 1 : start + 2] in ("!", "?") and start < last:
+            at = page.find(">", start) + 1
+            yield start, at, "", False, ""
+            continue
+        closing = page.startswith("/", start + 1)
+        name = _NAME.match(page, start + 1 + closing)
+        if not name:
+            at = start + 1
+            continue
+        if start > last:  # cut off within a tag
+            yield start, len(page), "", False, ""
+            return
+        end, j = -1, name.end()
+        while quotes and (m := _STOP.search(page, j)):
+            if m[0] == ">":
+                end = m.start()
+                break
+            k = page.find(m[0], m.end())
+            j = k + 1 if k >= 0 else m.end()
+        if end < 0:  # all that would close it is within quotes: from here on they mean nothing
+            quotes, end = False, page.find(">", name.end())
+        at = end + 1
+        yield start, at, name[0].lower(), closing, page[name.end() : end]
+
+
+def blocks(page: str) -> list[tuple[Node | None, str, int]]:
+    """(innermost open tag, text, characters within links) of each leaf block with text."""
+    out: list[tuple[Node | None, str, int]] = []
+    stack: list[Node] = []
+    spots: dict[str, list[int]] = {}  # where in the stack each tag is open
     held: list[str] = []
     linked = at = 0
 
@@ -56,7 +115,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if held:
             t = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if t:
-                out.append((tuple(p for _, parts in stack for p in parts), t, linked))
+                out.append((stack[-1] if stack else None, t, linked))
             held.clear()
         linked = 0
 
@@ -64,18 +123,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         if s:
             held.append(s)
-            if any(t == "a" for t, _ in stack[-3:]):
+            if stack and stack[-1].links:
                 linked += len(s)
 
-    while m := _TOKEN.search(page, at):
-        take(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            spots[stack.pop().tag].pop()
+
+    for start, end, tag, closing, attributes in _tags(page):
+        if start < at:
+            continue  # within a script or the like
+        take(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if tag in _RAW and not m[1]:
-            end = _RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
+        if tag in _RAW and not closing:
+            stop = _RAW[tag].search(page, at)
+            at = stop.end() if stop else len(page)
             if tag not in _INLINE:
                 close()
             continue
@@ -84,20 +148,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             held.append(" ")
         if not inline:
             close()
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (not inline or all(t in _INLINE for t, _ in stack[depth:])):
-                del stack[depth:]
+        if closing:
+            if spots.get(tag) and (not inline or stack[-1].inline and spots[tag][-1] >= stack[-1].run):
+                pop(spots[tag][-1])
             continue
         if not inline:
-            while stack and (stack[-1][0] in _INLINE or stack[-1][0] in {"p", "h1", "h2", "h3", "h4", "h5", "h6"} or stack[-1][0] in _CLOSES.get(tag, ())):
-                stack.pop()
-        if tag in _VOID or m[3].endswith("/"):
+            while stack and (stack[-1].inline or stack[-1].tag in _ENDED or stack[-1].tag in _CLOSES.get(tag, ())):
+                pop(len(stack) - 1)
+        if tag in _VOID or attributes.endswith("/"):
             continue
-        words = [w for a in _ATTRIBUTE.finditer(m[3]) for w in _PARTS.findall((a[2] or a[3] or a[4] or "").lower())] if m[3] else []
-        stack.append((tag, (tag, *[f".{w}" for w in dict.fromkeys(words)])))
-    rest = page[at:]
-    take(rest if "<" not in rest else rest[: rest.index("<")] if re.match(r"<[/a-zA-Z!?]", rest[rest.index("<") :]) else rest)
+        words = [w for a in _ATTRIBUTE.finditer(attributes) for w in _PARTS.findall((a[2] or a[3] or a[4] or "").lower())] if attributes else []
+        spots.setdefault(tag, []).append(len(stack))
+        stack.append(Node(tag, (tag, *[f".{w}" for w in dict.fromkeys(words)]), stack[-1] if stack else None, len(stack)))
+    take(page[at:])
     close()
     return out
 
@@ -105,19 +168,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 # ---- features --------------------------------------------------------------
 
 
-def features(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> dict[str, np.ndarray]:
-    """Hashed parts and words (ragged) and measures of all blocks of some pages."""
+def features(pages: list[list[tuple[Node | None, str, int]]]) -> dict[str, np.ndarray]:
+    """Paths (as numbers of distinct ones, whose hashed parts are ragged), hashed words (ragged) and measures of all blocks of some pages."""
     flat = [b for p in pages for b in p]
     size = np.array([len(p) for p in pages], np.int64)
-    cache: dict[tuple[str, ...], list[int]] = {}
-    parts = []
-    for path, _, _ in flat:
-        got = cache.get(path)
-        if got is None:
-            # Parts anywhere in the path, and the innermost ones once more.
-            names = list(dict.fromkeys(path)) + ["^" + p for p in path[-2:]]
-            got = cache[path] = [_slot(p) for p in names] or [0]
-        parts.append(got)
+    numbers: dict[tuple, int] = {}
+    path = np.array([numbers.setdefault((n.mask, n.last) if n else (0, ()), len(numbers)) for n, _, _ in flat], np.int64)
+    # Parts anywhere in the path, and the innermost ones once more.
+    bits = [np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(PATH_ROWS // 8, "little"), np.uint8), bitorder="little")).astype(np.uint16) for mask, _ in numbers]
+    parts = [np.append(b, np.array([_slot("^" + p) for p in last], np.uint16)) if last else np.zeros(1, np.uint16) for b, (_, last) in zip(bits, numbers, strict=True)]
     n = np.array([len(p) for p in parts], np.int64)
     texts = [t for _, t, _ in flat]
     c = next(text.chunks(pa.array(texts, pa.string()), 1 << 62), None)
@@ -128,9 +187,10 @@ def features(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> dict[str, n
     place = text.ragged(np.zeros(len(size), np.int64), size) / np.maximum(1, np.repeat(size, size))
     ends = np.array([t[-1] in ".!?…。" for t in texts], float)
     measures = np.stack([np.log1p(words) / 5, np.minimum(1, links / np.maximum(chars, 1)), place, ends, words < 5, words > 25], 1) if flat else np.zeros((0, MEASURES))
-    return {"size": size, "parts": np.array([i for p in parts for i in p], np.int64), "n_parts": n, "words": (w.hashes % np.uint64(WORD_ROWS)).astype(np.int64), "n_words": words, "measures": measures}
+    return {"size": size, "path": path, "parts": np.concatenate(parts) if parts else np.zeros(0, np.uint16), "n_parts": n, "words": (w.hashes % np.uint64(WORD_ROWS)).astype(np.int64), "n_words": words, "measures": measures}
 
 
+@functools.lru_cache(1 << 16)
 def _slot(part: str) -> int:
     h = 1469598103934665603
     for b in part.encode():
@@ -139,10 +199,13 @@ def _slot(part: str) -> int:
 
 
 def _means(table: np.ndarray, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(n), table.shape[1]))
-    if len(slots):
-        some = np.flatnonzero(n)
-        total[some] = np.add.reduceat(table[slots], (np.cumsum(n) - n)[some], axis=0)
+    total, some, first = np.zeros((len(n), table.shape[1])), np.flatnonzero(n), np.cumsum(n) - n
+    lo = 0
+    while lo < len(some):  # some entries at a time, so that memory is bounded
+        hi = max(lo + 1, int(np.searchsorted(first[some], first[some[lo]] + (1 << 18))))
+        begin, end = first[some[lo]], first[some[hi - 1]] + n[some[hi - 1]]
+        total[some[lo:hi]] = np.add.reduceat(table[slots[begin:end]], first[some[lo:hi]] - begin, axis=0)
+        lo = hi
     return total / np.maximum(n, 1)[:, None]
 
 
@@ -158,7 +221,7 @@ class Labeller:
             self.p["c" + way] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])
 
     def _inputs(self, f: dict[str, np.ndarray]) -> np.ndarray:
-        return np.concatenate([_means(self.p["path"], f["parts"], f["n_parts"]), _means(self.p["word"], f["words"], f["n_words"]), f["measures"]], 1)
+        return np.concatenate([_means(self.p["path"], f["parts"], f["n_parts"])[f["path"]], _means(self.p["word"], f["words"], f["n_words"]), f["measures"]], 1)
 
     def _run(self, x: np.ndarray, w: np.ndarray, c: np.ndarray, live: np.ndarray, at: np.ndarray, keep: bool):
         """Hidden states by time, over rows that are longest first."""
@@ -229,9 +292,11 @@ class Labeller:
         for way, order, kept, part in (("f", of, kf, dall[:, :HIDDEN]), ("b", ob, kb, dall[:, HIDDEN : 2 * HIDDEN])):
             g["w" + way], g["c" + way], back = self._back(part[order], x[order], self.p["w" + way], live, at, kept)
             dx[order] += back
-        for name, slots, n, lo, hi in (("path", f["parts"], f["n_parts"], 0, PATH_SIZE), ("word", f["words"], f["n_words"], PATH_SIZE, PATH_SIZE + WORD_SIZE)):
+        per_path = np.zeros((len(f["n_parts"]), PATH_SIZE))
+        np.add.at(per_path, f["path"], dx[:, :PATH_SIZE])
+        for name, slots, n, d in (("path", f["parts"], f["n_parts"], per_path), ("word", f["words"], f["n_words"], dx[:, PATH_SIZE : PATH_SIZE + WORD_SIZE])):
             g[name] = np.zeros_like(self.p[name])
-            np.add.at(g[name], slots, np.repeat(dx[:, lo:hi] / np.maximum(n, 1)[:, None], n, axis=0))
+            np.add.at(g[name], slots, np.repeat(d / np.maximum(n, 1)[:, None], n, axis=0))
         return g
 
     def train(self, pages: list[tuple[list, list[int]]], epochs: int = EPOCHS, seed: int = 12) -> None:
@@ -255,7 +320,7 @@ class Labeller:
 
 # ---- what it learns from ---------------------------------------------------
 
-_OUTSIDE = {"nav", "footer", "aside", "form", "head", "title", "menu", "button", "select", "dialog", "fieldset", "option"}
+_OUTSIDE = frozenset({"nav", "footer", "aside", "form", "head", "title", "menu", "button", "select", "dialog", "fieldset", "option"})
 _WORDS = {
     "menu": ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topbar", "links", "pagination", "pager", "tabs", "toc"],
     "header": ["header", "masthead", "banner", "top", "logo", "branding", "site"],
@@ -270,16 +335,17 @@ _WORDS = {
 }
 
 
+#: Class words that say that a block is set apart.
+_APART = frozenset(f".{w}" for k in _WORDS if k not in ("main", "header", "share") for w in _WORDS[k] if w not in ("top", "more", "bottom", "links", "form"))
+_TELLING = frozenset({"article", "main", "header"}) | _OUTSIDE | _APART
+
+
 def structural(got: list) -> list[int]:
     """Labels of a page's blocks from its tags: within article or main, and in nothing that is set apart."""
-    apart = {f".{w}" for k in _WORDS if k not in ("main", "header", "share") for w in _WORDS[k] if w not in ("top", "more", "bottom", "links", "form")}
-    rooted = any({"article", "main"} & set(path) for path, _, _ in got)
-    out = []
-    for path, _, _ in got:
-        parts = set(path)
-        good = bool({"article", "main"} & parts) if rooted else True
-        out.append(int(good and not (_OUTSIDE & parts or apart & parts) and not ("header" in parts and "article" not in parts)))
-    return out
+    told = [n.told if n else frozenset() for n, _, _ in got]
+    rooted = any(not t.isdisjoint(("article", "main")) for t in told)
+    apart = _OUTSIDE | _APART
+    return [int((not rooted or not t.isdisjoint(("article", "main"))) and t.isdisjoint(apart) and not ("header" in t and "article" not in t)) for t in told]
 
 
 def made_page(r: np.random.Generator, pool: list[str]) -> tuple[str, list[tuple[str, int]]]:
@@ -401,9 +467,12 @@ def lessons(pages: list[str], made: int = MADE, seed: int = 13) -> list[tuple[li
     return out
 
 
-def train(df: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE) -> Labeller:
-    """A labeller from at most ``sample`` pages (by the hash of their id) and generated ones."""
-    rows = df.select(F.xxhash64(df[id_col], F.lit(5)).alias("h"), df[id_col].alias("id"), df[html_col].cast("string").alias("html")).where("html is not null and octet_length(html) < 200000")
+def train(df: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE, longest: int = LONGEST) -> Labeller:
+    """A labeller from at most ``sample`` pages of fewer than ``longest`` bytes (by the hash of their id) and generated ones.
+
+    The two bounds hold for what is learnt from alone; every page is read whole.
+    """
+    rows = df.select(F.xxhash64(df[id_col], F.lit(5)).alias("h"), df[id_col].alias("id"), df[html_col].cast("string").alias("html")).where(f"html is not null and octet_length(html) < {longest}")
     ids = rows.select("h", "id").orderBy("h", "id").limit(sample)
     got = rows.join(F.broadcast(ids.select("h").distinct()), "h", "left_semi").orderBy("h", "html").limit(sample).collect()
     out = Labeller()
@@ -416,7 +485,9 @@ def extract(df: DataFrame, labeller: Labeller, html_col: str = "html", carry: tu
 
     Character references are decoded, white space inside a block becomes one
     space, blocks are joined by one space in page order.  Null and empty html, and
-    html without text, give an empty text.  Rows that repeat give the same.
+    html without text, give an empty text.  Rows that repeat give the same.  A page of
+    any length and depth is read whole, in time proportional to its length.  Columns
+    not named in ``carry`` don't pass through; those named may not be text or n_chars.
     """
     if clash := set(carry) & {"text", "n_chars"}:
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
@@ -438,8 +509,12 @@ def main_text(labeller: Labeller, pages: list[str]) -> list[str]:
 def _extract(shared, schema: pa.Schema):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            sizes = np.array(pc.fill_null(pc.binary_length(batch.column(0)), 0))
+            lo = 0
+            while lo < batch.num_rows:
+                rows = max(1, min(256, int(np.searchsorted(np.cumsum(sizes[lo:]), TOGETHER, "right"))))
+                part = batch.slice(lo, rows)
+                lo += rows
                 texts = main_text(shared.value, [x or "" for x in part.column(0).to_pylist()])
                 out = [*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts])]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(out, schema, strict=True)], schema=schema)

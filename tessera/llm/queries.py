@@ -54,28 +54,41 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.train(pages))
 
 
-REPLY = {
-    "type": "object",
-    "required": ["role", "text", "turn"],
-    "additionalProperties": False,
-    "properties": {"role": {"enum": ["user", "system"]}, "text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+#: What the two tools take: a question is a sentence that has an end, an instruction opens the conversation.
+TOOLS = {
+    "ask": {
+        "type": "object",
+        "required": ["text", "turn"],
+        "additionalProperties": False,
+        "properties": {"text": {"type": "string", "minLength": 1, "pattern": "[.!?]\\s*$"}, "turn": {"type": "integer", "minimum": 0}},
+    },
+    "instruct": {
+        "type": "object",
+        "required": ["text", "turn"],
+        "additionalProperties": False,
+        "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"const": 0}},
+    },
 }
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn that isn't an assistant's is a call of the tool ``reply``; the assistant's next turn is its result.
+    """A user's turn is a call of the tool ``ask``, a system's one of ``instruct``, any other but an assistant's one of a tool that isn't known.
 
-    A call is identified by its turn and comes after the conversation's turn 0.
+    A call is identified by its turn and comes after the calls of the eight turns before it.
+    The assistant's turn is the result of the turn before it.  A text that is a JSON
+    object gives the arguments itself; else they are the text and the turn.
     """
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), "role", "text")
-    ident = F.concat(F.lit("turn_"), F.col("position").cast("string"))
-    arguments = F.to_json(F.struct("role", "text", F.col("position").alias("turn")), {"ignoreNullFields": "false"})
-    after = F.when(F.col("position") > 0, F.array(F.lit("turn_0"))).otherwise(F.array().cast("array<string>"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("position"), "role", "text")
+    ident = lambda turn: F.concat(F.lit("turn_"), turn.cast("string"))
+    made = F.to_json(F.struct("text", F.col("position").alias("turn")), {"ignoreNullFields": "false"})
+    arguments = F.when(F.col("text").rlike("^\\s*[{]") & F.json_object_keys("text").isNotNull(), F.col("text")).otherwise(made)
+    name = F.when(F.col("role") == "user", "ask").when(F.col("role") == "system", "instruct").otherwise(F.coalesce("role", F.lit("nobody")))
     asks = F.coalesce(F.col("role") != "assistant", F.lit(True))
-    calls = turns.where(asks).select("conv_id", ident.alias("call_id"), "position", F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after"))
-    before = F.concat(F.lit("turn_"), (F.col("position") - 1).cast("string"))
-    results = turns.where(~asks).select("conv_id", before.alias("call_id"), "position", F.col("text").alias("content"))
-    return tool_calls.link(calls, results, {"reply": REPLY})
+    calls = turns.where(asks).select("conv_id", ident(F.col("position")).alias("call_id"), "position", name.alias("name"), arguments.alias("arguments"))
+    after = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ident(F.col("position") - i))
+    calls = calls.withColumn("after", F.when(F.col("position").isNull(), F.array().cast("array<string>")).otherwise(after))
+    results = turns.where(~asks).select("conv_id", ident(F.col("position") - 1).alias("call_id"), "position", F.col("text").alias("content"))
+    return tool_calls.link(calls, results, TOOLS)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

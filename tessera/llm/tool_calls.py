@@ -2,9 +2,9 @@
 
 Messages carry an identifier within their conversation.  Results meet their calls
 by a hash join on (conversation, identifier).  Calls may name identifiers that
-they need (``after``); levels come from rounds of joins over all conversations at
-once (a round for each level), so no conversation is gathered in one task.  What
-is left when a round places nothing is in, or behind, a cycle and has no level.
+they need (``after``).  A conversation of bounded length is ordered within a task; a
+longer one in chunks of its positions, round by round (see ``levels``), so none is
+gathered in one task.  What is in, or behind, a cycle has no level.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import tables
 
+#: Calls of a conversation that are ordered in one task.
+CHUNK_ROWS = 20_000
 _TYPES = {
     "object": lambda v: isinstance(v, dict),
     "array": lambda v: isinstance(v, list),
@@ -81,7 +83,8 @@ def _serialise(schemas: dict[str, dict]):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                call = r["status"] != "no_call"
+                apart = r["status"] in ("repeated_call", "repeated_result", "no_identifier")
+                call = r["status"] not in ("no_call", "repeated_result") and not (apart and r["name"] is None and r["arguments"] is None)
                 value, errors = None, []
                 try:
                     value = json.loads(r["arguments"], parse_constant=_reject) if call else None
@@ -90,6 +93,8 @@ def _serialise(schemas: dict[str, dict]):
                     value, errors = r["arguments"], ["$: not JSON"]
                 if call and not errors:
                     errors = violations(value, schemas[r["name"]]) if r["name"] in schemas else ["$: no schema"]
+                if apart:
+                    errors = ["$: no identifier" if r["status"] == "no_identifier" else "$: repeated identifier", *errors]
                 record = {"call": {"arguments": value, "id": r["call_id"], "name": r["name"]} if call else None, "result": r["content"]}
                 rows.append({**{k: r[k] for k in ("conv_id", "call_id", "position", "name", "level", "status")}, "valid": call and not errors, "errors": errors, "json": canonical(record)})
             yield pa.RecordBatch.from_pylist(rows, out)
@@ -97,34 +102,104 @@ def _serialise(schemas: dict[str, dict]):
     return go
 
 
-def levels(calls: DataFrame) -> DataFrame:
+_EDGE = "conv_id long, chunk int, call_id string, need string, outside boolean, level long"
+_PLACED = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int32()), ("call_id", pa.string()), ("level", pa.int64())])
+_PLACED_DDL = "conv_id long, chunk int, call_id string, level long"
+
+
+def _place(rows: list[tuple]) -> list[tuple[str, int | None]]:
+    """Levels of one group's calls, from rows (call, need, outside, level of an outside need); null where a need has none."""
+    waits: dict[str, int] = {}
+    level: dict[str, int] = {}
+    users: dict[str, list[str]] = {}
+    for call, need, outside, known in rows:
+        waits.setdefault(call, 0)
+        if need is None:
+            continue
+        if outside and known is not None:
+            level[call] = max(level.get(call, 0), known + 1)
+            continue
+        waits[call] += 1
+        if not outside:
+            users.setdefault(need, []).append(call)
+    ready = [c for c, n in waits.items() if not n]
+    done = set(ready)
+    for c in ready:  # grows as calls become ready
+        level.setdefault(c, 0)
+        for u in users.get(c, ()):
+            level[u] = max(level.get(u, 0), level[c] + 1)
+            waits[u] -= 1
+            if not waits[u]:
+                done.add(u)
+                ready.append(u)
+    return [(c, level[c] if c in done else None) for c in waits]
+
+
+def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_place for each run of rows of one (conversation, chunk)."""
+    held: list[tuple] = []
+    group, out = None, []
+
+    def flush() -> None:
+        out.extend((*group, *x) for x in _place(held))
+        held.clear()
+
+    for b in batches:
+        for conv, chunk, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (conv, chunk) != group:
+                if held:
+                    flush()
+                group = (conv, chunk)
+            held.append(tuple(row))
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), _PLACED, strict=True)], schema=_PLACED)
+            out.clear()
+    if held:
+        flush()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), _PLACED, strict=True)], schema=_PLACED)
+
+
+def levels(calls: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(conv_id, call_id, level): 0 without needs, else one more than the highest need; null in or behind a cycle.
 
-    Needs that name no call of the conversation don't bind.
+    Needs that name no call of the conversation don't bind.  A conversation of up to
+    chunk_rows calls is ordered within a task; a longer one is cut by position into
+    chunks of about that many, which are ordered side by side, again for as long as
+    levels that crossed from one chunk to another placed something more.
     """
-    ids = calls.select("conv_id", "call_id")
-    needs = calls.select("conv_id", "call_id", F.explode("after").alias("need")).distinct()
-    needs = needs.join(ids.withColumnRenamed("call_id", "need"), ["conv_id", "need"])
-    open_ = needs.select("conv_id", "call_id").distinct()
-    placed = tables.written(ids.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "calls-placed")
-    needs, round_, parts = tables.written(needs, "calls-needs"), 0, [placed]
-    left = needs
-    while not left.isEmpty():
-        round_ += 1
-        done = placed.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("met"))
-        state = left.join(done, ["conv_id", "need"], "left")
-        ready = state.groupBy("conv_id", "call_id").agg(F.bool_and(F.coalesce("met", F.lit(False))).alias("ready")).where("ready").select("conv_id", "call_id")
-        fresh = tables.written(ready.withColumn("level", F.lit(round_).cast("long")), "calls-placed")
-        if fresh.isEmpty():
-            parts.append(left.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("long")))
-            break
-        parts.append(fresh)
-        placed = placed.unionByName(fresh)
-        left = tables.written(left.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "calls-needs")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    key = ["conv_id", "call_id"]
+    n = calls.groupBy("conv_id").agg(F.count("*").alias("n"), F.percentile_approx("position", [i / 64 for i in range(1, 64)], 1000).alias("cuts")).where(F.col("n") > chunk_rows)
+    # Of the 63 cuts between 64 parts, those between n / chunk_rows; a position that several cuts share is dealt among them by hash.
+    at = calls.join(n, "conv_id", "left").withColumn("k", F.least(F.lit(64), F.ceil(F.col("n") / chunk_rows)))
+    lower = F.size(F.filter("cuts", lambda c: c < F.col("position")))
+    upper = F.size(F.filter("cuts", lambda c: c <= F.col("position")))
+    part = lower + F.pmod(F.xxhash64("call_id"), upper - lower + 1)
+    at = at.withColumn("chunk", F.when(F.col("n").isNull(), 0).otherwise(F.floor(part * F.col("k") / 64)).cast("int")).withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    at = tables.written(at.select(*key, "chunk", "after"), "calls-chunks")
+    needs = at.select(*key, "chunk", F.explode("after").alias("need")).distinct()
+    needs = needs.join(at.select("conv_id", F.col("call_id").alias("need"), F.col("chunk").alias("at")), ["conv_id", "need"])
+    edges = at.select(*key, "chunk").join(needs.select(*key, "need", "at"), key, "left").select("conv_id", "chunk", "call_id", "need", F.coalesce(F.col("chunk") != F.col("at"), F.lit(False)).alias("outside"))
+    edges, placed, before = tables.written(edges, "calls-needs"), None, -1
+    while True:
+        rows = edges.withColumn("level", F.lit(None).cast("long"))
+        if placed is not None:
+            known = placed.where("level is not null").select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("outside"), "level")
+            rows = edges.join(known, ["conv_id", "need", "outside"], "left").select(*edges.columns, "level")
+        fresh = tables.written(rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk").mapInArrow(_order, _PLACED_DDL), "calls-placed")
+        now = fresh.where("level is not null").count()
+        tables.remove(placed)
+        placed = fresh
+        if now == before or edges.where("outside").isEmpty():
+            return placed.select(*key, "level")
+        before = now
+
+
+def _first(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """With the column repeated: whether another row of the same (conv_id, call_id) comes first, by order."""
+    rows = tables.written(df.withColumn("uid", F.monotonically_increasing_id()), name)
+    first = rows.groupBy("conv_id", "call_id").agg(F.min(F.struct(*order, "uid")).alias("m")).select("conv_id", "call_id", F.col("m.uid").alias("first"))
+    return rows.join(first, ["conv_id", "call_id"], "left").withColumn("repeated", F.col("uid") != F.col("first")).drop("uid", "first")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -137,18 +212,24 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     every call behind what it needs.
 
     If an identifier repeats within a conversation, the call, and the result, of
-    the smallest position count (of equal positions, the smaller texts).  Rows of
-    null conv_id or call_id take no part.  Null arguments aren't JSON; a null
-    result is linked as null.
+    the smallest position count (of equal positions, the smaller texts); the others are
+    rows of status repeated_call and repeated_result, not valid and without level, as are
+    rows of null conv_id or call_id (no_identifier).  Null arguments aren't JSON; a null
+    result is linked as null.  Columns other than those named don't matter.
     """
     key = ["conv_id", "call_id"]
-    sound = "conv_id is not null and call_id is not null"
+    sound = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    c = calls.select(*key, F.col("position").cast("long").alias("position"), "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
+    r = results.select(*key, F.col("position").cast("long").alias("r_position"), "content")
     # Positions, then texts: a struct of nullable columns orders nulls first.
-    one = lambda df, cols: df.where(sound).groupBy(*key).agg(F.min(F.struct(*cols)).alias("m")).select(*key, "m.*")
-    c = one(calls.select(*key, F.col("position").cast("long").alias("position"), "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after")), ["position", "name", "arguments", "after"])
-    c = tables.written(c, "calls")
-    r = one(results.select(*key, F.col("position").cast("long").alias("r_position"), "content"), ["r_position", "content"]).withColumn("has_result", F.lit(True))
-    both = c.drop("after").withColumn("has_call", F.lit(True)).join(r, key, "full").join(levels(c), key, "left")
+    cs, rs = _first(c.where(sound), ["position", "name", "arguments", "after"], "calls"), _first(r.where(sound), ["r_position", "content"], "results")
+    c1 = cs.where("not repeated").drop("repeated")
+    both = c1.drop("after").withColumn("has_call", F.lit(True)).join(rs.where("not repeated").drop("repeated").withColumn("has_result", F.lit(True)), key, "full").join(levels(c1), key, "left")
     status = F.when(F.col("has_call").isNull(), "no_call").when(F.col("has_result").isNull(), "no_result").otherwise("linked")
-    rows = both.select(*key, F.coalesce("position", "r_position").alias("position"), "name", "level", status.alias("status"), "arguments", "content")
+    names = [*key, "position", "name", "level", "status", "arguments", "content"]
+    rows = both.withColumn("position", F.coalesce("position", "r_position")).withColumn("status", status).select(names)
+    none = lambda kind: F.lit(None).cast(kind)
+    for df, at, status in ((cs.where("repeated"), "position", "repeated_call"), (rs.where("repeated"), "r_position", "repeated_result"), (c.where(~sound), "position", "no_identifier"), (r.where(~sound), "r_position", "no_identifier")):
+        call = at == "position"
+        rows = rows.unionByName(df.select(*key, F.col(at).alias("position"), F.col("name") if call else none("string").alias("name"), none("long").alias("level"), F.lit(status).alias("status"), F.col("arguments") if call else none("string").alias("arguments"), none("string").alias("content") if call else F.col("content")))
     return rows.mapInArrow(_serialise(schemas), "conv_id long, call_id string, position long, name string, level long, status string, valid boolean, errors array<string>, json string")

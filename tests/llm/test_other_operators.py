@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,38 @@ def test_extraction(spark):
     assert out[1]["n_chars"] == len(out[1]["text"]) and out[2]["text"] == out[3]["text"] == ""
 
 
+def test_blocks_of_pages_written_by_hand():
+    """What the parser cuts a page into: text and characters within links."""
+    cut = lambda page: [(t, n) for _, t, n in html_extract.blocks(page)]
+    assert cut("<p>a<p>b<ul><li>c<li><a href=x>d</a>e</ul>") == [("a", 0), ("b", 0), ("c", 0), ("de", 1)]
+    assert cut("x<!-- <p>no</p> -->y<!doctype z><br>w") == [("xy w", 0)]
+    assert cut("<div title='a>b' class=\"q\">1 < 2 &lt; 3</div") == [("1 < 2 < 3", 0)]
+    assert cut("<script>if (a<b) '<p>'</SCRIPT >t<style>u") == [("t", 0)]
+    assert cut("<p>one</b></div>two</i></p>three<a>four<span>five</a>six") == [("one", 0), ("two", 0), ("threefourfivesix", 8)]
+    assert cut("<p>\u00a0 x\n\ty &amp;amp; z</p><p> </p>") == [("x y &amp; z", 0)]
+    assert cut("") == cut("<div><p></p></div>") == cut("<!-- never closed") == []
+    assert cut("a <b c='") == [("a", 0)] and cut("a <3 <") == [("a <3 <", 0)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, '<a b="c" ' * 110_000, "".join(f"<div class='c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}'>t" for i in range(30_000)), "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<!" * 500_000, "<a '\"'>" * 100_000, "<div>" * 80_000 + "</p>" * 120_000, "word " * 200_000])
+def test_long_and_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_extract.main_text(html_extract.Labeller(), [page])
+    assert time.process_time() - began < 8
+
+
+def test_extraction_of_nothing_repeated_rows_and_clash(spark):
+    net = html_extract.Labeller()
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract(none, net).count() == 0
+    assert isinstance(html_extract.train(none), html_extract.Labeller)
+    rows = [(1, "u", "<p>" + "long text " * 30_000 + "</p>"), (1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), net).collect()
+    assert len(out) == 4 and all(x["n_chars"] == len(x["text"]) for x in out)
+    with pytest.raises(ValueError):
+        html_extract.extract(none.withColumnRenamed("url", "text"), net, carry=("page_id", "text"))
+
+
 CALL = "conv_id long, call_id string, position long, name string, arguments string, after array<string>"
 
 
@@ -204,8 +237,10 @@ def test_tool_calls(spark):
     results = [(1, "a", 5, "3"), (1, "a", 6, "4"), (1, "zz", 7, "lost"), (2, "a", 1, None)]
     schema = {"type": "object", "required": ["x", "y"], "additionalProperties": False, "properties": {"x": {"type": "number"}, "y": {"type": "number"}}}
     out = tool_calls.link(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, "conv_id long, call_id string, position long, content string"), {"add": schema}).collect()
-    got = {(r["conv_id"], r["call_id"]): r for r in out}
-    assert len(out) == len(got) == 7
+    apart = {(r["conv_id"], r["call_id"], r["position"], r["status"], *r["errors"]) for r in out if r["status"].startswith("repeated") or r["status"] == "no_identifier"}
+    assert apart == {(1, "a", 9, "repeated_call", "$: repeated identifier"), (1, "a", 6, "repeated_result", "$: repeated identifier"), (None, "a", 0, "no_identifier", "$: no identifier", "$.x: missing", "$.y: missing")}
+    got = {(r["conv_id"], r["call_id"]): r for r in out if r["status"] in ("linked", "no_result", "no_call")}
+    assert len(out) == len(got) + 3 == 10
     assert {k[1]: r["level"] for k, r in got.items() if k[0] == 1} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None, "zz": None}
     assert got[1, "a"]["json"] == '{"call":{"arguments":{"x":1,"y":2},"id":"a","name":"add"},"result":"3"}'
     assert [got[1, k]["valid"] for k in "abcde"] == [True, False, False, False, False]
@@ -214,6 +249,39 @@ def test_tool_calls(spark):
     assert all(json.loads(r["json"]) is not None for r in out)
 
 
+def brute_levels(calls):
+    """Longest chain of needs of each call; None in or behind a cycle."""
+    ids = {(c, i) for c, i, *_ in calls}
+    needs = {(c, i): {(c, n) for n in after if (c, n) in ids} for c, i, _, after in calls}
+    level = {}
+    for _ in range(len(ids) + 1):
+        level.update({k: max((level[n] + 1 for n in v), default=0) for k, v in needs.items() if k not in level and all(n in level for n in v)})
+    return {k: level.get(k) for k in ids}
+
+
+@pytest.mark.parametrize("rows", [20_000, 7])
+def test_levels_equal_brute_force(spark, rows):
+    """Whole conversations, and ones in chunks: chains, forward needs, cycles, equal positions."""
+    r = random.Random(8)
+    calls = [(1, f"c{i}", i, [f"c{i - 1}"]) for i in range(60)]
+    calls += [(2, f"c{i}", r.randrange(40), [f"c{r.randrange(i)}" for _ in range(r.randint(0, 3))] if i else []) for i in range(50)]
+    calls += [(3, f"c{i}", 5, [f"c{i + 1}"]) for i in range(30)]
+    calls += [(4, f"c{i}", None if i % 5 == 0 else i, [f"c{r.randrange(40)}"]) for i in range(40)] + [(5, "x", 0, ["x"]), (5, "y", 1, []), (6, "z", 0, ["none"])]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, position long, after array<string>").repartition(3)
+    got = {(x["conv_id"], x["call_id"]): x["level"] for x in tool_calls.levels(df, rows).collect()}
+    assert got == brute_levels(calls)
+
+
+def test_tool_calls_of_nothing_equal_positions_and_clash(spark):
+    none = spark.createDataFrame([], CALL)
+    results = spark.createDataFrame([], "conv_id long, call_id string, position long, content string")
+    assert tool_calls.link(none, results, {}).count() == 0
+    calls = spark.createDataFrame([(1, "a", 0, "t", '{"k":1}', []), (1, "a", 0, "t", '{"k":1}', []), (1, "a", 0, "s", "{}", None)], CALL).withColumn("level", F.lit(9)).withColumn("status", F.lit("x"))
+    out = tool_calls.link(calls, results, {}).collect()
+    assert sorted((x["name"], x["status"], x["level"]) for x in out if x["level"] is not None) == [("s", "no_result", 0)]
+    assert sorted((x["name"], x["status"]) for x in out) == [("s", "no_result"), ("t", "repeated_call"), ("t", "repeated_call")]
+
+
 @pytest.mark.parametrize("value,schema,n", [([1, 2], {"type": "array", "items": {"type": "string"}}, 2), ("ab", {"pattern": "^a", "maxLength": 1}, 1), (3, {"enum": [1, 2]}, 1), (True, {"type": "integer"}, 1), (2.0, {"type": "integer"}, 0)])
 def test_schema_keywords(value, schema, n):
     assert len(tool_calls.violations(value, schema)) == n
