@@ -13,19 +13,13 @@ def counts(claims: DataFrame, key: str) -> DataFrame:
 
 
 def stats(entities: DataFrame, claims: DataFrame, prov: DataFrame) -> DataFrame:
-    theory = claims.where("predicate = 'TheoryOf'").groupBy("object").count().where("count >= 2")
-    rows = [
-        entities.agg(F.count("*").alias("n")).withColumn("stat", F.lit("entities")),
-        claims.agg(F.count("*").alias("n")).withColumn("stat", F.lit("claims")),
-        prov.agg(F.count("*").alias("n")).withColumn("stat", F.lit("provenance")),
-        entities.select("file").union(claims.select("file")).agg(F.countDistinct("file").alias("n")).withColumn("stat", F.lit("files")),
-        claims.where("predicate = 'Disputes'").agg(F.count("*").alias("n")).withColumn("stat", F.lit("disputes")),
-        theory.agg(F.count("*").alias("n")).withColumn("stat", F.lit("contested")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("stat", "n")
+    """Counts by name, from one pass over each relation."""
+    theory = claims.where("predicate = 'TheoryOf'").groupBy("object").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") >= 2).alias("contested"))
+    c = claims.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("predicate") == "Disputes").alias("d")).select("file", F.lit(0).alias("e"), "n", "d")
+    e = entities.groupBy("file").agg(F.count("*").alias("e")).select("file", "e", F.lit(0).alias("n"), F.lit(0).alias("d"))
+    both = c.union(e).agg(F.sum("e").alias("entities"), F.sum("n").alias("claims"), F.sum("d").alias("disputes"), F.countDistinct("file").alias("files"))
+    rows = [both.select(F.expr("stack(4, 'entities', coalesce(entities, 0), 'claims', coalesce(claims, 0), 'files', files, 'disputes', coalesce(disputes, 0)) as (stat, n)")), prov.agg(F.count("*").alias("n")).select(F.lit("provenance").alias("stat"), "n"), theory.select(F.lit("contested").alias("stat"), F.col("contested").alias("n"))]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def contested(claims: DataFrame, predicate: str, k: int) -> DataFrame:
@@ -42,7 +36,11 @@ def contested_concepts(claims: DataFrame, predicate: str) -> DataFrame:
 def file_balance(entities: DataFrame) -> DataFrame:
     """Entities per file against the upper median: small, large or ok."""
     g = entities.groupBy("file").agg(F.count("*").alias("n"))
-    med = g.agg(F.array_sort(F.collect_list("n")).alias("a")).select(F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("median"))
+    # The upper median from the counts of counts, which are few.
+    sizes = g.groupBy("n").agg(F.count("*").alias("files"))
+    below = sizes.select("n", F.sum("files").over(Window.orderBy("n")).alias("upto"))
+    total = g.agg(F.floor(F.count("*") / 2).alias("half"))
+    med = below.join(F.broadcast(total), F.col("upto") > F.col("half")).agg(F.min("n").alias("median"))
     kind = F.when((F.col("n") <= 2) & (F.col("median") > 5), "small").when((F.col("n") > 3 * F.col("median")) & (F.col("n") > 20), "large").otherwise("ok")
     return g.join(F.broadcast(med), F.lit(True)).select("file", "n", "median", kind.alias("kind"))
 
@@ -69,7 +67,7 @@ def value_conflicts(claims: DataFrame, *functional: str) -> DataFrame:
 
 
 def duplicate_ids(entities: DataFrame) -> DataFrame:
-    return entities.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    return entities.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def dangling(claims: DataFrame, entities: DataFrame) -> DataFrame:
@@ -103,12 +101,6 @@ def uncontested(claims: DataFrame) -> DataFrame:
     return p.join(claims.where("predicate = 'Disputes'").select("object"), "object", "left_anti")
 
 
-def thin_provenance(claims: DataFrame, prov: DataFrame) -> DataFrame:
-    """Claims of each predicate, and how many of them cite a quote; for files see thin_files."""
-    c = claims.join(prov.select(F.col("var_name").alias("prov_ref"), (F.length("quote") > 0).alias("q")), "prov_ref", "left")
-    return c.groupBy("predicate").agg(F.count_if(F.coalesce("q", F.lit(False))).alias("n_quoted"), F.count("*").alias("n_claims"))
-
-
 def thin_files(claims: DataFrame, prov: DataFrame) -> DataFrame:
     """Files none of whose claims cite a quote, with their number of claims."""
     quoted = prov.where(F.length("quote") > 0).select(F.col("var_name").alias("prov_ref"), F.lit(1).alias("q")).distinct()

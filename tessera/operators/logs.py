@@ -50,7 +50,7 @@ def best_resolution(cycles: DataFrame) -> DataFrame:
 
 def auto_resolve(cycles: DataFrame) -> DataFrame:
     g = cycles.groupBy("hypothesis").agg(F.count_if(F.col("papers_found") > 0).alias("signal"), F.count_if(F.col("resolution") == "").alias("open"), F.count_if(_IS("corroborated", "challenged")).alias("settled"))
-    return g.where("signal >= 3 and open >= 1 and settled <= 20").select("hypothesis", "signal", "open")
+    return g.where("signal >= 3 and open >= 1 and settled = 0").select("hypothesis", "signal", "open")
 
 
 def trend(cycles: DataFrame) -> DataFrame:
@@ -86,7 +86,8 @@ def survivorship(cycles: DataFrame) -> DataFrame:
 
 
 def availability(prov: DataFrame) -> DataFrame:
-    g = prov.groupBy(X.classify_origin(F.col("origin")).alias("c"), "origin").agg(F.count("*").alias("n"))
+    """Concentration (sum of squared shares) over the kinds of sources."""
+    g = prov.groupBy(X.classify_origin(F.col("origin")).alias("c")).agg(F.count("*").alias("n"))
     t = g.agg(F.sum("n").alias("t"))
     v = F.sum(F.pow(F.col("n") / F.col("t"), 2))
     return g.join(F.broadcast(t), F.lit(True)).agg(F.lit("AvailabilityHeuristic").alias("bias"), F.round(v, 6).alias("value"), (v > 0.25).alias("triggered"))

@@ -20,17 +20,25 @@ def edge_weights(sig: DataFrame) -> DataFrame:
     return sig.groupBy("edge").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("edge", F.log1p(F.col("total") / F.col("df")).alias("idf"), "df")
 
 
-def candidates(claims: DataFrame, entities: DataFrame, min_shared: int, min_coefficient: float, min_weight: float, containment: bool = False) -> DataFrame:
-    """Pairs a < b of one role that share enough edges, by an edge-keyed self-join.
+def candidates(claims: DataFrame, entities: DataFrame, min_shared: int, min_coefficient: float, min_weight: float) -> DataFrame:
+    """Pairs a < b of one role that share enough edges.
 
-    An edge of one entity alone joins nothing and is dropped before the shuffle.
+    An entity of s edges must share max(min_shared, c s) of them, so a pair meets in
+    the s + 1 - that rarest edges of both (by number of entities, then name).  Only these are
+    joined, with the bound that the sizes set; the pairs that meet are counted on all
+    their edges.  An edge of one entity alone meets nothing and isn't shuffled.
     """
     sig = signatures(claims)
-    size = sig.groupBy("entity").agg(F.count("*").alias("size"))
-    w = edge_weights(sig).where("df > 1")
-    own = sig.join(w, "edge").join(size.where(F.col("size") >= min_shared), "entity").join(entities.select(F.col("var_name").alias("entity"), "role_type"), "entity")
-    a, b = (own.select("edge", "role_type", F.col("entity").alias(x), F.col("size").alias("s" + x), F.col("idf").alias("w" + x)) for x in ("a", "b"))
-    pair = a.join(b, ["edge", "role_type"]).where("a < b").groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("shared"), F.sum("wa").alias("weight"))
-    base = F.least("sa", "sb") if containment else F.greatest("sa", "sb")
-    out = pair.withColumn("coefficient", F.col("shared") / base)
+    w = edge_weights(sig)
+    own = sig.join(w, "edge").groupBy("entity").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("df", "edge", "idf"))).alias("edges")).where(F.col("size") >= min_shared)
+    own = own.join(entities.select(F.col("var_name").alias("entity"), "role_type"), "entity")
+    least = F.greatest(F.lit(min_shared), F.ceil(F.col("size") * min_coefficient - 1e-9).cast("int"))
+    rare = own.select("entity", "role_type", "size", F.explode(F.filter(F.slice("edges", 1, F.col("size").cast("int") + 1 - least), lambda e: e["df"] > 1)).alias("e")).select("entity", "role_type", "size", "e.edge")
+    a, b = (rare.select("edge", "role_type", F.col("entity").alias(x), F.col("size").alias("s" + x)) for x in "ab")
+    near = F.least("sa", "sb") >= F.greatest("sa", "sb") * min_coefficient - 1e-9
+    met = a.join(b, ["edge", "role_type"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    kept = own.select("entity", "size", "edges")
+    both = met.join(kept.select(F.col("entity").alias("a"), F.col("size").alias("sa"), F.col("edges").alias("ea")), "a").join(kept.select(F.col("entity").alias("b"), F.col("size").alias("sb"), F.col("edges").alias("eb")), "b")
+    common = F.array_intersect("ea", "eb")
+    out = both.select("a", "b", F.greatest("sa", "sb").alias("base"), common.alias("common")).select("a", "b", F.size("common").cast("long").alias("shared"), (F.size("common") / F.col("base")).alias("coefficient"), F.aggregate("common", F.lit(0.0), lambda s, e: s + e["idf"]).alias("weight"))
     return out.where((F.col("shared") >= min_shared) & (F.col("coefficient") >= min_coefficient) & (F.col("weight") >= min_weight)).select("a", "b", "shared", F.round("coefficient", 6).alias("coefficient"), F.round("weight", 6).alias("weight"))

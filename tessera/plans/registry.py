@@ -18,7 +18,6 @@ from ..sources.views import oracle_ctes, table, view
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_PLANS: dict[str, Callable[[_Views], DataFrame]] = {}
 
 _LOWER_TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) >= 2)"
 _ENDS = "SELECT subject AS entity, var_name AS claim, CASE WHEN object IS NULL THEN 'unary' ELSE 'subject' END AS role FROM claims UNION ALL SELECT object, var_name, 'object' FROM claims WHERE object IS NOT NULL"
@@ -30,20 +29,18 @@ _TERMS = ["the", "of", "la", "de", "the"]
 class _Views:
     """Relations of one input, made when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name, self.whole)
+        return view(self.spark, self.sf_dir, name)
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
 
 def _add(name: str, plan: Callable[[_Views], DataFrame], sql: str | None) -> None:
-    """A query without an oracle reads the whole relations."""
-    _PLANS[name] = plan
-    _QUERIES[name] = lambda spark, sf_dir: plan(_Views(spark, sf_dir, sql is None))
+    _QUERIES[name] = lambda spark, sf_dir: plan(_Views(spark, sf_dir))
     if sql is not None:
         _ORACLES[name] = sql if sql.lstrip().upper().startswith("WITH") else f"{oracle_ctes()} {sql}"
 
@@ -67,7 +64,7 @@ _add("a10_def_set", lambda v: v.claims.join(v.entities.where("role_type = 'Organ
 _add("a14_roles", lambda v: v.entities.select("role_type").distinct(), "SELECT DISTINCT role_type FROM entities")
 _add("a19_pivot_entities", lambda v: v.entities.select("var_name", F.explode(F.map_from_arrays(F.array(F.lit("Name"), F.lit("Brief")), F.array("name", "brief"))).alias("field", "value")).groupBy("var_name").agg(F.max(F.when(F.col("field") == "Name", F.col("value"))).alias("name"), F.max(F.when(F.col("field") == "Brief", F.col("value"))).alias("brief")), "SELECT var_name, name, brief FROM entities")
 _add("a22_edges", lambda v: v.claims.where("object is not null").select("predicate", "subject", "object"), "SELECT predicate, subject, object FROM claims WHERE object IS NOT NULL")
-_add("a23_provenance_by_file", lambda v: v.provenance.groupBy("file").agg(F.bool_or(F.length("quote") > 0).alias("has_quote"), F.max("origin").alias("origin")), "SELECT file, bool_or(length(quote) > 0) AS has_quote, max(origin) AS origin FROM provenance GROUP BY file")
+_add("a23_provenance_by_file", lambda v: v.provenance.groupBy("file").agg(F.bool_or(F.length("quote") > 0).alias("has_quote"), F.max_by("origin", F.when(F.col("origin") != "", F.substring("var_name", 2, 20).cast("long"))).alias("origin")), "SELECT file, bool_or(length(quote) > 0) AS has_quote, max_by(origin, var_name[2:]::BIGINT) FILTER (origin <> '') AS origin FROM provenance GROUP BY file")
 _add("a28_recent_events", lambda v: v.cycles.orderBy(F.desc("ts"), F.desc("pos")).limit(25).select("pos", "hypothesis"), "SELECT pos, hypothesis FROM cycles ORDER BY ts DESC, pos DESC LIMIT 25")
 _add("a29_quota", lambda v: R.quota(v.cycles, "resolution", ["pos"], 5).select("pos", "resolution"), "SELECT pos, resolution FROM cycles QUALIFY row_number() OVER (PARTITION BY resolution ORDER BY pos) <= 5")
 _add("a41_metadata", lambda v: v.entities.groupBy("role_type").agg(F.count("*").alias("n"), F.count_if(F.col("brief") != "").alias("n_briefs")), "SELECT role_type, count(*) AS n, count(*) FILTER (brief <> '') AS n_briefs FROM entities GROUP BY 1")
@@ -99,7 +96,7 @@ _add("h4_file_balance", lambda v: I.file_balance(v.entities), "SELECT file, n, m
 _add("h5_provenance_split", lambda v: I.provenance_split(v.claims, v.provenance), "SELECT lower(trim(origin)) AS origin, count(DISTINCT c.file) AS n_files FROM claims c JOIN provenance p ON p.var_name = c.prov_ref GROUP BY 1 HAVING n_files > 1")
 _add("h6_brief_quality", lambda v: I.brief_quality(v.entities), "SELECT var_name, CASE WHEN strlen(brief) = 0 THEN 'missing' WHEN strlen(brief) < 20 THEN 'short' WHEN strlen(brief) > 300 THEN 'long' ELSE 'ok' END AS kind FROM entities")
 _add("h11_sources", lambda v: v.provenance.agg(F.countDistinct("origin").alias("n")), "SELECT count(DISTINCT origin) AS n FROM provenance")
-_add("h14_claims_by_predicate", lambda v: v.claims.where("subject like 'S%'").groupBy("subject", "predicate").agg(F.array_join(F.array_sort(F.collect_list("var_name")), ",").alias("names")), "SELECT subject, predicate, string_agg(var_name, ',' ORDER BY var_name) AS names FROM claims WHERE subject LIKE 'S%' GROUP BY 1, 2")
+_add("h14_claims_by_predicate", lambda v: v.claims.groupBy("subject", "predicate").agg(F.array_join(F.array_sort(F.collect_list("var_name")), ",").alias("names")), "SELECT subject, predicate, string_agg(var_name, ',' ORDER BY var_name) AS names FROM claims GROUP BY 1, 2")
 _add("h16_accuracy", lambda v: v.table("labels").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(F.col("toxic").cast("double")), 6).alias("accuracy")), "SELECT quality, count(*) AS n, round(avg(toxic), 6) AS accuracy FROM labels GROUP BY 1")
 _add("h17_starved", lambda v: v.cycles.groupBy("hypothesis").agg(F.count_if(F.col("papers_found") == 0).alias("starved"), F.count_if(F.col("resolution") == "").alias("open")), "SELECT hypothesis, count(*) FILTER (papers_found = 0) AS starved, count(*) FILTER (resolution = '') AS open FROM cycles GROUP BY 1")
 
@@ -107,9 +104,9 @@ _add("h17_starved", lambda v: v.cycles.groupBy("hypothesis").agg(F.count_if(F.co
 _add("i2_orphans", lambda v: I.orphans(v.entities, v.claims), f"SELECT var_name, role_type FROM entities WHERE var_name NOT IN (SELECT entity FROM ({_ENDS}))")
 _add("i3_value_conflict", lambda v: I.value_conflicts(v.claims, "FormedAt"), "SELECT predicate, subject, count(*) AS n_claims, count(DISTINCT object) AS n_objects FROM claims WHERE predicate = 'FormedAt' GROUP BY 1, 2 HAVING n_claims >= 2 AND n_objects >= 2")
 _add("i4_contested_concept", lambda v: I.contested_concepts(v.claims, "TheoryOf"), "SELECT object, string_agg(DISTINCT subject, ',' ORDER BY subject) AS subjects FROM claims WHERE predicate = 'TheoryOf' GROUP BY 1 HAVING count(DISTINCT subject) >= 2")
-_add("i10_lexicon_fence", lambda v: I.lexicon_fence(v.provenance, "(?i)\\blex-[0-9]{3,4}\\b|\\bthe the\\b"), "SELECT var_name, origin FROM provenance WHERE regexp_matches(quote, '(?i)\\blex-[0-9]{3,4}\\b|\\bthe the\\b') OR regexp_matches(origin, '(?i)\\blex-[0-9]{3,4}\\b|\\bthe the\\b')")
+_add("i10_lexicon_fence", lambda v: I.lexicon_fence(v.provenance, "(?i)\\blex-[0-9]{3,4}\\b|\\blexicon:"), "SELECT var_name, origin FROM provenance WHERE regexp_matches(quote, '(?i)\\blex-[0-9]{3,4}\\b|\\blexicon:') OR regexp_matches(origin, '(?i)\\blex-[0-9]{3,4}\\b|\\blexicon:')")
 _add("i15_missing_brief", lambda v: v.entities.where("brief = ''").select("var_name"), "SELECT var_name FROM entities WHERE brief = ''")
-_add("i16_duplicate_names", lambda v: I.duplicate_ids(v.entities), "SELECT name, count(*) AS n FROM entities GROUP BY 1 HAVING count(*) > 1")
+_add("i16_duplicate_ids", lambda v: I.duplicate_ids(v.entities), "SELECT id, count(*) AS n FROM entities GROUP BY 1 HAVING count(*) > 1")
 _add("i18_dangling", lambda v: I.dangling(v.claims, v.entities), f"SELECT claim, entity, role FROM ({_ENDS}) WHERE entity NOT IN (SELECT var_name FROM entities)")
 _add("i20_slots", lambda v: I.slot_mismatch(v.claims, v.entities, {"LocatedIn": ("Organization", "Place"), "TheoryOf": ("Organization", "Entity")}), "SELECT c.var_name, s.role_type AS rs, o.role_type AS ro FROM claims c JOIN entities s ON s.var_name = c.subject JOIN entities o ON o.var_name = c.object WHERE (predicate = 'LocatedIn' AND (s.role_type <> 'Organization' OR o.role_type <> 'Place')) OR (predicate = 'TheoryOf' AND s.role_type <> 'Organization')")
 
@@ -117,7 +114,7 @@ _add("i20_slots", lambda v: I.slot_mismatch(v.claims, v.entities, {"LocatedIn":
 _SIG = "sig AS (SELECT entity, edge, count(*) AS n FROM (SELECT subject AS entity, predicate || '|out|' || coalesce(object, '') AS edge FROM claims UNION ALL SELECT object, predicate || '|in|' || subject FROM claims WHERE object IS NOT NULL) GROUP BY 1, 2), size AS (SELECT entity, count(*) AS size FROM sig GROUP BY 1), w AS (SELECT edge, count(*) AS df, ln(1 + (SELECT count(*) FROM size) / count(*)) AS idf FROM sig GROUP BY 1)"
 _add("d1_signatures", lambda v: D.signatures(v.claims), _more(_SIG, "SELECT entity, edge, n FROM sig"))
 _add("d2_edge_idf", lambda v: D.edge_weights(D.signatures(v.claims)).select("edge", F.round("idf", 6).alias("idf")), _more(_SIG, "SELECT edge, round(idf, 6) AS idf FROM w"))
-_add("d5_candidates", lambda v: D.candidates(v.claims, v.entities, 2, 0.2, 2.0), _more(_SIG, "SELECT x.entity AS a, y.entity AS b, count(*) AS shared, round(count(*) / greatest(any_value(sx.size), any_value(sy.size)), 6) AS coefficient, round(sum(idf), 6) AS weight FROM sig x JOIN sig y ON x.edge = y.edge AND x.entity < y.entity JOIN w ON w.edge = x.edge JOIN size sx ON sx.entity = x.entity JOIN size sy ON sy.entity = y.entity JOIN entities ex ON ex.var_name = x.entity JOIN entities ey ON ey.var_name = y.entity WHERE ex.role_type = ey.role_type GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) / greatest(any_value(sx.size), any_value(sy.size)) >= 0.2 AND sum(idf) >= 2.0"))
+_add("d5_candidates", lambda v: D.candidates(v.claims, v.entities, 2, 0.6, 8.0), _more(_SIG, "SELECT x.entity AS a, y.entity AS b, count(*) AS shared, round(count(*) / greatest(any_value(sx.size), any_value(sy.size)), 6) AS coefficient, round(sum(idf), 6) AS weight FROM sig x JOIN sig y ON x.edge = y.edge AND x.entity < y.entity JOIN w ON w.edge = x.edge JOIN size sx ON sx.entity = x.entity JOIN size sy ON sy.entity = y.entity JOIN entities ex ON ex.var_name = x.entity JOIN entities ey ON ey.var_name = y.entity WHERE ex.role_type = ey.role_type GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) / greatest(any_value(sx.size), any_value(sy.size)) >= 0.6 AND sum(idf) >= 8.0"))
 _add("d11_pair_key", lambda v: v.claims.where("object is not null").select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).distinct(), "SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM claims WHERE object IS NOT NULL")
 _add("d12_first_of_key", lambda v: R.quota(v.cycles, "hypothesis", ["ts", "pos"], 1).select("pos", "hypothesis"), "SELECT pos, hypothesis FROM cycles QUALIFY row_number() OVER (PARTITION BY hypothesis ORDER BY ts, pos) = 1")
 
@@ -137,15 +134,14 @@ _add("r15_history_bucket", lambda v: L.best_resolution(v.cycles).select("hypothe
 _add("r20_seeded_sample", lambda v: v.entities.orderBy(F.md5("var_name"), "var_name").limit(40).select("var_name"), "SELECT var_name FROM entities ORDER BY md5(var_name), var_name LIMIT 40")
 
 # Graph
-_hub = lambda v: v.claims.where(F.col("predicate") == "TheoryOf")
-_HADJ = "h AS (SELECT subject AS u, object AS v FROM claims WHERE predicate = 'TheoryOf' UNION SELECT object, subject FROM claims WHERE predicate = 'TheoryOf'), reach AS (SELECT DISTINCT u, u AS v FROM h UNION SELECT reach.u, h.v FROM reach JOIN h ON h.u = reach.v), comp AS (SELECT u AS node, min(v) AS component FROM reach GROUP BY 1)"
+_HADJ = f"h AS ({_ADJ}), comp(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM h UNION (SELECT DISTINCT ON (a.node) a.node, b.component FROM recurring.comp a JOIN h ON h.u = a.node JOIN comp b ON b.node = h.v WHERE b.component < a.component ORDER BY a.node, b.component))"
 _add("g1_adjacency", lambda v: G.adjacency(v.claims), f"SELECT u, v FROM ({_ADJ})")
 _add("g2_edges", lambda v: G.edge_count(v.claims), f"SELECT count(*) // 2 AS n_edges FROM ({_ADJ})")
-_add("g3_components", lambda v: G.components(_hub(v)), _more(_HADJ, "SELECT node, component FROM comp"))
-_add("g4_component_sizes", lambda v: G.component_sizes(_hub(v)), _more(_HADJ, "SELECT component, count(*) AS size FROM comp GROUP BY 1"))
+_add("g3_components", lambda v: G.components(v.claims), _more(_HADJ, "SELECT node, component FROM comp"))
+_add("g4_component_sizes", lambda v: G.component_sizes(v.claims), _more(_HADJ, "SELECT component, count(*) AS size FROM comp GROUP BY 1"))
 _add("g5_single_source", lambda v: I.single_source(v.claims, "Proposes"), "SELECT object FROM claims WHERE predicate = 'Proposes' GROUP BY 1 HAVING count(*) = 1")
 _add("g6_uncontested", lambda v: I.uncontested(v.claims), "SELECT object FROM claims WHERE predicate = 'Proposes' EXCEPT SELECT object FROM claims WHERE predicate = 'Disputes'")
-_add("g7_thin_provenance", lambda v: I.thin_provenance(v.claims, v.provenance), "SELECT predicate, count(*) FILTER (length(quote) > 0) AS n_quoted, count(*) AS n_claims FROM claims c LEFT JOIN provenance p ON p.var_name = c.prov_ref GROUP BY 1")
+_add("g7_thin_provenance", lambda v: I.thin_files(v.claims, v.provenance), "SELECT file, count(*) AS n_claims FROM claims c LEFT JOIN (SELECT DISTINCT var_name FROM provenance WHERE length(quote) > 0) p ON p.var_name = c.prov_ref GROUP BY 1 HAVING count(p.var_name) = 0")
 _add("g8_bridges", lambda v: G.articulation(v.claims, count_singletons=False), None)
 _add("g9_concentration", lambda v: I.degree_outliers(v.claims), f"SELECT entity, degree FROM (SELECT entity, count(*) AS degree FROM ({_ENDS}) GROUP BY 1) WHERE degree >= (SELECT greatest(5, avg(d) + 2 * stddev_pop(d)) FROM (SELECT count(*) AS d FROM ({_ENDS}) GROUP BY entity))")
 _add("g10_thin_contested", lambda v: I.contested(v.claims, "TheoryOf", 2).where("n_subjects = 2").select("object"), "SELECT object FROM claims WHERE predicate = 'TheoryOf' GROUP BY 1 HAVING count(DISTINCT subject) = 2")
@@ -153,14 +149,14 @@ _add("g11_support", lambda v: G.support_edges(v.claims), "SELECT object, CASE WH
 _add("g14_label_propagation", lambda v: G.label_propagation(v.claims), None)
 _add("g16_articulation", lambda v: G.articulation(v.claims), None)
 _add("g18_walk", lambda v: G.walk(v.claims, "S1"), None)
-_add("g20_two_hops", lambda v: G.within_two_hops(_hub(v)), _more(_HADJ, "SELECT DISTINCT u, v FROM (SELECT u, v FROM h UNION ALL SELECT a.u, b.v FROM h a JOIN h b ON a.v = b.u) WHERE u <> v"))
-_add("g26_merge", lambda v: G.merge_entity(_hub(v), "S1", "S2"), "SELECT predicate, CASE WHEN subject = 'S1' THEN 'S2' ELSE subject END AS subject, CASE WHEN object = 'S1' THEN 'S2' ELSE object END AS object FROM claims WHERE predicate = 'TheoryOf' UNION ALL SELECT 'AbsorbedAlternate', 'S2', NULL")
-_add("g28_union_stores", lambda v: G.union_stores({"left": _hub(v), "right": v.claims.where("predicate = 'Disputes'")}), "SELECT 'left.' || subject AS subject, predicate, 'left.' || object AS object FROM claims WHERE predicate = 'TheoryOf' UNION ALL SELECT 'right.' || subject, predicate, 'right.' || object FROM claims WHERE predicate = 'Disputes'")
+_add("g20_two_hops", lambda v: G.within_two_hops(v.claims).groupBy("u").agg(F.count("*").alias("n_two_hop")), _more(_HADJ, "SELECT u, count(DISTINCT v) AS n_two_hop FROM (SELECT u, v FROM h UNION ALL SELECT a.u, b.v FROM h a JOIN h b ON a.v = b.u) WHERE u <> v GROUP BY 1"))
+_add("g26_merge", lambda v: G.merge_entity(v.claims, "S1", "S2"), "SELECT predicate, CASE WHEN subject = 'S1' THEN 'S2' ELSE subject END AS subject, CASE WHEN object = 'S1' THEN 'S2' ELSE object END AS object FROM claims UNION ALL SELECT 'AbsorbedAlternate', 'S2', NULL")
+_add("g28_union_stores", lambda v: G.union_stores({"left": v.claims, "right": v.claims.where("predicate = 'Disputes'")}), "SELECT 'left.' || subject AS subject, predicate, 'left.' || object AS object FROM claims UNION ALL SELECT 'right.' || subject, predicate, 'right.' || object FROM claims WHERE predicate = 'Disputes'")
 _add("hop3_disputers", lambda v: Q.two_hop(v.claims, "Disputes", "TheoryOf"), "SELECT DISTINCT a.subject AS who, b.subject AS what FROM claims a JOIN claims b ON a.object = b.object AND a.predicate = 'Disputes' AND b.predicate = 'TheoryOf' WHERE a.subject <> b.subject")
 _add("hop5_proposers", lambda v: Q.two_hop(v.claims, "Proposes", "TheoryOf"), "SELECT DISTINCT a.subject AS who, b.subject AS what FROM claims a JOIN claims b ON a.object = b.object AND a.predicate = 'Proposes' AND b.predicate = 'TheoryOf' WHERE a.subject <> b.subject")
 _add("b4_paths", lambda v: I.collision_names(v.entities), "SELECT var_name, role_type || '/' || base || CASE WHEN i > 1 THEN '-' || i ELSE '' END AS path FROM (SELECT var_name, role_type, base, row_number() OVER (PARTITION BY role_type, base ORDER BY var_name) AS i FROM (SELECT var_name, role_type, lower(regexp_replace(name, '[^A-Za-z]+', '-', 'g')) AS base FROM entities))")
 _add("b2_export", lambda v: v.claims.join(v.provenance.select(F.col("var_name").alias("prov_ref"), "origin"), "prov_ref", "left").select("var_name", "predicate", "origin"), "SELECT c.var_name, c.predicate, p.origin FROM claims c LEFT JOIN provenance p ON p.var_name = c.prov_ref")
-_add("b3_dot", lambda v: _hub(v).select(F.format_string('"%s" -> "%s" [label="%s"]', "subject", "object", "predicate").alias("line")), "SELECT '\"' || subject || '\" -> \"' || object || '\" [label=\"' || predicate || '\"]' AS line FROM claims WHERE predicate = 'TheoryOf'")
+_add("b3_dot", lambda v: v.claims.where("object is not null").select(F.format_string('"%s" -> "%s" [label="%s"]', "subject", "object", "predicate").alias("line")), "SELECT '\"' || subject || '\" -> \"' || object || '\" [label=\"' || predicate || '\"]' AS line FROM claims WHERE object IS NOT NULL")
 
 # Scalar functions
 _DOC = "SELECT doc_id, {} FROM documents"
@@ -170,7 +166,8 @@ _add("s4_brief_tokens", lambda v: v.entities.select("var_name", F.array_join(F.a
 _add("s7_camel", lambda v: v.claims.select("predicate", X.split_camel(F.col("predicate")).alias("words")).distinct(), "SELECT DISTINCT predicate, regexp_replace(predicate, '([a-z0-9])([A-Z])', '\\1 \\2', 'g') AS words FROM claims")
 _add("s15_first_sentence", lambda v: v.table("documents").select("doc_id", X.first_sentence(F.col("text")).alias("s")), _DOC.format("CASE WHEN regexp_extract(text, '(?s)^(.*?[.!?])(\\s|$)', 1) = '' THEN text ELSE regexp_extract(text, '(?s)^(.*?[.!?])(\\s|$)', 1) END AS s"))
 _add("s21_slug", lambda v: v.entities.select("var_name", X.slug(F.col("name")).alias("slug")), "SELECT var_name, trim(regexp_replace(lower(trim(name)), '[^\\p{L}\\p{Nd}]+', '-', 'g'), '-') AS slug FROM entities")
-_add("s25_origin_class", lambda v: v.provenance.select("var_name", X.classify_origin(F.col("origin")).alias("c")), "SELECT var_name, CASE WHEN contains(lower(origin), 'wikipedia') OR contains(lower(origin), 'zim') THEN 'wikipedia' WHEN contains(lower(origin), 'arxiv') THEN 'arxiv' WHEN contains(lower(origin), 'doi') THEN 'doi' WHEN contains(lower(origin), 'isbn') THEN 'book' WHEN contains(lower(origin), 'manual') OR contains(lower(origin), 'direct') THEN 'manual' ELSE 'other' END AS c FROM provenance")
+_CLASS = "SELECT var_name, CASE WHEN contains(lower(origin), 'wikipedia') OR contains(lower(origin), 'zim') THEN 'wikipedia' WHEN contains(lower(origin), 'arxiv') THEN 'arxiv' WHEN contains(lower(origin), 'doi.org') OR contains(lower(origin), 'doi:') THEN 'doi' WHEN contains(lower(origin), 'isbn') THEN 'book' WHEN contains(lower(origin), 'manual') OR contains(lower(origin), 'direct') THEN 'manual' ELSE 'other' END AS c FROM provenance"
+_add("s25_origin_class", lambda v: v.provenance.select("var_name", X.classify_origin(F.col("origin")).alias("c")), _CLASS)
 _add("s31_strip_html", lambda v: v.table("pages").select("page_id", X.strip_html(F.col("html")).alias("text")), "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 _add("s37_resolution", lambda v: v.cycles.select("pos", X.map_resolution(F.col("resolution")).alias("r")), "SELECT pos, CASE WHEN resolution IN ('corroborated', 'challenged') THEN 'confirmed' WHEN resolution = 'irrelevant' THEN 'ambiguous' WHEN resolution = 'no_signal' THEN 'refuted' ELSE 'unresolved' END AS r FROM cycles")
 _add("s41_digest", lambda v: v.table("documents").select("doc_id", X.digest(F.col("text")).alias("d")), _DOC.format("sha256(text)[1:32] AS d"))
@@ -182,39 +179,18 @@ _add("l5_calibrate", lambda v: L.calibrate(v.cycles), "SELECT CASE WHEN backend
 _add("l7_trend", lambda v: L.trend(v.cycles), "SELECT day, round(v, 6) AS v, round(v - lag(v) OVER (ORDER BY day), 6) AS delta FROM (SELECT ts::DATE::VARCHAR AS day, avg(value) AS v FROM cycles GROUP BY 1)")
 _add("l9_latest", lambda v: L.latest(v.cycles, "hypothesis"), "SELECT hypothesis, pos, resolution FROM cycles QUALIFY row_number() OVER (PARTITION BY hypothesis ORDER BY ts DESC, pos) = 1")
 _add("l17_best", lambda v: L.best_resolution(v.cycles), "SELECT hypothesis, resolution AS best FROM cycles WHERE resolution <> '' QUALIFY row_number() OVER (PARTITION BY hypothesis ORDER BY CASE resolution WHEN 'corroborated' THEN 3 WHEN 'irrelevant' THEN 2 WHEN 'challenged' THEN 2 ELSE 1 END DESC, resolution DESC) = 1")
-_add("l18_auto_resolve", lambda v: L.auto_resolve(v.cycles), "SELECT hypothesis, count(*) FILTER (papers_found > 0) AS signal, count(*) FILTER (resolution = '') AS open FROM cycles GROUP BY 1 HAVING signal >= 3 AND open >= 1 AND count(*) FILTER (resolution IN ('corroborated', 'challenged')) <= 20")
+_add("l18_auto_resolve", lambda v: L.auto_resolve(v.cycles), "SELECT hypothesis, count(*) FILTER (papers_found > 0) AS signal, count(*) FILTER (resolution = '') AS open FROM cycles GROUP BY 1 HAVING signal >= 3 AND open >= 1 AND count(*) FILTER (resolution IN ('corroborated', 'challenged')) = 0")
 _add("l22_gate", lambda v: L.phase_gate(v.cycles, 10), "SELECT count(*) FILTER (n >= 10) AS n_ready FROM (SELECT count(*) AS n FROM cycles WHERE resolution = '' GROUP BY hypothesis)")
 _add("l24_spend", lambda v: L.spend(v.cycles, 60), "SELECT month, hypothesis, sum(papers_found)::BIGINT AS total, count(*) FILTER (spent <= 60) AS allowed FROM (SELECT strftime(ts, '%Y-%m') AS month, hypothesis, papers_found, sum(papers_found) OVER (PARTITION BY strftime(ts, '%Y-%m'), hypothesis ORDER BY ts, pos ROWS UNBOUNDED PRECEDING) AS spent FROM cycles) GROUP BY 1, 2")
 _add("l26_agreement", lambda v: L.agreement(v.table("labels")), "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
 _RATIO = "SELECT '{}' AS bias, round(x, 6) AS value, x {} AS triggered FROM (SELECT {} AS x FROM {})"
 _add("w1_confirmation", lambda v: L.confirmation(v.cycles), _RATIO.format("ConfirmationBias", "> 0.75", "count(*) FILTER (resolution = 'corroborated') / count(*) FILTER (resolution IN ('corroborated', 'challenged', 'irrelevant'))", "cycles"))
-_add("w4_availability", lambda v: L.availability(v.provenance), _RATIO.format("AvailabilityHeuristic", "> 0.25", "sum((n / t) * (n / t))", "(SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM provenance GROUP BY origin))"))
+_add("w4_availability", lambda v: L.availability(v.provenance), _RATIO.format("AvailabilityHeuristic", "> 0.25", "sum((n / t) * (n / t))", "(SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM (" + _CLASS + ") GROUP BY c))"))
 _add("w5_survivorship", lambda v: L.survivorship(v.cycles), _RATIO.format("SurvivorshipBias", "> 5", "count(*) FILTER (resolution = 'irrelevant') / count(*) FILTER (resolution = 'challenged')", "cycles"))
-_add("w3_clustering", lambda v: L.clustering_illusion(v.entities, G.components(_hub(v))), _more(_HADJ, "SELECT 'ClusteringIllusion' AS bias, round(b / (f + c - b), 6) AS value, b / (f + c - b) > 0.7 AS triggered FROM (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM comp JOIN entities e ON e.var_name = node GROUP BY file)) AS f, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM comp JOIN entities e ON e.var_name = node GROUP BY component)) AS c, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM comp JOIN entities e ON e.var_name = node GROUP BY file, component)) AS b)"))
+_add("w3_clustering", lambda v: L.clustering_illusion(v.entities, G.components(v.claims)), _more(_HADJ, "SELECT 'ClusteringIllusion' AS bias, round(b / (f + c - b), 6) AS value, b / (f + c - b) > 0.7 AS triggered FROM (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM comp JOIN entities e ON e.var_name = node GROUP BY file)) AS f, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM comp JOIN entities e ON e.var_name = node GROUP BY component)) AS c, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM comp JOIN entities e ON e.var_name = node GROUP BY file, component)) AS b)"))
 _add("w7_overconfidence", lambda v: L.overconfidence(v.claims, v.claims.where("predicate = 'Disputes'")), f"SELECT 'DunningKrugerEffect' AS bias, round(x, 6) AS value, x > 0.9 AS triggered FROM (SELECT count(*) FILTER (entity NOT IN (SELECT object FROM claims WHERE predicate = 'Disputes')) / count(*) AS x FROM (SELECT entity, count(*) AS refs FROM ({_ENDS}) GROUP BY 1) WHERE refs <= 2)")
 _add("w8_base_rate", lambda v: L.base_rate(v.claims), _RATIO.format("BaseRateNeglect", "< 3.0", "-sum(n / t * log2(n / t))", "(SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM claims GROUP BY predicate))"))
 
-# The oracles of g3, g4, g20, w3 and h14 hold those to one predicate or prefix; these take every claim, and are tested by brute force.
-_add("g3_components_whole", lambda v: G.components(v.claims), None)
-_add("g4_component_sizes_whole", lambda v: G.component_sizes(v.claims), None)
-_add("g20_two_hops_whole", lambda v: G.within_two_hops(v.claims), None)
-_add("w3_clustering_whole", lambda v: L.clustering_illusion(v.entities, G.components(v.claims)), None)
-_add("h14_claims_by_predicate_whole", lambda v: v.claims.groupBy("subject", "predicate").agg(F.array_join(F.array_sort(F.collect_list("var_name")), ",").alias("names")), None)
-_add("g7_thin_files", lambda v: I.thin_files(v.claims, v.provenance), None)
-
-# The queries whose oracles hold entities and claims to the limited relations, over the whole ones.
-_LIMITED = """
-a1_entities a2_claims a4_predicates a5_schema a8_type_scan a9_value_prefix a10_def_set a14_roles a19_pivot_entities a22_edges a41_metadata a45_unary_subjects
-q1_match q2_search q4_claims_involving q6_claims_of_entity q7_theories q11_provenance q13_disputes q16_canonical_role q17_neighborhood q19_nearest_tokens q21_connected q28_name_class q31_valid_groups
-h1_stats h2_by_role h15_by_predicate h3_contested h4_file_balance h5_provenance_split h6_brief_quality
-i2_orphans i3_value_conflict i4_contested_concept i15_missing_brief i16_duplicate_names i18_dangling i20_slots
-d1_signatures d2_edge_idf d5_candidates d11_pair_key r20_seeded_sample
-g1_adjacency g2_edges g5_single_source g6_uncontested g7_thin_provenance g9_concentration g10_thin_contested g11_support g26_merge g28_union_stores
-hop3_disputers hop5_proposers b4_paths b2_export b3_dot s4_brief_tokens s7_camel s21_slug w7_overconfidence w8_base_rate
-"""
-for _name in _LIMITED.split():
-    _add(f"{_name}_whole", _PLANS[_name], None)
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)

@@ -39,26 +39,26 @@ def run(spark, sf, name):
 
 
 def test_graph_of_every_claim(spark, small):
-    e = edges(registry.queries()["a22_edges_whole"](spark, small).collect())
+    e = edges(registry.queries()["a22_edges"](spark, small).collect())
     nodes = {n for x in e for n in x}
     assert {"R0", "N0", "C0", "S0"} <= nodes
     parts = reach(e)
-    assert {r["node"]: r["component"] for r in run(spark, small, "g3_components_whole")} == {n: min(p) for p in parts for n in p}
-    assert {r["component"]: r["size"] for r in run(spark, small, "g4_component_sizes_whole")} == {min(p): len(p) for p in parts}
+    assert {r["node"]: r["component"] for r in run(spark, small, "g3_components")} == {n: min(p) for p in parts for n in p}
+    assert {r["component"]: r["size"] for r in run(spark, small, "g4_component_sizes")} == {min(p): len(p) for p in parts}
     near = defaultdict(set)
     for a, b in e:
         near[a].add(b)
         near[b].add(a)
-    assert {(r["u"], r["v"]) for r in run(spark, small, "g20_two_hops_whole")} == {(u, w) for u in near for v in near[u] for w in {v} | near[v] if u != w}
-    file = {r["var_name"]: r["file"] for r in view(spark, small, "entities", True).collect()}
+    assert {r["u"]: r["n_two_hop"] for r in run(spark, small, "g20_two_hops")} == {u: len({w for v in near[u] for w in {v} | near[v]} - {u}) for u in near}
+    file = {r["var_name"]: r["file"] for r in view(spark, small, "entities").collect()}
     where = {n: i for i, p in enumerate(parts) for n in p if n in file}
     pairs = lambda key: sum(n * (n - 1) / 2 for n in Counter(map(key, where)).values())
     both = pairs(lambda n: (file[n], where[n]))
-    assert run(spark, small, "w3_clustering_whole")[0]["value"] == round(both / (pairs(file.get) + pairs(where.get) - both), 6)
+    assert run(spark, small, "w3_clustering")[0]["value"] == round(both / (pairs(file.get) + pairs(where.get) - both), 6)
 
 
 def test_cuts_communities_and_walks_go_over_every_claim(spark, small):
-    e = edges(registry.queries()["a22_edges_whole"](spark, small).collect())
+    e = edges(registry.queries()["a22_edges"](spark, small).collect())
     nodes = {n for x in e for n in x}
     degree = lambda n: len({m for x in e if n in x for m in x if m != n})
     assert {r["node"] for r in run(spark, small, "g16_articulation")} == {n for n in nodes if degree(n) >= 2 and len(reach(e, n)) > len(reach(e))}
@@ -72,21 +72,21 @@ def test_cuts_communities_and_walks_go_over_every_claim(spark, small):
 
 def test_claims_of_every_subject(spark, small):
     want = defaultdict(list)
-    for r in run(spark, small, "a2_claims_whole"):
+    for r in run(spark, small, "a2_claims"):
         want[r["subject"], r["predicate"]].append(r["var_name"])
-    got = {(r["subject"], r["predicate"]): r["names"] for r in run(spark, small, "h14_claims_by_predicate_whole")}
+    got = {(r["subject"], r["predicate"]): r["names"] for r in run(spark, small, "h14_claims_by_predicate")}
     assert got == {k: ",".join(sorted(x)) for k, x in want.items()}
     assert {"C0", "N0", "P0"} <= {s for s, _ in got}
 
 
 def test_relations_have_no_limits(spark, small):
-    c = run(spark, small, "a2_claims_whole")
+    c = run(spark, small, "a2_claims")
     kinds = Counter(r["predicate"] for r in c)
     assert kinds == {"LocatedIn": 8, "InvestigatedBy": 4, "TheoryOf": 2, "Disputes": 2, "Proposes": 2, "FormedAt": 2, "IsCognitiveBias": 2}
     assert len({r["var_name"] for r in c}) == len(c)
-    assert {r["var_name"] for r in run(spark, small, "a1_entities_whole") if r["role_type"] == "Event"} == {"O0", "O1", "O2", "O3"}
-    assert {r["n"] for r in run(spark, small, "h2_by_role_whole") if r["role_type"] == "Event"} == {4}
-    assert {r["subject"] for r in run(spark, small, "q13_disputes_whole")} == {"S0", "S1"}
+    assert {r["var_name"] for r in run(spark, small, "a1_entities") if r["role_type"] == "Event"} == {"O0", "O1", "O2", "O3"}
+    assert {r["n"] for r in run(spark, small, "h2_by_role") if r["role_type"] == "Event"} == {4}
+    assert {r["subject"] for r in run(spark, small, "q13_disputes")} == {"S0", "S1"}
 
 
 def test_claims_cite_documents_over_150(spark, tmp_path):
@@ -95,7 +95,7 @@ def test_claims_cite_documents_over_150(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderkey < 900").write.parquet(f"{tmp_path}/orders.parquet")
     spark.range(300).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src1' AS source").write.parquet(f"{tmp_path}/documents.parquet")
-    used = view(spark, str(tmp_path), "claims", True).where("predicate = 'InvestigatedBy'").groupBy("prov_ref").count().collect()
+    used = view(spark, str(tmp_path), "claims").where("predicate = 'InvestigatedBy'").groupBy("prov_ref").count().collect()
     assert len(used) == 300 and {r["count"] for r in used} == {3}
 
 
@@ -103,4 +103,4 @@ def test_thin_files(spark, small):
     c = [("c0", "P", "a", "b", "D0", "quoted"), ("c1", "P", "a", "b", "D1", "quoted"), ("c2", "P", "a", "b", "D1", "empty"), ("c3", "P", "a", "b", "D9", "empty"), ("c4", "P", "a", "b", None, "none"), ("c5", "P", "a", "b", "D2", "null")]
     p = spark.createDataFrame([("D0", "o", "said"), ("D0", "o", "again"), ("D1", "o", ""), ("D2", "o", None)], "var_name string, origin string, quote string")
     assert {(r["file"], r["n_claims"]) for r in I.thin_files(spark.createDataFrame(c, CLAIM), p).collect()} == {("empty", 2), ("none", 1), ("null", 1)}
-    assert run(spark, small, "g7_thin_files") == []
+    assert run(spark, small, "g7_thin_provenance") == []
