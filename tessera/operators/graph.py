@@ -159,3 +159,22 @@ def union_stores(stores: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def chains(supersedes: DataFrame) -> DataFrame:
+    """(head, n_superseded, oldest) of each decision that none supersedes, from (newer, older).
+
+    Pointers double each round, so a chain of n decisions takes log n rounds; of several older
+    ones of a decision the last by name is followed.  Decisions on a cycle have no head.
+    """
+    step = supersedes.groupBy("newer").agg(F.max("older").alias("older"))
+    jump = _cut(step.select("newer", F.col("older").alias("far"), F.lit(1).cast("long").alias("n")), "chains")
+    nodes = jump.count()
+    reach = 1
+    while reach < nodes:
+        more = jump.select(F.col("newer").alias("far"), F.col("far").alias("farther"), F.col("n").alias("m"))
+        fresh = _cut(jump.join(more, "far", "left").select("newer", F.coalesce("farther", "far").alias("far"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "chains")
+        if fresh.agg(F.sum("n")).first()[0] == jump.agg(F.sum("n")).first()[0]:
+            break
+        jump, reach = fresh, reach * 2
+    return jump.join(supersedes.select(F.col("older").alias("newer")), "newer", "left_anti").select(F.col("newer").alias("head"), F.col("n").alias("n_superseded"), F.col("far").alias("oldest"))

@@ -13,12 +13,16 @@ _IS = lambda *r: F.col("resolution").isin(*r)
 
 def verdict() -> Column:
     """Ordered rules over a hypothesis's counts."""
+    c, x, i = F.col("corroborated"), F.col("challenged"), F.col("irrelevant")
+    none = c + x + i == 0
     return (
-        F.when(F.col("n_signal") == 0, "pending")
-        .when(F.col("challenged") > F.col("corroborated"), "challenged")
-        .when(F.col("corroborated") > 0, "corroborated")
-        .when(F.col("irrelevant") > 0, "irrelevant")
-        .otherwise("no_signal")
+        F.when(none & (F.col("n_cycles") > F.col("n_signal")), "pending")
+        .when(none, "no_signal")
+        .when((x > c) & (x >= i), "challenged")
+        .when(c > i, "corroborated")
+        .when(i > 0, "irrelevant")
+        .when(x > 0, "challenged")
+        .otherwise("pending")
     )
 
 

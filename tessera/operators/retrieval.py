@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .graph import _cut as cut
 
 
 def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -17,17 +18,28 @@ def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: list[str], k: int = 15, k1: float = 1.5, b: float = 0.75, clamped: bool = False) -> DataFrame:
-    """doc, score: the k best, ties by doc. Repeated query terms count repeatedly."""
+    """doc, score: the k best, ties by doc. Repeated query terms count repeatedly.
+
+    One pass over the texts gives each document's length and its counts of the query's
+    terms; how many documents there are, how long and which hold a term are sums over
+    these narrow rows.
+    """
     terms = sorted(set(query))
-    length = docs.select(F.size(X.tokens(F.col("text"))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
-    p = postings(docs, terms)
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    idf = F.greatest(F.lit(0.0), F.log(ratio)) if clamped else F.log1p(ratio)
-    times = F.create_map(*[F.lit(x) for t in terms for x in (t, query.count(t))])
-    part = F.element_at(times, F.col("term")) * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
-    s = p.join(F.broadcast(df), "term").join(F.broadcast(length), F.lit(True)).groupBy("doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return s.where("score > 0").orderBy(F.desc("score"), "doc").limit(k)
+    words = docs.select("doc", X.tokens(F.col("text")).alias("t"))
+    n = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"n{i}") for i, w in enumerate(terms)]
+    rows = words.select("doc", F.size("t").alias("dl"), *n).where("dl > 0")
+    total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    some = F.lit(False)
+    for i in range(len(terms)):
+        some = some | (F.col(f"n{i}") > 0)
+    hit = rows.where(some).join(F.broadcast(total), F.lit(True))
+    score = F.lit(0.0)
+    for i, w in enumerate(terms):
+        ratio = (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)
+        idf = F.greatest(F.lit(0.0), F.log(ratio)) if clamped else F.log1p(ratio)
+        tf = F.col(f"n{i}")
+        score = score + query.count(w) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
+    return hit.select("doc", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(k)
 
 
 def unit(v: Column) -> Column:
@@ -74,3 +86,29 @@ def rank_facts(facts: DataFrame, question: list[str], k: int) -> DataFrame:
 def quota(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of each key."""
     return df.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__i") <= n).drop("__i")
+
+
+def spaced(df: DataFrame, order: str, n: int) -> DataFrame:
+    """n rows at even steps of the order (all, if fewer): those numbered floor(i * count / n)."""
+    rows = numbered(df, order)
+    total = df.agg(F.count("*").alias("total"))
+    picks = df.sparkSession.range(n).join(F.broadcast(total), F.lit(True)).select(F.when(F.col("total") <= n, F.col("id")).otherwise(F.floor(F.col("id") * F.col("total") / n)).alias("number")).distinct()
+    return rows.join(F.broadcast(picks), "number").drop("number")  # n rows
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """With the column number: 0, 1, 2 ... in order, without one task for all: rows are sorted by range, and each part's count shifts the next."""
+    parts = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__id", 33)
+    sizes = parts.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    shift = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("shift"))  # one row a part
+    own = parts.join(F.broadcast(shift), part == F.col("p"))
+    return own.withColumn("number", F.col("shift") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "p", "shift", "n")
+
+
+def hybrid(docs: DataFrame, query: list[str], similar: DataFrame, about: DataFrame, role: str | None, k: int, depth: int = 200) -> DataFrame:
+    """Lexical and semantic ranks fused, then those of one role with what is known of them; ranks go as deep as depth."""
+    near = similar.select(F.col("owner").alias("doc"), "score").orderBy(F.desc("score"), "doc").limit(depth)
+    fused = fuse(bm25(docs, query, depth), near, 2 * depth)
+    kept = about if role is None else about.where(F.col("role") == role)
+    return kept.drop("role").join(F.broadcast(fused), "doc").orderBy(F.desc("score"), "doc").limit(k)  # 2 * depth rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from ..operators import logs as L
 from ..operators import lookup as Q
 from ..operators import retrieval as R
 from ..operators import similarity as D
-from ..sources.views import oracle_ctes, table, view
+from ..sources.views import TABLES, oracle_ctes, table, view
+from . import knowledge, texts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -38,15 +40,27 @@ class _Views:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def sql(self, text: str) -> DataFrame:
+        """A statement over {relations} and {tables}."""
+        names = set(re.findall(r"\{(\w+)\}", text))
+        return self.spark.sql(text, **{n: self.table(n) if n in TABLES else getattr(self, n) for n in names})
+
 
 def _add(name: str, plan: Callable[[_Views], DataFrame], sql: str | None) -> None:
     _QUERIES[name] = lambda spark, sf_dir: plan(_Views(spark, sf_dir))
     if sql is not None:
-        _ORACLES[name] = sql if sql.lstrip().upper().startswith("WITH") else f"{oracle_ctes()} {sql}"
+        _ORACLES[name] = sql if sql.lstrip().upper().startswith("WITH") else f"{oracle_ctes(sql)} {sql}"
 
 
 def _more(ctes: str, sql: str) -> str:
-    return f"{oracle_ctes()}, {ctes} {sql}"
+    own = oracle_ctes(f"{ctes} {sql}")
+    return f"{own + ',' if own else 'WITH RECURSIVE'} {ctes} {sql}"
+
+
+def _both(name: str, sql: str, ctes: str = "") -> None:
+    """A query in SQL that both engines read, over {relations}; its CTEs may refer to relations and to each other."""
+    plain = lambda x: re.sub(r"\{(\w+)\}", r"\1", x)
+    _add(name, lambda v: v.sql(f"WITH RECURSIVE {ctes} {sql}" if "RECURSIVE" in name or "recursive" in ctes else f"WITH {ctes} {sql}" if ctes else sql), _more(plain(ctes), plain(sql)) if ctes else plain(sql))
 
 
 def _cols(df: DataFrame) -> DataFrame:
@@ -127,7 +141,11 @@ _vec = lambda v: v.table("embeddings").select("vec_id", F.col("label").alias("ow
 _COS = "e AS (SELECT vec_id, label AS owner, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT x AS y FROM e WHERE vec_id = 0)"
 _add("r3_semantic", lambda v: R.semantic(_vec(v).where("vec_id > 0"), _vec(v).where("vec_id = 0")), _more(_COS, "SELECT owner, round(max(list_cosine_similarity(x, y)), 6) AS score FROM e, q WHERE vec_id > 0 GROUP BY 1"))
 _add("r4_best_segments", lambda v: R.semantic(_vec(v).where("vec_id > 0").withColumn("owner", F.col("vec_id")), _vec(v).where("vec_id = 0"), 20), _more(_COS, "SELECT vec_id AS owner, round(list_cosine_similarity(x, y), 6) AS score FROM e, q WHERE vec_id > 0 ORDER BY score DESC, owner LIMIT 20"))
-_add("r8_hybrid", lambda v: R.fuse(R.bm25(_docs(v), _TERMS), R.keyword(_docs(v), ["que", "der"], 15).select("doc", (F.col("hits") * 100000 + F.col("total")).alias("score")), 15), _more(_BM25 + ", a AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM (SELECT doc, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY doc ORDER BY score DESC, doc LIMIT 15)), b AS (SELECT doc, row_number() OVER (ORDER BY s DESC, doc) AS r FROM (SELECT doc_id AS doc, ((len(string_split(lower(text), 'que')) > 1)::INT + (len(string_split(lower(text), 'der')) > 1)::INT) * 100000 + len(string_split(lower(text), 'que')) + len(string_split(lower(text), 'der')) - 2 AS s FROM documents WHERE s > 0 ORDER BY s DESC, doc LIMIT 15))", "SELECT coalesce(a.doc, b.doc) AS doc, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS score FROM a FULL JOIN b ON a.doc = b.doc ORDER BY score DESC, doc LIMIT 15"))
+_SIMILAR = "sim AS (SELECT a.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id > 0)"
+_LEX = "lex AS (SELECT doc, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY doc HAVING score > 0)"
+_FUSED = "a AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM (SELECT * FROM lex ORDER BY score DESC, doc LIMIT 200)), b AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM (SELECT * FROM sim ORDER BY score DESC, doc LIMIT 200)), fused AS (SELECT coalesce(a.doc, b.doc) AS doc, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS score FROM a FULL JOIN b ON a.doc = b.doc)"
+# A document's vector is the one of its id; the role filter is its language, and its neighborhood the documents of its source.
+_add("r8_hybrid", lambda v: R.hybrid(_docs(v), _TERMS, R.semantic(_vec(v).where("vec_id > 0").withColumn("owner", F.col("vec_id")), _vec(v).where("vec_id = 0")), v.table("documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("role"), F.col("source").alias("other")), "en", 15), _more(f"{_BM25}, {_SIMILAR}, {_LEX}, {_FUSED}", "SELECT doc, score, source AS other FROM fused JOIN documents ON doc_id = doc WHERE lang = 'en' ORDER BY score DESC, doc LIMIT 15"))
 _add("r11_keyword", lambda v: R.keyword(_docs(v), ["que", "der", "the"], 20).select("doc", "hits", F.col("total").cast("long").alias("total")), "SELECT doc_id AS doc, (len(string_split(lower(text), 'que')) > 1)::INT + (len(string_split(lower(text), 'der')) > 1)::INT + (len(string_split(lower(text), 'the')) > 1)::INT AS hits, (len(string_split(lower(text), 'que')) + len(string_split(lower(text), 'der')) + len(string_split(lower(text), 'the')) - 3)::BIGINT AS total FROM documents WHERE hits > 0 ORDER BY hits DESC, total DESC, doc LIMIT 20")
 _add("r13_facts", lambda v: R.rank_facts(v.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text"), ["que", "des", "nicht", "thou"], 30).select("pos", F.col("score").cast("long").alias("score")), "SELECT conv_id * 1000 + turn AS pos, len(list_intersect(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) >= 3), ['que', 'des', 'nicht', 'thou']))::BIGINT AS score FROM conversations ORDER BY score DESC, pos LIMIT 30")
 _add("r15_history_bucket", lambda v: L.best_resolution(v.cycles).select("hypothesis", (X.resolution_rank(F.col("best")) + 1).alias("bucket")), "SELECT hypothesis, max(CASE resolution WHEN 'corroborated' THEN 3 WHEN 'irrelevant' THEN 2 WHEN 'challenged' THEN 2 WHEN 'no_signal' THEN 1 ELSE 0 END) + 1 AS bucket FROM cycles WHERE resolution <> '' GROUP BY 1")
@@ -174,7 +192,7 @@ _add("s41_digest", lambda v: v.table("documents").select("doc_id", X.digest(F.co
 _add("s51_spearman", lambda v: L.spearman(v.cycles.groupBy("hypothesis").agg(F.count("*").alias("x"), F.sum("papers_found").alias("y")), "x", "y"), "SELECT round(1 - 6 * sum((rx - ry) * (rx - ry)) / (count(*) * (count(*) * count(*) - 1)), 6) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT count(*) AS x, sum(papers_found) AS y FROM cycles GROUP BY hypothesis))")
 
 # Logs and audits
-_add("l1_hypotheses", lambda v: L.score_hypotheses(v.cycles), "SELECT *, CASE WHEN n_signal = 0 THEN 'pending' WHEN challenged > corroborated THEN 'challenged' WHEN corroborated > 0 THEN 'corroborated' WHEN irrelevant > 0 THEN 'irrelevant' ELSE 'no_signal' END AS verdict, round(CASE WHEN corroborated + challenged + irrelevant + no_signal = 0 THEN 0 ELSE 100 * ((corroborated + challenged) / (corroborated + challenged + irrelevant + no_signal)) END, 6) AS precision FROM (SELECT hypothesis, CASE WHEN prediction_type = '' THEN 'structural_fragility' ELSE prediction_type END AS prediction_type, count(*) AS n_cycles, count(*) FILTER (resolution = 'corroborated') AS corroborated, count(*) FILTER (resolution = 'challenged') AS challenged, count(*) FILTER (resolution = 'irrelevant') AS irrelevant, count(*) FILTER (resolution = 'no_signal') AS no_signal, count(*) FILTER (resolution <> '') AS n_signal FROM cycles GROUP BY 1, 2)")
+_add("l1_hypotheses", lambda v: L.score_hypotheses(v.cycles), "SELECT *, CASE WHEN corroborated + challenged + irrelevant = 0 THEN CASE WHEN n_cycles > n_signal THEN 'pending' ELSE 'no_signal' END WHEN challenged > corroborated AND challenged >= irrelevant THEN 'challenged' WHEN corroborated > irrelevant THEN 'corroborated' WHEN irrelevant > 0 THEN 'irrelevant' WHEN challenged > 0 THEN 'challenged' ELSE 'pending' END AS verdict, round(CASE WHEN corroborated + challenged + irrelevant + no_signal = 0 THEN 0 ELSE 100 * ((corroborated + challenged) / (corroborated + challenged + irrelevant + no_signal)) END, 6) AS precision FROM (SELECT hypothesis, CASE WHEN prediction_type = '' THEN 'structural_fragility' ELSE prediction_type END AS prediction_type, count(*) AS n_cycles, count(*) FILTER (resolution = 'corroborated') AS corroborated, count(*) FILTER (resolution = 'challenged') AS challenged, count(*) FILTER (resolution = 'irrelevant') AS irrelevant, count(*) FILTER (resolution = 'no_signal') AS no_signal, count(*) FILTER (resolution <> '') AS n_signal FROM cycles GROUP BY 1, 2)")
 _add("l5_calibrate", lambda v: L.calibrate(v.cycles), "SELECT CASE WHEN backend = '' THEN 'arxiv' ELSE backend END AS backend, count(*) AS n, sum(papers_found)::BIGINT AS papers, round(count(*) FILTER (papers_found > 0) / count(*), 6) AS signal_rate, round(count(*) FILTER (resolution IN ('corroborated', 'challenged')) / count(*) FILTER (resolution <> ''), 6) AS hit_rate FROM cycles GROUP BY 1")
 _add("l7_trend", lambda v: L.trend(v.cycles), "SELECT day, round(v, 6) AS v, round(v - lag(v) OVER (ORDER BY day), 6) AS delta FROM (SELECT ts::DATE::VARCHAR AS day, avg(value) AS v FROM cycles GROUP BY 1)")
 _add("l9_latest", lambda v: L.latest(v.cycles, "hypothesis"), "SELECT hypothesis, pos, resolution FROM cycles QUALIFY row_number() OVER (PARTITION BY hypothesis ORDER BY ts DESC, pos) = 1")
@@ -192,6 +210,10 @@ _add("w7_overconfidence", lambda v: L.overconfidence(v.claims, v.claims.where("p
 _add("w8_base_rate", lambda v: L.base_rate(v.claims), _RATIO.format("BaseRateNeglect", "< 3.0", "-sum(n / t * log2(n / t))", "(SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM claims GROUP BY predicate))"))
 
 
+for _part in (texts, knowledge):
+    _part.register(_add, _more, _both)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

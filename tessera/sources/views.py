@@ -6,6 +6,8 @@ the same definition; Spark binds the names to parquet scans and prunes columns.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _ENTITIES = """
@@ -41,7 +43,32 @@ SELECT event_id AS pos, ts, 'user_' || user_id AS hypothesis,
   value FROM {events}
 """
 _NOTES = "SELECT doc_id, text, lang AS dir, source FROM {documents}"
-VIEWS = {"entities": _ENTITIES, "claims": _CLAIMS, "provenance": _PROVENANCE, "cycles": _CYCLES, "notes": _NOTES}
+#: Literal fields, one row a field: what the relations above are pivots of.
+_FIELDS = f"""
+SELECT var_name AS def_name, role_type AS type_name, 'Name' AS field_name, name AS field_value, file AS source_file, 1 AS line FROM ({_ENTITIES}) a
+UNION ALL SELECT var_name, role_type, 'Brief', brief, file, 2 FROM ({_ENTITIES}) b
+UNION ALL SELECT var_name, role_type, 'ID', id, file, 3 FROM ({_ENTITIES}) c
+UNION ALL SELECT var_name, predicate, 'Subject', subject, file, 1 FROM ({_CLAIMS}) d
+UNION ALL SELECT var_name, predicate, 'Object', object, file, 2 FROM ({_CLAIMS}) e WHERE object IS NOT NULL
+UNION ALL SELECT var_name, predicate, 'Prov', prov_ref, file, 3 FROM ({_CLAIMS}) f
+UNION ALL SELECT var_name, 'Provenance', 'Origin', origin, file, 1 FROM ({_PROVENANCE}) g
+UNION ALL SELECT var_name, 'Provenance', 'Quote', quote, file, 2 FROM ({_PROVENANCE}) h
+"""
+#: What the schema says of each predicate: roles of its two slots, and its pragma.
+_PREDICATES = """
+SELECT * FROM (VALUES ('LocatedIn', 'Entity', 'Place', ''), ('InvestigatedBy', 'Event', 'Person', ''), ('TheoryOf', 'Organization', 'Concept', 'contested'),
+  ('Disputes', 'Organization', 'Concept', ''), ('Proposes', 'Organization', 'Concept', ''), ('FormedAt', 'Person', 'Term', 'functional'), ('IsCognitiveBias', 'Concept', '', '')) AS p(predicate, subject_slot, object_slot, pragma)
+"""
+#: Notes of a vault: a title, an alias and a path each, and three links by different keys; some lead nowhere.
+_VAULT = "SELECT doc_id, 'Note ' || (doc_id % 400) AS title, 'n' || doc_id AS alias, lang || '/note-' || doc_id AS path, source AS section FROM {documents}"
+_LINKS_OF = """
+SELECT doc_id AS from_doc, 'Note ' || (doc_id * 7 % 450) AS target, source AS section FROM {documents}
+UNION ALL SELECT doc_id, 'N' || (doc_id * 3 % 1200), source FROM {documents}
+UNION ALL SELECT doc_id, lang || '/Note_' || (doc_id + 1), source FROM {documents} WHERE doc_id % 4 <> 0
+"""
+#: Decisions, each of which may supersede the one before.
+_SUPERSEDES = "SELECT 'V' || doc_id AS newer, 'V' || (doc_id - 1) AS older FROM {documents} WHERE doc_id % 5 <> 0 AND doc_id % 23 <> 3"
+VIEWS = {"fields": _FIELDS, "predicates": _PREDICATES, "vault": _VAULT, "links": _LINKS_OF, "supersedes": _SUPERSEDES, "entities": _ENTITIES, "claims": _CLAIMS, "provenance": _PROVENANCE, "cycles": _CYCLES, "notes": _NOTES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -61,12 +88,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def oracle_ctes() -> str:
-    """The views as common table expressions of another engine, where tables have their plain names."""
+def oracle_ctes(sql: str = "") -> str:
+    """The views that sql names (all, without it) as common table expressions of another engine, where tables have their plain names."""
     parts = []
+    wanted = sql
     for name, sql in VIEWS.items():
+        if wanted and not re.search(rf"\b{name}\b", wanted):
+            continue
         for t in TABLES:
             sql = sql.replace("{" + t + "}", t)
         sql = sql.replace("KINDS", _KINDS)
         parts.append(f"{name} AS ({sql})")
-    return "WITH RECURSIVE " + ", ".join(parts)
+    return "WITH RECURSIVE " + ", ".join(parts) if parts else ""
