@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rare edges that a pair must meet in before it is looked at.
+MEET = 3
+
+
 def signatures(claims: DataFrame) -> DataFrame:
     """(entity, edge, n): predicate, direction and neighbor, with multiplicity."""
     edge = lambda d, o: F.concat_ws("|", "predicate", F.lit(d), F.coalesce(o, F.lit("")))
@@ -23,20 +27,23 @@ def edge_weights(sig: DataFrame) -> DataFrame:
 def candidates(claims: DataFrame, entities: DataFrame, min_shared: int, min_coefficient: float, min_weight: float) -> DataFrame:
     """Pairs a < b of one role that share enough edges.
 
-    An entity of s edges must share max(min_shared, c s) of them, so a pair meets in
-    the s + 1 - that rarest edges of both (by number of entities, then name).  Only these are
-    joined, with the bound that the sizes set; the pairs that meet are counted on all
-    their edges.  An edge of one entity alone meets nothing and isn't shuffled.
+    A pair of sizes up to s must share R = max(min_shared, c s) edges.  In any order that
+    both keep (here by number of entities, then name) the first m of them are among
+    the n - R + m rarest edges of either, so only these are joined, and a pair goes on
+    if it meets in m = min(MEET, R) of them at least.  What goes on is counted on all
+    its edges.  An edge of one entity alone meets nothing and isn't shuffled.
     """
     sig = signatures(claims)
     w = edge_weights(sig)
     own = sig.join(w, "edge").groupBy("entity").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("df", "edge", "idf"))).alias("edges")).where(F.col("size") >= min_shared)
     own = own.join(entities.select(F.col("var_name").alias("entity"), "role_type"), "entity")
     least = F.greatest(F.lit(min_shared), F.ceil(F.col("size") * min_coefficient - 1e-9).cast("int"))
-    rare = own.select("entity", "role_type", "size", F.explode(F.filter(F.slice("edges", 1, F.col("size").cast("int") + 1 - least), lambda e: e["df"] > 1)).alias("e")).select("entity", "role_type", "size", "e.edge")
+    first = F.slice("edges", 1, F.least(F.col("size").cast("int"), F.col("size").cast("int") + MEET - least))
+    rare = own.select("entity", "role_type", "size", F.explode(F.filter(first, lambda e: e["df"] > 1)).alias("e")).select("entity", "role_type", "size", F.xxhash64("e.edge").alias("edge"))
     a, b = (rare.select("edge", "role_type", F.col("entity").alias(x), F.col("size").alias("s" + x)) for x in "ab")
-    near = F.least("sa", "sb") >= F.greatest("sa", "sb") * min_coefficient - 1e-9
-    met = a.join(b, ["edge", "role_type"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    more = F.greatest("sa", "sb") * min_coefficient - 1e-9
+    need = F.least(F.lit(MEET), F.greatest(F.lit(min_shared), F.ceil(more)))
+    met = a.join(b, ["edge", "role_type"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= more)).groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("a", "b")
     kept = own.select("entity", "size", "edges")
     both = met.join(kept.select(F.col("entity").alias("a"), F.col("size").alias("sa"), F.col("edges").alias("ea")), "a").join(kept.select(F.col("entity").alias("b"), F.col("size").alias("sb"), F.col("edges").alias("eb")), "b")
     common = F.array_intersect("ea", "eb")
