@@ -28,3 +28,64 @@ def windowed(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> D
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Drain what is there into parquet and stop."""
     return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def emit(events: DataFrame, path: str, checkpoint: str):
+    """Append a stream of events as JSON lines; several writers may, each with a folder of its own below path."""
+    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tail(events: DataFrame, n: int) -> DataFrame:
+    """The last n events, oldest first."""
+    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n).orderBy("ts", "event_id")
+
+
+def refresh(changes: DataFrame, build, place: str, checkpoint: str):
+    """Rebuild a snapshot (build(batch) -> DataFrame) whenever files came; a batch that fails leaves the last one in place."""
+
+    def swap(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        build(batch).write.mode("overwrite").parquet(f"{place}/{number}")
+        batch.sparkSession.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").json(f"{place}/ready")
+
+    return changes.writeStream.foreachBatch(swap).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def snapshot(spark: SparkSession, place: str) -> DataFrame:
+    """The latest snapshot that was finished."""
+    number = spark.read.schema("number long").json(f"{place}/ready").agg(F.max("number")).first()[0]
+    return spark.read.parquet(f"{place}/{number}")
+
+
+def due(events: DataFrame, hours: float, now: str) -> DataFrame:
+    """(hours, fire): whether the last event is so long ago; without any, it fires."""
+    ago = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.max("ts").cast("timestamp"))) / 3600
+    return events.agg(ago.alias("hours")).select("hours", F.coalesce(F.col("hours") >= hours, F.lit(True)).alias("fire"))
+
+
+def monthly(events: DataFrame, cap: float) -> DataFrame:
+    """Running spend of each month and what is left of the cap (complete mode); a new month begins at nothing."""
+    return events.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("value").alias("spent")).withColumn("left", F.lit(cap) - F.col("spent"))
+
+
+def retried(requests: DataFrame, answer) -> DataFrame:
+    """answer(DataFrame) -> (id, reply): those without a reply are asked once more."""
+    first = answer(requests)
+    good = first.where("reply is not null and reply <> ''")
+    again = answer(requests.join(good.select("id"), "id", "left_anti"))
+    return good.withColumn("round", F.lit(1)).unionByName(again.withColumn("round", F.lit(2)))
+
+
+#: The order of a tick's phases.
+PHASES = ("bias", "sense", "resolve", "ingest", "trip", "dream", "calibrate")
+
+
+def tick(phases: dict, gates: dict | None = None) -> list[str]:
+    """Run the phases (name -> callable) in their order, but those whose gate (name -> bool) is shut; the names of those run."""
+    ran = []
+    for name in PHASES:
+        if name in phases and (gates or {}).get(name, True):
+            phases[name]()
+            ran.append(name)
+    return ran
