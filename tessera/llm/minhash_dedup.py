@@ -354,7 +354,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = tables.written(small, name)
+        old, edges = edges, tables.written(small, name)
+        tables.remove(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -384,8 +385,11 @@ def _to_leaders(led: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(_rooted(pairs, roots, "a"), roots, "b").where("ra <> rb").select("a", "b")
 
 
-def _across(led: DataFrame, roots: DataFrame, texts: DataFrame, size: int, threshold: float, bag: bool) -> DataFrame:
-    """Pairs of members of different components that may be similar though neither, or one alone, is similar to their leader."""
+def _across(led: DataFrame, roots: DataFrame, texts: DataFrame, size: int, threshold: float, bag: bool, spent: list[DataFrame]) -> DataFrame:
+    """Pairs of members of different components that may be similar though neither, or one alone, is similar to their leader.
+
+    spent gets the table to remove once the pairs are written.
+    """
     placed = _rooted(_rooted(led.select("bucket", "a", "b"), roots, "b"), roots, "a")
     mixed = placed.groupBy("bucket").agg(F.min("rb").alias("r0"), F.max("rb").alias("r1")).where("r0 <> r1").select("bucket")
     pairs = placed.join(mixed, "bucket").where("a <> b").select("a", "b", F.col("rb").alias("root")).distinct()
@@ -395,6 +399,8 @@ def _across(led: DataFrame, roots: DataFrame, texts: DataFrame, size: int, thres
     tokens = tokens.join(shared, ["a", "token", "way"])
     about = found.where("token is null").select("a", "x", F.col("rest").alias("size"), "f", "root", "bits")
     tokens = tables.written(tokens.join(about, ["a", "x"]), "minhash-differences")
+    tables.remove(found)
+    spent.append(tokens)
     p, q = (tokens.where("left" if x == "p" else "not left").select("a", "token", "way", *[F.col(c).alias(c + x) for c in ("x", "root", "f", "rest", "size", "bits")]) for x in "pq")
     apart = sum((F.bit_count(F.col("bitsp")[i].bitwiseXOR(F.col("bitsq")[i])) for i in range(_Differences.BITS // 64)), F.lit(0))
     enough = F.col("fp") + F.col("fq") <= F.least("restp", "restq", (F.col("sizep") + F.col("sizeq") - apart) / 2) + 1e-9
@@ -433,12 +439,14 @@ def _classes(rows: DataFrame, shingle: int, threshold: float, bands: int, band_r
     texts = tables.written(texts.withColumnRenamed("uid", "kind"), "minhash-texts")
     tables.remove(mates)
     roots = tried = links = None
-    finds = (lambda _: _to_first_leader(led), lambda r: _to_leaders(led, r), lambda r: _across(led, r, texts, shingle, threshold, bag))
+    spent: list[DataFrame] = []
+    finds = (lambda _: _to_first_leader(led), lambda r: _to_leaders(led, r), lambda r: _across(led, r, texts, shingle, threshold, bag, spent))
     for find in finds:
         pairs = find(roots)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = tables.written(pairs, "minhash-pairs")
+        tables.remove(*spent)
         if roots is not None and pairs.isEmpty():
             continue
         more = tables.written(_links(pairs, texts, shingle, threshold, bag), "minhash-links")
