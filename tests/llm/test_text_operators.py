@@ -94,6 +94,35 @@ def test_near_duplicates_of_a_hub(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
+@pytest.mark.parametrize("bag", [False, True])
+def test_near_duplicates_around_the_threshold(spark, bag):
+    """A crowd of copies just above and below the threshold, of which some are linked to each other and not to the text they come from."""
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(160)]
+    rows = [(1000, " ".join(base))]
+    for k in range(40):
+        w = list(base)
+        for _ in range(r.randint(1, 5)):
+            w[r.randrange(160)] = f"x{k}_{r.randrange(99)}"
+        rows.append((k, " ".join(w)))
+        if k % 3 == 0:
+            w[r.randrange(160)] = f"y{k}"
+            rows.append((100 + k, " ".join(w)))
+    out = minhash_dedup.near_duplicates(frame(spark, rows), bag=bag).collect()
+    want = brute.near(sorted(rows))
+    assert {x["doc_id"]: x["class_id"] for x in out} == want and 1 < len(set(want.values())) < len(rows)
+    kept = minhash_dedup.distinct_texts(frame(spark, rows), bag=bag, carry=("lang",)).collect()
+    assert {x["doc_id"] for x in kept} == set(want.values()) and all(x["text"] == dict(rows)[x["doc_id"]] for x in kept)
+
+
+def test_bags_tell_repetition_apart(spark):
+    rows = [(1, "a b c d e f g " * 40), (2, "a b c d e f g " * 20), (3, "a b c d e f g " * 39)]
+    classes = lambda bag: {x["doc_id"]: x["class_id"] for x in minhash_dedup.near_duplicates(frame(spark, rows), bag=bag).collect()}
+    assert classes(False) == {1: 1, 2: 1, 3: 1} and classes(True) == {1: 1, 2: 2, 3: 1}
+    with pytest.raises(ValueError):
+        minhash_dedup.near_duplicates(frame(spark, rows), carry=("keep",))
+
+
 def test_signatures_estimate_weighted_similarity():
     h = np.arange(1, 301, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     row = np.zeros(300, np.int64)
