@@ -175,9 +175,9 @@ def features(pages: list[list[tuple[Node | None, str, int]]]) -> dict[str, np.nd
     numbers: dict[tuple, int] = {}
     path = np.array([numbers.setdefault((n.mask, n.last) if n else (0, ()), len(numbers)) for n, _, _ in flat], np.int64)
     # Parts anywhere in the path, and the innermost ones once more.
-    bits = [np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(PATH_ROWS // 8, "little"), np.uint8), bitorder="little")).astype(np.uint16) for mask, _ in numbers]
-    parts = [np.append(b, np.array([_slot("^" + p) for p in last], np.uint16)) if last else np.zeros(1, np.uint16) for b, (_, last) in zip(bits, numbers, strict=True)]
-    n = np.array([len(p) for p in parts], np.int64)
+    masks = np.frombuffer(b"".join(mask.to_bytes(PATH_ROWS // 8, "little") for mask, _ in numbers), np.uint8).reshape(-1, PATH_ROWS // 8)
+    inner = [[_slot("^" + p) for p in last] or [0] for _, last in numbers]
+    n_inner = np.array([len(p) for p in inner], np.int64)
     texts = [t for _, t, _ in flat]
     c = next(text.chunks(pa.array(texts, pa.string()), 1 << 62), None)
     w = text.words(c, text.ALNUM, text.LOWER) if c else text.Words(*(np.zeros(0, np.int64),) * 2, np.zeros(1, np.int64), np.zeros(0, np.uint64))
@@ -187,7 +187,7 @@ def features(pages: list[list[tuple[Node | None, str, int]]]) -> dict[str, np.nd
     place = text.ragged(np.zeros(len(size), np.int64), size) / np.maximum(1, np.repeat(size, size))
     ends = np.array([t[-1] in ".!?…。" for t in texts], float)
     measures = np.stack([np.log1p(words) / 5, np.minimum(1, links / np.maximum(chars, 1)), place, ends, words < 5, words > 25], 1) if flat else np.zeros((0, MEASURES))
-    return {"size": size, "path": path, "parts": np.concatenate(parts) if parts else np.zeros(0, np.uint16), "n_parts": n, "words": (w.hashes % np.uint64(WORD_ROWS)).astype(np.int64), "n_words": words, "measures": measures}
+    return {"size": size, "path": path, "masks": masks, "inner": np.array([x for p in inner for x in p], np.int64), "n_inner": n_inner, "words": (w.hashes % np.uint64(WORD_ROWS)).astype(np.int64), "n_words": words, "measures": measures}
 
 
 @functools.lru_cache(1 << 16)
@@ -209,6 +209,21 @@ def _means(table: np.ndarray, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total / np.maximum(n, 1)[:, None]
 
 
+def _bits(masks: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The parts of some paths at a time, as ones and zeros."""
+    for lo in range(0, len(masks), 4096):
+        part = slice(lo, lo + 4096)
+        yield part, np.unpackbits(masks[part], axis=1, bitorder="little").astype(float)
+
+
+def _path_means(table: np.ndarray, f: dict[str, np.ndarray]) -> np.ndarray:
+    """Mean of the rows of each path's parts, the innermost ones once more."""
+    out = _means(table, f["inner"], f["n_inner"]) * f["n_inner"][:, None]
+    for part, bits in _bits(f["masks"]):
+        out[part] = (out[part] + bits @ table) / (f["n_inner"][part] + bits.sum(1))[:, None]
+    return out
+
+
 class Labeller:
     """Embeddings, a bidirectional LSTM and a logistic output."""
 
@@ -221,7 +236,7 @@ class Labeller:
             self.p["c" + way] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])
 
     def _inputs(self, f: dict[str, np.ndarray]) -> np.ndarray:
-        return np.concatenate([_means(self.p["path"], f["parts"], f["n_parts"])[f["path"]], _means(self.p["word"], f["words"], f["n_words"]), f["measures"]], 1)
+        return np.concatenate([_path_means(self.p["path"], f)[f["path"]], _means(self.p["word"], f["words"], f["n_words"]), f["measures"]], 1)
 
     def _run(self, x: np.ndarray, w: np.ndarray, c: np.ndarray, live: np.ndarray, at: np.ndarray, keep: bool):
         """Hidden states by time, over rows that are longest first."""
@@ -292,11 +307,15 @@ class Labeller:
         for way, order, kept, part in (("f", of, kf, dall[:, :HIDDEN]), ("b", ob, kb, dall[:, HIDDEN : 2 * HIDDEN])):
             g["w" + way], g["c" + way], back = self._back(part[order], x[order], self.p["w" + way], live, at, kept)
             dx[order] += back
-        per_path = np.zeros((len(f["n_parts"]), PATH_SIZE))
+        per_path = np.zeros((len(f["masks"]), PATH_SIZE))
         np.add.at(per_path, f["path"], dx[:, :PATH_SIZE])
-        for name, slots, n, d in (("path", f["parts"], f["n_parts"], per_path), ("word", f["words"], f["n_words"], dx[:, PATH_SIZE : PATH_SIZE + WORD_SIZE])):
-            g[name] = np.zeros_like(self.p[name])
-            np.add.at(g[name], slots, np.repeat(d / np.maximum(n, 1)[:, None], n, axis=0))
+        g["path"] = np.zeros_like(self.p["path"])
+        for part, bits in _bits(f["masks"]):
+            per_path[part] /= (f["n_inner"][part] + bits.sum(1))[:, None]
+            g["path"] += bits.T @ per_path[part]
+        np.add.at(g["path"], f["inner"], np.repeat(per_path, f["n_inner"], axis=0))
+        g["word"] = np.zeros_like(self.p["word"])
+        np.add.at(g["word"], f["words"], np.repeat(dx[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] / np.maximum(f["n_words"], 1)[:, None], f["n_words"], axis=0))
         return g
 
     def train(self, pages: list[tuple[list, list[int]]], epochs: int = EPOCHS, seed: int = 12) -> None:
