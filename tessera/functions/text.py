@@ -359,3 +359,47 @@ def novel(title: Column, ident: Column, known: Column) -> Column:
     """Whether neither slug of a paper is among the known ones."""
     a, b = slug(title), slug(ident)
     return ~(((a != "") & F.array_contains(known, a)) | ((b != "") & F.array_contains(known, b)))
+
+
+#: Words that begin no name, and where a brief's leading clause ends.
+NAME_STOPWORDS = "the a an and or but of to in on at for is are was were be as by from into via that this it its with we our".split()
+CLAUSE_END = r":|\. |; | — | - | \("
+#: Words that a sensor's query leaves out.
+SENSOR_STOPWORDS = (
+    "the of and in a is for to as by an on at or that this with from are was were been have has had its his her their our which can not but all "
+    "there exists every each some many most more only such also than may would does into when how what about between through"
+).split()
+SENSOR_FILLER = [*FILLER, "central", "claim", "argument", "proposal"]
+_TRIMMED = ".,;:—-()\"'"
+
+
+def derive_names(brief: Column, stamp: Column) -> tuple[Column, Column]:
+    """A variable's name and a display name from up to four content words of a brief's leading clause; a note of the stamp if it has none."""
+    clean = lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", "")
+    first_up = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
+    words = F.filter(fields(F.split(F.coalesce(brief, F.lit("")), CLAUSE_END, 2)[0]), lambda w: (F.length(clean(w)) >= 3) & ~F.lower(clean(w)).isin(*NAME_STOPWORDS))
+    words = F.slice(words, 1, 4)
+    name = identifier(F.array_join(F.transform(words, lambda w: first_up(clean(w))), ""))
+    shown = first_up(F.array_join(F.transform(words, lambda w: F.btrim(w, F.lit(_TRIMMED))), " "))
+    note = lambda text, form: F.concat(F.lit(text), F.date_format(stamp, form))
+    return F.when(name == "", note("Note", "yyyyMMddHHmmss")).otherwise(name), F.when(name == "", note("Note ", "yyyy-MM-dd")).otherwise(shown)
+
+
+def sensor_query(var_name: Column, name: Column, brief: Column, proposer: Column) -> Column:
+    """Up to four search words: the proposer's surname, the concept's words, then those of its brief, then of its variable."""
+    same = lambda a, b: F.lower(a) == F.lower(b)
+    words = lambda s: fields(F.coalesce(s, F.lit("")))
+    camel = lambda s: words(F.regexp_replace(s, "([A-Z])", " $1"))
+    telling = lambda w: (F.octet_length(w) >= 4) & ~F.lower(w).isin(*SENSOR_STOPWORDS, *SENSOR_FILLER)
+    content = lambda s: F.filter(F.transform(words(s), lambda w: F.btrim(w, F.lit(PUNCTUATION))), telling)
+    surname = F.slice(F.reverse(words(proposer)), 1, 1)
+    stem = var_name
+    for suffix in ("Thesis", "Framing", "Typology", "Reframing"):
+        stem = F.regexp_replace(stem, suffix + "$", "")
+    of_stem = F.filter(camel(stem), lambda w: (F.octet_length(w) >= 3) & ~F.lower(w).isin(*SENSOR_STOPWORDS))
+    concept = F.when(F.size(words(name)).between(1, 6), content(name)).otherwise(of_stem)
+    parts = F.concat(surname, F.slice(F.filter(concept, lambda w: ~F.exists(surname, lambda p: same(p, w))), F.lit(1), 3 - F.size(surname)))
+    extend = lambda acc, w: F.when((F.size(acc) >= 4) | F.exists(acc, lambda p: same(p, w)), acc).otherwise(F.concat(acc, F.array(w)))
+    parts = F.when(F.size(parts) < 3, F.aggregate(content(brief), parts, extend)).otherwise(parts)
+    parts = F.when(F.size(parts) < 2, F.concat(parts, F.filter(camel(var_name), telling))).otherwise(parts)
+    return F.array_join(F.slice(parts, 1, 4), " ")

@@ -112,3 +112,19 @@ def hybrid(docs: DataFrame, query: list[str], similar: DataFrame, about: DataFra
     fused = fuse(bm25(docs, query, depth), near, 2 * depth)
     kept = about if role is None else about.where(F.col("role") == role)
     return kept.drop("role").join(F.broadcast(fused), "doc").orderBy(F.desc("score"), "doc").limit(k)  # 2 * depth rows
+
+
+def anti_exemplars(files: DataFrame, text: str = "text", n: int | None = None, seed: int = 0) -> DataFrame:
+    """Rejected claims (columns of files but the text, shape, reason) from dated audit comments: the first back-quoted phrase, and what follows the word of deletion.
+
+    A block is an audit line and the comment lines right after it; one without a phrase gives no row.
+    With n, that many of them in an order by hash.
+    """
+    block = r"(?m)^[ \t]*//[ \t]*\d{4}-\d{2}-\d{2}[ \t]+audit:[^\n]*(?:\n[ \t]*//[^\n]*)*"
+    keep = [files[c] for c in files.columns if c not in (text, "shape", "reason")]
+    said = files.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(block), F.lit(0))).alias("__block"))
+    body = F.array_join(F.transform(F.split("__block", "\n"), lambda x: F.btrim(F.regexp_replace(x, r"^\s*//", ""), F.lit(" \t\r"))), " ")
+    said = said.select(*[c for c in said.columns if c != "__block"], body.alias("__body"), F.regexp_extract(body, "`([^`]+)`", 1).alias("shape")).where("shape <> ''")
+    reason = F.when(F.locate("deleted here.", F.col("__body")) > 0, F.trim(F.regexp_replace("__body", "^.*?deleted here\\.", ""))).otherwise(F.col("__body"))
+    out = said.withColumn("reason", reason).drop("__body")
+    return out if n is None else out.orderBy(F.xxhash64("shape", "reason", F.lit(seed)), "shape", "reason").limit(n)

@@ -136,6 +136,8 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     add("r17_weighted_sample", lambda v: v.entities.orderBy(F.expr(es.format("cast(conv(substr(md5(var_name), 1, 8), 16, 10) as double)", "D")), "var_name").limit(12).select("var_name"), f"SELECT var_name FROM entities ORDER BY {es.format(chr(40) + chr(39) + '0x' + chr(39) + ' || md5(var_name)[1:8])::BIGINT', 'e0')}, var_name LIMIT 12")
     add("r18_groups", lambda v: v.entities.withColumn("g", F.pmod(F.conv(F.substring(F.md5("var_name"), 9, 6), 16, 10).cast("long"), F.lit(4))).withColumn("i", F.expr(f"row_number() over (partition by g, role_type order by {es.format('cast(conv(substr(md5(var_name), 1, 8), 16, 10) as double)', 'D')}, var_name)")).where("i <= 2").select("g", "role_type", "var_name"), f"SELECT g, role_type, var_name FROM (SELECT *, ('0x' || md5(var_name)[9:14])::BIGINT % 4 AS g FROM entities) QUALIFY row_number() OVER (PARTITION BY g, role_type ORDER BY {es.format(chr(40) + chr(39) + '0x' + chr(39) + ' || md5(var_name)[1:8])::BIGINT', 'e0')}, var_name) <= 2")
     add("r19_spaced", lambda v: R.spaced(v.cycles.where("resolution = 'irrelevant'").select("pos"), "pos", 40), more("x AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n FROM cycles WHERE resolution = 'irrelevant')", "SELECT pos FROM x WHERE i IN (SELECT floor(k * n / 40)::BIGINT FROM range(0, 40) r(k), (SELECT max(n) AS n FROM x))"))
+    audit = "concat('x := 1\\n// 2024-05-06 audit: `', lang, ' Of ', source, '` was\\n  // deleted here. It repeats ', doc_id, '\\ny := 2')"
+    add("r22_anti_exemplars", lambda v: R.anti_exemplars(v.table("documents").select("doc_id", F.expr(audit).alias("text"))), "SELECT doc_id, concat(lang, ' Of ', source) AS shape, concat('It repeats ', doc_id) AS reason FROM documents")
     both("r21_exemplars", "SELECT c.var_name, md5(c.var_name) AS k FROM {claims} c JOIN {provenance} p ON p.var_name = c.prov_ref WHERE length(p.quote) >= 200 AND c.predicate IN ('TheoryOf', 'Proposes') ORDER BY k, var_name LIMIT 25")
     both("r23_vulnerabilities", f"SELECT kind, entity, severity, {_RANK} AS place FROM vulns", f"{_ENDS}, {_VULNS}")
     add("r24_candidate_order", lambda v: D.candidates(v.claims, v.entities, 2, 0.5, 8.0).orderBy(F.desc("weight"), F.desc("coefficient"), F.desc("shared"), "b", "a").limit(20).select("a", "b"), alike.format("a, b", 20))

@@ -31,6 +31,16 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     low = f"lower(trim(w, '{_Q(X.PUNCTUATION)}'))"
     add("s9_depth_query", *one("var_name", lambda: X.depth_query(F.col("name")), "entities", f"array_to_string(list_concat(list_filter(string_split_regex(name, '\\s+'), lambda w: w <> '' AND strlen({low}) >= 3 AND NOT list_contains({_LIST([*X.NOISE, *X.FILLER])}, {low}))[1:2], ['alternative', 'theory']), ' ')"))
     add("s10_encyclopedia_query", *one("var_name", lambda: X.encyclopedia_query(F.col("var_name"), F.concat_ws(" ", "name", "brief", F.col("role_type"), F.lit("of some kind")), F.when(F.col("role_type") == "Place", F.col("name")).otherwise("")), "entities", f"CASE WHEN role_type = 'Place' THEN name WHEN len(list_filter(string_split_regex(concat_ws(' ', name, brief, role_type, 'of some kind'), '\\s+'), lambda w: w <> '')) BETWEEN 1 AND 6 THEN concat_ws(' ', name, brief, role_type, 'of some kind') ELSE array_to_string(list_filter(string_split(regexp_replace(var_name, '([A-Z])', ' \\1', 'g'), ' '), lambda w: strlen(w) >= 3 AND NOT list_contains({_LIST(X.NOISE[:10])}, lower(w)))[1:4], ' ') END"))
+    add("s8_sensor_query", lambda v: v.entities.select("var_name", X.sensor_query(F.col("var_name"), F.col("name"), F.concat_ws(" ", "brief", "role_type", "file"), F.when(F.col("role_type") == "Concept", F.col("alias")).otherwise("")).alias("out")), None)
+    clean = "regexp_replace(w, '[^A-Za-z0-9]', '', 'g')"
+    words = f"list_filter(string_split_regex(string_split_regex(text, '{X.CLAUSE_END}')[1], '\\s+'), lambda w: strlen({clean}) >= 3 AND NOT list_contains({_LIST(X.NAME_STOPWORDS)}, lower({clean})))[1:4]"
+    glued = f"array_to_string(list_transform({words}, lambda w: upper({clean}[1]) || {clean}[2:]), '')"
+    shown = f"array_to_string(list_transform({words}, lambda w: trim(w, '{_Q(X._TRIMMED)}')), ' ')"
+    add(
+        "s55_derive_names",
+        lambda v: docs(v).select("doc_id", *(c.alias(n) for c, n in zip(X.derive_names(F.col("text"), F.lit("2024-01-02 03:04:05").cast("timestamp")), ("var_name", "display"), strict=True))),
+        f"SELECT doc_id, CASE WHEN bare THEN 'Note20240102030405' ELSE glued END AS var_name, CASE WHEN bare THEN 'Note 2024-01-02' ELSE upper(shown[1]) || shown[2:] END AS display FROM (SELECT doc_id, glued, shown, coalesce(glued, '') = '' OR regexp_matches(glued, '^[0-9]') AS bare FROM (SELECT doc_id, regexp_replace({glued}, '^[0-9]', '') AS glued, {shown} AS shown FROM documents) a) b",
+    )
     add("s11_base_var", *one("var_name", lambda: X.base_var(F.concat("var_name", F.lit(".Entity.x"))), "entities", "string_split(var_name || '.Entity.x', '.')[1]"))
     line = "translate(text, chr(10) || chr(13), '  ')"
     add("s12_truncate", *one("doc_id", lambda: X.truncate(F.col("text"), 60), "documents", f"CASE WHEN strlen({line}) <= 60 THEN {line} ELSE {_PREFIX.format(line, 60)} || '…' END"))
