@@ -128,3 +128,22 @@ def anti_exemplars(files: DataFrame, text: str = "text", n: int | None = None, s
     reason = F.when(F.locate("deleted here.", F.col("__body")) > 0, F.trim(F.regexp_replace("__body", "^.*?deleted here\\.", ""))).otherwise(F.col("__body"))
     out = said.withColumn("reason", reason).drop("__body")
     return out if n is None else out.orderBy(F.xxhash64("shape", "reason", F.lit(seed)), "shape", "reason").limit(n)
+
+
+def pick_across(pairs: DataFrame, refuted: DataFrame, n: int, floor: int = 250, weight: int = 62, seed: str = "") -> DataFrame:
+    """n pairs (a, b, cluster_a, cluster_b, rank) of entities in different clusters, spread over the pairs of clusters.
+
+    pairs: a, b, their clusters, score, affinity; those refuted (a, b, either way round) or of an affinity under the
+    floor go.  The best of each pair of clusters by score * weight + affinity are taken in turns, the pair of clusters
+    with the best one first; ties fall to a seeded hash.  No more than n of a pair of clusters are looked at.
+    """
+    key = lambda d: F.concat_ws("|", F.least(d["a"], d["b"]), F.greatest(d["a"], d["b"]))
+    gone = refuted.select(key(refuted).alias("key")).distinct()
+    left = pairs.withColumn("key", key(pairs)).where((F.col("cluster_a") != F.col("cluster_b")) & (F.col("affinity") >= floor)).join(gone, "key", "left_anti")
+    left = left.select("a", "b", "cluster_a", "cluster_b", (F.col("score") * weight + F.col("affinity")).alias("rank"), F.md5(F.concat(F.lit(seed), "a", F.lit("|"), "b")).alias("tie"))
+    left = left.withColumn("low", F.least("cluster_a", "cluster_b")).withColumn("high", F.greatest("cluster_a", "cluster_b"))
+    best = [F.desc("rank"), "tie", "a", "b"]
+    turn = Window.partitionBy("low", "high").orderBy(*best)
+    top = left.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n)
+    top = top.withColumn("lead", F.first("rank").over(turn)).withColumn("lead_tie", F.first("tie").over(turn))
+    return top.orderBy("turn", F.desc("lead"), "lead_tie", "low", "high").limit(n).select("a", "b", "cluster_a", "cluster_b", "rank")

@@ -36,3 +36,13 @@ def test_anti_exemplars(spark):
     got = sorted(tuple(r) for r in R.anti_exemplars(df).collect())
     assert got == [("f", "A Of B", "It was wrong."), ("f", "E Of F", "2026-04-29 audit: `E Of F` is bad 2026-04-30 audit: `G Of H`")]
     assert R.anti_exemplars(df, n=1).count() == 1
+
+
+def test_pick_across(spark):
+    rows = [("a", "b", "1", "2", 1, 900), ("c", "d", "2", "1", 1, 800), ("e", "f", "1", "3", 1, 400), ("g", "h", "1", "3", 9, 200), ("i", "j", "1", "1", 9, 900), ("k", "l", "2", "3", 8, 999)]
+    df = spark.createDataFrame(rows, "a string, b string, cluster_a string, cluster_b string, score int, affinity int")
+    refuted = spark.createDataFrame([("l", "k")], "a string, b string")
+    pick = lambda n: [(r["a"], r["rank"]) for r in R.pick_across(df, refuted, n).collect()]
+    assert pick(9) == [("a", 962), ("e", 462), ("c", 862)]
+    assert pick(2) == [("a", 962), ("e", 462)]
+    assert R.pick_across(df.limit(0), refuted, 3).count() == 0
