@@ -138,10 +138,10 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     add("r19_spaced", lambda v: R.spaced(v.cycles.where("resolution = 'irrelevant'").select("pos"), "pos", 40), more("x AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n FROM cycles WHERE resolution = 'irrelevant')", "SELECT pos FROM x WHERE i IN (SELECT floor(k * n / 40)::BIGINT FROM range(0, 40) r(k), (SELECT max(n) AS n FROM x))"))
     audit = "concat('x := 1\\n// 2024-05-06 audit: `', lang, ' Of ', source, '` was\\n  // deleted here. It repeats ', doc_id, '\\ny := 2')"
     add("r22_anti_exemplars", lambda v: R.anti_exemplars(v.table("documents").select("doc_id", F.expr(audit).alias("text"))), "SELECT doc_id, concat(lang, ' Of ', source) AS shape, concat('It repeats ', doc_id) AS reason FROM documents")
-    routes = "home AS (SELECT subject AS s, min(object) AS nation FROM {claims} WHERE predicate = 'LocatedIn' GROUP BY 1), routes AS (SELECT c.subject AS a, c.object AS b, h.nation AS cluster_a, e.alias AS cluster_b, CASE WHEN e.brief LIKE '%STEEL%' THEN 2 ELSE 1 END AS score, 40 * length(e.brief) AS affinity FROM {claims} c JOIN home h ON h.s = c.subject JOIN {entities} e ON e.var_name = c.object WHERE c.predicate = 'Proposes' AND e.alias <> '')"
-    turns = "fit AS (SELECT a, b, cluster_a, cluster_b, score * 62 + affinity AS rank, md5(a || '|' || b) AS tie, least(cluster_a, cluster_b) AS low, greatest(cluster_a, cluster_b) AS high FROM routes WHERE affinity >= 600 AND (a, b) NOT IN (SELECT subject, object FROM claims WHERE predicate = 'Disputes')), dealt AS (SELECT *, row_number() OVER w AS turn, first_value(rank) OVER w AS lead_rank, first_value(tie) OVER w AS lead_tie FROM fit WINDOW w AS (PARTITION BY low, high ORDER BY rank DESC, tie, a, b))"
+    routes = "home AS (SELECT subject AS s, min(object) AS nation FROM {claims} WHERE predicate = 'LocatedIn' GROUP BY 1), routes AS (SELECT c.subject AS a, c.object AS b, h.nation AS cluster_a, e.alias AS cluster_b, CASE WHEN e.brief = 'PROMO' THEN 4 ELSE 1 END AS score, 50 * length(e.brief) AS affinity FROM {claims} c JOIN home h ON h.s = c.subject JOIN {entities} e ON e.var_name = c.object WHERE c.predicate = 'Proposes' AND e.alias <> '')"
+    turns = "fit AS (SELECT a, b, cluster_a, cluster_b, score * 62 + affinity AS rank, md5(a || '|' || b) AS tie, least(cluster_a, cluster_b) AS low, greatest(cluster_a, cluster_b) AS high FROM routes WHERE affinity >= 250 AND (a, b) NOT IN (SELECT subject, object FROM claims WHERE predicate = 'Disputes')), dealt AS (SELECT *, row_number() OVER w AS turn, first_value(rank) OVER w AS lead_rank, first_value(tie) OVER w AS lead_tie FROM fit WINDOW w AS (PARTITION BY low, high ORDER BY rank DESC, tie, a, b))"
     plain = routes.replace("{claims}", "claims").replace("{entities}", "entities")
-    add("r16_cross_cluster", lambda v: R.pick_across(v.sql(f"WITH {routes} SELECT * FROM routes"), v.claims.where("predicate = 'Disputes'").select(F.col("object").alias("a"), F.col("subject").alias("b")), 50, floor=600), more(f"{plain}, {turns}", "SELECT a, b, cluster_a, cluster_b, rank FROM dealt ORDER BY turn, lead_rank DESC, lead_tie, low, high LIMIT 50"))
+    add("r16_cross_cluster", lambda v: R.pick_across(v.sql(f"WITH {routes} SELECT * FROM routes"), v.claims.where("predicate = 'Disputes'").select(F.col("object").alias("a"), F.col("subject").alias("b")), 50), more(f"{plain}, {turns}", "SELECT a, b, cluster_a, cluster_b, rank FROM dealt ORDER BY turn, lead_rank DESC, lead_tie, low, high LIMIT 50"))
     both("r21_exemplars", "SELECT c.var_name, md5(c.var_name) AS k FROM {claims} c JOIN {provenance} p ON p.var_name = c.prov_ref WHERE length(p.quote) >= 200 AND c.predicate IN ('TheoryOf', 'Proposes') ORDER BY k, var_name LIMIT 25")
     both("r23_vulnerabilities", f"SELECT kind, entity, severity, {_RANK} AS place FROM vulns", f"{_ENDS}, {_VULNS}")
     add("r24_candidate_order", lambda v: D.candidates(v.claims, v.entities, 2, 0.5, 8.0).orderBy(F.desc("weight"), F.desc("coefficient"), F.desc("shared"), "b", "a").limit(20).select("a", "b"), alike.format("a, b", 20))
