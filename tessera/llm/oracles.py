@@ -8,11 +8,11 @@ WITH doc AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
 ), win AS (
-  SELECT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), s -> array_to_string(w[s:s + 9], ' '))) AS g
+  SELECT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda s: array_to_string(w[s:s + 9], ' '))) AS g
   FROM item WHERE len(w) > 0
 ), sizes AS (SELECT DISTINCT k FROM win),
 start AS (
-  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS g
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
   FROM doc, sizes WHERE len(w) >= k
 ), met AS (
   SELECT DISTINCT start.doc_id, start.s, start.k, win.item_id FROM start JOIN win ON start.g = win.g AND start.k = win.k
@@ -26,4 +26,15 @@ SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": _OP3}
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM scored) WHERE "rank" <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op13_exact_topk": _OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, hmm, html_extract, langid, minhash_dedup, sentencepiece_codec, substring_dedup, tool_calls, url_rules
+from . import ann, decontamination, hmm, html_extract, langid, minhash_dedup, sentencepiece_codec, substring_dedup, threshold_topk, tool_calls, url_rules
 from .tables import table
 
 
@@ -98,6 +98,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", held), net, carry=("doc_id", "held_out"))
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(own.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
