@@ -26,6 +26,43 @@ SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+#: crc32 of a list of bytes, with its table made by the polynomial's rule.
+_CRC = """
+crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc_table
+)"""
+_CRC_OF = "xor(list_reduce({0}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))"
+
+_OP11 = rf"""
+WITH RECURSIVE {_CRC}, seen AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, times, {_CRC_OF.format(_BYTES.format("doc_id::VARCHAR || ':' || run"))} AS h FROM seen, crc
+), word AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM hashed
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM word WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), gap AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM gap a JOIN gap b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT gap.word, words.word FROM gap JOIN words ON gap.rest = words.word
+  UNION SELECT words.word, gap.word FROM gap JOIN words ON gap.rest = words.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, encode(other))) AS form, max(o.n) AS form_n FROM near JOIN words o ON o.word = near.other GROUP BY near.word
+), formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * words.n THEN form END AS form, CASE WHEN form_n >= 10 * words.n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root, 0 AS depth FROM formed
+  UNION ALL SELECT chain.word, f.form, depth + 1 FROM chain JOIN formed f ON f.word = chain.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word) USING (word)
+"""
+
 _OP13 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
@@ -37,4 +74,4 @@ WITH v AS (
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM scored) WHERE "rank" <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op13_exact_topk": _OP13}
+ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op11_spelling_variants": _OP11, "op13_exact_topk": _OP13}
