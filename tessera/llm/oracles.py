@@ -63,6 +63,34 @@ WITH RECURSIVE {_CRC}, seen AS (
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word) USING (word)
 """
 
+_OP12 = rf"""
+WITH {_CRC}, doc AS (
+  SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC_OF.format(_BYTES.format("doc_id::VARCHAR"))} AS h FROM documents, crc)
+), shape AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM doc
+), pos AS (
+  SELECT doc_id, i, w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END + 1] AS word FROM (SELECT *, unnest(range(n)) AS i FROM shape)
+), same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS p FROM pos x JOIN pos y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+), stretch AS (
+  SELECT doc_id, p, min(i) AS start, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM same)
+  GROUP BY doc_id, p, island HAVING count(*) >= p AND count(*) + p >= 12
+), run AS (
+  SELECT doc_id, start, len + p AS length, min(p) AS period FROM stretch GROUP BY ALL
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_min(run, (-length, start, period)) AS best FROM run GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM doc LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 _OP13 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
@@ -74,4 +102,4 @@ WITH v AS (
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM scored) WHERE "rank" <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op11_spelling_variants": _OP11, "op13_exact_topk": _OP13}
+ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op11_spelling_variants": _OP11, "op12_periodic_runs": _OP12, "op13_exact_topk": _OP13}

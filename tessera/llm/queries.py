@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, hmm, html_extract, langid, minhash_dedup, sentencepiece_codec, spelling, substring_dedup, threshold_topk, tool_calls, url_rules
+from . import ann, decontamination, hmm, html_extract, langid, minhash_dedup, periodic_runs, sentencepiece_codec, spelling, substring_dedup, threshold_topk, tool_calls, url_rules
 from .tables import table
 
 
@@ -102,6 +102,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), k=5)
 
