@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import written as _cut
+
 
 def adjacency(claims: DataFrame) -> DataFrame:
     """(u, v) both ways, distinct."""
@@ -19,19 +19,6 @@ def edge_count(claims: DataFrame) -> DataFrame:
     return adjacency(claims).agg(F.floor(F.count("*") / 2).alias("n_edges"))
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place:
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix=f"tessera-{name}-{uuid.uuid4().hex[:6]}")
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint()
-
-
 def components(claims: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached; nodes of claims only.
 

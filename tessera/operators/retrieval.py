@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .graph import _cut as cut
+from ..sources.stored import written as cut
 
 
 def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:

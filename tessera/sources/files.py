@@ -29,16 +29,17 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_lines_marked(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Every line in file order (_row), with the text of what doesn't parse (_corrupt)."""
-    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("_row", F.monotonically_increasing_id())
+    """Every line with its place (_row: file, split and number in it, in file order) and the text of what doesn't parse (_corrupt)."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("_row")).where("trim(value) <> ''")
     got = lines.withColumn("v", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     return got.select("_row", "v.*")
 
 
 def before_malformed(marked: DataFrame) -> DataFrame:
-    """The rows before the first line that doesn't parse."""
-    first = marked.where("_corrupt is not null").agg(F.coalesce(F.min("_row"), F.lit((1 << 63) - 1)).alias("first"))
-    return marked.join(F.broadcast(first), F.col("_row") < F.col("first")).drop("first", "_corrupt", "_row")
+    """The rows of each file before its first line that doesn't parse."""
+    first = marked.where("_corrupt is not null").groupBy(F.col("_row.file").alias("__file")).agg(F.min("_row").alias("__first"))
+    return marked.join(first, F.col("_row.file") == F.col("__file"), "left").where("__first is null or _row < __first").drop("__file", "__first", "_corrupt", "_row")
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,9 +48,11 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _markdown(spark: SparkSession, path: str) -> DataFrame:
     """(rel_path, text) of all markdown files below a folder but hidden ones."""
-    base = path.rstrip("/")
-    got = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size"), "value")
-    rel = F.url_decode(F.regexp_replace(F.element_at(F.split("p", base.rsplit("/", 1)[-1] + "/", 2), -1), "\\+", "%2B"))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    base = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/") + "/"
+    got = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size"), "value")
+    full = F.regexp_replace(F.url_decode(F.regexp_replace("p", "\\+", "%2B")), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rel = F.when(F.startswith(full, F.lit(base)), F.substring(full, len(base) + 1, 1 << 30)).otherwise(F.raise_error(F.concat(full, F.lit(f" isn't below {base}"))))
     return got.select(rel.alias("rel_path"), "size", F.col("value").alias("text")).where(~F.col("rel_path").rlike("(^|/)\\.[^/]"))
 
 

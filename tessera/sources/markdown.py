@@ -18,15 +18,21 @@ def anchor(s: str) -> str:
     return re.sub(r"[^\w\- ]+", "", re.sub("[`*_]+", "", s).lower(), flags=re.A).strip().replace(" ", "-")
 
 
+def fences(lines: list[str]) -> list[bool]:
+    """Which lines are part of a fenced block, its marks included; a block ends at a mark of its own kind."""
+    out, kind = [], ""
+    for line in lines:
+        mark = next((m for m in ("```", "~~~") if line.strip().startswith(m)), "")
+        out.append(bool(kind or mark))
+        if mark and kind in ("", mark):
+            kind = "" if kind else mark
+    return out
+
+
 def unfenced(text: str) -> list[tuple[int, str]]:
     """(line number, line) outside fenced blocks."""
-    out, fence = [], False
-    for i, line in enumerate(text.split("\n"), 1):
-        if line.strip().startswith(("```", "~~~")):
-            fence = not fence
-        elif not fence:
-            out.append((i, line))
-    return out
+    lines = text.split("\n")
+    return [(i, line) for i, (line, inside) in enumerate(zip(lines, fences(lines), strict=True), 1) if not inside]
 
 
 def links(text: str) -> list[dict]:
@@ -46,12 +52,12 @@ def links(text: str) -> list[dict]:
 
 def front_matter(text: str) -> tuple[dict[str, list[str]], str]:
     """Fields between leading rules (lists in brackets or as dashes), and what follows."""
-    m = re.match(r"---\n(.*?)\n---[ \t]*(?:\n|$)", text, re.S)
+    m = re.match(r"---[ \t]*\r?\n(?:(.*?)\r?\n)??(?:---|\.\.\.)[ \t]*(?:\r?\n|$)", text, re.S)
     if not m:
         return {}, text
     out: dict[str, list[str]] = {}
     key = None
-    for line in m[1].split("\n"):
+    for line in (m[1] or "").replace("\r", "").split("\n"):
         if key and re.match(r"\s*- ", line):
             out[key].append(line.strip()[2:].strip().strip("\"'"))
         elif f := re.match(r"([\w-]+):\s*(.*)$", line):
@@ -77,7 +83,7 @@ def sections(text: str) -> list[tuple[str, str, str]]:
     out: list[tuple[str, str, str]] = []
     title = head = place = ""
     body: list[str] = []
-    inside = fence = False
+    inside = False
 
     def flush() -> None:
         rest = "\n".join(body).strip()
@@ -86,10 +92,9 @@ def sections(text: str) -> list[tuple[str, str, str]]:
         if (inside or rest) and f"{full}\n{rest}".strip():
             out.append((place, full, f"{full}\n{rest}".strip()))
 
-    for line in text.split("\n"):
-        rule = line.strip().startswith(("```", "~~~"))
-        fence ^= rule
-        m = None if fence or rule else _HEADING.match(line)
+    lines = text.split("\n")
+    for line, code in zip(lines, fences(lines), strict=True):
+        m = None if code else _HEADING.match(line)
         if not m or len(m[1]) > 2:
             body.append(line)
             continue

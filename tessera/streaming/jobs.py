@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import written
+
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -70,10 +72,12 @@ def monthly(events: DataFrame, cap: float) -> DataFrame:
 
 
 def retried(requests: DataFrame, answer) -> DataFrame:
-    """answer(DataFrame) -> (id, reply): those without a reply are asked once more."""
-    first = answer(requests)
-    good = first.where("reply is not null and reply <> ''")
-    again = answer(requests.join(good.select("id"), "id", "left_anti"))
+    """answer(DataFrame) -> (id, reply): those without a reply are asked once more.
+
+    The first round's answers are written before they are read: each request is sent once a round.
+    """
+    good = written(answer(requests), "answers").where("reply is not null and reply <> ''")
+    again = written(answer(requests.join(good.select("id"), "id", "left_anti")), "answers")
     return good.withColumn("round", F.lit(1)).unionByName(again.withColumn("round", F.lit(2)))
 
 

@@ -7,7 +7,7 @@ from tessera.operators import retrieval as R
 
 
 def test_derive_names(spark):
-    rows = [("The winze-memory agentic interface: how it works", "WinzememoryAgenticInterface", "Winze-memory agentic interface"), ("a b", "Note20240102030405", "Note 2024-01-02"), (None, "Note20240102030405", "Note 2024-01-02"), ("one two three four five", "OneTwoThreeFour", "One two three four"), ("2024 in review (short)", "024Review", None)]
+    rows = [("The ore-sorting conveyor belt: how it works", "OresortingConveyorBelt", "Ore-sorting conveyor belt"), ("a b", "Note20240102030405", "Note 2024-01-02"), (None, "Note20240102030405", "Note 2024-01-02"), ("one two three four five", "OneTwoThreeFour", "One two three four"), ("2024 in review (short)", "024Review", None)]
     df = spark.createDataFrame([r[:1] for r in rows], "brief string")
     name, shown = X.derive_names(F.col("brief"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
     got = {r["brief"]: (r["n"], r["s"]) for r in df.select("brief", name.alias("n"), shown.alias("s")).collect()}

@@ -45,6 +45,49 @@ def test_vault(spark, tmp_path):
     assert (got["sub/c.md"]["title"], got["sub/c.md"]["dir"]) == ("c", "sub")
 
 
+@pytest.mark.parametrize("name", ["v", "a.b", "x+y", "p%20q", "two words", "(c)"])
+def test_folders_named_like_their_ancestors(spark, tmp_path, name):
+    root = tmp_path / "srv" / name / "srv" / name
+    put(root / "x.md", "# X\ntext")
+    put(root / "docs" / "y z+1.md", "# Y\ntext")
+    assert {r["rel_path"] for r in files.read_vault(spark, str(root)).collect()} == {"x.md", "docs/y z+1.md"}
+    assert {r["file"] for r in files.read_docs(spark, f"file:{root}/").collect()} == {"x.md", "docs/y z+1.md"}
+
+
+def test_lines_of_several_files_stop_apart(spark, tmp_path):
+    put(tmp_path / "l" / "a.jsonl", '{"k": 1}\n{"k": \n{"k": 2}\n')
+    put(tmp_path / "l" / "b.jsonl", "".join(f'{{"k": {k}}}\n' for k in range(10, 20)))
+    marked = files.read_lines_marked(spark, str(tmp_path / "l"), "k int")
+    assert sorted(r["k"] for r in files.before_malformed(marked).collect()) == [1, *range(10, 20)]
+
+
+def test_fences_end_by_their_own_mark():
+    text = "# T\n```\ncode [[a]]\n~~~\n[[b]]\n```\n[[c]]\n~~~\n```\n# not\n~~~\n## D\n[[d]]"
+    assert [x["target"] for x in markdown.links(text)] == ["c", "d"]
+    assert [s[1] for s in markdown.sections(text)] == ["T", "T › D"]
+
+
+def test_front_matter_of_other_systems():
+    for text in ("---\r\ntitle: A\r\ntags:\r\n- x\r\n---\r\nbody", "---\ntitle: A\ntags: [x]\n...\nbody"):
+        assert markdown.front_matter(text) == ({"title": ["A"], "tags": ["x"]}, "body")
+    assert markdown.front_matter("---\n---\nbody") == ({}, "body") and markdown.front_matter("--- a\n---\n")[0] == {}
+
+
+def test_each_request_is_sent_once_a_round(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def answer(df):
+        def go(frames):
+            for f in frames:
+                sent.add(len(f))
+                yield f.assign(reply=["" if i % 2 else "yes" for i in f["id"]])
+
+        return df.mapInPandas(go, "id long, reply string")
+
+    got = jobs.retried(spark.range(10), answer)
+    assert got.count() == 10 and got.where("round = 2").count() == 5 and sent.value == 15
+
+
 def test_docs(spark, tmp_path):
     put(tmp_path / "d" / "docs" / "x.md", "# Top\nintro\n## A `b`!\none\n### deep\n```\n# not a head\n```\n## C\n")
     put(tmp_path / "d" / "skip.md", "# S\n")
