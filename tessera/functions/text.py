@@ -313,6 +313,40 @@ def any_term(s: Column, query: str) -> Column:
     return out
 
 
+#: Stems of the knowledge base's domain.
+DOMAIN_STEMS = (
+    "mind", "cogniti", "conscious", "perception", "belief",
+    "epistem", "knowledge", "theory", "hypothesis", "philosophy",
+    "psycholog", "neurosci", "brain", "reason", "bias",
+    "logic", "proof", "theorem", "formal", "mathematical",
+    "language", "semanti", "meaning", "concept",
+    "evidence", "experiment", "empirical", "observation",
+    "predict", "model", "framework", "paradigm",
+    "critic", "dispute", "debate", "argue", "reject",
+    "propose", "claim", "assert", "contend",
+    "phenomeno", "qualia", "subjective", "experience",
+    "schizophreni", "apopheni", "pattern", "hallucin",
+    "nondual", "mystical", "meditation", "awareness",
+    "universal", "innate", "evolution", "adapt",
+    "impact", "explosion", "crater", "asteroid", "comet", "tunguska",
+)
+
+
+def relevant(snippet: Column, title: Column, brief: Column, stems: tuple[str, ...] = DOMAIN_STEMS) -> Column:
+    """Whether a paper is worth a closer look: it has no snippet, or snippet and title hold a stem or a word of five bytes and more of the brief."""
+    text = F.lower(F.concat_ws(" ", snippet, F.coalesce(title, F.lit(""))))
+    words = F.filter(F.split(F.lower(F.coalesce(brief, F.lit(""))), r"(?U)\s+"), lambda w: F.octet_length(w) >= 5)
+    return (F.coalesce(snippet, F.lit("")) == "") | F.exists(F.array(*[F.lit(s) for s in stems]), lambda s: F.contains(text, s)) | F.exists(words, lambda w: F.contains(text, w))
+
+
+def contains_term(text: Column, term: str, exclusions: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Whether the text holds the term, unless it holds one of the phrases that excuse the term."""
+    out = F.contains(text, F.lit(term))
+    for phrase in (exclusions or {}).get(term, ()):
+        out = out & ~F.contains(text, F.lit(phrase))
+    return F.coalesce(out, F.lit(False))
+
+
 def fabricated(name: Column, kind: Column, hints: tuple[str, ...]) -> Column:
     """Why a proposed name can't be one; empty if it can. The hints tell notes about a source from names."""
     n, low = F.btrim(name), F.lower(F.btrim(name))

@@ -105,7 +105,6 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     both("i1_naming", "SELECT role_type, max(CASE WHEN term IS NULL THEN 1 ELSE 0 END) = 0 AS grounded FROM (SELECT DISTINCT role_type FROM {entities}) r LEFT JOIN terms ON term = lower(role_type) GROUP BY 1", terms)
     both("i6_briefs", "SELECT var_name, length(brief) AS n FROM {entities} WHERE role_type = 'Concept' AND (brief = '' OR length(brief) > 22)")
     both("i7_split_sources", "SELECT lower(trim(origin)) AS origin, count(DISTINCT c.file) AS n_files FROM {claims} c JOIN {provenance} p ON p.var_name = c.prov_ref GROUP BY 1 HAVING count(DISTINCT c.file) > 1")
-    both("i8_brief_drift", "SELECT m.var_name, m.other FROM (SELECT e.var_name, n.var_name AS other FROM {entities} e JOIN {entities} n ON n.role_type = 'Concept' AND e.role_type = 'Concept' AND n.brief = e.brief AND n.var_name <> e.var_name AND n.name = e.name) m LEFT JOIN (SELECT DISTINCT a.object AS u, b.object AS v FROM {claims} a JOIN {claims} b ON b.subject = a.subject AND a.object <> b.object) h ON h.u = m.var_name AND h.v = m.other WHERE h.u IS NULL")
     alike = more("sig AS (SELECT entity, edge FROM (SELECT subject AS entity, predicate || '|out|' || coalesce(object, '') AS edge FROM claims UNION ALL SELECT object, predicate || '|in|' || subject FROM claims WHERE object IS NOT NULL) s GROUP BY 1, 2), size AS (SELECT entity, count(*) AS n FROM sig GROUP BY 1), w AS (SELECT edge, ln(1 + (SELECT count(*) FROM size) / count(*)) AS idf FROM sig GROUP BY 1), cand AS (SELECT x.entity AS a, y.entity AS b, count(*) AS shared, count(*) / greatest(any_value(sx.n), any_value(sy.n)) AS coefficient, sum(idf) AS weight FROM sig x JOIN sig y ON x.edge = y.edge AND x.entity < y.entity JOIN w ON w.edge = x.edge JOIN size sx ON sx.entity = x.entity JOIN size sy ON sy.entity = y.entity JOIN entities ex ON ex.var_name = x.entity JOIN entities ey ON ey.var_name = y.entity AND ey.role_type = ex.role_type GROUP BY 1, 2 HAVING count(*) >= 2), best AS (SELECT a, b, shared, round(coefficient, 6) AS coefficient, round(weight, 6) AS weight FROM cand WHERE coefficient >= 0.5 AND weight >= 8)", "SELECT {} FROM best ORDER BY weight DESC, coefficient DESC, shared DESC, b, a LIMIT {}")  # noqa: E501
     add("i9_structural_dedup", lambda v: D.candidates(v.claims, v.entities, 2, 0.5, 8.0).orderBy(F.desc("weight"), F.desc("coefficient"), F.desc("shared"), "b", "a").limit(15), alike.format("*", 15))
     hood = "names AS (SELECT entity, count(*) AS n, min(claim) AS first, max(claim) AS last FROM ends GROUP BY 1)"

@@ -16,7 +16,7 @@ from ..operators import lookup as Q
 from ..operators import retrieval as R
 from ..operators import similarity as D
 from ..sources.views import TABLES, oracle_ctes, table, view
-from . import knowledge, texts
+from . import knowledge, relations, texts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -210,7 +210,7 @@ _add("w7_overconfidence", lambda v: L.overconfidence(v.claims, v.claims.where("p
 _add("w8_base_rate", lambda v: L.base_rate(v.claims), _RATIO.format("BaseRateNeglect", "< 3.0", "-sum(n / t * log2(n / t))", "(SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM claims GROUP BY predicate))"))
 
 
-for _part in (texts, knowledge):
+for _part in (texts, knowledge, relations):
     _part.register(_add, _more, _both)
 
 

@@ -68,7 +68,17 @@ UNION ALL SELECT doc_id, lang || '/Note_' || (doc_id + 1), source FROM {document
 """
 #: Decisions, each of which may supersede the one before.
 _SUPERSEDES = "SELECT 'V' || doc_id AS newer, 'V' || (doc_id - 1) AS older FROM {documents} WHERE doc_id % 5 <> 0 AND doc_id % 23 <> 3"
-VIEWS = {"fields": _FIELDS, "predicates": _PREDICATES, "vault": _VAULT, "links": _LINKS_OF, "supersedes": _SUPERSEDES, "entities": _ENTITIES, "claims": _CLAIMS, "provenance": _PROVENANCE, "cycles": _CYCLES, "notes": _NOTES}
+#: Briefs that name other entities: an order its customer and supplier, a supplier a part's name and brand.
+_BRIEFS = """
+SELECT 'O' || o_orderkey AS var_name, 'Placed by ' || c_name || ', delivered by ' || s_name || '.' AS brief FROM {orders} JOIN {customer} ON c_custkey = o_custkey
+  JOIN {lineitem} ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN {supplier} ON s_suppkey = l_suppkey
+UNION ALL SELECT 'S' || s_suppkey, 'Sells the ' || p_name || ' of ' || p_brand || ' in ' || n_name FROM {supplier} JOIN {part} ON p_partkey = s_suppkey JOIN {nation} ON n_nationkey = s_nationkey
+"""
+#: Mentions that are marked as such: those of suppliers by closed orders of every seventh customer.
+_MARKS = """
+SELECT DISTINCT 'O' || o_orderkey AS entity, 'S' || l_suppkey AS target FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_custkey % 7 = 0
+"""
+VIEWS = {"briefs": _BRIEFS, "marks": _MARKS, "fields": _FIELDS, "predicates": _PREDICATES, "vault": _VAULT, "links": _LINKS_OF, "supersedes": _SUPERSEDES, "entities": _ENTITIES, "claims": _CLAIMS, "provenance": _PROVENANCE, "cycles": _CYCLES, "notes": _NOTES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
