@@ -9,25 +9,16 @@ from ..functions import text as X
 from ..sources.stored import written as cut
 
 
-def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(doc, term, tf, dl): of the wanted terms alone, if given, so that only they are shuffled."""
-    d = docs.select("doc", X.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t")).where("dl > 0")
-    if terms is not None:
-        d = d.withColumn("t", F.filter("t", lambda t: t.isin(*terms)))
-    return d.select("doc", "dl", F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, query: list[str], k: int = 15, k1: float = 1.5, b: float = 0.75, clamped: bool = False) -> DataFrame:
-    """doc, score: the k best, ties by doc. Repeated query terms count repeatedly.
+def bm25(docs: DataFrame, query: list[str], k: int | None = 15, k1: float = 1.5, b: float = 0.75, clamped: bool = False) -> DataFrame:
+    """doc, score: the k best (all, without k), ties by doc. Repeated query terms count repeatedly.
 
     One pass over the texts gives each document's length and its counts of the query's
-    terms; how many documents there are, how long and which hold a term are sums over
-    these narrow rows.
+    terms; these narrow rows are kept, and how many documents there are, how long and
+    which hold a term are sums over them.
     """
     terms = sorted(set(query))
-    words = docs.select("doc", X.tokens(F.col("text")).alias("t"))
-    n = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"n{i}") for i, w in enumerate(terms)]
-    rows = words.select("doc", F.size("t").alias("dl"), *n).where("dl > 0")
+    words = docs.select("doc", X.tokens(F.col("text")).alias("t")).select("doc", F.size("t").alias("dl"), F.filter("t", lambda t: t.isin(*terms)).alias("t"))
+    rows = cut(words.where("dl > 0").select("doc", "dl", *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"n{i}") for i, w in enumerate(terms)]), "bm25")
     total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     some = F.lit(False)
     for i in range(len(terms)):
@@ -35,11 +26,15 @@ def bm25(docs: DataFrame, query: list[str], k: int = 15, k1: float = 1.5, b: flo
     hit = rows.where(some).join(F.broadcast(total), F.lit(True))
     score = F.lit(0.0)
     for i, w in enumerate(terms):
-        ratio = (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)
-        idf = F.greatest(F.lit(0.0), F.log(ratio)) if clamped else F.log1p(ratio)
         tf = F.col(f"n{i}")
-        score = score + query.count(w) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
-    return hit.select("doc", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(k)
+        score = score + query.count(w) * idf(F.col("n"), F.col(f"df{i}"), clamped) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
+    out = hit.select("doc", F.round(score, 6).alias("score")).where("score > 0")
+    return out if k is None else out.orderBy(F.desc("score"), "doc").limit(k)
+
+
+def idf(n: Column, df: Column, clamped: bool = False) -> Column:
+    ratio = (n - df + 0.5) / (df + 0.5)
+    return F.greatest(F.lit(0.0), F.log(ratio)) if clamped else F.log1p(ratio)
 
 
 def unit(v: Column) -> Column:
@@ -59,13 +54,16 @@ def semantic(segments: DataFrame, query: DataFrame, k: int | None = None) -> Dat
     return out if k is None else out.orderBy(F.desc("score"), "owner").limit(k)
 
 
-def fuse(a: DataFrame, b: DataFrame, k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two top-k lists (doc, score)."""
-    w = Window.orderBy(F.desc("score"), "doc")  # over top-k lists only
-    ra = a.select("doc", F.row_number().over(w).alias("ra"))
-    rb = b.select("doc", F.row_number().over(w).alias("rb"))
+def fuse(a: DataFrame, b: DataFrame, constant: int = 60) -> DataFrame:
+    """(doc, score): reciprocal rank fusion of two whole rankings (doc, score), ties by doc."""
+    ra, rb = (ranked(d).select("doc", F.col("rank").alias(n)) for d, n in ((a, "ra"), (b, "rb")))
     part = lambda c: F.coalesce(1.0 / (constant + F.col(c)), F.lit(0.0))
-    return ra.join(rb, "doc", "full").select("doc", F.round(part("ra") + part("rb"), 6).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
+    return ra.join(rb, "doc", "full").select("doc", F.round(part("ra") + part("rb"), 6).alias("score"))
+
+
+def ranked(df: DataFrame) -> DataFrame:
+    """(doc, score) with the column rank: 1 for the largest score, ties by doc."""
+    return numbered(df.select("doc", "score"), F.desc("score"), F.col("doc")).withColumn("rank", F.col("number") + 1).drop("number")
 
 
 def keyword(docs: DataFrame, words: list[str], k: int) -> DataFrame:
@@ -96,9 +94,9 @@ def spaced(df: DataFrame, order: str, n: int) -> DataFrame:
     return rows.join(F.broadcast(picks), "number").drop("number")  # n rows
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
     """With the column number: 0, 1, 2 ... in order, without one task for all: rows are sorted by range, and each part's count shifts the next."""
-    parts = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__id", 33)
     sizes = parts.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
     shift = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("shift"))  # one row a part
@@ -106,12 +104,10 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return own.withColumn("number", F.col("shift") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "p", "shift", "n")
 
 
-def hybrid(docs: DataFrame, query: list[str], similar: DataFrame, about: DataFrame, role: str | None, k: int, depth: int = 200) -> DataFrame:
-    """Lexical and semantic ranks fused, then those of one role with what is known of them; ranks go as deep as depth."""
-    near = similar.select(F.col("owner").alias("doc"), "score").orderBy(F.desc("score"), "doc").limit(depth)
-    fused = fuse(bm25(docs, query, depth), near, 2 * depth)
+def hybrid(lexical: DataFrame, similar: DataFrame, about: DataFrame, role: str | None, k: int = 15) -> DataFrame:
+    """Two whole rankings (doc, score) fused, then the k best of one role with what is known of them (about: doc, role, ...)."""
     kept = about if role is None else about.where(F.col("role") == role)
-    return kept.drop("role").join(F.broadcast(fused), "doc").orderBy(F.desc("score"), "doc").limit(k)  # 2 * depth rows
+    return kept.drop("role").join(fuse(lexical, similar), "doc").orderBy(F.desc("score"), "doc").limit(k)
 
 
 def anti_exemplars(files: DataFrame, text: str = "text", n: int | None = None, seed: int = 0) -> DataFrame:

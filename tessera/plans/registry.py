@@ -143,9 +143,9 @@ _add("r3_semantic", lambda v: R.semantic(_vec(v).where("vec_id > 0"), _vec(v).wh
 _add("r4_best_segments", lambda v: R.semantic(_vec(v).where("vec_id > 0").withColumn("owner", F.col("vec_id")), _vec(v).where("vec_id = 0"), 20), _more(_COS, "SELECT vec_id AS owner, round(list_cosine_similarity(x, y), 6) AS score FROM e, q WHERE vec_id > 0 ORDER BY score DESC, owner LIMIT 20"))
 _SIMILAR = "sim AS (SELECT a.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id > 0)"
 _LEX = "lex AS (SELECT doc, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY doc HAVING score > 0)"
-_FUSED = "a AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM (SELECT * FROM lex ORDER BY score DESC, doc LIMIT 200)), b AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM (SELECT * FROM sim ORDER BY score DESC, doc LIMIT 200)), fused AS (SELECT coalesce(a.doc, b.doc) AS doc, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS score FROM a FULL JOIN b ON a.doc = b.doc)"
+_FUSED = "a AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM lex), b AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM sim), fused AS (SELECT coalesce(a.doc, b.doc) AS doc, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS score FROM a FULL JOIN b ON a.doc = b.doc)"
 # A document's vector is the one of its id; the role filter is its language, and its neighborhood the documents of its source.
-_add("r8_hybrid", lambda v: R.hybrid(_docs(v), _TERMS, R.semantic(_vec(v).where("vec_id > 0").withColumn("owner", F.col("vec_id")), _vec(v).where("vec_id = 0")), v.table("documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("role"), F.col("source").alias("other")), "en", 15), _more(f"{_BM25}, {_SIMILAR}, {_LEX}, {_FUSED}", "SELECT doc, score, source AS other FROM fused JOIN documents ON doc_id = doc WHERE lang = 'en' ORDER BY score DESC, doc LIMIT 15"))
+_add("r8_hybrid", lambda v: R.hybrid(R.bm25(_docs(v), _TERMS, None), R.semantic(_vec(v).where("vec_id > 0").withColumn("owner", F.col("vec_id")), _vec(v).where("vec_id = 0")).withColumnRenamed("owner", "doc"), v.table("documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("role"), F.col("source").alias("other")), "en", 15), _more(f"{_BM25}, {_SIMILAR}, {_LEX}, {_FUSED}", "SELECT doc, score, source AS other FROM fused JOIN documents ON doc_id = doc WHERE lang = 'en' ORDER BY score DESC, doc LIMIT 15"))
 _add("r11_keyword", lambda v: R.keyword(_docs(v), ["que", "der", "the"], 20).select("doc", "hits", F.col("total").cast("long").alias("total")), "SELECT doc_id AS doc, (len(string_split(lower(text), 'que')) > 1)::INT + (len(string_split(lower(text), 'der')) > 1)::INT + (len(string_split(lower(text), 'the')) > 1)::INT AS hits, (len(string_split(lower(text), 'que')) + len(string_split(lower(text), 'der')) + len(string_split(lower(text), 'the')) - 3)::BIGINT AS total FROM documents WHERE hits > 0 ORDER BY hits DESC, total DESC, doc LIMIT 20")
 _add("r13_facts", lambda v: R.rank_facts(v.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text"), ["que", "des", "nicht", "thou"], 30).select("pos", F.col("score").cast("long").alias("score")), "SELECT conv_id * 1000 + turn AS pos, len(list_intersect(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) >= 3), ['que', 'des', 'nicht', 'thou']))::BIGINT AS score FROM conversations ORDER BY score DESC, pos LIMIT 30")
 _add("r15_history_bucket", lambda v: L.best_resolution(v.cycles).select("hypothesis", (X.resolution_rank(F.col("best")) + 1).alias("bucket")), "SELECT hypothesis, max(CASE resolution WHEN 'corroborated' THEN 3 WHEN 'irrelevant' THEN 2 WHEN 'challenged' THEN 2 WHEN 'no_signal' THEN 1 ELSE 0 END) + 1 AS bucket FROM cycles WHERE resolution <> '' GROUP BY 1")

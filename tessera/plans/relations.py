@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import mentions as M
+from ..operators.fulltext import Index, entity_docs, provenance_docs
+from ..sources.stored import shared_dir
 
 #: Every entity's pattern against every brief.
 _NAMED = """forms AS (SELECT var_name AS target, list(s ORDER BY place) AS all_forms, string_agg(regexp_escape(s), '|' ORDER BY place) AS alts
@@ -18,6 +21,21 @@ _ADJ = "adj AS (SELECT subject AS u, object AS v FROM claims WHERE object IS NOT
 _NEAR = "near AS (SELECT entity, target FROM named JOIN adj ON u = entity AND v = target UNION SELECT entity, target FROM named JOIN adj x ON x.u = entity JOIN adj y ON y.u = x.v AND y.v = target)"
 _DRIFT = f"{_NAMED}, {_ADJ}, {_NEAR}, drift AS (SELECT n.entity, n.target, surface, m.entity IS NOT NULL AS exempted FROM named n ANTI JOIN near USING (entity, target) LEFT JOIN marks m ON m.entity = n.entity AND m.target = n.target)"
 
+_INDEXED = """doc AS (SELECT 'entity' AS kind, var_name AS doc, coalesce(name, '') || ' ' || coalesce(brief, '') || ' ' || alias AS text FROM entities
+  UNION ALL SELECT 'provenance', var_name, coalesce(origin, '') || ' ' || coalesce(quote, '') FROM provenance),
+t AS (SELECT kind, doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) >= 2) AS w FROM doc), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t WHERE len(w) > 0),
+tf AS (SELECT kind, doc, len(w) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
+_ASKED = ["red", "widget", "red", "building", "10", "origin"]
+
+
+def _index(v) -> Index:
+    """Entities in two batches, the second of which replaces a part of the first, and provenance."""
+    index = Index(v.spark, f"{shared_dir(v.spark)}/index-{uuid.uuid4().hex}")
+    docs = entity_docs(v.entities.select("var_name", "name", "brief", F.array("alias").alias("aliases")))
+    index.add(docs.where("doc not like 'O%'").withColumn("text", F.when(F.col("doc").like("%7"), "red widget to be replaced").otherwise(F.col("text"))))
+    index.add(docs.where("doc like 'O%' or doc like '%7'").unionByName(provenance_docs(v.provenance)))
+    return index
+
 
 def register(add: Callable, more: Callable, both: Callable) -> None:
     texts = lambda v: v.briefs.select(F.col("var_name").alias("id"), F.col("brief").alias("text"))
@@ -34,3 +52,9 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     excuses = {"ment": ("mentur", "amento"), "tion": ("ationen",)}
     held = "contains(text, 'ment') AND NOT contains(text, 'mentur') AND NOT contains(text, 'amento')"
     add("s26_contains_term", lambda v: v.table("documents").select("doc_id", X.contains_term(F.col("text"), "ment", excuses).alias("ment"), X.contains_term(F.col("text"), "tion", excuses).alias("tion"), X.contains_term(F.col("text"), "der", excuses).alias("der")), f"SELECT doc_id, {held} AS ment, contains(text, 'tion') AND NOT contains(text, 'ationen') AS tion, contains(text, 'der') AS der FROM documents")
+
+    scored = "SELECT kind, doc, round(sum(len(list_filter({}, lambda x: x = term)) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY 1, 2 HAVING score > 0"
+    ranked = scored.format(_ASKED)
+    add("r1_index_terms", lambda v: _index(v).terms(), more(_INDEXED, "SELECT term, count(*) AS docs, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY 1"))
+    add("r9_fulltext", lambda v: _index(v).search(_ASKED), more(_INDEXED, f"SELECT * FROM ({ranked}) ORDER BY score DESC, kind, doc LIMIT 15"))
+    add("r9_fulltext_entities", lambda v: _index(v).search(_ASKED, None, "entity"), more(_INDEXED, f"SELECT * FROM ({ranked}) WHERE kind = 'entity'"))
