@@ -128,7 +128,6 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     add("d8_write_decision", lambda v: near(v).agg(F.max("score").alias("best")).select("best", F.when(F.col("best") >= 0.62, "block").when(F.col("best") >= 0.45, "warn").otherwise("write").alias("decision")), more(cos, "SELECT round(max(c), 6) AS best, CASE WHEN max(c) >= 0.62 THEN 'block' WHEN max(c) >= 0.45 THEN 'warn' ELSE 'write' END AS decision FROM s"))
     add("r10_docs_recall", lambda v: near(v).where("score >= 0.3").orderBy(F.desc("score"), "owner").limit(3), more(cos, "SELECT vec_id AS owner, round(c, 6) AS score FROM s WHERE c >= 0.3 ORDER BY score DESC, owner LIMIT 3"))
     preds = "p AS (SELECT subject AS entity, predicate FROM {claims} GROUP BY 1, 2), np AS (SELECT entity, count(*) AS n FROM p GROUP BY 1), pairs AS (SELECT DISTINCT subject AS a, object AS b FROM {claims} WHERE predicate = 'LocatedIn'), shared AS (SELECT x.a, x.b, count(*) AS i FROM pairs x JOIN p pa ON pa.entity = x.a JOIN p pb ON pb.entity = x.b AND pb.predicate = pa.predicate GROUP BY 1, 2)"
-    both("d9_pair_affinity", "SELECT x.a, x.b, CAST(floor(400 * coalesce(s.i, 0) / (na.n + nb.n - coalesce(s.i, 0))) AS BIGINT) AS affinity FROM pairs x JOIN np na ON na.entity = x.a JOIN np nb ON nb.entity = x.b LEFT JOIN shared s ON s.a = x.a AND s.b = x.b", preds)
     both("d10_pair_score", "SELECT c.var_name, CASE WHEN a.brief <> '' THEN 1 ELSE 0 END + CASE WHEN b.brief <> '' THEN 1 ELSE 0 END + CASE WHEN a.role_type = 'Place' THEN 3 ELSE 0 END + CASE WHEN b.role_type = 'Place' THEN 3 ELSE 0 END AS score FROM {claims} c JOIN {entities} a ON a.var_name = c.subject JOIN {entities} b ON b.var_name = c.object")
     both("r14_sensor_targets", "SELECT entity, count(*) AS n, min(CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS bucket FROM vulns GROUP BY 1 ORDER BY bucket, n DESC, entity LIMIT 5", f"{_ENDS}, {_VULNS}")
     es = "-ln(({} + 1) / 4294967297.0{}) / CASE WHEN brief = '' THEN 2 ELSE 1 END"

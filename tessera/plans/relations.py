@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import affinity as A
 from ..operators import mentions as M
 from ..operators.fulltext import Index, entity_docs, provenance_docs
 from ..sources.stored import shared_dir
@@ -21,6 +23,15 @@ _ADJ = "adj AS (SELECT subject AS u, object AS v FROM claims WHERE object IS NOT
 _NEAR = "near AS (SELECT entity, target FROM named JOIN adj ON u = entity AND v = target UNION SELECT entity, target FROM named JOIN adj x ON x.u = entity JOIN adj y ON y.u = x.v AND y.v = target)"
 _DRIFT = f"{_NAMED}, {_ADJ}, {_NEAR}, drift AS (SELECT n.entity, n.target, surface, m.entity IS NOT NULL AS exempted FROM named n ANTI JOIN near USING (entity, target) LEFT JOIN marks m ON m.entity = n.entity AND m.target = n.target)"
 
+#: Pairs to compare: a theory's supplier and part, and each customer with the next.
+_PAIRS = "SELECT subject AS a, object AS b FROM {claims} WHERE predicate = 'TheoryOf' UNION SELECT 'C' || c_custkey, 'C' || (c_custkey + 1) FROM {customer}"
+_AFFINE = f"""{_ADJ}, pair AS ({re.sub("[{}]", "", _PAIRS)}), asked AS (SELECT a AS x FROM pair UNION SELECT b FROM pair),
+hop AS (SELECT x, v AS y FROM asked JOIN adj ON u = x UNION SELECT x, n.v FROM asked JOIN adj m ON m.u = x JOIN adj n ON n.u = m.v WHERE n.v <> x),
+pred AS (SELECT DISTINCT x, predicate AS y FROM asked JOIN claims ON x = subject OR x = object),
+word AS (SELECT DISTINCT x, y FROM (SELECT x, unnest(regexp_extract_all(lower(brief), '[a-z0-9]+')) AS y FROM asked JOIN entities ON var_name = x) WHERE strlen(y) >= 4),
+lists AS (SELECT x, k, list(y) AS l FROM (SELECT x, y, 1 AS k FROM hop UNION ALL SELECT x, y, 2 FROM pred UNION ALL SELECT x, y, 3 FROM word) GROUP BY x, k),
+j AS (SELECT a, b, w.k, CASE WHEN p.l IS NULL OR q.l IS NULL THEN 0 ELSE len(list_intersect(p.l, q.l)) * w // (len(p.l) + len(q.l) - len(list_intersect(p.l, q.l))) END AS s
+  FROM pair, (VALUES (1, 300), (2, 400), (3, 300)) w(k, w) LEFT JOIN lists p ON p.x = a AND p.k = w.k LEFT JOIN lists q ON q.x = b AND q.k = w.k)"""
 _INDEXED = """doc AS (SELECT 'entity' AS kind, var_name AS doc, coalesce(name, '') || ' ' || coalesce(brief, '') || ' ' || alias AS text FROM entities
   UNION ALL SELECT 'provenance', var_name, coalesce(origin, '') || ' ' || coalesce(quote, '') FROM provenance),
 t AS (SELECT kind, doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) >= 2) AS w FROM doc), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t WHERE len(w) > 0),
@@ -58,3 +69,11 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     add("r1_index_terms", lambda v: _index(v).terms(), more(_INDEXED, "SELECT term, count(*) AS docs, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY 1"))
     add("r9_fulltext", lambda v: _index(v).search(_ASKED), more(_INDEXED, f"SELECT * FROM ({ranked}) ORDER BY score DESC, kind, doc LIMIT 15"))
     add("r9_fulltext_entities", lambda v: _index(v).search(_ASKED, None, "entity"), more(_INDEXED, f"SELECT * FROM ({ranked}) WHERE kind = 'entity'"))
+
+    add("d9_pair_affinity", lambda v: A.affinity(v.sql(_PAIRS), v.entities, v.claims), more(_AFFINE, "SELECT a, b, (max(s) FILTER (k = 1))::BIGINT AS two_hop, (max(s) FILTER (k = 2))::BIGINT AS predicates, (max(s) FILTER (k = 3))::BIGINT AS brief, sum(s)::BIGINT AS affinity FROM j GROUP BY a, b"))
+    places = lambda v: v.claims.where("predicate = 'LocatedIn'")
+    # Clusters are regions here: what is claimed of places alone joins the entities of each.
+    trip = lambda v: A.trip_entities(v.entities, places(v), ["orders"])
+    add("g15_trip_entities", lambda v: trip(v).select("entity", "role_type", "cluster", "bridge", F.array_join("predicates", ",").alias("predicates"), F.array_join("tokens", ",").alias("tokens")), None)
+    refuted = lambda v: v.claims.where("predicate = 'Disputes'").select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    add("r16_trip_pairs", lambda v: A.pair_across(trip(v), refuted(v), 50), None)
