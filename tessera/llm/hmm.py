@@ -8,21 +8,19 @@ expected counts back, so no table of all words is ever in one place.  Rows and c
 travel as a word's split over the states, in half precision; the sums and the
 likelihood are in double precision.
 
-With ``head`` given, the emission table is bounded instead: only the ``head`` most
-frequent words have emissions of their own, others share 64 tail classes (by the
-word's form), and a tail class emits its word by the smoothed unigram of its class,
-(c + 0.5) / (N_class + 0.5 (V_class + 1)).
+Smoothing.  A state's emission of a training word is its own share of expected counts
+mixed with the unigram, (1 - SHARE) to SHARE.  An unknown word has what the unigram gives
+it, in every state, whatever the size of the corpus; the rest of the mass is the words'.
 
 Training.  All training documents are counted.  Word counts meet in hash blocks
-(see ``packed``).  Baum-Welch then runs over all training documents: each task
-runs scaled forward and backward recursions and adds its expected counts up, the
-tasks' counts are summed by symbol range in two levels, and the driver normalises
-the bounded tables.  Seeded noise in the first tables breaks symmetry.  Every
+(see ``packed``).  Baum-Welch then runs over all training documents: each chunk
+runs scaled forward and backward recursions and sends its words' expected counts to
+their blocks; sums over all chunks, a few numbers a state, are made in two levels.
+Seeded noise in the first tables breaks symmetry.  Every
 iteration takes all training documents; there are ``rounds`` of them at most, fewer
 if the likelihood settles.
 
-Scoring.  The scaled forward recursion over the whole text, whatever its length,
-plus the tail words' parts if any, is log10 of the text's exact probability.
+Scoring.  The scaled forward recursion over the whole text, whatever its length, is log10 of the text's exact probability.
 """
 
 from __future__ import annotations
@@ -36,62 +34,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import packed, tables, text
 
-STATES, HEAD, ROUNDS = 8, None, 14
+STATES, ROUNDS = 8, 14
+#: The unigram's part in a state's emissions.
+SHARE = 0.05
 #: A gain of likelihood of less than this part of it ends training.
 SETTLED = 1e-5
-CLASSES = 64
 END = np.uint64(0x5EED0E4D5EED0E4D)
-_RANGE = 4096
 _BATCH = 1 << 20
 _SEGMENT = 1 << 12
 _OUT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def tokens(chunk: text.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each row's words and its end, tail classes, and row offsets."""
+def tokens(chunk: text.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's words and its end, and row offsets."""
     w = text.words(chunk, text.SPACED, text.LOWER)
-    n, b = len(w.starts), chunk.data
-    if n:
-        length = np.minimum(3, (w.ends - w.starts - 1) // 3)
-        high = np.concatenate([[0], np.cumsum(b >= 0x80)])
-        form = (((high[w.ends] > high[w.starts]) * 4 + length) * 8 + (text.LOWER[b[w.ends - 1]] & 7)).astype(np.uint8)
-    else:
-        form = np.zeros(0, np.uint8)
-    spot = w.first[1:]
-    return np.insert(w.hashes, spot, END), np.insert(form, spot, 0), w.first + np.arange(len(w.first))
-
-
-
+    return np.insert(w.hashes, w.first[1:], END), w.first + np.arange(len(w.first))
 
 
 class Model:
-    """head: sorted hashes of the head words; symbols: head, then classes, then the end."""
-
-    def __init__(self, head: np.ndarray, unigram: np.ndarray, states: int):
-        self.head, self.states = head, states
-        self.unigram = unigram / unigram.sum()
-        self.size = len(unigram)
-        noise = text.mix(np.arange(self.size * states, dtype=np.uint64) + np.uint64(99)).astype(float).reshape(self.size, states) / 2**64
-        self.emit = self.unigram[:, None] * (0.5 + noise)
-        self.emit /= self.emit.sum(0)
-        self.move = np.full((states, states), 0.1 / max(1, states - 1))
-        np.fill_diagonal(self.move, 0.9 if states > 1 else 1.0)
-        self.start = np.full(states, 1 / states)
-
-    def symbols(self, h: np.ndarray, form: np.ndarray) -> np.ndarray:
-        m = len(self.head)
-        k = np.searchsorted(self.head, h) if m else np.zeros(len(h), np.int64)
-        known = (self.head[np.minimum(k, m - 1)] == h) if m else np.zeros(len(h), bool)
-        out = np.where(known, k, m + form.astype(np.int64))
-        out[h == END] = m + CLASSES
-        return out.astype(np.uint16)
-
-    def update(self, gamma: np.ndarray, xi: np.ndarray, first: np.ndarray) -> None:
-        """New tables from expected counts, smoothed towards the unigram."""
-        pull = 20.0 * self.states
-        self.emit = (gamma + pull * self.unigram[:, None]) / (gamma.sum(0) + pull)
-        self.move = (xi + 1) / (xi.sum(1, keepdims=True) + self.states)
-        self.start = (first + 1) / (first.sum() + self.states)
+    """Emissions of a chunk's own words (word, state), moves and first states."""
+
+    def __init__(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray):
+        self.emit, self.move, self.start = emit, move, start
+        self.size, self.states = emit.shape
 
 
 def _batches(sizes: np.ndarray, limit: int = _BATCH):
@@ -213,143 +178,60 @@ def _long(s: np.ndarray, m: Model) -> float:
 def _send_counts(blocks: int):
     def go(batches):
         for r in packed.rows(batches):
-            h, n, form = _counted(r)
-            out = [(k, r["chunk"], packed.squeeze(h[i], n[i], form[i])) for k, i in packed.split(packed.block_of(h, blocks))]
+            h, n = _counted(r)
+            out = [(k, r["chunk"], packed.squeeze(h[i], n[i])) for k, i in packed.split(packed.block_of(h, blocks))]
             if out:
                 yield packed.frame(packed.BLOB, out)
 
     return go
 
 
-def _counted(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of a chunk, how often its training rows hold each, tail classes."""
-    h, form, first = tokens(packed.text_of(r))
+def _counted(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of a chunk, and how often its training rows hold each."""
+    h, first = tokens(packed.text_of(r))
     learn = packed.rest_of(r).column("__learn").to_numpy()
-    keys, at, back = np.unique(h, return_index=True, return_inverse=True)
-    n = np.bincount(back, np.repeat(learn, np.diff(first)), len(keys)).astype(np.int32)
-    return keys, n, form[at]
-
-
-def _answer_counts(head: int):
-    def go(group: pa.Table) -> pa.Table:
-        got = [packed.stretch(x.as_py(), np.uint64, np.int32, np.uint8) for x in group.column("blob")]
-        every = np.concatenate([g[0] for g in got])
-        keys, at, back = np.unique(every, return_index=True, return_inverse=True)
-        n = np.bincount(back, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
-        form = np.concatenate([g[2] for g in got])[at]
-        shared = np.bincount(back, minlength=len(keys)) > 1
-        number = np.where(shared, np.cumsum(shared) - 1, -1).astype(np.int32)
-        rows, lo = [], 0
-        for g, chunk, block in zip(got, group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True):
-            i = back[lo : lo + len(g[0])]
-            rows.append((chunk, block, packed.squeeze(n[i], number[i])))
-            lo += len(g[0])
-        # To the driver by way of a sum: per class tokens and types; and the block's most frequent.
-        seen = (n > 0) & (keys != END)
-        sums = np.stack([np.bincount(form[seen], w, CLASSES) for w in (n[seen], None)]).astype(np.int64)
-        ends = int(n[keys == END].sum())
-        top = np.flatnonzero(seen)
-        top = top[np.lexsort((keys[top], -n[top]))][:head]
-        rows.append((-1, rows[0][1], packed.squeeze(sums.ravel(), np.array([ends]))))
-        rows.append((-2, rows[0][1], packed.squeeze(keys[top], n[top], form[top])))
-        return pa.Table.from_batches([packed.frame(packed.REPLY, rows)])
-
-    return go
-
-
-def _top_rows(batches):
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("form", pa.int32())])
-    for r in packed.rows(batches):
-        h, n, form = packed.stretch(r["blob"], np.uint64, np.int64, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(form.astype(np.int32))], schema=schema)
-
-
-def _sum_rows(batches):
-    schema = pa.schema([("k", pa.int32()), ("v", pa.int64())])
-    for r in packed.rows(batches):
-        sums, ends = packed.stretch(r["blob"], np.int64, np.int64)
-        v = np.concatenate([sums, ends])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], schema=schema)
+    keys, back = np.unique(h, return_inverse=True)
+    return keys, np.bincount(back, np.repeat(learn, np.diff(first)), len(keys)).astype(np.int32)
+
+
+def _answer_counts(group: pa.Table) -> pa.Table:
+    got = [packed.stretch(x.as_py(), np.uint64, np.int32) for x in group.column("blob")]
+    keys, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
+    shared = np.bincount(back, minlength=len(keys)) > 1
+    number = np.where(shared, np.cumsum(shared) - 1, -1).astype(np.int32)
+    rows, lo = [], 0
+    for g, chunk, block in zip(got, group.column("chunk").to_pylist(), group.column("block").to_pylist(), strict=True):
+        i = back[lo : lo + len(g[0])]
+        rows.append((chunk, block, packed.squeeze(n[i], number[i])))
+        lo += len(g[0])
+    # By way of a sum: the block's tokens and types.
+    rows.append((_SUMS, rows[0][1], packed.squeeze(np.array([n.sum(), (n > 0).sum()], float))))
+    return pa.Table.from_batches([packed.frame(packed.REPLY, rows)])
+
+
+def _partial(batches):
+    """The sum of a partition's vectors, as rows of place and value."""
+    total = None
+    for b in batches:
+        for x in b.column(0):
+            v = packed.stretch(x.as_py(), np.float64)[0]
+            total = v.copy() if total is None else total + v
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "v"])
+
+
+def _summed(blobs: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors of ``size`` doubles, one a row: by partition, then by place."""
+    out = np.zeros(size)
+    for r in blobs.mapInArrow(_partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # size rows
+        out[r["k"]] = r["v"]
+    return out
 
 
 # ---- Baum-Welch ----------------------------------------------------------
 
 
-def _symbolise(model):
-    schema = pa.schema([("chunk", pa.int64()), ("sizes", pa.binary()), ("sym", pa.binary())])
-
-    def go(batches):
-        for r in packed.rows(batches):
-            h, form, first = tokens(packed.text_of(r))
-            learn = packed.rest_of(r).column("__learn").to_numpy(zero_copy_only=False).astype(bool)
-            size = np.diff(first)
-            s = model.value.symbols(h, form)[np.repeat(learn, size)]
-            yield packed.frame(schema, [(r["chunk"], size[learn].astype(np.int64).tobytes(), packed.squeeze(s))])
-
-    return go
-
-
-def _learned(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    return packed.stretch(r["sym"], np.uint16)[0], np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.int64))])
-
-
-_PART = pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())])
-_PART_DDL = "part int, salt int, blob binary"
-
-
-def _count(model):
-    """One row for each range of symbols, and -1 with moves, first states and likelihood."""
-
-    def go(batches):
-        from pyspark import TaskContext
-
-        m, salt = model.value, TaskContext.get().partitionId() % 32
-        gamma, xi, begun, like = np.zeros((m.size, m.states)), np.zeros((m.states, m.states)), np.zeros(m.states), 0.0
-        for r in packed.rows(batches):
-            g, x, b, ll = expected(*_learned(r), m)
-            gamma, xi, begun, like = gamma + g, xi + x, begun + b, like + ll
-        rows = [(-1, salt, packed.squeeze(np.concatenate([xi.ravel(), begun, [like]]).astype(np.float64)))]
-        rows += [(i, salt, packed.squeeze(gamma[i * _RANGE : (i + 1) * _RANGE].astype(np.float32).ravel())) for i in range(-(-m.size // _RANGE))]
-        yield packed.frame(_PART, rows)
-
-    return go
-
-
-def _add(group: pa.Table) -> pa.Table:
-    part = group.column("part")[0].as_py()
-    kind = np.float64 if part < 0 else np.float32
-    total = 0
-    for x in group.column("blob"):
-        total = total + packed.stretch(x.as_py(), kind)[0].astype(np.float64)
-    return pa.Table.from_batches([packed.frame(_PART, [(part, 0, packed.squeeze(np.asarray(total).astype(kind)))])])
-
-
-def _iterate(spark, learned: DataFrame, m: Model) -> float:
-    model = spark.sparkContext.broadcast(m)
-    parts = learned.select("sizes", "sym").mapInArrow(_count(model), _PART_DDL)
-    parts = parts.groupBy("part", "salt").applyInArrow(_add, _PART_DDL).groupBy("part").applyInArrow(_add, _PART_DDL)
-    got = {r["part"]: packed.stretch(r["blob"], np.float64 if r["part"] < 0 else np.float32)[0] for r in parts.collect()}
-    model.destroy()
-    k, like = m.states, 0.0
-    if got:
-        gamma = np.concatenate([got[i] for i in sorted(got) if i >= 0]).astype(float).reshape(m.size, k)
-        x = got[-1]
-        like = float(x[-1])
-        m.update(gamma, x[: k * k].reshape(k, k), x[k * k : k * k + k])
-    return like
-
-
-# ---- all words' own emissions, in hash blocks ----------------------------
-
-
-class _Own:
-    """A chunk's share of the model: the emission rows of its own words."""
-
-    def __init__(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray):
-        self.emit, self.move, self.start = emit, move, start
-        self.size, self.states = emit.shape
-
-
 def _by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words by block, then hash; each block's number and count of them; and h as places among them."""
     keys, back = np.unique(h, return_inverse=True)
@@ -369,7 +251,7 @@ def _known(block: np.ndarray, found: dict[int, bytes]) -> tuple[np.ndarray, np.n
 _STATIC = pa.schema([("chunk", pa.int64()), ("sizes", pa.binary()), ("blob", pa.binary()), ("keys", pa.binary())])
 _STATIC_DDL = "chunk long, sizes binary, blob binary, keys binary"
 #: Kinds of blobs of a chunk, beside those for blocks 0, 1, ...
-_STATS, _LOCAL, _FIRST = -1, -2, -3
+_STATS, _LOCAL, _FIRST, _SUMS = -1, -2, -3, -4
 _APART = -20
 
 
@@ -386,7 +268,7 @@ def _prepare(blocks: int):
         if not chunk.num_rows:
             return _STATIC.empty_table()
         r = chunk.to_pylist()[0]
-        h, _, first = tokens(packed.text_of(r))
+        h, first = tokens(packed.text_of(r))
         if not len(h):
             return _STATIC.empty_table()
         learn = packed.rest_of(r).column("__learn").to_numpy(zero_copy_only=False).astype(bool)
@@ -430,9 +312,16 @@ def _mine(replies: pa.Table, number: np.ndarray, count: np.ndarray, block: np.nd
     return out
 
 
-def _emissions(split: np.ndarray, total: np.ndarray, under: np.ndarray, states: int, mass: float) -> np.ndarray:
-    """Expected counts, smoothed towards the unigram, over their sum."""
-    return (split.astype(float) * total[:, None] + (20.0 * states * (total + 0.5) / mass)[:, None]) / under
+def _emissions(split: np.ndarray, total: np.ndarray, counts: np.ndarray, mass: float) -> np.ndarray:
+    """Emissions of words with ``total`` training counts, which the states have ``counts`` of in all; mass: the unigram's divisor.
+
+    Over all training words and one unknown word they sum to 1 in each state.
+    """
+    unknown = 0.5 / mass
+    unigram = ((total + 0.5) / max(mass - 0.5, 0.5))[:, None]
+    own = split.astype(float) * total[:, None] / np.maximum(counts, 1e-300)
+    mixed = np.where(counts > 0, (1 - SHARE) * own + SHARE * unigram, unigram)
+    return np.where(total[:, None] > 0, (1 - unknown) * mixed, unknown)
 
 
 def _expect(shared, mass: float):
@@ -443,7 +332,7 @@ def _expect(shared, mass: float):
         r, k = chunk.to_pylist()[0], len(start)
         sym, total, own, number, block, count = _words(r["blob"])
         first = np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.int64))])
-        gamma, xi, begun, like = expected(sym, first, _Own(_emissions(_mine(replies, number, count, block, k), total, under, k, mass), move, start))
+        gamma, xi, begun, like = expected(sym, first, Model(_emissions(_mine(replies, number, count, block, k), total, under, mass), move, start))
         stats = np.concatenate([xi.ravel(), begun, gamma.sum(0), [like]])
         split = (gamma / np.maximum(own, 1)[:, None]).astype(np.float16)
         out, at = [(_STATS, r["chunk"], packed.squeeze(stats)), (_LOCAL, r["chunk"], packed.squeeze(split[number < 0].ravel()))], 0
@@ -494,13 +383,13 @@ def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, r
     learned = learned.drop("keys")
     move, start = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states)
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    under, before = _stats(sent, states)[-1 - states : -1] + 20.0 * states, -np.inf
+    under, before = _stats(sent, states)[-1 - states : -1], -np.inf
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((move, start, under))
         fresh = tables.written(learned.groupBy("chunk").cogroup(_replies(sent, states).groupBy("chunk")).applyInArrow(_expect(shared, mass), packed.BLOB_DDL), "lm-expected")
         x = _stats(fresh, states)
         xi, begun, like = x[: states * states].reshape(states, states), x[states * states : states * states + states], float(x[-1])
-        move, start, under = (xi + 1) / (xi.sum(1, keepdims=True) + states), (begun + 1) / (begun.sum() + states), x[-1 - states : -1] + 20.0 * states
+        move, start, under = (xi + 1) / (xi.sum(1, keepdims=True) + states), (begun + 1) / (begun.sum() + states), x[-1 - states : -1]
         shared.destroy()
         _free(sent)
         sent = fresh
@@ -518,39 +407,14 @@ def _replies(sent: DataFrame, states: int) -> DataFrame:
 
 def _stats(sent: DataFrame, states: int) -> np.ndarray:
     """Sums over the chunks, of some numbers each: moves, first states, counts by state, likelihood."""
-    return sum((packed.stretch(r["blob"], np.float64)[0] for r in sent.where(F.col("block") == _STATS).select("blob").toLocalIterator()), np.zeros(states * states + 2 * states + 1))
+    return _summed(sent.where(F.col("block") == _STATS).select("blob"), states * states + 2 * states + 1)
 
 
 # ---- scoring -------------------------------------------------------------
 
 
-def _score(model, schema: pa.Schema, blocks: int, total: int, types: int, tail_n: np.ndarray, tail_v: np.ndarray):
-    def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return schema.empty_table()
-        r, m = chunk.to_pylist()[0], model.value
-        h, form, first = tokens(packed.text_of(r))
-        keys, back = np.unique(h, return_inverse=True)
-        n = np.zeros(len(keys), np.int64)
-        found = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
-        for k, i in packed.split(packed.block_of(keys, blocks)):
-            n[i] = packed.stretch(found[k], np.int64, np.int32)[0]
-        c = n[back]
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        rows = len(first) - 1
-        base = np.bincount(row, np.log10(c + 0.5) - np.log10(total + 0.5 * (types + 1)), rows)
-        sym = m.symbols(h, form)
-        tail = np.flatnonzero((sym >= len(m.head)) & (sym < len(m.head) + CLASSES))
-        cls = form[tail]
-        part = np.log10(c[tail] + 0.5) - np.log10(tail_n[cls] + 0.5 * (tail_v[cls] + 1))
-        score = likelihood(sym, first, m) + np.bincount(row[tail], part, rows)
-        return _scored(r, schema, first, c, row, total, base, score)
-
-    return go
-
-
 def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, states: int):
-    """As _score, with the emission rows of all the chunk's words (splits of block b under _APART - b, beside the counts)."""
+    """Scores of a chunk's rows, by the emission rows of its words (splits of block b come under _APART - b, beside the counts)."""
     mass = total + 0.5 * (types + 1)
 
     def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
@@ -558,7 +422,7 @@ def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, s
             return schema.empty_table()
         r = chunk.to_pylist()[0]
         move, start, under = shared.value
-        h, _, first = tokens(packed.text_of(r))
+        h, first = tokens(packed.text_of(r))
         _, block, count, sym = _by_block(h, blocks)
         kinds = replies.column("block").to_pylist()
         known, number = _known(block, dict(zip(kinds, replies.column("blob").to_pylist(), strict=True)))
@@ -567,8 +431,8 @@ def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, s
         rows = len(first) - 1
         row = np.repeat(np.arange(rows), np.diff(first))
         base = np.bincount(row, np.log10(c + 0.5) - np.log10(mass), rows)
-        emit = _emissions(split, known, under, states, mass)
-        return _scored(r, schema, first, c, row, total, base, likelihood(sym, first, _Own(emit, move, start)))
+        emit = _emissions(split, known, under, mass)
+        return _scored(r, schema, first, c, row, total, base, likelihood(sym, first, Model(emit, move, start)))
 
     return go
 
@@ -581,7 +445,7 @@ def _scored(r: dict, schema: pa.Schema, first: np.ndarray, c: np.ndarray, row: n
     return pa.table([a.cast(f.type) for a, f in zip(out, schema, strict=True)], schema=schema)
 
 
-def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), states: int = STATES, head: int | None = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """Train on the rows where ``learn`` holds, score all rows.
 
     Columns: doc_id, those of carry, n_tokens, n_known, train_tokens, base_score
@@ -593,48 +457,13 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     """
     if clash := set(carry) & {id_col, "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "__learn"}:
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
-    if head is not None and head + CLASSES + 1 > 1 << 16:
-        raise ValueError("head is too large for two bytes a symbol")
     spark = df.sparkSession
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("__text"), F.coalesce(learn, F.lit(False)).cast("int").alias("__learn"), *[df[c] for c in carry])
     chunks, blocks = packed.chunked(docs, "lm-chunks")
-    counts = tables.written(chunks.mapInArrow(_send_counts(blocks), packed.BLOB_DDL).groupBy("block").applyInArrow(_answer_counts(head or 0), packed.REPLY_DDL), "lm-counts")
-    sums = counts.where("chunk = -1").mapInArrow(_sum_rows, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    v = np.zeros(2 * CLASSES + 1, np.int64)
-    for r in sums:
-        v[r["k"]] = r["v"]
-    tail_n, tail_v, ends = v[:CLASSES].copy(), v[CLASSES : 2 * CLASSES].copy(), int(v[-1])
-    total, types = int(tail_n.sum()) + ends, int(tail_v.sum()) + (ends > 0)
-    rest = docs.drop("__text", "__learn").schema.fields
-    schema = T.StructType([*rest, *T._parse_datatype_string(_OUT).fields])
+    counts = tables.written(chunks.mapInArrow(_send_counts(blocks), packed.BLOB_DDL).groupBy("block").applyInArrow(_answer_counts, packed.REPLY_DDL), "lm-counts")
+    total, types = (int(x) for x in _summed(counts.where(F.col("chunk") == _SUMS).select("blob"), 2))
+    schema = T.StructType([*docs.drop("__text", "__learn").schema.fields, *T._parse_datatype_string(_OUT).fields])
     replies = counts.where("chunk >= 0")
-    if head is None:
-        rows, model = _learn_all(chunks, replies, blocks, states, rounds if total else 0, total + 0.5 * (types + 1))
-        replies = replies.unionByName(rows.select("chunk", (_APART - F.col("block")).alias("block"), "blob"))
-        return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score_all(spark.sparkContext.broadcast(model), to_arrow_schema(schema), blocks, total, types, states), schema)
-    top = counts.where("chunk = -2").mapInArrow(_top_rows, "h long, n long, form int")
-    # The least count that leaves at most head words: those below it are tail, ties and all.
-    least, held = 1, 0
-    for r in top.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
-        held += r["words"]
-        if held > head:
-            least = r["n"] + 1
-            break
-    top = top.where(F.col("n") >= least).toPandas()
-    words = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    n, form = top["n"].to_numpy(np.int64)[order], top["form"].to_numpy(np.int64)[order]
-    np.subtract.at(tail_n, form, n)
-    np.subtract.at(tail_v, form, 1)
-    m = Model(words[order], np.concatenate([n, tail_n, [ends]]) + 0.5, states)
-    if total:
-        model = spark.sparkContext.broadcast(m)
-        learned = tables.written(chunks.mapInArrow(_symbolise(model), "chunk long, sizes binary, sym binary"), "lm-symbols")
-        before = -np.inf
-        for _ in range(rounds):
-            like = _iterate(spark, learned, m)
-            if like - before < SETTLED * abs(like):
-                break
-            before = like
-    model = spark.sparkContext.broadcast(m)
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(model, to_arrow_schema(schema), blocks, total, types, tail_n, tail_v), schema)
+    rows, model = _learn_all(chunks, replies, blocks, states, rounds if total else 0, total + 0.5 * (types + 1))
+    replies = replies.unionByName(rows.select("chunk", (_APART - F.col("block")).alias("block"), "blob"))
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score_all(spark.sparkContext.broadcast(model), to_arrow_schema(schema), blocks, total, types, states), schema)

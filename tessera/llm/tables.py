@@ -46,6 +46,7 @@ def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
     buckets, own = 4 * spark.sparkContext.defaultParallelism, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{own}"
     df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(own)
+    _DEALT[own] = path
     atexit.register(_remove, spark, path)
     return spark.table(own)
 
@@ -62,8 +63,16 @@ def remove(*frames: DataFrame | None) -> None:
             _remove(df.sparkSession, path)
 
 
+#: Names of the catalogue's tables of ``dealt``, with their folders.
+_DEALT: dict[str, str] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        if name in _DEALT:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            del _DEALT[name]
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, hmm, langid, minhash_dedup, sentencepiece_codec, substring_dedup
+from tessera.llm import queries, decontamination, hmm, langid, minhash_dedup, sentencepiece_codec, substring_dedup
 from tests.llm import brute
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -138,7 +138,7 @@ def test_lm_scores(spark):
     rows = corpus(4)
     df = frame(spark, [*rows, (200, None)])
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
-    out = hmm.score_texts(df, ~held, head=150).collect()
+    out = hmm.score_texts(df, ~held, rounds=2).collect()
     tok = {i: [*brute.spaced((t or "").translate(brute.LOWER)), None] for i, t in [*rows, (200, None)]}
     c = Counter(w for i, ws in tok.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     total, types = sum(c.values()), len(c)
@@ -185,13 +185,14 @@ def brute_hmm(train, every, states, rounds):
     at = {w: i for i, w in enumerate(words)}
     n = Counter(w for t in train for w in t)
     mass = sum(n.values()) + 0.5 * (len(words) + 1)
-    smooth = {w: 20.0 * states * (n[w] + 0.5) / mass for w in {*words, *(w for t in every for w in t)}}
+    unigram = {w: (n[w] + 0.5) / (mass - 0.5) for w in words}
     gamma = np.array([n[w] * hmm._noise(np.array([word_hash(w)]), states)[0].astype(float) for w in words])
     move, start = np.full((states, states), 0.1 / (states - 1)), np.full(states, 1 / states)
     np.fill_diagonal(move, 0.9)
-    rows = lambda t, g, u: np.array([((g[at[w]] if w in at else 0) + smooth[w]) / u for w in t])
+    emit = lambda w, g, u: (1 - 0.5 / mass) * ((1 - hmm.SHARE) * g[at[w]] / u + hmm.SHARE * unigram[w]) if w in at else np.full(states, 0.5 / mass)
+    rows = lambda t, g, u: np.array([emit(w, g, u) for w in t])
     for _ in range(rounds):
-        under, fresh, xi, begun = gamma.sum(0) + 20.0 * states, np.zeros_like(gamma), np.zeros((states, states)), np.zeros(states)
+        under, fresh, xi, begun = gamma.sum(0), np.zeros_like(gamma), np.zeros((states, states)), np.zeros(states)
         for t in train:
             e, alpha, scale = rows(t, gamma, under), [], []
             for i in range(len(t)):
@@ -209,7 +210,7 @@ def brute_hmm(train, every, states, rounds):
                 else:
                     begun += g / g.sum()
         gamma, move, start = fresh, (xi + 1) / (xi.sum(1, keepdims=True) + states), (begun + 1) / (begun.sum() + states)
-    under, out = gamma.sum(0) + 20.0 * states, []
+    under, out = gamma.sum(0), []
     for t in every:
         a, total = None, 0.0
         for i, e in enumerate(rows(t, gamma, under)):
@@ -250,11 +251,14 @@ def test_lm_of_nothing_and_clashing_names(spark):
 
 
 def test_forward_recursion_is_a_distribution_and_long_rows_agree(monkeypatch):
-    m = hmm.Model(np.arange(3, dtype=np.uint64), np.array([3.0, 2, 1] + [0.1] * hmm.CLASSES + [1.0]), 3)
     r = np.random.default_rng(0)
-    m.move, m.start = r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(3))
-    seqs = [(i, j) for i in range(m.size) for j in range(m.size)]
-    s = np.array(seqs, np.uint16).ravel()
+    total, split = np.array([30, 20, 1, 9, 0]), r.dirichlet(np.ones(3), 5)
+    mass = total.sum() + 0.5 * (4 + 1)
+    emit = hmm._emissions(split, total, (split * total[:, None]).sum(0), mass)
+    assert np.allclose(emit.sum(0), 1) and np.allclose(emit[4], 0.5 / mass)
+    assert np.allclose(hmm._emissions(np.zeros((5, 3)), total, np.zeros(3), mass).sum(0), 1)
+    m = hmm.Model(emit, r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(3)))
+    s = np.array([(i, j) for i in range(m.size) for j in range(m.size)], np.uint16).ravel()
     like = hmm.likelihood(s, np.arange(0, len(s) + 1, 2), m)
     assert math.isclose((10**like).sum(), 1, rel_tol=1e-9)
     s = r.integers(0, m.size, 500).astype(np.uint16)
@@ -266,7 +270,17 @@ def test_forward_recursion_is_a_distribution_and_long_rows_agree(monkeypatch):
         g, x, b, ll = hmm.expected(s, np.array([0, 200, 500]), m)
         assert ll > before - 1 and math.isclose(g.sum(), 500, rel_tol=1e-4)
         before = ll
-        m.update(g, x, b)
+        m = hmm.Model((g + 1e-3) / (g + 1e-3).sum(0), (x + 1) / (x.sum(1, keepdims=True) + 3), (b + 1) / (b.sum() + 3))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_lm_beats_the_unigram_on_texts_that_it_did_not_learn(spark, sf):
+    """As registered: over all held-out texts, over those with unknown words and over those without."""
+    out = queries.op1_lm_scoring(spark, f"/root/testdata/{sf}").where("held_out").toPandas()
+    for part in (out, out[out.n_known < out.n_tokens], out[out.n_known == out.n_tokens]):
+        assert len(part) > 2 and part.score.sum() > part.base_score.sum() + 0.1 * part.n_tokens.sum()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_symbols")]
+
 
 
 def test_sentencepiece_equals_the_library(spark):
