@@ -378,7 +378,7 @@ def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, r
     Symbols are dealt by chunk once, so that in a round no more than splits moves.
     """
     spark = chunks.sparkSession
-    learned = tables.dealt(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prepare(blocks), _STATIC_DDL), "chunk", "lm-symbols")
+    learned, done = tables.dealt(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prepare(blocks), _STATIC_DDL), "chunk", "lm-symbols")
     sent = tables.written(learned.select("chunk", "blob", "keys").mapInArrow(_begin(states), packed.BLOB_DDL), "lm-expected")
     learned = learned.drop("keys")
     move, start = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states)
@@ -396,7 +396,7 @@ def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, r
         if like - before < SETTLED * abs(like):
             break
         before = like
-    tables.remove(learned)
+    done()
     return _replies(sent, states), (move, start, under)
 
 

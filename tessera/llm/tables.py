@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,15 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``written``, dealt by key into buckets: grouping by key reads it without a shuffle."""
+def dealt(df: DataFrame, key: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``written``, dealt by key into buckets: grouping by key reads it without a shuffle; and what removes it from folder and catalogue."""
     spark = df.sparkSession
     buckets, own = 4 * spark.sparkContext.defaultParallelism, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{own}"
     df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(own)
     _DEALT[own] = path
     atexit.register(_remove, spark, path)
-    return spark.table(own)
+    return spark.table(own), lambda: _remove(spark, path)
 
 
 def path_of(df: DataFrame) -> str:
