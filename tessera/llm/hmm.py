@@ -366,9 +366,14 @@ def _answer_rows(states: int):
 
 
 def _free(*frames: DataFrame) -> None:
-    """Files of a round that is over go at once, and its shuffles at the next collection."""
+    """Files of a round that is over go at once."""
     tables.remove(*frames)
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
+    _free_shuffles(frames[0].sparkSession)
+
+
+def _free_shuffles(spark) -> None:
+    """Shuffles of plans that are over go with the driver's objects that hold them."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, rounds: int, mass: float) -> tuple[DataFrame, tuple]:
@@ -379,6 +384,7 @@ def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, r
     """
     spark = chunks.sparkSession
     learned, done = tables.dealt(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prepare(blocks), _STATIC_DDL), "chunk", "lm-symbols")
+    _free_shuffles(spark)  # the shuffles of counting and dealing, more than those of a round
     sent = tables.written(learned.select("chunk", "blob", "keys").mapInArrow(_begin(states), packed.BLOB_DDL), "lm-expected")
     learned = learned.drop("keys")
     move, start = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states)
