@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import written as _cut
@@ -102,20 +102,61 @@ def support_edges(claims: DataFrame) -> DataFrame:
     return claims.where("object is not null").select("object", kind.alias("kind")).groupBy("object", "kind").agg(F.count("*").alias("n"))
 
 
-def walk(claims: DataFrame, start: str, hops: int = 5, seed: int = 1) -> DataFrame:
-    """(step, node): a walk without revisits; the next is drawn with weight 1 / (1 + degree), by a seeded hash key."""
-    adj = _cut(adjacency(claims), "walk")
+#: Neighbours in one piece of a node's list.
+PIECE = 512
+
+
+def walks(claims: DataFrame, starts: DataFrame, hops: int = 5, seed: int = 1, tries: int = 8, piece: int = PIECE) -> DataFrame:
+    """(start, step, node): a walk without revisits from every start (column start); the next node is drawn with weight 1 / (1 + degree).
+
+    All walks take a hop at once.  A node's neighbours stand in pieces with running
+    weights: a walk draws a piece, then a neighbour in it, and draws again if that was
+    visited, so it never meets all the neighbours of a hub.  Walks that were unlucky
+    ``tries`` times draw by the least of keyed exponentials among all they haven't
+    visited; a walk without such a neighbour ends.  Draws are by hashes of seed, start and step.
+    """
+    adj = _cut(adjacency(claims).where("u <> v"), "walk-adj")
     degree = adj.groupBy("u").agg(F.count("*").alias("d"))
-    spark = claims.sparkSession
-    seen = [start]
+    weighted = _cut(adj.join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v").join(degree, "u").select("u", "v", (1 / (1 + F.col("dv"))).alias("w"), F.pmod(F.xxhash64("v"), F.ceil(F.col("d") / piece).cast("long")).alias("piece")), "walk-weights")
+    # A piece holds about ``piece`` neighbours, whatever the degree; a node has one row of its pieces' weights.
+    lists = _cut(weighted.groupBy("u", "piece").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("near"), F.sum("w").alias("w")), "walk-pieces")
+    heads = _cut(lists.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("piece", "w"))).alias("pieces")), "walk-heads")
+    draw = lambda *by: (F.pmod(F.xxhash64("start", F.lit(seed), *by), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+
+    def pick(items: Column, u: Column) -> Column:
+        """The element that u (0 to 1) of the whole weight falls on."""
+        total = F.aggregate(items, F.lit(0.0), lambda s, x: s + x["w"])
+        spot = lambda s, x: F.struct((s["left"] - x["w"]).alias("left"), F.when(s["at"] >= 0, s["at"]).when(s["left"] < x["w"], s["n"]).otherwise(F.lit(-1)).alias("at"), (s["n"] + 1).alias("n"))
+        at = F.aggregate(items, F.struct((u * total).alias("left"), F.lit(-1).alias("at"), F.lit(0).alias("n")), spot)["at"]
+        return F.element_at(items, F.when(at < 0, F.size(items)).otherwise(at + 1).cast("int"))
+
+    now = _cut(starts.select("start").distinct().withColumn("path", F.array("start")), "walk")
     for step in range(1, hops + 1):
-        u = (F.pmod(F.xxhash64("v", F.lit(seed), F.lit(step)), F.lit(1 << 30)) + 1) / float(1 << 30)
-        nxt = adj.where((F.col("u") == seen[-1]) & ~F.col("v").isin(seen)).join(degree.select(F.col("u").alias("v"), "d"), "v")
-        got = nxt.orderBy(-F.log(u) * (1 + F.col("d")), "v").limit(1).collect()
-        if not got:
-            break
-        seen.append(got[0]["v"])
-    return spark.createDataFrame(list(enumerate(seen)), "step int, node string")
+        open_ = now.where(F.size("path") == step)
+        done, key = None, F.element_at("path", -1)
+        for t in range(tries):
+            at = open_.withColumn("u", key).join(heads, "u").withColumn("piece", pick(F.col("pieces"), draw(F.lit(step), F.lit(t), F.lit("piece")))["piece"])
+            got = at.join(lists.select("u", "piece", "near"), ["u", "piece"]).select("start", "path", pick(F.col("near"), draw(F.lit(step), F.lit(t), F.lit("near")))["v"].alias("v"))
+            got = _cut(got.withColumn("new", ~F.array_contains("path", F.col("v"))), "walk-try")
+            hit = got.where("new").select("start", F.array_append("path", F.col("v")).alias("path"))
+            done = hit if done is None else done.unionByName(hit)
+            open_ = got.where("not new").select("start", "path")
+            if open_.isEmpty():
+                break
+        else:
+            rest = open_.withColumn("u", key).join(weighted, "u").where(~F.array_contains("path", F.col("v")))
+            rest = rest.groupBy("start", "path").agg(F.min_by("v", F.struct((-F.log(draw(F.lit(step), F.col("v"))) / F.col("w")).alias("k"), "v")).alias("v"))
+            rest = rest.select("start", F.array_append("path", F.col("v")).alias("path"))
+            done = rest if done is None else done.unionByName(rest)
+        ended = now.join(done.select("start"), "start", "left_anti")
+        now = _cut(done.unionByName(ended), "walk")
+    return now.select("start", F.posexplode("path").alias("step", "node"))
+
+
+def walk(claims: DataFrame, start: str, hops: int = 5, seed: int = 1) -> DataFrame:
+    """(step, node): the walk from one node."""
+    one = claims.sparkSession.range(1).select(F.lit(start).alias("start"))
+    return walks(claims, one, hops, seed).select("step", "node")
 
 
 def label_propagation(claims: DataFrame, rounds: int = 12) -> DataFrame:

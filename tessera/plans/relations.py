@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import affinity as A
+from ..operators import closure as C
+from ..operators import graph as G
 from ..operators import mentions as M
 from ..operators.fulltext import Index, entity_docs, provenance_docs
 from ..sources.stored import shared_dir
@@ -32,6 +34,15 @@ word AS (SELECT DISTINCT x, y FROM (SELECT x, unnest(regexp_extract_all(lower(br
 lists AS (SELECT x, k, list(y) AS l FROM (SELECT x, y, 1 AS k FROM hop UNION ALL SELECT x, y, 2 FROM pred UNION ALL SELECT x, y, 3 FROM word) GROUP BY x, k),
 j AS (SELECT a, b, w.k, CASE WHEN p.l IS NULL OR q.l IS NULL THEN 0 ELSE len(list_intersect(p.l, q.l)) * w // (len(p.l) + len(q.l) - len(list_intersect(p.l, q.l))) END AS s
   FROM pair, (VALUES (1, 300), (2, 400), (3, 300)) w(k, w) LEFT JOIN lists p ON p.x = a AND p.k = w.k LEFT JOIN lists q ON q.x = b AND q.k = w.k)"""
+#: Orders support their customers here, beside the usual grounds.
+_GROUNDS = {"subject_grounds": (*C.SUBJECT_GROUNDS, "InvestigatedBy")}
+_CLOSURE = f"""up AS (SELECT DISTINCT subject AS u, object AS v FROM claims JOIN closed x ON x.var_name = subject JOIN closed y ON y.var_name = object WHERE predicate IN {_GROUNDS['subject_grounds']}
+  UNION SELECT object, subject FROM claims JOIN closed x ON x.var_name = subject JOIN closed y ON y.var_name = object WHERE predicate IN {C.OBJECT_GROUNDS}),
+refs AS (SELECT k.var_name AS e, count(c.subject) AS n FROM closed k LEFT JOIN (SELECT subject FROM claims UNION ALL SELECT object FROM claims) c ON c.subject = k.var_name GROUP BY 1),
+state AS (SELECT var_name AS entity, brief, var_name NOT IN (SELECT u FROM up) AS leaf, (SELECT count(*) FROM up WHERE v = var_name) AS n_upstream, (SELECT count(*) FROM up WHERE u = var_name) AS n_downstream,
+  var_name IN (SELECT v FROM up JOIN refs ON e = u WHERE n <= 2) OR var_name IN (SELECT b.v FROM up a JOIN up b ON b.u = a.v JOIN refs ON e = a.u WHERE n <= 2) AS weak_upstream,
+  CASE WHEN len(list_filter({list(C.REOPENED)}, lambda p: contains(lower(brief), p))) > 0 THEN '' ELSE coalesce(list_filter({list(C.PHRASES)}, lambda p: contains(lower(brief), p))[1], '') END AS phrase FROM closed),
+found AS (SELECT entity, phrase, leaf, weak_upstream, CASE WHEN phrase <> '' AND leaf AND weak_upstream THEN 'warning' ELSE 'info' END AS severity FROM state WHERE brief <> '' AND (phrase <> '' OR leaf AND weak_upstream))"""
 _INDEXED = """doc AS (SELECT 'entity' AS kind, var_name AS doc, coalesce(name, '') || ' ' || coalesce(brief, '') || ' ' || alias AS text FROM entities
   UNION ALL SELECT 'provenance', var_name, coalesce(origin, '') || ' ' || coalesce(quote, '') FROM provenance),
 t AS (SELECT kind, doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) >= 2) AS w FROM doc), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t WHERE len(w) > 0),
@@ -77,3 +88,9 @@ def register(add: Callable, more: Callable, both: Callable) -> None:
     add("g15_trip_entities", lambda v: trip(v).select("entity", "role_type", "cluster", "bridge", F.array_join("predicates", ",").alias("predicates"), F.array_join("tokens", ",").alias("tokens")), None)
     refuted = lambda v: v.claims.where("predicate = 'Disputes'").select(F.col("subject").alias("a"), F.col("object").alias("b"))
     add("r16_trip_pairs", lambda v: A.pair_across(trip(v), refuted(v), 50), None)
+
+    found = lambda v: C.findings(v.claims, v.closed, **_GROUNDS)
+    add("g21_footing", lambda v: C.footing(v.claims, v.closed, **_GROUNDS), more(_CLOSURE, "SELECT entity, n_upstream, n_downstream, leaf, weak_upstream FROM state"))
+    add("w9_closure_findings", found, more(_CLOSURE, "SELECT * FROM found"))
+    add("w9_premature_closure", lambda v: C.audit(found(v)), more(_CLOSURE, "SELECT 'PrematureClosure' AS bias, (count(*) FILTER (severity = 'warning'))::DOUBLE AS value, count(*) AS n_findings, count(*) FILTER (severity = 'warning') >= 1 AS triggered FROM found"))
+    add("g18_walks", lambda v: G.walks(v.claims, v.entities.where("role_type = 'Person'").select(F.col("var_name").alias("start"))), None)

@@ -78,7 +78,13 @@ UNION ALL SELECT 'S' || s_suppkey, 'Sells the ' || p_name || ' of ' || p_brand |
 _MARKS = """
 SELECT DISTINCT 'O' || o_orderkey AS entity, 'S' || l_suppkey AS target FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_custkey % 7 = 0
 """
-VIEWS = {"briefs": _BRIEFS, "marks": _MARKS, "fields": _FIELDS, "predicates": _PREDICATES, "vault": _VAULT, "links": _LINKS_OF, "supersedes": _SUPERSEDES, "entities": _ENTITIES, "claims": _CLAIMS, "provenance": _PROVENANCE, "cycles": _CYCLES, "notes": _NOTES}
+#: Briefs of customers and parts, some of which end a question by a phrase and some of which reopen it.
+_CLOSED = """
+SELECT 'C' || c_custkey AS var_name, CASE c_custkey % 4 WHEN 0 THEN 'Obviously one of ' || c_mktsegment WHEN 1 THEN 'It is well known in ' || c_mktsegment || ', however' ELSE c_mktsegment END AS brief FROM {customer}
+UNION ALL SELECT 'P' || p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Of course a ' || p_name || ', self-evident' WHEN 1 THEN '' ELSE p_type END FROM {part}
+UNION ALL SELECT 'O' || o_orderkey, '' FROM {orders} UNION ALL SELECT 'S' || s_suppkey, 'Widely RECOGNIZED' FROM {supplier}
+"""
+VIEWS = {"closed": _CLOSED, "briefs": _BRIEFS, "marks": _MARKS, "fields": _FIELDS, "predicates": _PREDICATES, "vault": _VAULT, "links": _LINKS_OF, "supersedes": _SUPERSEDES, "entities": _ENTITIES, "claims": _CLAIMS, "provenance": _PROVENANCE, "cycles": _CYCLES, "notes": _NOTES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
