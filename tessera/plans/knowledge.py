@@ -16,7 +16,9 @@ _ENDS = "ends AS (SELECT subject AS entity, var_name AS claim, predicate FROM {c
 _VULNS = """sole AS (SELECT object FROM {claims} WHERE predicate IN ('Proposes', 'ProposesOrg') GROUP BY object HAVING count(*) = 1),
 calm AS (SELECT DISTINCT object FROM {claims} WHERE predicate = 'Proposes' AND object NOT IN (SELECT object FROM {claims} WHERE predicate = 'Disputes')),
 vulns AS (SELECT 'single_source' AS kind, object AS entity, 'warning' AS severity FROM sole UNION ALL SELECT 'uncontested', object, 'info' FROM calm
-  UNION ALL SELECT 'concentration_risk', entity, 'critical' FROM (SELECT entity, count(*) AS d FROM ends GROUP BY entity) x WHERE d >= 200)"""
+  UNION ALL SELECT 'concentration_risk', entity, 'info' FROM (SELECT entity, count(*) AS d FROM ends GROUP BY entity) x
+    JOIN (SELECT greatest(5.0, avg(d) + 2 * stddev_pop(d)) AS cut FROM (SELECT count(*) AS d FROM ends GROUP BY entity) y) z ON x.d >= z.cut
+  UNION ALL SELECT 'thin_provenance', c.file, 'warning' FROM {claims} c LEFT JOIN (SELECT DISTINCT var_name FROM {provenance} WHERE length(quote) > 0) q ON q.var_name = c.prov_ref GROUP BY c.file HAVING count(q.var_name) = 0)"""
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
 _NET = "row_number() OVER (PARTITION BY {} ORDER BY {})"
 _VERDICT = """CASE WHEN c + x + i = 0 AND p > 0 THEN 'pending' WHEN c + x + i = 0 THEN 'no_signal' WHEN x > c AND x >= i THEN 'challenged' WHEN c > i THEN 'corroborated'
