@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..sources.stored import written
 
@@ -12,8 +14,13 @@ def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def unseen(papers: DataFrame, late: str = "30 days") -> DataFrame:
-    """Papers whose id was not seen within the watermark; without one the state would grow for ever."""
+def unseen(papers: DataFrame, late: str | None = None) -> DataFrame:
+    """Papers whose id was never seen before; an id stays known for ever, in the state store.
+
+    With ``late`` (an interval over ts) an id is forgotten that long after, and the state stays bounded.
+    """
+    if late is None:
+        return papers.dropDuplicates(["paper_id"])
     return papers.withWatermark("ts", late).dropDuplicatesWithinWatermark(["paper_id"])
 
 
@@ -71,6 +78,35 @@ def monthly(events: DataFrame, cap: float) -> DataFrame:
     return events.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("value").alias("spent")).withColumn("left", F.lit(cap) - F.col("spent"))
 
 
+SETTLED = "month string, request_id long, allowed boolean, spent double"
+
+
+def settled(requests: DataFrame, cap: float) -> DataFrame:
+    """(month, request_id, allowed, spent) of requests (ts, request_id, estimate, actual) against a monthly cap.
+
+    A request is allowed if its estimate fits into what the month has left, and is then
+    settled at its actual cost (the estimate, while that is null); one that isn't allowed
+    costs nothing.  So each decision depends on those before it: a month's state is what it
+    has spent, and a month begins at nothing.  Requests of one batch are taken by ts, then
+    id; a replay after a failure starts from the state of the batch before, and decides alike.
+    """
+
+    def go(key, frames, state):
+        spent = state.get[0] if state.exists else 0.0
+        batch = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
+        rows = []
+        for r in batch.itertuples(index=False):
+            allowed = bool(r.estimate <= cap - spent)
+            if allowed:
+                spent += float(r.estimate if pd.isna(r.actual) else r.actual)
+            rows.append((key[0], r.request_id, allowed, spent))
+        state.update((spent,))
+        yield pd.DataFrame(rows, columns=["month", "request_id", "allowed", "spent"])
+
+    by = requests.withColumn("month", F.date_format("ts", "yyyy-MM")).groupBy("month")
+    return by.applyInPandasWithState(go, SETTLED, "spent double", "append", GroupStateTimeout.NoTimeout)
+
+
 def retried(requests: DataFrame, answer) -> DataFrame:
     """answer(DataFrame) -> (id, reply): those without a reply are asked once more.
 
