@@ -18,7 +18,8 @@ def bm25(docs: DataFrame, query: list[str], k: int | None = 15, k1: float = 1.5,
     """
     terms = sorted(set(query))
     words = docs.select("doc", X.tokens(F.col("text")).alias("t")).select("doc", F.size("t").alias("dl"), F.filter("t", lambda t: t.isin(*terms)).alias("t"))
-    rows = cut(words.where("dl > 0").select("doc", "dl", *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"n{i}") for i, w in enumerate(terms)]), "bm25")
+    # Empty documents go after the write: a filter would be pushed down, and cut the text once more.
+    rows = cut(words.select("doc", "dl", *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"n{i}") for i, w in enumerate(terms)]), "bm25").where("dl > 0")
     total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     some = F.lit(False)
     for i in range(len(terms)):
