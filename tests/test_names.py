@@ -17,6 +17,13 @@ def test_derive_names(spark):
     assert got["2024 in review (short)"] == ("Note20240102030405", "Note 2024-01-02")
 
 
+def test_a_display_name_begins_with_one_letter(spark):
+    rows = [("\u00dfbest der", "\u1e9ebest der"), ("\u00e4hnlich", "\u00c4hnlich"), ("\u1f80abc", "\u1f88abc"), ("\ufb01nal", "\ufb01nal")]
+    df = spark.createDataFrame(rows, "brief string, want string")
+    _, shown = X.derive_names(F.col("brief"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    assert [r for r in df.select("brief", shown.alias("got"), "want").collect() if r["got"] != r["want"]] == []
+
+
 def test_sensor_query(spark):
     rows = [
         ("BaloneyDetectionKit", "Baloney Detection Kit", "tools for thinking", "Carl Sagan", "Sagan Baloney Detection"),
