@@ -24,3 +24,8 @@ def test_disputed_objects_are_not_broadcast(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "LeftAnti" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_claims_are_counted_before_they_meet_the_schema(spark):
+    plan = registry.queries()["a42_slots"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("count(var_name")
