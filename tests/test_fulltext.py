@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import re
 
@@ -89,3 +90,15 @@ def test_hybrid_ranks_all_before_the_role(spark, role):
     about = spark.range(n).select(F.col("id").alias("doc"), F.when(F.col("id") >= 590, "b").otherwise("a").alias("role"))
     got = [r.doc for r in retrieval.hybrid(lexical, similar, about, role, 5).collect()]
     assert got == (list(range(5)) if role is None else list(range(590, 595)))
+
+
+def test_a_batch_leaves_no_tokens_behind(spark, tmp_path):
+    from tessera.sources.stored import shared_dir
+
+    place = shared_dir(spark).removeprefix("file:")
+    held = lambda: {f for f in os.listdir(place) if f.startswith(("index-tokens", "index-again"))}
+    before, index = held(), fulltext.Index(spark, str(tmp_path / "index"))
+    for text in ("red red widget", "red building"):
+        index.add(spark.createDataFrame([("entity", "a", text), ("entity", "b", "blue")], "kind string, doc string, text string"))
+    assert held() == before
+    assert {tuple(r) for r in index.terms().collect()} == {("red", 1, 1), ("building", 1, 1), ("blue", 1, 1)}
