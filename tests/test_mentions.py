@@ -80,3 +80,35 @@ def test_salted_join(spark, least):
     assert got.columns == ["k", "x", "y"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(few, "k").collect()))
     assert skew.join_salted(many.limit(0), few, "k").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_drift_equals_brute_force(spark, seed):
+    """Kinds with many targets, briefs named alike, paths of one and two claims of several predicates, marks that aren't mentions."""
+    r = random.Random(seed)
+    names = ["Red Widget", "Blue Gadget", "Brand#25", "Grey Thing"]
+    entities = [(f"e{i}", r.choice(names), r.choice([None, [r.choice(names)], ["Odd Name"]])) for i in range(60)]
+    texts = [(f"e{i}", ", ".join(r.sample(names, r.randint(0, 2)))) for i in range(70)]
+    edges = [(r.choice("PQR") + "s", f"e{r.randrange(75)}", f"e{r.randrange(75)}") for _ in range(60)] + [("P", "e1", None), (None, "e3", "e4")] + [("Hub", f"e{i}", "hub") for i in range(0, 70, 9)]
+    adj = {}
+    for _, u, v in edges:
+        if v:
+            adj.setdefault(u, set()).add(v)
+            adj.setdefault(v, set()).add(u)
+    marks = [(f"e{r.randrange(70)}", f"e{r.randrange(60)}") for _ in range(400)]
+    near = lambda a, b: b in adj.get(a, ()) or any(b in adj[m] for m in adj.get(a, ()))
+    t, e = frames(spark, texts, entities)
+    want = {(a, b, s, (a, b) in set(marks)) for (a, b), s in brute(texts, entities).items() if not near(a, b)}
+    args = t, e, spark.createDataFrame(edges, "predicate string, subject string, object string"), spark.createDataFrame(marks, "entity string, target string")
+    got = M.drift(*args)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 300
+    assert sorted(map(tuple, M.drift_report(*args).collect())) == sorted(map(tuple, M.report(got).collect()))
+
+
+def test_pairs_are_not_shuffled(spark):
+    """40 texts that name 500 targets each: nothing that is shuffled or stored has the 20,000 pairs."""
+    t, e = frames(spark, [(f"t{i}", "a Red Widget") for i in range(40)], [(f"e{i}", "Red Widget", None) for i in range(500)])
+    got = M.mentions(t, M.surfaces(e))
+    assert got.count() == 20_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
