@@ -91,3 +91,29 @@ def test_pairs_across_clusters(spark, seed):
         assert sorted(map(value, own)) == sorted(map(value, left))[-7:]
     assert all((x.affinity, x.score) == rank(x.a, x.b) for x in got)
     assert A.pair_across(df.limit(0), spark.createDataFrame(refuted, "a string, b string"), 7).count() == 0
+
+
+def test_two_hop_sets_are_listed_in_batches(spark, monkeypatch):
+    """What is listed at once is a part of all, whose files are gone when the next part is made; the result is the same."""
+    r = random.Random(9)
+    claims = spark.createDataFrame([(f"c{i}", "P", f"s{r.randrange(30)}", f"p{r.randrange(200)}", None, "f") for i in range(500)], CLAIM)
+    entities = spark.createDataFrame([("s1", "Idea", "some words", "f")], ENTITY)
+    pairs = claims.selectExpr("subject as a", "object as b").distinct().where("hash(b) % 8 = 0")
+    whole = sorted(map(tuple, A.affinity(pairs, entities, claims).collect()))
+    made, written = [], A.written
+
+    def kept(df, name):
+        got = written(df, name)
+        if name == "twohop-outside":
+            made.append((got, got.count()))
+        return got
+
+    monkeypatch.setattr(A, "written", kept)
+    A.affinity(pairs, entities, claims)
+    (_, all_), = made
+    made.clear()
+    assert sorted(map(tuple, A.affinity(pairs, entities, claims, listed=1000).collect())) == whole and whole
+    assert len(made) > 1 and max(n for _, n in made) < all_
+    for df, _ in made:
+        with pytest.raises(Exception, match="(?i)not.*exist"):
+            df.count()
