@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import packed, tables, text
 
 WINDOW, GRAM = 20, 8
+#: Stands in a chunk's carried columns for the text, which the chunk holds anyway: is it null?
+_NULL = "__null"
 
 _OUT = pa.schema(
     [
@@ -201,7 +204,7 @@ def _answer_windows(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([packed.frame(packed.REPLY, rows)]) if rows else packed.REPLY.empty_table()
 
 
-def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema):
+def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema, source: str):
     def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return empty.empty_table()
@@ -221,12 +224,12 @@ def _factor(blocks: int, window: int, gram: int, texts: bool, empty: pa.Schema):
                 src_doc[j], src_start[j] = np.cumsum(d), np.cumsum(s)
         src_doc, src_start = src_doc[lead], src_start[lead]
         hit = (src_doc != doc) | (src_start != start)
-        return _parse(p, r, at[hit], src_doc[hit], src_start[hit], start[hit], window, texts)
+        return _parse(p, r, at[hit], src_doc[hit], src_start[hit], start[hit], window, texts, source)
 
     return go
 
 
-def _parse(p: _Parsed, r: dict, at, src_doc, src_start, start, window: int, texts: bool) -> pa.Table:
+def _parse(p: _Parsed, r: dict, at, src_doc, src_start, start, window: int, texts: bool, source: str) -> pa.Table:
     w, rows = p.words, p.chunk.rows
     n = len(w.starts)
     # Greedy factors: from a window on, as long as the next one too is found on the diagonal of its source.
@@ -267,10 +270,16 @@ def _parse(p: _Parsed, r: dict, at, src_doc, src_start, start, window: int, text
     )
     if (rest := packed.rest_of(r)) is not None:
         for name in rest.schema.names:
-            out = out.append_column(name, rest.column(name))
+            out = out.append_column(*((name, rest.column(name)) if name != _NULL else (source, _source(p.chunk, rest.column(name)))))
     return out
 
 
+def _source(chunk: text.Chunk, null: pa.ChunkedArray) -> pa.Array:
+    """The texts that a chunk was made of."""
+    whole = pa.Array.from_buffers(pa.large_binary(), chunk.rows, [None, pa.py_buffer(chunk.offsets), pa.py_buffer(chunk.data)])
+    return pc.if_else(null.combine_chunks(), pa.scalar(None, pa.large_string()), whole.view(pa.large_string())).cast(pa.string())
+
+
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: its words, and those left after substring dedup.
 
@@ -288,15 +297,15 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     if clash := set(carry) & set(_OUT.names):
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
-    docs = df.select(df[id_col].cast("long").alias("__id"), df[text_col].cast("string").alias("__text"), *[df[c] for c in carry])
-    rest = docs.drop("__id", "__text").schema
-    out = T.StructType([*T._parse_datatype_string(_OUT_DDL).fields, *rest.fields])
+    own = text_col if df.schema[text_col].dataType == T.StringType() else None  # else the text that is carried isn't the chunk's
+    docs = df.select(df[id_col].cast("long").alias("__id"), df[text_col].cast("string").alias("__text"), *[df[text_col].isNull().alias(_NULL) if c == own else df[c] for c in carry])
+    out = T.StructType([*T._parse_datatype_string(_OUT_DDL).fields, *[df.schema[c] for c in carry]])
     empty = to_arrow_schema(out)
     chunks, blocks = packed.chunked(docs, "substring-chunks")
     seeds = chunks.mapInArrow(text.tidy(_send_seeds(blocks, window, gram)), packed.BLOB_DDL)
     repeated = seeds.groupBy("block").applyInArrow(_answer_seeds, packed.REPLY_DDL)
     repeated = tables.written(repeated, "substring-seeds")
-    windows = chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows(blocks, window, gram), packed.BLOB_DDL)
+    windows = chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(text.tidy_groups(_send_windows(blocks, window, gram)), packed.BLOB_DDL)
     earlier = windows.groupBy("block").applyInArrow(_answer_windows, packed.REPLY_DDL)
     replies = repeated.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_factor(blocks, window, gram, texts, empty), out)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(text.tidy_groups(_factor(blocks, window, gram, texts, empty, text_col)), out)

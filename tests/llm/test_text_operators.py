@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -56,6 +57,31 @@ def test_substrings_empty_repeated_and_null_ids(spark):
         substring_dedup.dedup_substrings(empty, carry=("doc_id",))
 
 
+def test_substrings_carry_the_text_once(spark, monkeypatch):
+    """The carried text comes back as it was, from the chunk that is parsed: no copy of it travels beside that."""
+    rows = [(0, None), (1, ""), (2, " \u00e9\U0001f600 a\tb\n"), *[(i, f"d{i} " + " ".join(f"w{j}" for j in range(40))) for i in range(3, 9)]]
+    seen, real = [], substring_dedup.packed.chunked
+    monkeypatch.setattr(substring_dedup.packed, "chunked", lambda docs, name: seen.append(docs.columns) or real(docs, name))
+    out = substring_dedup.dedup_substrings(frame(spark, rows), carry=("lang", "text", "n_chars"))
+    assert out.columns[-3:] == ["lang", "text", "n_chars"] and "text" not in seen[0]
+    assert {r["doc_id"]: (r["text"], r["lang"]) for r in out.collect()} == {i: (t, "en") for i, t in rows}
+
+
+def test_words_of_a_large_chunk_take_little_memory():
+    import pyarrow as pa
+
+    rows = [" ".join(f"w{i * j}" for j in range(300)) for i in range(2000)] + ["x" * 700_000 + " y"]
+    chunk = next(substring_dedup.text.chunks(pa.array(rows), 1 << 30))
+    substring_dedup.text.powers(1)
+    tracemalloc.start()
+    w = substring_dedup.text.words(chunk)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(chunk.data) > 3 << 20 and peak < 20 * len(chunk.data)
+    one = [h for t in (rows[7], rows[-1]) for h in substring_dedup.text.words(next(substring_dedup.text.chunks(pa.array([t])))).hashes]
+    assert one == [*w.hashes[w.first[7] : w.first[8]], *w.hashes[w.first[-2] :]]
+
+
 @pytest.mark.parametrize("block", [500_000, 40])
 def test_contamination(spark, block):
     rows = corpus(2)
