@@ -41,6 +41,8 @@ SHARE = 0.05
 SETTLED = 1e-5
 END = np.uint64(0x5EED0E4D5EED0E4D)
 _BATCH = 1 << 20
+#: A word of many texts moves once a chunk and round, and steps over time serve all rows of a chunk at once: few large chunks.
+_CHUNK_BYTES = 16 << 20
 _SEGMENT = 1 << 12
 _OUT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -85,38 +87,42 @@ def _by_time(sym: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.n
 def expected(sym: np.ndarray, first: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch's E-step over rows of symbols: counts of (symbol, state), moves, first states; log-likelihood."""
     k = m.states
-    emit, move, start = m.emit.astype(np.float32), m.move.astype(np.float32), m.start.astype(np.float32)
+    emit, move, start = np.ascontiguousarray(m.emit.T, np.float32), m.move.astype(np.float32), m.start.astype(np.float32)
+    on = np.ascontiguousarray(move.T)
     gamma, xi, begun, like = np.zeros((m.size, k)), np.zeros((k, k)), np.zeros(k), 0.0
     for rows in _batches(np.diff(first)):
         s, live = _by_time(sym, first, rows)
         if not len(s):
             continue
-        e = emit[s]
-        at = np.concatenate([[0], np.cumsum(live)])
-        alpha, scale = np.empty((len(s), k), np.float32), np.empty((len(s), 1), np.float32)
-        prior = None
+        at = np.concatenate([[0], np.cumsum(live)]).tolist()
+        # A state's numbers lie side by side: sums over the states are of eight long vectors.
+        alpha, scale = np.empty((k, len(s)), np.float32), np.empty(len(s), np.float32)
+        for j in range(k):
+            alpha[j] = emit[j][s]
+        e, prior = alpha.copy(), None
         for t in range(len(live)):
             lo, hi = at[t], at[t + 1]
-            a = (start if t == 0 else prior[: hi - lo] @ move) * e[lo:hi]
-            c = a.sum(1, keepdims=True)
-            prior = np.divide(a, c, out=alpha[lo:hi])
-            scale[lo:hi] = c
+            a, c = alpha[:, lo:hi], scale[lo:hi]
+            a *= start[:, None] if t == 0 else on @ prior[:, : hi - lo]
+            np.add.reduce(a, 0, out=c)
+            a /= c
+            prior = a
         like += float(np.log(scale, dtype=np.float64).sum())
         e /= scale  # emission over scale from here on
-        beta = np.ones((len(rows), k), np.float32)
-        back = move.T.copy()
+        beta = np.ones((k, len(rows)), np.float32)
         for t in range(len(live) - 1, 0, -1):
-            lo, hi, n = at[t], at[t + 1], live[t]
-            v = e[lo:hi] * beta[:n]
-            before = alpha[at[t - 1] : at[t - 1] + n]
-            xi += (before.T @ v) * move
-            alpha[lo:hi] *= beta[:n]
-            beta[:n] = v @ back
-        alpha[: live[0]] *= beta[: live[0]]
-        alpha /= alpha.sum(1, keepdims=True)
-        begun += alpha[: live[0]].sum(0)
+            lo, hi, before = at[t], at[t + 1], at[t - 1]
+            b, v = beta[:, : hi - lo], e[:, lo:hi]
+            v *= b
+            xi += alpha[:, before : before + hi - lo] @ v.T
+            alpha[:, lo:hi] *= b
+            np.matmul(move, v, out=b)
+        alpha[:, : at[1]] *= beta[:, : at[1]]
+        alpha /= alpha.sum(0)
+        begun += alpha[:, : at[1]].sum(1)
         for j in range(k):
-            gamma[:, j] += np.bincount(s, alpha[:, j], m.size)
+            gamma[:, j] += np.bincount(s, alpha[j], m.size)
+    xi *= move
     return gamma, xi, begun, like
 
 
@@ -129,19 +135,19 @@ def likelihood(sym: np.ndarray, first: np.ndarray, m: Model) -> np.ndarray:
         out[i] = _long(sym[first[i] : first[i + 1]], m)
     size = size.copy()
     size[far] = 0
+    emit, on = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
     for rows in _batches(size):
         rows = rows[size[rows] > 0]
         if not len(rows):
             continue
         s, live = _by_time(sym, first, rows)
-        at, total, a = 0, np.zeros(len(rows)), None
+        at, c, a = np.concatenate([[0], np.cumsum(live)]), np.empty(len(s)), None
         for t, n in enumerate(live):
-            a = (m.start if t == 0 else a[:n] @ m.move) * m.emit[s[at : at + n]]
-            c = a.sum(1)
-            a /= c[:, None]
-            total[:n] += np.log10(c)
-            at += n
-        out[rows] = total
+            i = slice(at[t], at[t + 1])
+            a = (m.start[:, None] if t == 0 else on @ a[:, :n]) * emit[:, s[i]]
+            np.add.reduce(a, 0, out=c[i])
+            a /= c[i]
+        out[rows] = np.bincount(text.ragged(np.zeros(len(live), np.int64), live), np.log10(c), len(rows))
     return out
 
 
@@ -248,11 +254,10 @@ def _known(block: np.ndarray, found: dict[int, bytes]) -> tuple[np.ndarray, np.n
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-_STATIC = pa.schema([("chunk", pa.int64()), ("sizes", pa.binary()), ("blob", pa.binary()), ("keys", pa.binary())])
-_STATIC_DDL = "chunk long, sizes binary, blob binary, keys binary"
+_STATIC = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("learn", pa.binary()), ("blob", pa.binary()), ("rest", pa.binary())])
+_STATIC_DDL = "chunk long, ids binary, sizes binary, learn binary, blob binary, rest binary"
 #: Kinds of blobs of a chunk, beside those for blocks 0, 1, ...
 _STATS, _LOCAL, _FIRST, _SUMS = -1, -2, -3, -4
-_APART = -20
 
 
 def _noise(keys: np.ndarray, states: int) -> np.ndarray:
@@ -262,43 +267,47 @@ def _noise(keys: np.ndarray, states: int) -> np.ndarray:
 
 
 def _prepare(blocks: int):
-    """A chunk's training rows as symbols, with what is known of its words."""
+    """A chunk's rows as symbols, with what is known of its words: its text isn't read again."""
 
     def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return _STATIC.empty_table()
         r = chunk.to_pylist()[0]
         h, first = tokens(packed.text_of(r))
-        if not len(h):
-            return _STATIC.empty_table()
         learn = packed.rest_of(r).column("__learn").to_numpy(zero_copy_only=False).astype(bool)
-        size = np.diff(first)
         keys, block, count, sym = _by_block(h, blocks)
         total, number = _known(block, dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True)))
-        sym = sym[np.repeat(learn, size)]
-        own = np.bincount(sym, minlength=len(keys)).astype(np.int32)
-        return pa.Table.from_batches([packed.frame(_STATIC, [(r["chunk"], size[learn].astype(np.int64).tobytes(), packed.squeeze(sym, total, own, number, block, count), keys.tobytes())])])
+        own = np.bincount(sym[np.repeat(learn, np.diff(first))], minlength=len(keys)).astype(np.int32)
+        planes = np.ascontiguousarray(sym.view(np.uint8).reshape(-1, 4).T)  # bytes of one weight side by side: they compress
+        return pa.Table.from_batches([packed.frame(_STATIC, [(r["chunk"], r["ids"], np.diff(first).astype(np.int64).tobytes(), learn.tobytes(), packed.squeeze(planes.ravel(), total, own, number, block, count), r["rest"])])])
 
     return go
 
 
-def _begin(states: int):
+def _begin(states: int, blocks: int):
     """First splits of a chunk's words, and their counts by state."""
 
     def go(batches):
         for r in packed.rows(batches):
-            split, own = _noise(np.frombuffer(r["keys"], np.uint64), states), _words(r["blob"])[2]
+            words, n = _counted(r)
+            keys, _, _, place = _by_block(words, blocks)
+            own = np.empty(len(n))
+            own[place] = n
+            split = _noise(keys, states)
             stats = np.concatenate([np.zeros(states * states + states), (own[:, None] * split.astype(float)).sum(0), [0.0]])
             yield packed.frame(packed.BLOB, [(_FIRST, r["chunk"], packed.squeeze(split.ravel())), (_STATS, r["chunk"], packed.squeeze(stats))])
 
     return go
 
 
-def _words(blob: bytes) -> list[np.ndarray]:
-    return packed.stretch(blob, np.uint32, np.int64, np.int32, np.int32, np.int64, np.int64)
+def _words(r: dict) -> list[np.ndarray]:
+    """Row offsets, whether rows are learnt from, symbols; then of the words total, own, number, and of the blocks number and count."""
+    planes, *of_words = packed.stretch(r["blob"], np.uint8, np.int64, np.int32, np.int32, np.int64, np.int64)
+    sym = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    return [np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.int64))]), np.frombuffer(r["learn"], bool), sym, *of_words]
 
 
-def _mine(replies: pa.Table, number: np.ndarray, count: np.ndarray, block: np.ndarray, states: int) -> np.ndarray:
+def _mine(replies: pa.Table, number: np.ndarray, block: np.ndarray, states: int) -> np.ndarray:
     """Each word's split over the states: those of shared words by block, and the chunk's own."""
     found = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
     take = lambda k: packed.stretch(found[k], np.float16)[0].reshape(-1, states)
@@ -330,9 +339,10 @@ def _expect(shared, mass: float):
             return packed.BLOB.empty_table()
         move, start, under = shared.value
         r, k = chunk.to_pylist()[0], len(start)
-        sym, total, own, number, block, count = _words(r["blob"])
-        first = np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.int64))])
-        gamma, xi, begun, like = expected(sym, first, Model(_emissions(_mine(replies, number, count, block, k), total, under, mass), move, start))
+        first, learn, sym, total, own, number, block, count = _words(r)
+        size = np.diff(first)
+        sym, first = sym[np.repeat(learn, size)], np.concatenate([[0], np.cumsum(size[learn])])
+        gamma, xi, begun, like = expected(sym, first, Model(_emissions(_mine(replies, number, block, k), total, under, mass), move, start))
         stats = np.concatenate([xi.ravel(), begun, gamma.sum(0), [like]])
         split = (gamma / np.maximum(own, 1)[:, None]).astype(np.float16)
         out, at = [(_STATS, r["chunk"], packed.squeeze(stats)), (_LOCAL, r["chunk"], packed.squeeze(split[number < 0].ravel()))], 0
@@ -376,23 +386,24 @@ def _free_shuffles(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, rounds: int, mass: float) -> tuple[DataFrame, tuple]:
-    """Baum-Welch over all words: replies (chunk, block, splits of the chunk's words), and moves, first states and the rows' divisors.
+def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, rounds: int, mass: float) -> tuple[DataFrame, DataFrame, tuple]:
+    """Baum-Welch over all words: chunks as symbols, replies (chunk, block, splits of the chunk's words), and moves, first states and the rows' divisors.
 
     Only words that several chunks hold go through the blocks; a chunk keeps the rest.
-    Symbols are dealt by chunk once, so that in a round no more than splits moves.
+    Symbols are dealt by chunk once, so that in a round no more than splits moves; the
+    texts and counts that they come from go before the first.
     """
     spark = chunks.sparkSession
-    learned, done = tables.dealt(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prepare(blocks), _STATIC_DDL), "chunk", "lm-symbols")
-    _free_shuffles(spark)  # the shuffles of counting and dealing, more than those of a round
-    sent = tables.written(learned.select("chunk", "blob", "keys").mapInArrow(_begin(states), packed.BLOB_DDL), "lm-expected")
-    learned = learned.drop("keys")
+    learned = tables.dealt(chunks.groupBy("chunk").cogroup(counts.where("chunk >= 0").groupBy("chunk")).applyInArrow(text.tidy_groups(_prepare(blocks)), _STATIC_DDL), "chunk", "lm-symbols")
+    _free(counts)  # and the shuffles of counting and dealing, more than those of a round
+    sent = tables.written(chunks.mapInArrow(text.tidy(_begin(states, blocks)), packed.BLOB_DDL), "lm-expected")
+    tables.remove(chunks)
     move, start = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states)
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     under, before = _stats(sent, states)[-1 - states : -1], -np.inf
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((move, start, under))
-        fresh = tables.written(learned.groupBy("chunk").cogroup(_replies(sent, states).groupBy("chunk")).applyInArrow(_expect(shared, mass), packed.BLOB_DDL), "lm-expected")
+        fresh = tables.written(learned.groupBy("chunk").cogroup(_replies(sent, states).groupBy("chunk")).applyInArrow(text.tidy_groups(_expect(shared, mass)), packed.BLOB_DDL), "lm-expected")
         x = _stats(fresh, states)
         xi, begun, like = x[: states * states].reshape(states, states), x[states * states : states * states + states], float(x[-1])
         move, start, under = (xi + 1) / (xi.sum(1, keepdims=True) + states), (begun + 1) / (begun.sum() + states), x[-1 - states : -1]
@@ -402,8 +413,7 @@ def _learn_all(chunks: DataFrame, counts: DataFrame, blocks: int, states: int, r
         if like - before < SETTLED * abs(like):
             break
         before = like
-    done()
-    return _replies(sent, states), (move, start, under)
+    return learned, _replies(sent, states), (move, start, under)
 
 
 def _replies(sent: DataFrame, states: int) -> DataFrame:
@@ -419,8 +429,8 @@ def _stats(sent: DataFrame, states: int) -> np.ndarray:
 # ---- scoring -------------------------------------------------------------
 
 
-def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, states: int):
-    """Scores of a chunk's rows, by the emission rows of its words (splits of block b come under _APART - b, beside the counts)."""
+def _score_all(shared, schema: pa.Schema, total: int, types: int, states: int):
+    """Scores of a chunk's rows, by the splits of its words."""
     mass = total + 0.5 * (types + 1)
 
     def go(key, chunk: pa.Table, replies: pa.Table) -> pa.Table:
@@ -428,16 +438,12 @@ def _score_all(shared, schema: pa.Schema, blocks: int, total: int, types: int, s
             return schema.empty_table()
         r = chunk.to_pylist()[0]
         move, start, under = shared.value
-        h, first = tokens(packed.text_of(r))
-        _, block, count, sym = _by_block(h, blocks)
-        kinds = replies.column("block").to_pylist()
-        known, number = _known(block, dict(zip(kinds, replies.column("blob").to_pylist(), strict=True)))
-        split = _mine(replies.filter(pa.array([k <= _APART - _FIRST for k in kinds])).set_column(1, "block", pa.array([_APART - k for k in kinds if k <= _APART - _FIRST], pa.int64())), number, count, block, states)
+        first, _, sym, known, _, number, block, _ = _words(r)
         c = known[sym]
         rows = len(first) - 1
         row = np.repeat(np.arange(rows), np.diff(first))
         base = np.bincount(row, np.log10(c + 0.5) - np.log10(mass), rows)
-        emit = _emissions(split, known, under, mass)
+        emit = _emissions(_mine(replies, number, block, states), known, under, mass)
         return _scored(r, schema, first, c, row, total, base, likelihood(sym, first, Model(emit, move, start)))
 
     return go
@@ -465,11 +471,9 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         raise ValueError(f"carry holds names of the result: {sorted(clash)}")
     spark = df.sparkSession
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("__text"), F.coalesce(learn, F.lit(False)).cast("int").alias("__learn"), *[df[c] for c in carry])
-    chunks, blocks = packed.chunked(docs, "lm-chunks")
-    counts = tables.written(chunks.mapInArrow(_send_counts(blocks), packed.BLOB_DDL).groupBy("block").applyInArrow(_answer_counts, packed.REPLY_DDL), "lm-counts")
+    chunks, blocks = packed.chunked(docs, "lm-chunks", _CHUNK_BYTES)
+    counts = tables.written(chunks.mapInArrow(text.tidy(_send_counts(blocks)), packed.BLOB_DDL).groupBy("block").applyInArrow(_answer_counts, packed.REPLY_DDL), "lm-counts")
     total, types = (int(x) for x in _summed(counts.where(F.col("chunk") == _SUMS).select("blob"), 2))
     schema = T.StructType([*docs.drop("__text", "__learn").schema.fields, *T._parse_datatype_string(_OUT).fields])
-    replies = counts.where("chunk >= 0")
-    rows, model = _learn_all(chunks, replies, blocks, states, rounds if total else 0, total + 0.5 * (types + 1))
-    replies = replies.unionByName(rows.select("chunk", (_APART - F.col("block")).alias("block"), "blob"))
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score_all(spark.sparkContext.broadcast(model), to_arrow_schema(schema), blocks, total, types, states), schema)
+    learned, rows, model = _learn_all(chunks, counts, blocks, states, rounds if total else 0, total + 0.5 * (types + 1))
+    return learned.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(text.tidy_groups(_score_all(spark.sparkContext.broadcast(model), to_arrow_schema(schema), total, types, states)), schema)

@@ -49,13 +49,13 @@ def ipc(batch: pa.RecordBatch) -> bytes | None:
     return out.getvalue().to_pybytes()
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(batches: Iterator[pa.RecordBatch], limit: int = PACK_BYTES) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids = np.array(batch.column(0).fill_null(NULL_ID))
-        for c in text.chunks(batch.column(1), PACK_BYTES):
+        for c in text.chunks(batch.column(1), limit):
             rest = batch.select(batch.schema.names[2:]).slice(c.first, c.rows)
             row = [(part << 32) + seq, ids[c.first : c.first + c.rows].tobytes(), np.diff(c.offsets).tobytes(), zstandard.ZstdCompressor(3).compress(c.data.tobytes()), ipc(rest)]
             seq += 1
@@ -96,9 +96,9 @@ BLOB_DDL = "block long, chunk long, blob binary"
 REPLY_DDL = "chunk long, block long, blob binary"
 
 
-def chunked(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Chunks of (id, text, carried columns), and the number of hash blocks for them."""
-    chunks = tables.written(docs.mapInArrow(text.tidy(pack), CHUNK_DDL), name)
+def chunked(docs: DataFrame, name: str, limit: int = PACK_BYTES) -> tuple[DataFrame, int]:
+    """Chunks of (id, text, carried columns), of about limit bytes of text, and the number of hash blocks for them."""
+    chunks = tables.written(docs.mapInArrow(text.tidy(lambda batches: pack(batches, limit)), CHUNK_DDL), name)
     volume = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     return chunks, max(6, -(-3 * volume // BLOCK_BYTES))  # text is about three times its compressed form
 

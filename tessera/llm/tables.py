@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, key: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
-    """As ``written``, dealt by key into buckets: grouping by key reads it without a shuffle; and what removes it from folder and catalogue."""
+def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``written``, dealt by key into buckets: grouping by key reads it without a shuffle. The catalogue forgets it at once."""
     spark = df.sparkSession
     buckets, own = 4 * spark.sparkContext.defaultParallelism, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{own}"
     df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(own)
-    _DEALT[own] = path
     atexit.register(_remove, spark, path)
-    return spark.table(own), lambda: _remove(spark, path)
+    out = spark.table(own)
+    out.schema  # resolved, so that the frame outlives the entry
+    spark.sql(f"DROP TABLE `{own}`")  # with a path of its own its files stay
+    return out
 
 
 def path_of(df: DataFrame) -> str:
@@ -64,16 +65,8 @@ def remove(*frames: DataFrame | None) -> None:
             _remove(df.sparkSession, path)
 
 
-#: Names of the catalogue's tables of ``dealt``, with their folders.
-_DEALT: dict[str, str] = {}
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        if name in _DEALT:
-            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-            del _DEALT[name]
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

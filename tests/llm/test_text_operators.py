@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import tracemalloc
@@ -269,6 +270,26 @@ def test_lm_scores_equal_plain_baum_welch(spark, parts):
     assert len(out) == 45 and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=4e-3) for r in out)
 
 
+def test_lm_holds_symbols_alone_in_its_rounds(spark, monkeypatch):
+    """Texts and word counts go before the first round, symbols move without a shuffle, and long rows among short ones have the same likelihood both ways."""
+    place = hmm.tables.shared_dir(spark).removeprefix("file:")
+    kinds = lambda: {x for x in os.listdir(place) if x.startswith(("lm-chunks", "lm-counts"))}
+    old, held, plans, real = kinds(), [], [], hmm._expect
+    monkeypatch.setattr(hmm, "_expect", lambda *a: held.append(kinds() - old) or real(*a))
+    dealt = hmm.tables.dealt
+    monkeypatch.setattr(hmm.tables, "dealt", lambda *a: plans.append(x := dealt(*a)) or x)
+    assert hmm.score_texts(frame(spark, corpus(4)), F.lit(True), rounds=2).count() == 66
+    assert held == [set(), set()]
+    plan = plans[0].groupBy("chunk").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    r = np.random.default_rng(1)
+    first, m = np.array([0, 900, 905, 905, 1200]), hmm.Model(*(r.dirichlet(np.ones(n), k) for n, k in ((4, 9), (4, 4))), r.dirichlet(np.ones(4)))
+    s = r.integers(0, 9, 1200).astype(np.uint32)
+    gamma, xi, begun, like = hmm.expected(s, first, m)
+    assert math.isclose(like, math.log(10) * hmm.likelihood(s, first, m).sum(), rel_tol=1e-5)
+    assert np.allclose([gamma.sum(), xi.sum(), begun.sum()], [1200, 1197, 3], rtol=1e-4)
+
+
 def test_lm_of_nothing_and_clashing_names(spark):
     empty = spark.createDataFrame([], DOC)
     assert hmm.score_texts(empty, F.lit(True)).count() == 0
